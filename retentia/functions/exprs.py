@@ -85,3 +85,15 @@ def stable_sum(c, scale: int = 12) -> Column:
 def stable_mean(c, scale: int = 12) -> Column:
     """Mean of a DOUBLE column with the order-independent sum of stable_sum."""
     return F.try_divide(stable_sum(c, scale), F.count(c).cast("double"))
+
+
+def pct_half_up(num, den, decimals: int = 1) -> Column:
+    """100 * num / den for integer counts, rounded half-up at ``decimals`` on
+    the exact ratio (integer arithmetic), so no binary tie can flip it."""
+    scale = 10 ** decimals
+    n, d = col(num).cast("bigint"), col(den).cast("bigint")
+    units = F.when(d > 0, F.floor((n * (200 * scale) + d) / (d * 2)))
+    # floor of a DOUBLE quotient is exact here: both operands are integers far
+    # below 2**53 and the quotient is never within an ulp of the next integer
+    # unless it is that integer.
+    return units.cast("double") / float(scale)

@@ -247,3 +247,172 @@ SELECT account_id, account_name, industry, country, signup_date, referral_source
        coalesce(tenure_months, 0.0) AS tenure_months,
        coalesce(mrr_per_seat, 0.0) AS mrr_per_seat
 FROM m_b CROSS JOIN fill_b f""")
+
+# ----------------------------------------------------------------- cohort
+COHORT_CELLS = """cells AS (
+  SELECT date_trunc('month', a.signup_date) AS signup_month,
+         (year(s.start_date) * 12 + month(s.start_date)) - (year(a.signup_date) * 12 + month(a.signup_date)) AS cohort_index,
+         count(DISTINCT s.account_id) AS active_accounts
+  FROM subscriptions s JOIN accounts a ON s.account_id = a.account_id
+  WHERE (year(s.start_date) * 12 + month(s.start_date)) - (year(a.signup_date) * 12 + month(a.signup_date)) >= 0
+  GROUP BY 1, 2),
+first_idx AS (SELECT min(cohort_index) AS f FROM cells),
+base AS (SELECT c.signup_month, c.active_accounts AS base_accounts FROM cells c, first_idx WHERE c.cohort_index = first_idx.f),
+long AS (
+  SELECT strftime(c.signup_month, '%Y-%m') AS signup_cohort, CAST(c.cohort_index AS BIGINT) AS cohort_index,
+         c.active_accounts, b.base_accounts,
+         CAST((c.active_accounts * 2000 + b.base_accounts) // (2 * b.base_accounts) AS DOUBLE) / 10.0 AS retention_pct
+  FROM cells c LEFT JOIN base b ON c.signup_month = b.signup_month)"""
+
+register("cohort_retention_long", f"""
+WITH {cte('accounts', 'subscriptions')},
+{COHORT_CELLS}
+SELECT * FROM long""")
+
+register("cohort_retention_matrix", f"""
+WITH {cte('accounts', 'subscriptions')},
+{COHORT_CELLS}
+SELECT * FROM (PIVOT (SELECT signup_cohort, 'm' || CAST(cohort_index AS VARCHAR) AS k, retention_pct FROM long)
+               ON k USING first(retention_pct) GROUP BY signup_cohort)""")
+
+register("cohort_retention_active", f"""
+WITH {cte('accounts', 'subscriptions')},
+cells AS (
+  SELECT date_trunc('month', a.signup_date) AS signup_month,
+         (year(s.start_date) * 12 + month(s.start_date)) - (year(a.signup_date) * 12 + month(a.signup_date)) AS cohort_index,
+         count(DISTINCT s.account_id) AS active_accounts
+  FROM subscriptions s JOIN accounts a ON s.account_id = a.account_id
+  WHERE NOT s.churn_flag
+    AND (year(s.start_date) * 12 + month(s.start_date)) - (year(a.signup_date) * 12 + month(a.signup_date)) >= 0
+  GROUP BY 1, 2),
+sizes AS (SELECT date_trunc('month', signup_date) AS signup_month, count(DISTINCT account_id) AS cohort_size
+          FROM accounts GROUP BY 1),
+j AS (SELECT c.*, s.cohort_size,
+             dense_rank() OVER (ORDER BY c.signup_month) AS cr,
+             dense_rank() OVER (ORDER BY c.cohort_index) AS ir
+      FROM cells c JOIN sizes s ON c.signup_month = s.signup_month)
+SELECT strftime(signup_month, '%Y-%m') AS signup_month, CAST(cohort_index AS BIGINT) AS cohort_index,
+       active_accounts, cohort_size,
+       CAST(active_accounts AS DOUBLE) / CAST(cohort_size AS DOUBLE) * 100.0 AS retention_pct
+FROM j WHERE cr <= 12 AND ir <= 12""")
+
+# ----------------------------------------------------------------- revenue
+MONTHLY = """mm AS (SELECT CAST(date_trunc('month', start_date) AS DATE) AS month, sum(mrr_amount) AS added
+       FROM subscriptions GROUP BY 1),
+monthly AS (
+  SELECT month, strftime(month, '%Y-%m') AS month_str, CAST(added AS DOUBLE) AS mrr_added,
+         CAST(sum(added) OVER (ORDER BY month ROWS UNBOUNDED PRECEDING) AS DOUBLE) AS cumulative_mrr,
+         CAST(sum(added) OVER (ORDER BY month ROWS UNBOUNDED PRECEDING) * 12 AS DOUBLE) AS cumulative_arr,
+         CAST(row_number() OVER (ORDER BY month) - 1 AS BIGINT) AS t
+  FROM mm),
+sums AS (
+  SELECT count(*) AS n, sum(CAST(t AS DECIMAL(38,0))) AS st, sum(CAST(t AS DECIMAL(38,0)) * CAST(t AS DECIMAL(38,0))) AS stt,
+         sum(CAST(mrr_added AS DECIMAL(38,2))) AS sy,
+         sum(CAST(t AS DECIMAL(38,0)) * CAST(mrr_added AS DECIMAL(38,2))) AS sty,
+         max(month) AS last_month, arg_max(cumulative_mrr, month) AS last_cumulative_mrr
+  FROM monthly),
+fit AS (
+  SELECT n, CAST(n * sty - st * sy AS DOUBLE) / CAST(n * stt - st * st AS DOUBLE) AS slope,
+         CAST(sy * stt - st * sty AS DOUBLE) / CAST(n * stt - st * st AS DOUBLE) AS intercept,
+         last_month, last_cumulative_mrr
+  FROM sums),
+adds AS (
+  SELECT k, CAST(round(CAST(greatest(slope * (n + k - 1) + intercept, 100000.0) AS DECIMAL(38,8)), 2) AS DOUBLE) AS added
+  FROM fit, range(1, 13) r(k)),
+rec AS (
+  SELECT 0 AS k, last_cumulative_mrr AS total FROM fit
+  UNION ALL
+  SELECT r.k + 1, r.total * 0.982 + a.added FROM rec r JOIN adds a ON a.k = r.k + 1 WHERE r.k < 12),
+forecast AS (
+  SELECT strftime(CAST(f.last_month + to_months(CAST(a.k AS INTEGER)) AS DATE), '%Y-%m') AS forecast_month,
+         a.added AS projected_mrr_added,
+         CAST(round(CAST(r.total AS DECIMAL(38,8)), 2) AS DOUBLE) AS projected_total_mrr,
+         CAST(round(CAST(CAST(round(CAST(r.total AS DECIMAL(38,8)), 2) AS DOUBLE) * 12.0 AS DECIMAL(38,8)), 2) AS DOUBLE) AS projected_total_arr
+  FROM adds a JOIN rec r ON r.k = a.k CROSS JOIN fit f)"""
+
+register("monthly_mrr", f"WITH RECURSIVE {cte('subscriptions')},\n{MONTHLY}\nSELECT * FROM monthly")
+register("mrr_trend_fit", f"WITH RECURSIVE {cte('subscriptions')},\n{MONTHLY}\nSELECT * FROM fit")
+register("revenue_forecast_12m", f"WITH RECURSIVE {cte('subscriptions')},\n{MONTHLY}\nSELECT * FROM forecast")
+
+register("revenue_forecast_compound", with_c360("""
+, run0 AS (SELECT CAST(sum(CAST(total_mrr AS DECIMAL(38,2))) AS DOUBLE) AS r FROM c360),
+comp AS (
+  SELECT 0 AS k, r FROM run0
+  UNION ALL
+  SELECT k + 1, r + r * 0.058 - r * 0.018 FROM comp WHERE k < 12)
+SELECT '2001-M' || lpad(CAST(k AS VARCHAR), 2, '0') AS forecast_month, r AS projected_mrr,
+       r * 12.0 AS projected_total_arr
+FROM comp WHERE k >= 1""").replace("WITH RECURSIVE", "WITH").replace("WITH ", "WITH RECURSIVE ", 1))
+
+LTV = """ltv AS (
+  SELECT account_id, plan_tier, churn_flag, tenure_months, total_mrr,
+         total_mrr AS realized_lifetime_value_usd,
+         total_mrr * 0.8 / 0.0183 AS expected_ltv_usd
+  FROM c360)"""
+
+
+def _r2(x: str) -> str:
+    return f"CAST(round(CAST({x} AS DECIMAL(38,8)), 2) AS DOUBLE)"
+
+
+def _smean(x: str, scale: int) -> str:
+    return f"(CAST(sum(CAST({x} AS DECIMAL(38,{scale}))) AS DOUBLE) / CAST(count({x}) AS DOUBLE))"
+
+
+def _median(x: str) -> str:
+    return (f"((list_sort(list({x}))[(count({x}) + 1) // 2] "
+            f"+ list_sort(list({x}))[count({x}) // 2 + 1]) / 2)")
+
+
+register("ltv_account", with_c360(f", {LTV}\nSELECT * FROM ltv"))
+register("ltv_by_tier", with_c360(f""", {LTV}
+SELECT plan_tier, count(account_id) AS account_count,
+       {_r2(_smean('total_mrr', 2))} AS avg_mrr,
+       {_r2(_smean('realized_lifetime_value_usd', 2))} AS avg_realized_ltv,
+       {_r2(_smean('expected_ltv_usd', 6))} AS avg_expected_ltv,
+       {_r2(_median('tenure_months'))} AS median_tenure_months
+FROM ltv GROUP BY plan_tier"""))
+
+
+def _dollars(x: str) -> str:
+    return f"'$' || format('{{:,.2f}}', {_r2(x)})"
+
+
+def _fixed1(x: str, suffix: str = "") -> str:
+    return f"format('{{:.1f}}{suffix}', CAST(round(CAST({x} AS DECIMAL(38,8)), 1) AS DOUBLE))"
+
+
+register("ltv_by_tier_variant_b", f"""
+WITH {cte('accounts', 'subscriptions', 'usage', 'tickets')},
+{C360_B},
+cb AS (SELECT * FROM m_b),
+t AS (SELECT plan_tier, count(*) AS accounts, {_smean('coalesce(total_mrr, 0.0)', 2)} AS avg_mrr,
+             CAST(sum(churn_flag) AS DOUBLE) / CAST(count(churn_flag) AS DOUBLE) AS churn,
+             {_median('tenure_months')} AS med
+      FROM cb GROUP BY plan_tier)
+SELECT plan_tier, accounts, {_dollars('avg_mrr')} AS avg_mrr, {_fixed1('med')} AS median_tenure_mo,
+       {_dollars('avg_mrr * med')} AS realized_ltv, {_fixed1('churn * 100.0', '%')} AS annual_churn_pct,
+       {_dollars('CASE WHEN churn > 0 THEN avg_mrr / churn ELSE avg_mrr * 24.0 END')} AS expected_ltv
+FROM t""")
+
+register("ltv_headline", f"""
+WITH RECURSIVE {cte(*ALL_TABLES)},
+{C360},
+{LTV},
+{MONTHLY}
+SELECT CAST(sum(CAST(total_mrr AS DECIMAL(38,2))) AS DOUBLE) AS total_active_mrr,
+       CAST(sum(CAST(total_mrr AS DECIMAL(38,2))) * 12 AS DOUBLE) AS total_active_arr,
+       {_r2(_smean('realized_lifetime_value_usd', 2))} AS avg_realized_ltv,
+       {_r2(_smean('expected_ltv_usd', 6))} AS avg_expected_ltv,
+       (SELECT arg_max(projected_total_mrr, forecast_month) FROM forecast) AS projected_12m_exit_mrr,
+       (SELECT arg_max(projected_total_arr, forecast_month) FROM forecast) AS projected_12m_exit_arr
+FROM ltv""")
+
+_RIDGE_FEATURES = ["seats", "is_trial", "total_feature_events", "total_duration_hours",
+                   "total_errors", "distinct_features_used", "total_tickets", "avg_csat",
+                   "realized_lifetime_value_usd"]
+register("ltv_ridge_moments", with_c360(", " + LTV + "\n" + "\nUNION ALL\n".join(
+    f"""SELECT '{c}' AS feature, count(*) AS n,
+       round({_smean(f'CAST(coalesce({c}, 0) AS DOUBLE)', 6)}, 6) AS mean,
+       round(stddev_pop(CAST(coalesce({c}, 0) AS DOUBLE)), 6) AS std_pop FROM ltv_c""" for c in _RIDGE_FEATURES)
+    .replace("ltv_c", "(SELECT c360.*, c360.total_mrr AS realized_lifetime_value_usd FROM c360)")))

@@ -91,3 +91,92 @@ def top_accounts_by_mrr(spark, sf_dir):
 @query("c360_variant_b")
 def c360_variant_b(spark, sf_dir):
     return feat.customer_360_variant_b(src.load_tables(spark, sf_dir))
+
+
+# ----------------------------------------------------------------- cohort
+from ..operators import cohort as coh  # noqa: E402
+
+
+@query("cohort_retention_long")
+def cohort_retention_long(spark, sf_dir):
+    return coh.cohort_retention(src.subscriptions(spark, sf_dir), src.accounts(spark, sf_dir))
+
+
+@query("cohort_retention_matrix")
+def cohort_retention_matrix(spark, sf_dir):
+    long = cohort_retention_long(spark, sf_dir)
+    # the column list is the index range; one bounded scalar comes back
+    top = long.agg(F.max("cohort_index")).first()[0]
+    indices = list(range(0, int(top) + 1)) if top is not None else []
+    return coh.cohort_matrix(long, indices)
+
+
+@query("cohort_retention_active")
+def cohort_retention_active(spark, sf_dir):
+    return coh.cohort_retention_active(src.subscriptions(spark, sf_dir), src.accounts(spark, sf_dir))
+
+
+# ----------------------------------------------------------------- revenue
+from ..operators import revenue as rev  # noqa: E402
+
+
+def _ltv(spark, sf_dir):
+    return rev.ltv_accounts(c360(spark, sf_dir))
+
+
+def _forecast(spark, sf_dir):
+    return rev.trend_forecast(rev.trend_fit(rev.monthly_mrr(src.subscriptions(spark, sf_dir))))
+
+
+@query("monthly_mrr")
+def monthly_mrr(spark, sf_dir):
+    return rev.monthly_mrr(src.subscriptions(spark, sf_dir))
+
+
+@query("mrr_trend_fit")
+def mrr_trend_fit(spark, sf_dir):
+    return rev.trend_fit(rev.monthly_mrr(src.subscriptions(spark, sf_dir)))
+
+
+@query("revenue_forecast_12m")
+def revenue_forecast_12m(spark, sf_dir):
+    return _forecast(spark, sf_dir)
+
+
+@query("revenue_forecast_compound")
+def revenue_forecast_compound(spark, sf_dir):
+    return rev.compound_forecast(c360(spark, sf_dir), src.REFERENCE_DATE)
+
+
+@query("ltv_account")
+def ltv_account(spark, sf_dir):
+    return _ltv(spark, sf_dir)
+
+
+@query("ltv_by_tier")
+def ltv_by_tier(spark, sf_dir):
+    return rev.ltv_by_tier(_ltv(spark, sf_dir))
+
+
+@query("ltv_by_tier_variant_b")
+def ltv_by_tier_variant_b(spark, sf_dir):
+    return rev.ltv_by_tier_variant_b(feat.customer_360_variant_b(src.load_tables(spark, sf_dir)))
+
+
+@query("ltv_headline")
+def ltv_headline(spark, sf_dir):
+    return rev.ltv_headline(_ltv(spark, sf_dir), _forecast(spark, sf_dir))
+
+
+@query("ltv_ridge_moments")
+def ltv_ridge_moments(spark, sf_dir):
+    return rev.ridge_moments(_ltv_features(spark, sf_dir))
+
+
+def _ltv_features(spark, sf_dir):
+    return c360(spark, sf_dir).withColumn("realized_lifetime_value_usd", F.col("total_mrr"))
+
+
+@query("ltv_ridge_drivers")
+def ltv_ridge_drivers(spark, sf_dir):
+    return rev.ridge_drivers(_ltv_features(spark, sf_dir))
