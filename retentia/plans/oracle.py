@@ -416,3 +416,193 @@ register("ltv_ridge_moments", with_c360(", " + LTV + "\n" + "\nUNION ALL\n".join
        round({_smean(f'CAST(coalesce({c}, 0) AS DOUBLE)', 6)}, 6) AS mean,
        round(stddev_pop(CAST(coalesce({c}, 0) AS DOUBLE)), 6) AS std_pop FROM ltv_c""" for c in _RIDGE_FEATURES)
     .replace("ltv_c", "(SELECT c360.*, c360.total_mrr AS realized_lifetime_value_usd FROM c360)")))
+
+# ----------------------------------------------------------------- survival
+KM_TT = """tt AS (
+  SELECT {by} CAST(tenure_months AS DOUBLE) AS t, count(*) AS removed, CAST(sum(churn_flag) AS BIGINT) AS events
+  FROM c360 GROUP BY {by} CAST(tenure_months AS DOUBLE)),
+rs AS (
+  SELECT *, sum(removed) OVER ({part} ORDER BY t DESC ROWS UNBOUNDED PRECEDING) AS at_risk FROM tt),
+km AS (
+  SELECT *, product(1.0 - events / at_risk) OVER ({part} ORDER BY t ROWS UNBOUNDED PRECEDING) AS survival,
+         sum(coalesce(CAST(events AS DOUBLE) / nullif(CAST(at_risk * (at_risk - events) AS DOUBLE), 0), 0.0))
+           OVER ({part} ORDER BY t ROWS UNBOUNDED PRECEDING) AS greenwood
+  FROM rs)"""
+
+
+def _km(by: str) -> str:
+    part = f"PARTITION BY {by}" if by else ""
+    sel = f"{by}, " if by else ""
+    return KM_TT.replace("{by}", sel).replace("{part}", part)
+
+
+def _km_select(by: str) -> str:
+    sel = f"{by}, " if by else ""
+    grp = f"GROUP BY {by}" if by else ""
+    return f"""SELECT {sel}t, CAST(at_risk AS BIGINT) AS at_risk, events, CAST(removed - events AS BIGINT) AS censored,
+       round(survival, 6) AS survival FROM km
+UNION ALL
+SELECT {sel}0.0 AS t, CAST(max(at_risk) AS BIGINT), CAST(0 AS BIGINT), CAST(0 AS BIGINT), 1.0 FROM km {grp}
+HAVING min(t) > 0"""
+
+
+register("km_overall", with_c360(", " + _km("") + "\n" + _km_select("")))
+register("km_by_tier", with_c360(", " + _km("plan_tier") + "\n" + _km_select("plan_tier")))
+register("km_confidence", with_c360(", " + _km("plan_tier") + """
+SELECT plan_tier, t, CAST(at_risk AS BIGINT) AS at_risk, events, round(survival, 6) AS survival,
+       round(greenwood, 6) AS greenwood_var_sum,
+       round(CASE WHEN survival >= 1.0 THEN 1.0 WHEN survival <= 0.0 THEN 0.0
+             ELSE exp(-exp(ln(-ln(survival)) + 1.959963984540054 * sqrt(greenwood) / ln(survival))) END, 6) AS ci_lower,
+       round(CASE WHEN survival >= 1.0 THEN 1.0 WHEN survival <= 0.0 THEN 0.0
+             ELSE exp(-exp(ln(-ln(survival)) - 1.959963984540054 * sqrt(greenwood) / ln(survival))) END, 6) AS ci_upper
+FROM km"""))
+
+register("logrank_tier", with_c360("""
+, tt AS (
+  SELECT CAST(tenure_months AS DOUBLE) AS t, count(*) AS removed, sum(churn_flag) AS d,
+         count_if(plan_tier = 'Enterprise') AS removed_a,
+         sum(CASE WHEN plan_tier = 'Enterprise' THEN churn_flag ELSE 0 END) AS d_a
+  FROM c360 WHERE plan_tier IN ('Enterprise', 'Basic') GROUP BY 1),
+rs AS (
+  SELECT *, sum(removed) OVER (ORDER BY t DESC ROWS UNBOUNDED PRECEDING) AS n,
+            sum(removed_a) OVER (ORDER BY t DESC ROWS UNBOUNDED PRECEDING) AS n_a FROM tt),
+terms AS (
+  SELECT d_a, d * (n_a / n) AS e_a,
+         coalesce(d * (n_a / n) * (1.0 - n_a / n) * (n - d) / nullif(CAST(n - 1 AS DOUBLE), 0), 0.0) AS v
+  FROM rs WHERE d > 0),
+agg AS (SELECT CAST(sum(d_a) AS DOUBLE) AS observed_a, sum(e_a) AS expected_a, sum(v) AS variance FROM terms)
+SELECT 'Enterprise' AS group_a, 'Basic' AS group_b, observed_a, round(expected_a, 6) AS expected_a,
+       round(variance, 6) AS variance, round((observed_a - expected_a) ** 2 / variance, 6) AS test_statistic
+FROM agg"""))
+
+register("survival_naive_by_tier", f"""
+WITH {cte('accounts', 'subscriptions', 'usage', 'tickets')},
+{C360_B},
+tt AS (
+  SELECT plan_tier, CAST(coalesce(tenure_months, 0.0) AS DOUBLE) AS t, count(*) AS removed, sum(churn_flag) AS events
+  FROM m_b GROUP BY 1, 2),
+x AS (
+  SELECT plan_tier, t,
+         coalesce(sum(events) OVER (PARTITION BY plan_tier ORDER BY t ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS k,
+         sum(removed) OVER (PARTITION BY plan_tier) AS n
+  FROM tt)
+SELECT plan_tier, t, CAST(n - k AS DOUBLE) / CAST(n AS DOUBLE) AS survival FROM x""")
+
+register("survival_headline", with_c360(f"""
+SELECT count(*) AS total_accounts, CAST(sum(churn_flag) AS BIGINT) AS churned_accounts,
+       CAST(((count(*) - sum(churn_flag)) * 20000 + count(*)) // (2 * count(*)) AS DOUBLE) / 100.0 AS retention_rate_pct,
+       {_median('tenure_months')} AS median_tenure_months,
+       {_r2(_smean('tenure_months', 1))} AS mean_tenure_months
+FROM c360"""))
+
+_COX = ["seats", "is_trial", "error_rate_per_100_events", "avg_first_response_min", "avg_csat",
+        "annual_billing_ratio", "net_expansion_score"]
+register("cox_risk_sets", with_c360(f"""
+, d AS (SELECT * FROM c360 WHERE tenure_months IS NOT NULL AND churn_flag IS NOT NULL
+        AND {' AND '.join(f'{c} IS NOT NULL' for c in _COX)}),
+tt AS (
+  SELECT CAST(tenure_months AS DOUBLE) AS t, count(*) AS removed, CAST(sum(churn_flag) AS BIGINT) AS events,
+         {', '.join(f'sum(CAST({c} AS DOUBLE)) AS x_{c}' for c in _COX)},
+         {', '.join(f'sum(CASE WHEN churn_flag = 1 THEN CAST({c} AS DOUBLE) ELSE 0.0 END) AS d1_{c}' for c in _COX)}
+  FROM d GROUP BY 1),
+rs AS (
+  SELECT *, sum(removed) OVER w AS at_risk,
+         {', '.join(f's1_{c}_raw' .replace('_raw', '') + '' for c in []) }
+         {', '.join(f'sum(x_{c}) OVER w AS s1_{c}' for c in _COX)}
+  FROM tt WINDOW w AS (ORDER BY t DESC ROWS UNBOUNDED PRECEDING))
+SELECT t, at_risk, events,
+       {', '.join(f'round(s1_{c}, 6) AS s1_{c}' for c in _COX)},
+       {', '.join(f'round(d1_{c}, 6) AS d1_{c}' for c in _COX)}
+FROM rs WHERE events > 0"""))
+
+# ----------------------------------------------------------------- statistics
+register("anova_refund_by_reason", f"""
+WITH {cte('churn')},
+g AS (SELECT reason_code, count(refund_amount_usd) AS n, sum(refund_amount_usd) AS s,
+             sum(refund_amount_usd * refund_amount_usd) AS ss
+      FROM churn_events WHERE reason_code IS NOT NULL AND refund_amount_usd IS NOT NULL GROUP BY 1),
+tot AS (SELECT count(*) AS k, sum(n) AS n, sum(s) AS s, sum(ss) AS ss,
+               sum(CAST(s AS DOUBLE) * CAST(s AS DOUBLE) / CAST(n AS DOUBLE)) AS between_raw FROM g),
+v AS (SELECT k, n, between_raw - CAST(s AS DOUBLE) * CAST(s AS DOUBLE) / CAST(n AS DOUBLE) AS ssb,
+             CAST(ss AS DOUBLE) - between_raw AS ssw FROM tot)
+SELECT CAST(k AS BIGINT) AS groups, CAST(n AS BIGINT) AS n, round(ssb, 0) AS ss_between, round(ssw, 0) AS ss_within,
+       CAST(k - 1 AS BIGINT) AS df_between, CAST(n - k AS BIGINT) AS df_within,
+       round((ssb / (k - 1.0)) / (ssw / (n - k)), 6) AS f_statistic
+FROM v""")
+
+register("refund_stats_by_reason", f"""
+WITH {cte('churn')}
+SELECT reason_code, count(refund_amount_usd) AS count,
+       {_r2('CAST(sum(refund_amount_usd) AS DOUBLE) / CAST(count(refund_amount_usd) AS DOUBLE)')} AS mean,
+       {_r2(_median('CAST(refund_amount_usd AS DOUBLE)'))} AS median,
+       {_r2('sqrt(greatest(CASE WHEN count(refund_amount_usd) > 1 THEN (CAST(sum(refund_amount_usd * refund_amount_usd) AS DOUBLE) - CAST(sum(refund_amount_usd) AS DOUBLE) * CAST(sum(refund_amount_usd) AS DOUBLE) / CAST(count(refund_amount_usd) AS DOUBLE)) / (CAST(count(refund_amount_usd) AS DOUBLE) - 1.0) END, 0.0))')} AS std,
+       {_r2('CAST(sum(refund_amount_usd) AS DOUBLE)')} AS sum
+FROM churn_events GROUP BY reason_code""")
+
+register("tier_churn_crosstab", with_c360("""
+SELECT plan_tier, CAST(count_if(churn_flag = 0) AS BIGINT) AS churn_flag_0,
+       CAST(count_if(churn_flag = 1) AS BIGINT) AS churn_flag_1
+FROM c360 GROUP BY plan_tier"""))
+
+register("chisq_tier_churn", with_c360("""
+, cells AS (SELECT plan_tier, churn_flag, count(*) AS observed FROM c360
+            WHERE plan_tier IS NOT NULL AND churn_flag IS NOT NULL GROUP BY 1, 2),
+e AS (SELECT *, CAST(sum(observed) OVER (PARTITION BY plan_tier) * sum(observed) OVER (PARTITION BY churn_flag) AS DOUBLE)
+                 / CAST(sum(observed) OVER () AS DOUBLE) AS expected,
+             CAST((count(DISTINCT plan_tier) OVER () - 1) * (count(DISTINCT churn_flag) OVER () - 1) AS BIGINT) AS dof
+      FROM cells),
+c AS (SELECT *, (observed - expected) ** 2 / expected AS contribution FROM e)
+SELECT plan_tier, churn_flag, observed, round(expected, 6) AS expected, round(contribution, 6) AS contribution,
+       round(sum(contribution) OVER (), 6) AS chi2_statistic, dof
+FROM c"""))
+
+_CORR = ["tenure_months", "total_mrr", "seats", "error_rate_per_100_events", "total_duration_hours",
+         "avg_session_duration_mins", "total_tickets", "avg_csat", "avg_first_response_min",
+         "avg_resolution_hours", "churn_flag"]
+
+
+def _corr_sql(cols, source):
+    parts = []
+    for a in cols:
+        for b in cols:
+            parts.append(f"SELECT '{a}' AS var_a, '{b}' AS var_b, "
+                         f"round(corr(CAST({a} AS DOUBLE), CAST({b} AS DOUBLE)), 6) AS r FROM {source}")
+    return "\nUNION ALL\n".join(parts)
+
+
+register("correlation_matrix", with_c360(_corr_sql(_CORR, "c360")))
+register("correlation_matrix_variant_b", f"""
+WITH {cte('accounts', 'subscriptions', 'usage', 'tickets')},
+{C360_B},
+cb AS (SELECT total_mrr, seats, coalesce(tenure_months, 0.0) AS tenure_months,
+              coalesce(error_rate_per_100_events, 0.0) AS error_rate_per_100_events,
+              coalesce(avg_csat, (SELECT f_csat FROM fill_b), 0.0) AS avg_csat,
+              coalesce(avg_first_response_min, (SELECT f_resp FROM fill_b), 0.0) AS avg_first_response_min,
+              coalesce(total_tickets, 0) AS total_tickets, churn_flag,
+              coalesce(total_mrr, 0.0) AS total_mrr0 FROM m_b),
+cb2 AS (SELECT * EXCLUDE (total_mrr) RENAME (total_mrr0 AS total_mrr) FROM cb)
+{_corr_sql(["total_mrr", "seats", "tenure_months", "error_rate_per_100_events", "avg_csat",
+            "avg_first_response_min", "total_tickets", "churn_flag"], "cb2")}""")
+
+_OLS_NAMES = ["const", "first_response_time_minutes", "resolution_time_hours", "is_escalated",
+              "is_urgent", "is_high", "satisfaction_score"]
+_OLS_EXPR = {"const": "1", "first_response_time_minutes": "first_response_time_minutes",
+             "resolution_time_hours": "resolution_time_hours",
+             "is_escalated": "CAST(escalation_flag AS INTEGER)",
+             "is_urgent": "CAST(priority = 'Urgent' AS INTEGER)", "is_high": "CAST(priority = 'High' AS INTEGER)",
+             "satisfaction_score": "satisfaction_score"}
+
+
+def _gram_sql():
+    parts = []
+    for i, a in enumerate(_OLS_NAMES):
+        for b in _OLS_NAMES[i:]:
+            parts.append(f"SELECT '{a}' AS row_var, '{b}' AS col_var, CAST(sum(CAST({_OLS_EXPR[a]} AS DECIMAL(20,2)) * "
+                         f"CAST({_OLS_EXPR[b]} AS DECIMAL(20,2))) AS DOUBLE) AS value FROM rated")
+    return "\nUNION ALL\n".join(parts)
+
+
+register("ols_csat_gram", f"""
+WITH {cte('tickets')},
+rated AS (SELECT * FROM tickets WHERE satisfaction_score > 0)
+{_gram_sql()}""")

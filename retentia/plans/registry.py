@@ -180,3 +180,127 @@ def _ltv_features(spark, sf_dir):
 @query("ltv_ridge_drivers")
 def ltv_ridge_drivers(spark, sf_dir):
     return rev.ridge_drivers(_ltv_features(spark, sf_dir))
+
+
+# ----------------------------------------------------------------- survival
+from ..operators import survival as surv  # noqa: E402
+
+
+@query("km_overall")
+def km_overall(spark, sf_dir):
+    return surv.kaplan_meier(c360(spark, sf_dir), "tenure_months", "churn_flag")
+
+
+@query("km_by_tier")
+def km_by_tier(spark, sf_dir):
+    return surv.kaplan_meier(c360(spark, sf_dir), "tenure_months", "churn_flag", ["plan_tier"])
+
+
+@query("km_confidence")
+def km_confidence(spark, sf_dir):
+    return surv.kaplan_meier_confidence(c360(spark, sf_dir), "tenure_months", "churn_flag",
+                                        ["plan_tier"])
+
+
+@query("logrank_tier")
+def logrank_tier(spark, sf_dir):
+    return surv.logrank(c360(spark, sf_dir), "tenure_months", "churn_flag", "plan_tier",
+                        "Enterprise", "Basic")
+
+
+@query("survival_naive_by_tier")
+def survival_naive_by_tier(spark, sf_dir):
+    return surv.naive_survival(feat.customer_360_variant_b(src.load_tables(spark, sf_dir)),
+                               "tenure_months", "churn_flag", ["plan_tier"])
+
+
+@query("survival_headline")
+def survival_headline(spark, sf_dir):
+    return surv.survival_headline(c360(spark, sf_dir))
+
+
+@query("cox_risk_sets")
+def cox_risk_sets(spark, sf_dir):
+    return surv.cox_risk_sets(c360(spark, sf_dir), "tenure_months", "churn_flag", surv.COX_COVARIATES)
+
+
+@query("cox_hazard_ratios")
+def cox_hazard_ratios(spark, sf_dir):
+    return surv.cox_hazard_table(c360(spark, sf_dir))
+
+
+# ----------------------------------------------------------------- statistics
+from ..operators import stats as st  # noqa: E402
+
+
+@query("anova_refund_by_reason")
+def anova_refund_by_reason(spark, sf_dir):
+    return st.anova(src.churn_events(spark, sf_dir), "refund_amount_usd", "reason_code")
+
+
+@query("refund_stats_by_reason")
+def refund_stats_by_reason(spark, sf_dir):
+    return st.group_summary(src.churn_events(spark, sf_dir), "refund_amount_usd", "reason_code")
+
+
+@query("tier_churn_crosstab")
+def tier_churn_crosstab(spark, sf_dir):
+    return st.crosstab(c360(spark, sf_dir), "plan_tier", "churn_flag", [0, 1])
+
+
+@query("chisq_tier_churn")
+def chisq_tier_churn(spark, sf_dir):
+    return st.chi_square(c360(spark, sf_dir), "plan_tier", "churn_flag")
+
+
+CORR_COLUMNS = ["tenure_months", "total_mrr", "seats", "error_rate_per_100_events",
+                "total_duration_hours", "avg_session_duration_mins", "total_tickets", "avg_csat",
+                "avg_first_response_min", "avg_resolution_hours", "churn_flag"]
+CORR_COLUMNS_B = ["total_mrr", "seats", "tenure_months", "error_rate_per_100_events", "avg_csat",
+                  "avg_first_response_min", "total_tickets", "churn_flag"]
+
+
+@query("correlation_matrix")
+def correlation_matrix(spark, sf_dir):
+    return st.correlation(c360(spark, sf_dir), CORR_COLUMNS)
+
+
+@query("correlation_matrix_variant_b")
+def correlation_matrix_variant_b(spark, sf_dir):
+    return st.correlation(feat.customer_360_variant_b(src.load_tables(spark, sf_dir)), CORR_COLUMNS_B)
+
+
+def _ticket_ols(spark, sf_dir):
+    return st.OLSResult(st.ticket_design(src.support_tickets(spark, sf_dir)), "satisfaction_score",
+                        st.TICKET_REGRESSORS, order_by="ticket_id")
+
+
+@query("ols_csat_gram")
+def ols_csat_gram(spark, sf_dir):
+    return st.gram(st.ticket_design(src.support_tickets(spark, sf_dir)), "satisfaction_score",
+                   st.TICKET_REGRESSORS)
+
+
+@query("ols_csat_coefficients")
+def ols_csat_coefficients(spark, sf_dir):
+    return _ticket_ols(spark, sf_dir).coefficients()
+
+
+@query("ols_csat_fit")
+def ols_csat_fit(spark, sf_dir):
+    return _ticket_ols(spark, sf_dir).fit()
+
+
+@query("ols_csat_diagnostics")
+def ols_csat_diagnostics(spark, sf_dir):
+    return _ticket_ols(spark, sf_dir).diagnostics()
+
+
+ACCOUNT_CSAT_REGRESSORS = ["avg_first_response_min", "avg_resolution_hours", "total_escalations",
+                           "error_rate_per_100_events"]
+
+
+@query("ols_account_csat")
+def ols_account_csat(spark, sf_dir):
+    b = feat.customer_360_variant_b(src.load_tables(spark, sf_dir))
+    return st.OLSResult(b, "avg_csat", ACCOUNT_CSAT_REGRESSORS).coefficients()
