@@ -113,18 +113,22 @@ def chi_square_test(df: DataFrame, row: str, colname: str) -> dict:
 
 # ------------------------------------------------------------------ A15
 def correlation(df: DataFrame, cols: list[str], digits: int = 6) -> DataFrame:
-    """Pearson correlations, pairwise-complete, in long form (var_a, var_b, r):
-    all pairs in one aggregation pass, then unpivoted."""
+    """Pearson correlations, pairwise-complete, in long form (var_a, var_b, r).
+
+    Each row is unpivoted into one (pair, x, y) record per column pair and a
+    single grouped ``corr`` runs over the pairs: the aggregation is partial on
+    the map side, so the shuffle carries (#pairs x #partitions) rows whatever
+    the data size, and the plan stays small enough for code generation."""
     pairs = [(a, b) for i, a in enumerate(cols) for b in cols[i:]]
-    agg = df.agg(*[F.corr(F.col(a).cast("double"), F.col(b).cast("double")).alias(f"{i}")
-                   for i, (a, b) in enumerate(pairs)])
-    entries = []
-    for i, (a, b) in enumerate(pairs):
-        r = F.round(F.col(f"{i}"), digits)
-        entries.append(F.struct(F.lit(a).alias("var_a"), F.lit(b).alias("var_b"), r.alias("r")))
-        if a != b:
-            entries.append(F.struct(F.lit(b).alias("var_a"), F.lit(a).alias("var_b"), r.alias("r")))
-    return agg.select(F.explode(F.array(*entries)).alias("e")).select("e.*")
+    recs = F.array(*[F.struct(F.lit(i).alias("_p"), F.col(a).cast("double").alias("_x"),
+                              F.col(b).cast("double").alias("_y")) for i, (a, b) in enumerate(pairs)])
+    g = (df.select(F.inline(recs)).groupBy("_p")
+         .agg(F.round(F.corr("_x", "_y"), digits).alias("r")))
+    names = df.sparkSession.createDataFrame(
+        [(i, a, b) for i, (a, b) in enumerate(pairs)] + [(i, b, a) for i, (a, b) in enumerate(pairs) if a != b],
+        "_p int, var_a string, var_b string")
+    # the name table has one row per ordered pair: fixed by the column list
+    return g.join(F.broadcast(names), "_p").select("var_a", "var_b", "r")
 
 
 # ------------------------------------------------------------------ T1-T5

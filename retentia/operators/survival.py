@@ -183,54 +183,58 @@ def cox_risk_sets(df: DataFrame, duration: str, event: str, covariates: list[str
 
 def _efron_step(d: DataFrame, names: list[str], beta: np.ndarray, chunk: int = 4096):
     """One Newton step's log-likelihood, gradient and Hessian (Efron ties) as
-    a Spark job; returns numpy arrays (bounded: p and p x p)."""
+    one Spark job; returns numpy arrays (bounded: p and p x p).
+
+    beta enters as a one-row broadcast table, not as literals, so the plan --
+    and its generated code -- is the same in every iteration."""
     p = len(names)
-    eta = sum((F.col(n) * float(b) for n, b in zip(names, beta)), F.lit(0.0))
-    x = d.withColumn("_w", F.exp(eta)).withColumn("_e", F.col("_e0"))
+    spark = d.sparkSession
+    bdf = spark.createDataFrame([tuple(float(b) for b in beta)], ", ".join(f"_b{i} double" for i in range(p)))
+    x = d.crossJoin(F.broadcast(bdf))
+    eta = sum((F.col(n) * F.col(f"_b{i}") for i, n in enumerate(names)), F.lit(0.0))
+    x = x.withColumn("_eta", eta).withColumn("_w", F.exp("_eta"))
+    e, w = F.col("_e0"), F.col("_w")
     pairs = [(i, j) for i in range(p) for j in range(i, p)]
-    aggs = [F.sum("_w").alias("s0"), F.sum(F.col("_e") * F.col("_w")).alias("t0"),
-            F.sum("_e").alias("dcnt"), F.sum(F.col("_e") * eta).alias("eta_d")]
+    aggs = [F.sum(w).alias("s0"), F.sum(e * w).alias("t0"), F.sum(e).alias("dcnt"),
+            F.sum(e * F.col("_eta")).alias("eta_d")]
     for i, n in enumerate(names):
-        aggs += [F.sum(F.col("_w") * F.col(n)).alias(f"s1_{i}"),
-                 F.sum(F.col("_e") * F.col("_w") * F.col(n)).alias(f"t1_{i}"),
-                 F.sum(F.col("_e") * F.col(n)).alias(f"z_{i}")]
+        aggs += [F.sum(w * F.col(n)).alias(f"s1_{i}"), F.sum(e * w * F.col(n)).alias(f"t1_{i}"),
+                 F.sum(e * F.col(n)).alias(f"z_{i}")]
     for i, j in pairs:
-        prod = F.col("_w") * F.col(names[i]) * F.col(names[j])
-        aggs += [F.sum(prod).alias(f"s2_{i}_{j}"), F.sum(F.col("_e") * prod).alias(f"t2_{i}_{j}")]
+        prod = w * F.col(names[i]) * F.col(names[j])
+        aggs += [F.sum(prod).alias(f"s2_{i}_{j}"), F.sum(e * prod).alias(f"t2_{i}_{j}")]
     per_t = x.groupBy("_t").agg(*aggs)
-    # reverse running sums turn per-time sums into risk-set sums (time table
-    # is bounded by the number of distinct tenures)
-    w = Window.orderBy(F.desc("_t")).rowsBetween(Window.unboundedPreceding, 0)
+    # reverse running sums turn per-time sums into risk-set sums (the time
+    # table is bounded by the number of distinct tenures)
+    w_rev = Window.orderBy(F.desc("_t")).rowsBetween(Window.unboundedPreceding, 0)
     risk_cols = ["s0"] + [f"s1_{i}" for i in range(p)] + [f"s2_{i}_{j}" for i, j in pairs]
-    rs = per_t.select("_t", "t0", "dcnt", "eta_d",
-                      *[F.col(f"t1_{i}") for i in range(p)],
-                      *[F.col(f"z_{i}") for i in range(p)],
-                      *[F.col(f"t2_{i}_{j}") for i, j in pairs],
-                      *[F.sum(c).over(w).alias(c) for c in risk_cols]).where(F.col("dcnt") > 0)
-    # Efron: l = 0..d-1 for every event time. Ranges are cut into chunks and
-    # spread over tasks before they are expanded, so a time with many tied
-    # events is not expanded inside one task.
-    chunks = rs.withColumn("_c", F.explode(F.sequence(F.lit(0), F.floor((F.col("dcnt") - 1) / chunk)
-                                                      .cast("bigint"))))
-    chunks = chunks.repartition(F.col("_t"), F.col("_c"))
+    keep = (["t0", "dcnt", "eta_d"] + [f"t1_{i}" for i in range(p)] + [f"z_{i}" for i in range(p)]
+            + [f"t2_{i}_{j}" for i, j in pairs])
+    rs = per_t.select("_t", *keep, *[F.sum(c).over(w_rev).alias(c) for c in risk_cols]).where(F.col("dcnt") > 0)
+    # Efron: l = 0..d-1 at every event time. The l-ranges are cut into chunks
+    # and spread over tasks before they are expanded, so a time with many
+    # tied events is not expanded inside one task.
+    nchunks = F.floor((F.col("dcnt") - 1) / chunk).cast("bigint")
+    ex = (rs.withColumn("_c", F.explode(F.sequence(F.lit(0).cast("bigint"), nchunks)))
+          .repartition("_t", "_c"))
     lo = F.col("_c") * chunk
     hi = F.least(lo + chunk, F.col("dcnt").cast("bigint")) - 1
-    ex = chunks.withColumn("_l", F.explode(F.sequence(lo.cast("bigint"), hi.cast("bigint"))))
+    ex = ex.withColumn("_l", F.explode(F.sequence(lo.cast("bigint"), hi.cast("bigint"))))
     phi = F.col("_l") / F.col("dcnt")
     a0 = F.col("s0") - phi * F.col("t0")
     a1 = [F.col(f"s1_{i}") - phi * F.col(f"t1_{i}") for i in range(p)]
-    terms = [F.sum(F.log(a0)).alias("ll")]
-    terms += [F.sum(a1[i] / a0).alias(f"g_{i}") for i in range(p)]
+    first = F.col("_l") == 0   # per-time terms counted once
+    terms = [F.sum(F.when(first, F.col("eta_d")).otherwise(0.0) - F.log(a0)).alias("ll")]
+    terms += [F.sum(F.when(first, F.col(f"z_{i}")).otherwise(0.0) - a1[i] / a0).alias(f"g_{i}")
+              for i in range(p)]
     terms += [F.sum((F.col(f"s2_{i}_{j}") - phi * F.col(f"t2_{i}_{j}")) / a0
                     - a1[i] * a1[j] / (a0 * a0)).alias(f"h_{i}_{j}") for i, j in pairs]
-    efron = ex.agg(*terms).first()
-    first = rs.where(F.col("_t").isNotNull()).agg(
-        F.sum("eta_d").alias("eta_d"), *[F.sum(f"z_{i}").alias(f"z_{i}") for i in range(p)]).first()
-    ll = float(first["eta_d"] or 0.0) - float(efron["ll"] or 0.0)
-    grad = np.array([float(first[f"z_{i}"] or 0.0) - float(efron[f"g_{i}"] or 0.0) for i in range(p)])
+    r = ex.agg(*terms).first()
+    ll = float(r["ll"] or 0.0)
+    grad = np.array([float(r[f"g_{i}"] or 0.0) for i in range(p)])
     info = np.zeros((p, p))
     for i, j in pairs:
-        info[i, j] = info[j, i] = float(efron[f"h_{i}_{j}"] or 0.0)
+        info[i, j] = info[j, i] = float(r[f"h_{i}_{j}"] or 0.0)
     return ll, grad, info
 
 
@@ -270,7 +274,7 @@ def cox_ph(df: DataFrame, duration: str, event: str, covariates: list[str],
             step = np.linalg.lstsq(info, grad, rcond=None)[0]
         beta = beta + step
         ll_old = ll
-        if np.max(np.abs(step)) < tol * 1e3 or abs(float(grad @ step)) < tol:
+        if np.max(np.abs(step)) < 1e-9 or abs(float(grad @ step)) < tol:
             converged = True
             break
     ll, grad, info = _efron_step(z, names, beta)

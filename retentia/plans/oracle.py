@@ -606,3 +606,74 @@ register("ols_csat_gram", f"""
 WITH {cte('tickets')},
 rated AS (SELECT * FROM tickets WHERE satisfaction_score > 0)
 {_gram_sql()}""")
+
+# ----------------------------------------------------------------- churn
+register("churn_class_balance", with_c360("""
+SELECT churn_flag, count(*) AS count, CAST(count(*) AS DOUBLE) / CAST(sum(count(*)) OVER () AS DOUBLE) AS share
+FROM c360 GROUP BY churn_flag"""))
+
+SPLIT = """r AS (
+  SELECT *, row_number() OVER (PARTITION BY churn_flag ORDER BY md5(CAST(account_id AS VARCHAR) || '-42'), account_id) AS rk,
+         count(*) OVER (PARTITION BY churn_flag) AS cn FROM c360),
+split AS (
+  SELECT *, rk <= floor(cn * 0.2 + 0.5) AS is_test,
+         CASE WHEN rk > floor(cn * 0.2 + 0.5) THEN CAST(rk - floor(cn * 0.2 + 0.5) AS BIGINT) END AS train_rank
+  FROM r)"""
+
+register("stratified_split", with_c360(", " + SPLIT + """
+SELECT account_id, churn_flag, is_test, train_rank FROM split"""))
+register("stratified_folds", with_c360(", " + SPLIT + """
+SELECT account_id, churn_flag, train_rank, CAST((train_rank - 1) % 5 AS INTEGER) AS fold FROM split WHERE NOT is_test"""))
+
+_NUM = ["seats", "is_trial", "total_mrr", "mrr_per_seat", "total_subscriptions_count",
+        "upgrade_count", "downgrade_count", "net_expansion_score", "annual_billing_ratio",
+        "total_feature_events", "total_duration_hours", "avg_session_duration_mins",
+        "total_errors", "error_rate_per_100_events", "distinct_features_used", "beta_feature_usage_ratio",
+        "total_tickets", "avg_csat", "avg_first_response_min", "avg_resolution_hours",
+        "total_escalations", "escalation_rate_pct", "urgent_tickets", "urgent_ticket_ratio", "tenure_months"]
+_CAT = ["industry", "country", "plan_tier", "referral_source"]
+
+register("standardized_features", with_c360(", " + SPLIT + ",\nst AS (SELECT " + ", ".join(
+    f"avg(CAST({c} AS DOUBLE)) AS m_{c}, coalesce(nullif(stddev_pop(CAST({c} AS DOUBLE)), 0), 1.0) AS s_{c}"
+    for c in _NUM) + " FROM split WHERE NOT is_test)\n" + "\nUNION ALL\n".join(
+    f"SELECT account_id, '{c}' AS feature, round(coalesce((CAST({c} AS DOUBLE) - m_{c}) / s_{c}, 0.0), 6) AS value "
+    f"FROM split, st" for c in _NUM)))
+
+register("onehot_features", with_c360(", " + SPLIT + ",\nlv AS (" + "\nUNION ALL\n".join(
+    f"SELECT '{c}' AS cat, CAST({c} AS VARCHAR) AS level FROM split WHERE NOT is_test AND {c} IS NOT NULL"
+    for c in _CAT) + """),
+lv2 AS (SELECT DISTINCT cat, level FROM lv),
+keep AS (SELECT cat, level FROM (SELECT *, row_number() OVER (PARTITION BY cat ORDER BY level) AS rn FROM lv2) WHERE rn > 1),
+vals AS (""" + "\nUNION ALL\n".join(
+    f"SELECT account_id, '{c}' AS cat, CAST({c} AS VARCHAR) AS v FROM split" for c in _CAT) + """)
+SELECT vals.account_id, keep.cat || '_' || keep.level AS feature,
+       CAST(CASE WHEN vals.v = keep.level THEN 1 ELSE 0 END AS INTEGER) AS value
+FROM vals JOIN keep ON vals.cat = keep.cat"""))
+
+RULE = """sc AS (SELECT account_id, CAST(churn_flag AS INTEGER) AS y,
+                    1.0 / (1.0 + CAST(tenure_months AS DOUBLE) / 12.0) AS score FROM c360)"""
+
+register("binary_metrics", with_c360(", " + RULE + """,
+g AS (SELECT score, sum(y) AS pos, sum(1 - y) AS neg FROM sc GROUP BY score),
+r AS (SELECT *, sum(pos) OVER (ORDER BY score DESC ROWS UNBOUNDED PRECEDING) AS tp,
+                sum(neg) OVER (ORDER BY score DESC ROWS UNBOUNDED PRECEDING) AS fp FROM g),
+rk AS (SELECT sum(CAST(neg AS DOUBLE) * (CAST(tp - pos AS DOUBLE) + 0.5 * pos)) AS u,
+              sum(CAST(pos AS DOUBLE) * (CAST(tp AS DOUBLE) / CAST(tp + fp AS DOUBLE))) AS ap,
+              sum(pos) AS p, sum(neg) AS n FROM r),
+c AS (SELECT count(*) AS n, CAST(sum(y) AS BIGINT) AS positives,
+             CAST(count_if(y = 1 AND score > 0.5) AS DOUBLE) AS tp, CAST(count_if(y = 0 AND score > 0.5) AS DOUBLE) AS fp,
+             CAST(count_if(y = 1 AND NOT score > 0.5) AS DOUBLE) AS fn, CAST(count_if(y = 0 AND NOT score > 0.5) AS DOUBLE) AS tn,
+             sum((score - y) * (score - y)) AS sq FROM sc)
+SELECT c.n, c.positives, round(rk.u / CAST(rk.p * rk.n AS DOUBLE), 6) AS roc_auc, round(rk.ap / CAST(rk.p AS DOUBLE), 6) AS pr_auc,
+       round((c.tp + c.tn) / CAST(c.n AS DOUBLE), 6) AS accuracy,
+       round(coalesce(c.tp / nullif(c.tp + c.fp, 0), 0.0), 6) AS precision,
+       round(coalesce(c.tp / nullif(c.tp + c.fn, 0), 0.0), 6) AS recall,
+       round(coalesce(2.0 * c.tp / nullif(2.0 * c.tp + c.fp + c.fn, 0), 0.0), 6) AS f1_score,
+       round(c.sq / CAST(c.n AS DOUBLE), 6) AS brier_score
+FROM c, rk"""))
+
+register("confusion_matrix", with_c360(", " + RULE + """
+SELECT a.actual, p.predicted, CAST(count(sc.account_id) AS BIGINT) AS count
+FROM (VALUES (0), (1)) a(actual) CROSS JOIN (VALUES (0), (1)) p(predicted)
+LEFT JOIN sc ON sc.y = a.actual AND CAST(sc.score > 0.5 AS INTEGER) = p.predicted
+GROUP BY a.actual, p.predicted"""))

@@ -9,6 +9,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..operators import features as feat
@@ -304,3 +305,105 @@ ACCOUNT_CSAT_REGRESSORS = ["avg_first_response_min", "avg_resolution_hours", "to
 def ols_account_csat(spark, sf_dir):
     b = feat.customer_360_variant_b(src.load_tables(spark, sf_dir))
     return st.OLSResult(b, "avg_csat", ACCOUNT_CSAT_REGRESSORS).coefficients()
+
+
+# ----------------------------------------------------------------- churn
+from ..operators import churn as ch  # noqa: E402
+from ..operators import metrics as met  # noqa: E402
+
+
+@query("churn_class_balance")
+def churn_class_balance(spark, sf_dir):
+    g = c360(spark, sf_dir).groupBy("churn_flag").agg(F.count(F.lit(1)).alias("count"))
+    # two rows: the window over all groups is over the aggregated table
+    return g.withColumn("share", F.col("count").cast("double")
+                        / F.sum("count").over(Window.partitionBy()).cast("double"))
+
+
+@query("stratified_split")
+def stratified_split(spark, sf_dir):
+    return ch.stratified_split(c360(spark, sf_dir)).select("account_id", "churn_flag", "is_test",
+                                                           "train_rank")
+
+
+@query("stratified_folds")
+def stratified_folds(spark, sf_dir):
+    return ch.stratified_folds(ch.stratified_split(c360(spark, sf_dir))).select(
+        "account_id", "churn_flag", "train_rank", "fold")
+
+
+def _long(df, names_exprs, digits=None):
+    cells = [F.struct(F.lit(n).alias("feature"),
+                      (F.round(e, digits) if digits is not None else e).alias("value"))
+             for n, e in names_exprs]
+    return df.select("account_id", F.explode(F.array(*cells)).alias("e")).select("account_id", "e.*")
+
+
+@query("standardized_features")
+def standardized_features(spark, sf_dir):
+    data = ch.stratified_split(c360(spark, sf_dir))
+    enc = ch.Encoding(data.where(~F.col("is_test")))
+    scaled = enc.transformer().transform(data)
+    return _long(scaled, [(c, F.col(f"z__{c}")) for c in enc.numeric], digits=6)
+
+
+@query("onehot_features")
+def onehot_features(spark, sf_dir):
+    data = ch.stratified_split(c360(spark, sf_dir))
+    enc = ch.Encoding(data.where(~F.col("is_test")))
+    coded = enc.transformer().transform(data)
+    return _long(coded, [(n, F.col(f"d__{n}").cast("int")) for n in enc.dummy_names])
+
+
+@query("binary_metrics")
+def binary_metrics(spark, sf_dir):
+    return met.binary_metrics(met.rule_score(c360(spark, sf_dir)), "churn_flag", "score")
+
+
+@query("confusion_matrix")
+def confusion_matrix(spark, sf_dir):
+    return met.confusion_matrix(met.rule_score(c360(spark, sf_dir)), "churn_flag", "score")
+
+
+def _experiment(spark, sf_dir):
+    return ch.ChurnExperiment(c360(spark, sf_dir))
+
+
+@query("churn_logistic")
+def churn_logistic(spark, sf_dir):
+    return _experiment(spark, sf_dir).evaluate(ch.MODEL_NAMES[0])
+
+
+@query("churn_random_forest")
+def churn_random_forest(spark, sf_dir):
+    return _experiment(spark, sf_dir).evaluate(ch.MODEL_NAMES[1])
+
+
+@query("churn_gbt")
+def churn_gbt(spark, sf_dir):
+    return _experiment(spark, sf_dir).evaluate(ch.MODEL_NAMES[2])
+
+
+@query("churn_model_comparison")
+def churn_model_comparison(spark, sf_dir):
+    return _experiment(spark, sf_dir).comparison()
+
+
+@query("churn_cv_auc")
+def churn_cv_auc(spark, sf_dir):
+    return _experiment(spark, sf_dir).cross_validate()
+
+
+@query("churn_feature_importance")
+def churn_feature_importance(spark, sf_dir):
+    return _experiment(spark, sf_dir).feature_importance()
+
+
+@query("churn_score_accounts")
+def churn_score_accounts(spark, sf_dir):
+    exp = _experiment(spark, sf_dir)
+    path = ch.model_path(spark)
+    best = exp.save_best(path)
+    scored = ch.score_with_saved(path, exp.data)
+    return scored.select("account_id", F.lit(best).alias("model"), "churn_probability",
+                         "churn_prediction")
