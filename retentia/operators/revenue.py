@@ -147,10 +147,7 @@ def trend_forecast(fit: DataFrame, horizon: int = FORECAST_HORIZON, floor: float
         F.sequence(F.col("n"), F.col("n") + horizon - 1),
         lambda t: F.round(F.greatest(F.col("slope") * t + F.col("intercept"), F.lit(floor))
                           .cast("decimal(38,8)"), 2).cast("double"))
-    totals = F.transform(
-        F.sequence(F.lit(1), F.lit(horizon)),
-        lambda k: F.aggregate(F.slice(F.col("_adds"), 1, k), F.col("last_cumulative_mrr"),
-                              lambda acc, a: acc * retention + a))
+    totals = leaky_totals(F.col("_adds"), F.col("last_cumulative_mrr"), horizon, retention)
     rows = (fit.withColumn("_adds", adds).withColumn("_tot", totals)
             .select("last_month", F.posexplode(F.arrays_zip("_adds", "_tot")).alias("k", "z")))
     total = round_money(F.col("z._tot"))
@@ -162,6 +159,14 @@ def trend_forecast(fit: DataFrame, horizon: int = FORECAST_HORIZON, floor: float
     )
 
 
+def leaky_totals(adds, start, horizon: int, retention: float = RETENTION_FACTOR):
+    """Array of total_k = total_{k-1} * retention + adds[k], total_0 = start,
+    for k = 1..horizon: a left fold per prefix (``aggregate`` over ``slice``)."""
+    return F.transform(
+        F.sequence(F.lit(1), F.lit(horizon)),
+        lambda k: F.aggregate(F.slice(adds, 1, k), start, lambda acc, a: acc * retention + a))
+
+
 # ------------------------------------------------------------------ L9
 def compound_forecast(c360: DataFrame, ref_date: _dt.date, horizon: int = FORECAST_HORIZON,
                       expansion: float = EXPANSION_RATE, churn: float = COMPOUND_CHURN) -> DataFrame:
