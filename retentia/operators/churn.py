@@ -185,7 +185,7 @@ def prepare(df: DataFrame, label: str, weights: tuple[float, float], pos_weight_
     })
 
 
-def pipeline(enc: Encoding, clf) -> Pipeline:
+def build_model(enc: Encoding, clf) -> Pipeline:
     return Pipeline(stages=[enc.transformer(),
                             VectorAssembler(inputCols=enc.input_columns(), outputCol="_features"), clf])
 
@@ -228,7 +228,7 @@ class ChurnExperiment:
     def model(self, name: str) -> PipelineModel:
         if name not in self._models:
             clf = classifiers(self.n_train, self.pos_weight_gbt, self.variant)[name]
-            self._models[name] = pipeline(self.encoding, clf).fit(self._prep(self.train))
+            self._models[name] = build_model(self.encoding, clf).fit(self._prep(self.train))
         return self._models[name]
 
     def fit_all(self, parallel: bool = True) -> None:
@@ -279,7 +279,7 @@ class ChurnExperiment:
             wneg, wpos = class_weights(tr, self.label)
             trw = tr.withColumn("_w", F.when(F.col("label") == 1.0, wpos).otherwise(wneg))
             clf = classifiers(n_tr, self.pos_weight_gbt, self.variant)[name]
-            m = pipeline(enc, clf).fit(trw)
+            m = build_model(enc, clf).fit(trw)
             auc = ranking_metrics(score(m, va), self.label, "churn_probability", digits=12).first()["roc_auc"]
             return name, f, float(auc)
 

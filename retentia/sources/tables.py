@@ -14,9 +14,11 @@ import datetime as _dt
 import os
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.ordered import next_value
+
 # Fixed values of the mapping (FIXTURES.md B). The reference date replaces the
 # reference's 2024-12-31 cut-off: one day after the last order in the data.
 REFERENCE_DATE = _dt.date(2001, 8, 2)
@@ -146,8 +148,10 @@ def churn_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     older than a year at the reference date, or if the next order of the same
     customer comes more than 900 days later (a reactivation)."""
     o = orders_base(spark, sf_dir).select("o_orderkey", "o_custkey", "o_orderpriority", "price", "odate")
-    w = Window.partitionBy("o_custkey").orderBy("odate", "o_orderkey")
-    nxt = o.withColumn("next_date", F.lead("odate").over(w))
+    # next order date of the same customer in (date, orderkey) order; the
+    # lead runs per (customer, day), so a customer with a large share of all
+    # orders is spread over many tasks
+    nxt = next_value(o, "o_custkey", "odate", ["odate", "o_orderkey"], "odate", "next_date")
     keep = ((F.col("next_date").isNull() & (F.datediff(F.lit(REFERENCE_DATE), F.col("odate")) > CHURN_GAP_DAYS))
             | (F.datediff(F.col("next_date"), F.col("odate")) > REACTIVATION_GAP_DAYS))
     return nxt.where(keep).select(
