@@ -181,12 +181,65 @@ def cox_risk_sets(df: DataFrame, duration: str, event: str, covariates: list[str
                     *[F.round(f"d1_{c}", digits).alias(f"d1_{c}") for c in covariates]))
 
 
-def _efron_step(d: DataFrame, names: list[str], beta: np.ndarray, chunk: int = 4096):
-    """One Newton step's log-likelihood, gradient and Hessian (Efron ties) as
-    one Spark job; returns numpy arrays (bounded: p and p x p).
-
-    beta enters as a one-row broadcast table, not as literals, so the plan --
-    and its generated code -- is the same in every iteration."""
+_DIRECT_TIES = 100_000  # tie counts up to this are summed term by term
+
+
+def _digamma(x: np.ndarray) -> np.ndarray:
+    """psi(x) for x > 0: recurrence up to x >= 6, then the asymptotic series."""
+    x = np.asarray(x, dtype=float).copy()
+    acc = np.zeros_like(x)
+    while (small := x < 6.0).any():
+        acc[small] -= 1.0 / x[small]
+        x[small] += 1.0
+    f = 1.0 / (x * x)
+    return acc + np.log(x) - 0.5 / x - f * (1 / 12 - f * (1 / 120 - f * (1 / 252 - f * (1 / 240 - f / 132))))
+
+
+def _trigamma(x: np.ndarray) -> np.ndarray:
+    x = np.asarray(x, dtype=float).copy()
+    acc = np.zeros_like(x)
+    while (small := x < 6.0).any():
+        acc[small] += 1.0 / (x[small] * x[small])
+        x[small] += 1.0
+    f = 1.0 / (x * x)
+    return acc + 1.0 / x + 0.5 * f + (1.0 / x) * f * (1 / 6 - f * (1 / 30 - f * (1 / 42 - f / 30)))
+
+
+def _efron_series(s0: np.ndarray, t0: np.ndarray, d: np.ndarray):
+    """Per event time, with A0_l = s0 - (l/d) t0, a_l = 1/A0_l, c_l = l/d over
+    l = 0..d-1: sum log A0, sum a, sum c a, sum a^2, sum c a^2, sum c^2 a^2.
+    Term by term for moderate d; for large d through digamma / trigamma of
+    x = s0 d / t0, since A0_l = (t0/d)(x - l)."""
+    out = np.zeros((6, len(d)))
+    for k in range(len(d)):
+        dk = int(d[k])
+        if dk <= _DIRECT_TIES or t0[k] <= 0:
+            c = np.arange(dk) / dk
+            a0 = s0[k] - c * t0[k]
+            a = 1.0 / a0
+            out[:, k] = [np.log(a0).sum(), a.sum(), (c * a).sum(), (a * a).sum(),
+                         (c * a * a).sum(), (c * c * a * a).sum()]
+        else:
+            x = s0[k] * dk / t0[k]
+            h = float(_digamma(np.array([x + 1.0]))[0] - _digamma(np.array([x - dk + 1.0]))[0])
+            h2 = float(_trigamma(np.array([x - dk + 1.0]))[0] - _trigamma(np.array([x + 1.0]))[0])
+            scale = dk / t0[k]
+            logs = dk * np.log(t0[k] / dk) + math.lgamma(x + 1.0) - math.lgamma(x - dk + 1.0)
+            out[:, k] = [logs, scale * h, (x * h - dk) / t0[k], scale * scale * h2,
+                         dk / t0[k] ** 2 * (x * h2 - h), (x * x * h2 - 2 * x * h + dk) / t0[k] ** 2]
+    return out
+
+
+def _efron_step(d: DataFrame, names: list[str], beta: np.ndarray):
+    """Log partial likelihood, gradient and information (Efron ties) at beta.
+
+    The data-sized work is one distributed aggregation: for every distinct
+    time, sums of w, w z, w z z' over all rows and over the events (w =
+    exp(beta'z)). beta enters as a one-row broadcast table, so the plan and
+    its generated code are the same in every iteration. The per-time table
+    (one row per distinct tenure, bounded by the time resolution) is then
+    reduced on the driver: reverse cumulative sums give the risk sets, and
+    the Efron tie terms reduce to six scalar series per event time."""
     p = len(names)
     spark = d.sparkSession
     bdf = spark.createDataFrame([tuple(float(b) for b in beta)], ", ".join(f"_b{i} double" for i in range(p)))
@@ -197,44 +250,45 @@ def _efron_step(d: DataFrame, names: list[str], beta: np.ndarray, chunk: int = 4
     pairs = [(i, j) for i in range(p) for j in range(i, p)]
     aggs = [F.sum(w).alias("s0"), F.sum(e * w).alias("t0"), F.sum(e).alias("dcnt"),
             F.sum(e * F.col("_eta")).alias("eta_d")]
-    for i, n in enumerate(names):
-        aggs += [F.sum(w * F.col(n)).alias(f"s1_{i}"), F.sum(e * w * F.col(n)).alias(f"t1_{i}"),
-                 F.sum(e * F.col(n)).alias(f"z_{i}")]
-    for i, j in pairs:
-        prod = w * F.col(names[i]) * F.col(names[j])
-        aggs += [F.sum(prod).alias(f"s2_{i}_{j}"), F.sum(e * prod).alias(f"t2_{i}_{j}")]
-    per_t = x.groupBy("_t").agg(*aggs)
-    # reverse running sums turn per-time sums into risk-set sums (the time
-    # table is bounded by the number of distinct tenures)
-    w_rev = Window.orderBy(F.desc("_t")).rowsBetween(Window.unboundedPreceding, 0)
-    risk_cols = ["s0"] + [f"s1_{i}" for i in range(p)] + [f"s2_{i}_{j}" for i, j in pairs]
-    keep = (["t0", "dcnt", "eta_d"] + [f"t1_{i}" for i in range(p)] + [f"z_{i}" for i in range(p)]
-            + [f"t2_{i}_{j}" for i, j in pairs])
-    rs = per_t.select("_t", *keep, *[F.sum(c).over(w_rev).alias(c) for c in risk_cols]).where(F.col("dcnt") > 0)
-    # Efron: l = 0..d-1 at every event time. The l-ranges are cut into chunks
-    # and spread over tasks before they are expanded, so a time with many
-    # tied events is not expanded inside one task.
-    nchunks = F.floor((F.col("dcnt") - 1) / chunk).cast("bigint")
-    ex = (rs.withColumn("_c", F.explode(F.sequence(F.lit(0).cast("bigint"), nchunks)))
-          .repartition("_t", "_c"))
-    lo = F.col("_c") * chunk
-    hi = F.least(lo + chunk, F.col("dcnt").cast("bigint")) - 1
-    ex = ex.withColumn("_l", F.explode(F.sequence(lo.cast("bigint"), hi.cast("bigint"))))
-    phi = F.col("_l") / F.col("dcnt")
-    a0 = F.col("s0") - phi * F.col("t0")
-    a1 = [F.col(f"s1_{i}") - phi * F.col(f"t1_{i}") for i in range(p)]
-    first = F.col("_l") == 0   # per-time terms counted once
-    terms = [F.sum(F.when(first, F.col("eta_d")).otherwise(0.0) - F.log(a0)).alias("ll")]
-    terms += [F.sum(F.when(first, F.col(f"z_{i}")).otherwise(0.0) - a1[i] / a0).alias(f"g_{i}")
-              for i in range(p)]
-    terms += [F.sum((F.col(f"s2_{i}_{j}") - phi * F.col(f"t2_{i}_{j}")) / a0
-                    - a1[i] * a1[j] / (a0 * a0)).alias(f"h_{i}_{j}") for i, j in pairs]
-    r = ex.agg(*terms).first()
-    ll = float(r["ll"] or 0.0)
-    grad = np.array([float(r[f"g_{i}"] or 0.0) for i in range(p)])
-    info = np.zeros((p, p))
+    aggs += [F.sum(w * F.col(n)).alias(f"s1_{i}") for i, n in enumerate(names)]
+    aggs += [F.sum(e * w * F.col(n)).alias(f"t1_{i}") for i, n in enumerate(names)]
+    aggs += [F.sum(e * F.col(n)).alias(f"z_{i}") for i, n in enumerate(names)]
+    aggs += [F.sum(w * F.col(names[i]) * F.col(names[j])).alias(f"s2_{i}_{j}") for i, j in pairs]
+    aggs += [F.sum(e * w * F.col(names[i]) * F.col(names[j])).alias(f"t2_{i}_{j}") for i, j in pairs]
+    rows = x.groupBy("_t").agg(*aggs).orderBy(F.desc("_t")).collect()
+    if not rows:
+        return 0.0, np.zeros(p), np.zeros((p, p))
+    m = np.array([list(r)[1:] for r in rows], dtype=float)   # columns in agg order
+    col = {f"{k}": i for i, k in enumerate(
+        ["s0", "t0", "dcnt", "eta_d"] + [f"s1_{i}" for i in range(p)] + [f"t1_{i}" for i in range(p)]
+        + [f"z_{i}" for i in range(p)] + [f"s2_{i}_{j}" for i, j in pairs] + [f"t2_{i}_{j}" for i, j in pairs])}
+
+    def c(name):
+        return m[:, col[name]]
+
+    # risk-set sums: cumulative from the largest time down (rows are sorted)
+    S0 = np.cumsum(c("s0"))
+    S1 = np.cumsum(np.stack([c(f"s1_{i}") for i in range(p)], 1), axis=0)
+    S2 = np.zeros((len(rows), p, p))
+    T2 = np.zeros((len(rows), p, p))
     for i, j in pairs:
-        info[i, j] = info[j, i] = float(r[f"h_{i}_{j}"] or 0.0)
+        S2[:, i, j] = S2[:, j, i] = np.cumsum(c(f"s2_{i}_{j}"))
+        T2[:, i, j] = T2[:, j, i] = c(f"t2_{i}_{j}")
+    T0 = c("t0")
+    T1 = np.stack([c(f"t1_{i}") for i in range(p)], 1)
+    dk = np.rint(c("dcnt")).astype(np.int64)
+    ev = dk > 0
+    sl, sa, sca, saa, scaa, sccaa = _efron_series(S0[ev], T0[ev], dk[ev])
+    S1e, T1e, S2e, T2e = S1[ev], T1[ev], S2[ev], T2[ev]
+    ll = float(c("eta_d").sum() - sl.sum())
+    zsum = np.array([c(f"z_{i}").sum() for i in range(p)])
+    grad = zsum - (S1e * sa[:, None] - T1e * sca[:, None]).sum(0)
+    info = (S2e * sa[:, None, None] - T2e * sca[:, None, None]).sum(0)
+    outer_ss = np.einsum("ki,kj->kij", S1e, S1e)
+    outer_st = np.einsum("ki,kj->kij", S1e, T1e)
+    outer_tt = np.einsum("ki,kj->kij", T1e, T1e)
+    info -= (outer_ss * saa[:, None, None] - (outer_st + outer_st.transpose(0, 2, 1)) * scaa[:, None, None]
+             + outer_tt * sccaa[:, None, None]).sum(0)
     return ll, grad, info
 
 
@@ -245,20 +299,20 @@ def cox_ph(df: DataFrame, duration: str, event: str, covariates: list[str],
     are centred and scaled for the iterations and the coefficients mapped
     back. Each iteration is one distributed job; only p-vectors and p x p
     matrices reach the driver. Returns (coefficient table, fit info)."""
-    cols = [duration, event] + covariates
-    data = df.select(*cols).na.drop()
-    st = data.agg(*[F.avg(F.col(c).cast("double")).alias(f"m{i}") for i, c in enumerate(covariates)],
-                  *[F.stddev_samp(F.col(c).cast("double")).alias(f"s{i}") for i, c in enumerate(covariates)],
-                  F.count(F.lit(1)).alias("n")).first()
+    spark = df.sparkSession
+    data = df.select(F.col(duration).cast("double").alias("_t"), F.col(event).cast("double").alias("_e0"),
+                     *[F.col(c).cast("double").alias(f"_x{i}") for i, c in enumerate(covariates)]).na.drop()
+    # the Newton loop reads this table once per iteration: cut the lineage
+    # with a reliable checkpoint (shared checkpoint folder) first
+    data = data.checkpoint(eager=True) if _can_checkpoint(spark) else data.cache()
+    st = data.agg(*[F.avg(f"_x{i}").alias(f"m{i}") for i in range(len(covariates))],
+                  *[F.stddev_samp(f"_x{i}").alias(f"s{i}") for i in range(len(covariates))],
+                  F.count(F.lit(1)).alias("n"), F.sum("_e0").alias("events")).first()
     means = np.array([st[f"m{i}"] or 0.0 for i in range(len(covariates))])
     sds = np.array([(st[f"s{i}"] or 1.0) or 1.0 for i in range(len(covariates))])
     names = [f"_z{i}" for i in range(len(covariates))]
-    z = data.select(F.col(duration).cast("double").alias("_t"),
-                    F.col(event).cast("double").alias("_e0"),
-                    *[((F.col(c).cast("double") - float(means[i])) / float(sds[i])).alias(names[i])
-                      for i, c in enumerate(covariates)])
-    spark = df.sparkSession
-    z = z.checkpoint(eager=True) if _can_checkpoint(spark) else z.cache()
+    z = data.select("_t", "_e0", *[((F.col(f"_x{i}") - float(means[i])) / float(sds[i])).alias(names[i])
+                                   for i in range(len(covariates))])
     beta = np.zeros(len(covariates))
     ll_old, converged, it = None, False, 0
     for it in range(1, max_iter + 1):
@@ -289,7 +343,7 @@ def cox_ph(df: DataFrame, duration: str, event: str, covariates: list[str],
     table = spark.createDataFrame(
         rows, "covariate string, coef double, hazard_ratio double, se_coef double, p_value double")
     return table, {"log_likelihood": ll, "iterations": it, "converged": converged,
-                   "n": int(st["n"]), "events": None}
+                   "n": int(st["n"]), "events": int(st["events"] or 0)}
 
 
 def _can_checkpoint(spark) -> bool:

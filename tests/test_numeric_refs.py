@@ -161,3 +161,24 @@ def test_logrank_p_value(c360, c360_pd):
     r = surv.logrank_test(c360, "tenure_months", "churn_flag", "plan_tier", "Enterprise", "Basic")
     assert 0.0 <= r["p_value"] <= 1.0
     assert r["test_statistic"] >= 0.0
+
+
+def test_efron_series_closed_form_matches_direct():
+    s0 = np.array([5.0e6, 1234.5, 80.0])
+    t0 = np.array([2.5e5, 400.0, 80.0])
+    d = np.array([200_001, 150_000, 120])
+    direct = np.zeros((6, 3))
+    for k in range(3):
+        c = np.arange(d[k]) / d[k]
+        a0 = s0[k] - c * t0[k]
+        a = 1 / a0
+        direct[:, k] = [np.log(a0).sum(), a.sum(), (c * a).sum(), (a * a).sum(), (c * a * a).sum(),
+                        (c * c * a * a).sum()]
+    old = surv._DIRECT_TIES
+    try:
+        surv._DIRECT_TIES = 10
+        closed = surv._efron_series(s0, t0, d)
+    finally:
+        surv._DIRECT_TIES = old
+    assert np.allclose(closed[:, :2], direct[:, :2], rtol=1e-9)
+    assert np.allclose(closed, direct, rtol=1e-6)
