@@ -40,6 +40,7 @@ TEST_FRACTION = 0.20
 FOLDS = 5
 MODEL_NAMES = ["Logistic Regression (Baseline)", "Random Forest Classifier", "Gradient-Boosted Trees"]
 MAX_LEVELS = 1000  # one-hot width guard: a categorical must have few levels
+ROWS_PER_PARTITION = 100_000  # training-table partition size for the model fits
 
 
 # --------------------------------------------------------------------- M1, M7
@@ -168,11 +169,9 @@ def classifiers(n_train: int, pos_weight_gbt: float, variant: str = "a") -> dict
                                            standardization=False, maxIter=1000, tol=1e-6),
         MODEL_NAMES[1]: RandomForestClassifier(featuresCol="_features", labelCol="label", weightCol="_w",
                                                numTrees=150, maxDepth=depth_rf, minInstancesPerNode=2,
-                                               featureSubsetStrategy="sqrt", seed=SEED,
-                                               cacheNodeIds=True),
+                                               featureSubsetStrategy="sqrt", seed=SEED),
         MODEL_NAMES[2]: GBTClassifier(featuresCol="_features", labelCol="label", weightCol="_wg",
-                                      maxIter=gbt_iter, maxDepth=gbt_depth, stepSize=0.05, seed=SEED,
-                                      cacheNodeIds=True),
+                                      maxIter=gbt_iter, maxDepth=gbt_depth, stepSize=0.05, seed=SEED),
     }
 
 
@@ -209,8 +208,13 @@ class ChurnExperiment:
         self.label, self.key, self.variant = label, key, variant
         base = stratified_split(c360, label, key)
         spark = c360.sparkSession
-        # iterative fitting re-reads this table many times: cut the lineage
-        # with a reliable checkpoint (shared checkpoint folder)
+        # iterative fitting re-reads this table many times: size its
+        # partitions to the row count (about ROWS_PER_PARTITION each, at most
+        # 4 x the cluster's parallelism), then cut the lineage with a
+        # reliable checkpoint in the shared checkpoint folder
+        n = base.count()
+        parts = max(1, min(4 * spark.sparkContext.defaultParallelism, -(-n // ROWS_PER_PARTITION)))
+        base = base.repartition(parts)
         self.data = base.checkpoint(eager=True) if spark.sparkContext.getCheckpointDir() else base.cache()
         self.train = self.data.where(~F.col("is_test"))
         self.test = self.data.where(F.col("is_test"))
@@ -264,7 +268,7 @@ class ChurnExperiment:
     def best_name(self) -> str:
         return self.comparison().where("is_best").select("model").first()[0]
 
-    def cross_validate(self, k: int = FOLDS, parallel: int = 4) -> DataFrame:
+    def cross_validate(self, k: int = FOLDS, parallel: int | None = None) -> DataFrame:
         """k-fold stratified CV on the training rows: ROC-AUC per fold, mean
         and population std per model."""
         folds = stratified_folds(self.data, k)
@@ -283,7 +287,9 @@ class ChurnExperiment:
             auc = ranking_metrics(score(m, va), self.label, "churn_probability", digits=12).first()["roc_auc"]
             return name, f, float(auc)
 
-        with ThreadPoolExecutor(max_workers=max(1, parallel)) as ex:
+        # the k x 3 fits are independent: submit them together so the
+        # scheduler can overlap their (many, short) boosting jobs
+        with ThreadPoolExecutor(max_workers=max(1, parallel or len(jobs))) as ex:
             res = list(ex.map(run, jobs))
         spark = self.data.sparkSession
         rows = spark.createDataFrame(res, "model string, fold int, roc_auc double")
