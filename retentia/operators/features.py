@@ -71,9 +71,11 @@ def usage_features(usage: DataFrame, subs: DataFrame) -> DataFrame:
 
 
 # --------------------------------------------------------------------------- A3/A4
-def _ticket_aggregate(tickets: DataFrame) -> DataFrame:
+def ticket_features(tickets: DataFrame) -> DataFrame:
+    """Per-account support features (A3, A4): rated-only CSAT, SLA means,
+    escalation and priority counts, ratios with a floor-1 denominator."""
     rated = F.when(F.col("satisfaction_score") > 0, F.col("satisfaction_score"))
-    return tickets.groupBy("account_id").agg(
+    agg = tickets.where(F.col("account_id").isNotNull()).groupBy("account_id").agg(
         F.count("ticket_id").alias("total_tickets"),
         exact_mean(rated).alias("avg_csat"),
         F.min(rated).cast("bigint").alias("min_csat"),
@@ -82,46 +84,21 @@ def _ticket_aggregate(tickets: DataFrame) -> DataFrame:
         count_true("escalation_flag").alias("total_escalations"),
         count_true(F.col("priority") == "Urgent").alias("urgent_tickets"),
         count_true(F.col("priority") == "High").alias("high_tickets"),
-        # partial sums kept so the global fill values need no second scan
-        F.sum(rated).cast("double").alias("_csat_sum"),
-        F.count(rated).alias("_csat_n"),
-        F.sum("first_response_time_minutes").alias("_resp_sum"),  # exact DECIMAL
-        F.count("first_response_time_minutes").alias("_resp_n"),
-        F.sum("resolution_time_hours").cast("double").alias("_resol_sum"),
-        F.count("resolution_time_hours").alias("_resol_n"),
     )
+    return agg.withColumns({
+        "escalation_rate_pct": floor1_ratio("total_escalations", "total_tickets") * 100.0,
+        "urgent_ticket_ratio": floor1_ratio(F.col("urgent_tickets") + F.col("high_tickets"), "total_tickets"),
+    })
 
 
-def ticket_features(tickets: DataFrame) -> DataFrame:
-    """Per-account support features (A3, A4): rated-only CSAT, SLA means,
-    escalation and priority counts, ratios with a floor-1 denominator."""
-    return (_ticket_aggregate(tickets).where(F.col("account_id").isNotNull())
-            .withColumns({
-                "escalation_rate_pct": floor1_ratio("total_escalations", "total_tickets") * 100.0,
-                "urgent_ticket_ratio": floor1_ratio(F.col("urgent_tickets") + F.col("high_tickets"),
-                                                    "total_tickets"),
-            })
-            .drop("_csat_sum", "_csat_n", "_resp_sum", "_resp_n", "_resol_sum", "_resol_n"))
-
-
-def _ticket_features_with_globals(tickets: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(per-account features, one-row global means). The global means are
-    folded from the per-account partial sums; both read the same aggregate,
-    so Spark re-uses its exchange instead of scanning tickets twice."""
-    agg = _ticket_aggregate(tickets)
-    glob = agg.agg(
-        F.try_divide(F.sum("_csat_sum"), F.sum("_csat_n").cast("double")).alias("g_csat"),
-        F.try_divide(F.sum("_resp_sum").cast("double"), F.sum("_resp_n").cast("double")).alias("g_resp"),
-        F.try_divide(F.sum("_resol_sum"), F.sum("_resol_n").cast("double")).alias("g_resol"),
-    )
-    feats = (agg.where(F.col("account_id").isNotNull())
-             .withColumns({
-                 "escalation_rate_pct": floor1_ratio("total_escalations", "total_tickets") * 100.0,
-                 "urgent_ticket_ratio": floor1_ratio(F.col("urgent_tickets") + F.col("high_tickets"),
-                                                     "total_tickets"),
-             })
-             .drop("_csat_sum", "_csat_n", "_resp_sum", "_resp_n", "_resol_sum", "_resol_n"))
-    return feats, glob
+def ticket_fill_values(tickets: DataFrame) -> DataFrame:
+    """One row: ticket-level means used to fill accounts without tickets
+    (rated CSAT, first response, resolution). A global aggregate: partial
+    per task, one row per task shuffled."""
+    rated = F.when(F.col("satisfaction_score") > 0, F.col("satisfaction_score"))
+    return tickets.agg(exact_mean(rated).alias("g_csat"),
+                       exact_mean("first_response_time_minutes").alias("g_resp"),
+                       exact_mean("resolution_time_hours").alias("g_resol"))
 
 
 # --------------------------------------------------------------------------- A5
@@ -170,7 +147,7 @@ def customer_360(tables, ref_date: _dt.date | None = None) -> DataFrame:
     ref = ref_date or tables.reference_date
     subs_f = subscription_features(tables.subscriptions)
     usage_f = usage_features(tables.usage, tables.subscriptions)
-    tick_f, glob = _ticket_features_with_globals(tables.tickets)
+    tick_f, glob = ticket_features(tables.tickets), ticket_fill_values(tables.tickets)
     churn_f = churn_features(tables.churn)
 
     m = (tables.accounts
