@@ -23,6 +23,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import default_parallelism, reliable_checkpoint
 from .metrics import binary_metrics, confusion_matrix, ranking_metrics
 
 # Fixed values of the reference pipeline.
@@ -100,14 +101,22 @@ class Encoding:
     give all zeros."""
 
     def __init__(self, train: DataFrame, numeric: list[str] = NUMERIC_FEATURES,
-                 categorical: list[str] = CATEGORICAL_FEATURES):
+                 categorical: list[str] = CATEGORICAL_FEATURES, scale: bool = True,
+                 levels_from: DataFrame | None = None):
+        """``scale=False`` keeps numerics as they are (NULL -> 0) -- the
+        notebook fits unscaled; ``levels_from`` takes the one-hot levels from
+        another frame (the notebook dummy-codes all rows before splitting)."""
         self.numeric, self.categorical = list(numeric), list(categorical)
+        self.scale = scale
         st = train.agg(*[F.avg(F.col(c).cast("double")).alias(f"m{i}") for i, c in enumerate(numeric)],
                        *[F.stddev_pop(F.col(c).cast("double")).alias(f"s{i}") for i, c in enumerate(numeric)]
                        ).first()
         self.means = [float(st[f"m{i}"] or 0.0) for i in range(len(numeric))]
         self.stds = [float(st[f"s{i}"] or 0.0) or 1.0 for i in range(len(numeric))]
-        lv = train.agg(*[F.sort_array(F.collect_set(F.col(c).cast("string"))).alias(c)
+        if not scale:
+            self.means, self.stds = [0.0] * len(numeric), [1.0] * len(numeric)
+        lv = (levels_from if levels_from is not None else train).agg(
+            *[F.sort_array(F.collect_set(F.col(c).cast("string"))).alias(c)
                          for c in categorical]).first()
         self.levels = {}
         for c in categorical:
@@ -205,6 +214,9 @@ class ChurnExperiment:
     def __init__(self, c360: DataFrame, label: str = "churn_flag", key: str = "account_id",
                  variant: str = "a", numeric: list[str] = NUMERIC_FEATURES,
                  categorical: list[str] = CATEGORICAL_FEATURES):
+        """``variant='a'``: the script (scaled numerics, train levels, forest
+        depth 6, boosting 120 x 4 weighted). ``'b'``: the notebook (unscaled,
+        levels from all rows, depth 5, boosting 100 x 3 unweighted)."""
         self.label, self.key, self.variant = label, key, variant
         base = stratified_split(c360, label, key)
         spark = c360.sparkSession
@@ -213,12 +225,12 @@ class ChurnExperiment:
         # 4 x the cluster's parallelism), then cut the lineage with a
         # reliable checkpoint in the shared checkpoint folder
         n = base.count()
-        parts = max(1, min(4 * spark.sparkContext.defaultParallelism, -(-n // ROWS_PER_PARTITION)))
-        base = base.repartition(parts)
-        self.data = base.checkpoint(eager=True) if spark.sparkContext.getCheckpointDir() else base.cache()
+        parts = max(1, min(4 * default_parallelism(spark), -(-n // ROWS_PER_PARTITION)))
+        self.data = reliable_checkpoint(base.repartition(parts))
         self.train = self.data.where(~F.col("is_test"))
         self.test = self.data.where(F.col("is_test"))
-        self.encoding = Encoding(self.train, numeric, categorical)
+        self.encoding = (Encoding(self.train, numeric, categorical) if variant == "a" else
+                         Encoding(self.train, numeric, categorical, scale=False, levels_from=self.data))
         self.weights = class_weights(self.train, label)
         allc = class_weights(self.data, label)
         # neg/pos over all rows (as the reference computes it)
@@ -278,7 +290,8 @@ class ChurnExperiment:
         def run(job):
             name, f = job
             tr, va = folds.where(F.col("fold") != f), folds.where(F.col("fold") == f)
-            enc = Encoding(tr, self.encoding.numeric, self.encoding.categorical)
+            enc = (Encoding(tr, self.encoding.numeric, self.encoding.categorical) if self.variant == "a"
+                   else self.encoding)
             n_tr = tr.count()
             wneg, wpos = class_weights(tr, self.label)
             trw = tr.withColumn("_w", F.when(F.col("label") == 1.0, wpos).otherwise(wneg))

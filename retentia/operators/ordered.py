@@ -8,6 +8,7 @@ small per-bucket table (one row per bucket).
 
 from __future__ import annotations
 
+from pyspark.ml.feature import Bucketizer
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -16,15 +17,16 @@ def range_buckets(df: DataFrame, order_col: str, buckets: int = 256,
                   accuracy: int = 10_000) -> DataFrame:
     """Adds ``_bucket``: a non-decreasing function of ``order_col`` that
     splits the rows into about ``buckets`` contiguous ranges of similar size.
-    Split points come from a ``percentile_approx`` sketch (a one-row table
-    broadcast to the rows), so nothing is collected to the driver."""
+    Split points come from a ``percentile_approx`` sketch; the (at most
+    ``buckets - 1``) points reach the driver and a ``Bucketizer`` places each
+    row by binary search in the JVM."""
     probs = [i / buckets for i in range(1, buckets)]
-    splits = df.agg(F.array_distinct(F.percentile_approx(F.col(order_col), probs, accuracy))
-                    .alias("_splits"))
-    t = df.crossJoin(F.broadcast(splits))
-    # number of split points strictly below the value: monotone in the value
-    b = F.size(F.filter(F.col("_splits"), lambda s: s < F.col(order_col)))
-    return t.withColumn("_bucket", b).drop("_splits")
+    row = df.agg(F.percentile_approx(F.col(order_col).cast("double"), probs, accuracy).alias("s")).first()
+    points = sorted({float(v) for v in (row["s"] or []) if v is not None and v == v})
+    splits = [-float("inf")] + [p for p in points if p not in (float("inf"), -float("inf"))] + [float("inf")]
+    t = df.withColumn("_okey", F.col(order_col).cast("double"))
+    t = Bucketizer(splits=splits, inputCol="_okey", outputCol="_b", handleInvalid="keep").transform(t)
+    return t.withColumn("_bucket", F.col("_b").cast("int")).drop("_okey", "_b")
 
 
 def running_sums(df: DataFrame, order_col: str, value_cols: list[str],

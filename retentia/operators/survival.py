@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 
 from ..functions.distributions import chi2_sf, normal_sf
 from ..functions.exprs import pct_half_up, round_money, stable_mean
+from ..session import reliable_checkpoint
 from .quantiles import exact_median
 
 Z_95 = 1.959963984540054  # standard normal quantile at 0.975
@@ -304,7 +305,7 @@ def cox_ph(df: DataFrame, duration: str, event: str, covariates: list[str],
                      *[F.col(c).cast("double").alias(f"_x{i}") for i, c in enumerate(covariates)]).na.drop()
     # the Newton loop reads this table once per iteration: cut the lineage
     # with a reliable checkpoint (shared checkpoint folder) first
-    data = data.checkpoint(eager=True) if _can_checkpoint(spark) else data.cache()
+    data = reliable_checkpoint(data)
     st = data.agg(*[F.avg(f"_x{i}").alias(f"m{i}") for i in range(len(covariates))],
                   *[F.stddev_samp(f"_x{i}").alias(f"s{i}") for i in range(len(covariates))],
                   F.count(F.lit(1)).alias("n"), F.sum("_e0").alias("events")).first()
@@ -346,13 +347,6 @@ def cox_ph(df: DataFrame, duration: str, event: str, covariates: list[str],
                    "n": int(st["n"]), "events": int(st["events"] or 0)}
 
 
-def _can_checkpoint(spark) -> bool:
-    try:
-        return spark.sparkContext.getCheckpointDir() is not None
-    except Exception:  # noqa: BLE001 (Spark Connect has no SparkContext)
-        return False
-
-
 def cox_hazard_table(df: DataFrame, duration: str = "tenure_months", event: str = "churn_flag",
                      covariates: list[str] = COX_COVARIATES) -> DataFrame:
     """Coefficient table sorted by hazard ratio, descending (V-RANK)."""

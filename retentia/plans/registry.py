@@ -407,3 +407,24 @@ def churn_score_accounts(spark, sf_dir):
     scored = ch.score_with_saved(path, exp.data)
     return scored.select("account_id", F.lit(best).alias("model"), "churn_probability",
                          "churn_prediction")
+
+
+def _experiment_b(spark, sf_dir):
+    return ch.ChurnExperiment(feat.customer_360_variant_b(src.load_tables(spark, sf_dir)), variant="b")
+
+
+@query("churn_model_comparison_variant_b")
+def churn_model_comparison_variant_b(spark, sf_dir):
+    """Notebook benchmark table: AUC and PR-AUC at 4 decimals, accuracy as a
+    percentage string, best AUC first."""
+    comp = _experiment_b(spark, sf_dir).comparison()
+    return comp.select(
+        "model", F.round("roc_auc", 4).alias("test_roc_auc"), F.round("pr_auc", 4).alias("pr_auc"),
+        F.concat(F.round(F.col("accuracy") * 100.0, 1).cast("decimal(10,1)").cast("string"), F.lit("%"))
+        .alias("accuracy"), "rank").orderBy("rank")
+
+
+@query("churn_feature_importance_variant_b")
+def churn_feature_importance_variant_b(spark, sf_dir):
+    """Top-12 forest importances of the notebook model (the limit is the report)."""
+    return _experiment_b(spark, sf_dir).feature_importance().limit(12)

@@ -59,7 +59,10 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     A cluster names a shared (HDFS/object-store) folder there and we use it
     as is. Only when it is unset -- local tests -- do we pick a scratch folder.
     """
-    sc = spark.sparkContext
+    try:
+        sc = spark.sparkContext
+    except Exception:  # noqa: BLE001 -- Spark Connect: the server owns the checkpoint folder
+        return spark.conf.get("spark.checkpoint.dir", None)
     current = sc.getCheckpointDir() or sc.getConf().get("spark.checkpoint.dir", None)
     if not current:
         current = tempfile.mkdtemp(prefix="retentia-ckpt-")
@@ -72,3 +75,21 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     """A path under the shared checkpoint folder for intermediate tables."""
     base = ensure_checkpoint_dir(spark)
     return os.path.join(base, name)
+
+
+def default_parallelism(spark: SparkSession, fallback: int = 8) -> int:
+    try:
+        return int(spark.sparkContext.defaultParallelism)
+    except Exception:  # noqa: BLE001 -- Spark Connect
+        return fallback
+
+
+def reliable_checkpoint(df):
+    """Cut lineage with a reliable checkpoint in the shared checkpoint folder
+    (never ``localCheckpoint``: executor-local blocks die with the executor)."""
+    spark = df.sparkSession
+    try:
+        has_dir = spark.sparkContext.getCheckpointDir() is not None
+    except Exception:  # noqa: BLE001 -- Spark Connect checkpoints on the server
+        has_dir = True
+    return df.checkpoint(eager=True) if has_dir else df.cache()
