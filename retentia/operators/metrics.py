@@ -11,27 +11,31 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import reliable_checkpoint
 from .ordered import running_sums
 
 
-def _by_score(df: DataFrame, label: str, score: str) -> DataFrame:
+def score_table(df: DataFrame, label: str, score: str, threshold: float = 0.5,
+                prediction: str | None = None) -> DataFrame:
+    """One pass over the scored rows: (score, predicted class) -> positives,
+    negatives. Every metric below is computed from this table, which is cut
+    from the input's lineage by a reliable checkpoint, so an expensive input
+    (features, model scoring) is evaluated once."""
     y = F.col(label).cast("int")
-    return (df.where(F.col(label).isNotNull() & F.col(score).isNotNull())
-            .groupBy(F.col(score).cast("double").alias("_s"))
-            .agg(F.sum(y).cast("bigint").alias("_pos"), F.sum(1 - y).cast("bigint").alias("_neg")))
+    pred = F.col(prediction).cast("int") if prediction else (F.col(score) > threshold).cast("int")
+    g = (df.where(F.col(label).isNotNull() & F.col(score).isNotNull())
+         .groupBy(F.col(score).cast("double").alias("_s"), pred.alias("_pred"))
+         .agg(F.sum(y).cast("bigint").alias("_pos"), F.sum(1 - y).cast("bigint").alias("_neg")))
+    return reliable_checkpoint(g)
 
 
-def ranking_metrics(df: DataFrame, label: str, score: str, digits: int = 6) -> DataFrame:
-    """One row: roc_auc (P(score_pos > score_neg) + 0.5 P(equal)) and
-    pr_auc (average precision: sum over thresholds of recall step x
-    precision at that threshold)."""
-    g = _by_score(df, label, score).withColumn("_key", -F.col("_s"))  # descending scores
-    rs = running_sums(g, "_key", ["_pos", "_neg"], inclusive=True)
-    tp = F.col("cum__pos")
-    fp = F.col("cum__neg")
-    above_pos = tp - F.col("_pos")
+def _ranking(g: DataFrame, digits: int) -> DataFrame:
+    by_s = g.groupBy("_s").agg(F.sum("_pos").alias("_pos"), F.sum("_neg").alias("_neg"))
+    rs = running_sums(by_s.withColumn("_key", -F.col("_s")), "_key", ["_pos", "_neg"], inclusive=True)
+    tp, fp = F.col("cum__pos"), F.col("cum__neg")
     agg = rs.agg(
-        F.sum(F.col("_neg").cast("double") * (above_pos.cast("double") + 0.5 * F.col("_pos"))).alias("_u"),
+        F.sum(F.col("_neg").cast("double") * ((tp - F.col("_pos")).cast("double") + 0.5 * F.col("_pos")))
+        .alias("_u"),
         F.sum(F.col("_pos").cast("double") * F.try_divide(tp.cast("double"), (tp + fp).cast("double")))
         .alias("_ap"),
         F.sum("_pos").alias("_P"), F.sum("_neg").alias("_N"))
@@ -40,34 +44,41 @@ def ranking_metrics(df: DataFrame, label: str, score: str, digits: int = 6) -> D
         F.round(F.try_divide(F.col("_ap"), F.col("_P").cast("double")), digits).alias("pr_auc"))
 
 
+def ranking_metrics(df: DataFrame, label: str, score: str, digits: int = 6) -> DataFrame:
+    """One row: roc_auc (P(score_pos > score_neg) + 0.5 P(equal)) and
+    pr_auc (average precision: sum over thresholds of recall step x
+    precision at that threshold). Rows are reduced to distinct scores, then
+    running sums over the scores run inside ranges (``ordered.running_sums``)."""
+    return _ranking(score_table(df, label, score), digits)
+
+
 def binary_metrics(df: DataFrame, label: str, score: str, threshold: float = 0.5,
                    prediction: str | None = None, digits: int = 6) -> DataFrame:
     """One row: n, positives, roc_auc, pr_auc, accuracy, precision, recall,
     f1 (0 when undefined) and Brier score. The predicted class is
     score > threshold unless a prediction column is given."""
-    y = F.col(label).cast("int")
-    pred = F.col(prediction).cast("int") if prediction else (F.col(score) > threshold).cast("int")
-    c = df.agg(
-        F.count(F.lit(1)).alias("n"),
-        F.sum(y).cast("bigint").alias("positives"),
-        F.count_if((y == 1) & (pred == 1)).alias("tp"),
-        F.count_if((y == 0) & (pred == 1)).alias("fp"),
-        F.count_if((y == 1) & (pred == 0)).alias("fn"),
-        F.count_if((y == 0) & (pred == 0)).alias("tn"),
-        F.sum((F.col(score).cast("double") - y) ** 2).alias("_sq"))
+    g = score_table(df, label, score, threshold, prediction)
+    p1 = F.col("_pred") == 1
+    c = g.agg(
+        F.sum(F.col("_pos") + F.col("_neg")).alias("n"),
+        F.sum("_pos").cast("bigint").alias("positives"),
+        F.sum(F.when(p1, F.col("_pos")).otherwise(0)).alias("tp"),
+        F.sum(F.when(p1, F.col("_neg")).otherwise(0)).alias("fp"),
+        F.sum(F.when(~p1, F.col("_pos")).otherwise(0)).alias("fn"),
+        F.sum(F.when(~p1, F.col("_neg")).otherwise(0)).alias("tn"),
+        F.sum(F.col("_pos") * (F.col("_s") - 1.0) ** 2 + F.col("_neg") * F.col("_s") ** 2).alias("_sq"))
     tp, fp, fn, tn = (F.col(k).cast("double") for k in ("tp", "fp", "fn", "tn"))
 
     def z(e):
         return F.coalesce(e, F.lit(0.0))
 
-    out = c.crossJoin(ranking_metrics(df, label, score, digits)).select(
-        "n", "positives", "roc_auc", "pr_auc",
+    return c.crossJoin(_ranking(g, digits)).select(
+        F.col("n").cast("bigint").alias("n"), "positives", "roc_auc", "pr_auc",
         F.round((tp + tn) / F.col("n").cast("double"), digits).alias("accuracy"),
         F.round(z(F.try_divide(tp, tp + fp)), digits).alias("precision"),
         F.round(z(F.try_divide(tp, tp + fn)), digits).alias("recall"),
         F.round(z(F.try_divide(2.0 * tp, 2.0 * tp + fp + fn)), digits).alias("f1_score"),
         F.round(F.col("_sq") / F.col("n").cast("double"), digits).alias("brier_score"))
-    return out
 
 
 def confusion_matrix(df: DataFrame, label: str, score: str | None = None, threshold: float = 0.5,

@@ -86,10 +86,19 @@ def default_parallelism(spark: SparkSession, fallback: int = 8) -> int:
 
 def reliable_checkpoint(df):
     """Cut lineage with a reliable checkpoint in the shared checkpoint folder
-    (never ``localCheckpoint``: executor-local blocks die with the executor)."""
+    (never ``localCheckpoint``: executor-local blocks die with the executor).
+
+    The input is persisted first: an eager checkpoint otherwise computes its
+    plan twice (once to count, once to write the files)."""
+    from pyspark import StorageLevel
     spark = df.sparkSession
     try:
         has_dir = spark.sparkContext.getCheckpointDir() is not None
     except Exception:  # noqa: BLE001 -- Spark Connect checkpoints on the server
         has_dir = True
-    return df.checkpoint(eager=True) if has_dir else df.cache()
+    if not has_dir:
+        return df.persist(StorageLevel.MEMORY_AND_DISK)
+    held = df.persist(StorageLevel.MEMORY_AND_DISK)
+    out = held.checkpoint(eager=True)
+    held.unpersist()
+    return out
