@@ -507,10 +507,9 @@ tt AS (
   FROM d GROUP BY 1),
 rs AS (
   SELECT *, sum(removed) OVER w AS at_risk,
-         {', '.join(f's1_{c}_raw' .replace('_raw', '') + '' for c in []) }
          {', '.join(f'sum(x_{c}) OVER w AS s1_{c}' for c in _COX)}
   FROM tt WINDOW w AS (ORDER BY t DESC ROWS UNBOUNDED PRECEDING))
-SELECT t, at_risk, events,
+SELECT t, CAST(at_risk AS BIGINT) AS at_risk, events,
        {', '.join(f'round(s1_{c}, 6) AS s1_{c}' for c in _COX)},
        {', '.join(f'round(d1_{c}, 6) AS d1_{c}' for c in _COX)}
 FROM rs WHERE events > 0"""))

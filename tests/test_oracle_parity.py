@@ -12,10 +12,20 @@ def con(sf_small):
     return duck(sf_small)
 
 
+TYPE_NAMES = {"bigint": "BIGINT", "int": "INTEGER", "double": "DOUBLE", "string": "VARCHAR",
+              "date": "DATE", "boolean": "BOOLEAN"}
+
+
 @pytest.mark.parametrize("name", sorted(ORACLE))
 def test_query_matches_oracle(spark, sf_small, con, name):
-    sp = E.queries()[name](spark, sf_small).toPandas()
-    dp = con.sql(ORACLE[name]).df()
+    sdf = E.queries()[name](spark, sf_small)
+    rel = con.sql(ORACLE[name])
+    duck_types = dict(zip(rel.columns, [str(t) for t in rel.types]))
+    for f in sdf.schema.fields:
+        st = f.dataType.simpleString()
+        assert TYPE_NAMES.get(st, st) == duck_types.get(f.name), (f.name, st, duck_types.get(f.name))
+    sp = sdf.toPandas()
+    dp = rel.df()
     r = compare(sp, dp)
     assert r["cols_match"], r
     assert r["rows_spark"] == r["rows_oracle"], r
