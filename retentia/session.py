@@ -102,3 +102,17 @@ def reliable_checkpoint(df):
     out = held.checkpoint(eager=True)
     held.unpersist()
     return out
+
+
+def sizing(input_bytes: int, target_partition_bytes: int = 256 << 20) -> dict:
+    """Settings for a job that reads about ``input_bytes``: shuffle
+    partitions so each holds about ``target_partition_bytes`` before AQE
+    coalesces them, the same size for scan splits and AQE's advisory size."""
+    parts = max(1, -(-int(input_bytes) // target_partition_bytes))
+    return {
+        "spark.sql.shuffle.partitions": str(parts),
+        "spark.sql.files.maxPartitionBytes": str(target_partition_bytes),
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": str(target_partition_bytes),
+        "spark.sql.adaptive.coalescePartitions.enabled": "true",
+        "spark.sql.adaptive.skewJoin.enabled": "true",
+    }
