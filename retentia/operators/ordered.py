@@ -65,23 +65,3 @@ def successive_diff_sq_sum(df: DataFrame, order_col: str, value_col: str,
     cross = (ends.withColumn("_prev_last", F.lag("_last").over(wb))
              .agg(F.sum((F.col("_first") - F.col("_prev_last")) ** 2).alias("s")).first()["s"] or 0.0)
     return float(inside) + float(cross)
-
-
-def next_value(df: DataFrame, key: str, bucket: str, order_cols: list[str], value: str,
-               name: str = "next_value") -> DataFrame:
-    """``lead(value) over (partition by key order by order_cols)`` without
-    putting a hot key into one task.
-
-    ``bucket`` must be a column that never decreases along ``order_cols``
-    within a key (e.g. the day of a timestamp that leads the ordering). The
-    lead is taken inside each (key, bucket); the last row of a bucket takes
-    the first value of the key's next non-empty bucket, read from a table
-    with one row per (key, bucket)."""
-    w = Window.partitionBy(key, bucket).orderBy(*order_cols)
-    t = df.withColumn("_next_in", F.lead(value).over(w))
-    firsts = (df.groupBy(key, bucket)
-              .agg(F.min_by(value, F.struct(*order_cols)).alias("_first")))
-    wb = Window.partitionBy(key).orderBy(bucket)
-    firsts = firsts.select(key, bucket, F.lead("_first").over(wb).alias("_next_first"))
-    t = t.join(firsts, [key, bucket], "left")
-    return t.withColumn(name, F.coalesce("_next_in", "_next_first")).drop("_next_in", "_next_first")

@@ -14,10 +14,9 @@ import datetime as _dt
 import os
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..operators.ordered import next_value
 
 # Fixed values of the mapping (FIXTURES.md B). The reference date replaces the
 # reference's 2024-12-31 cut-off: one day after the last order in the data.
@@ -146,19 +145,27 @@ def support_tickets(spark: SparkSession, sf_dir: str) -> DataFrame:
 def churn_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """fact_churn_events: an order ends a life cycle if it is the last one and
     older than a year at the reference date, or if the next order of the same
-    customer comes more than 900 days later (a reactivation)."""
-    o = orders_base(spark, sf_dir).select("o_orderkey", "o_custkey", "o_orderpriority", "price", "odate")
-    # next order date of the same customer in (date, orderkey) order; the
-    # lead runs per (customer, day), so a customer with a large share of all
-    # orders is spread over many tasks
-    nxt = next_value(o, "o_custkey", "odate", ["odate", "o_orderkey"], "odate", "next_date")
+    customer comes more than 900 days later (a reactivation).
+
+    In (date, orderkey) order only the last order of a (customer, day) can
+    qualify -- any earlier order of that day is followed the same day. So the
+    orders are reduced to one row per (customer, day) (partial aggregation
+    map-side) and the next order day comes from a window over that table,
+    whose size per customer is bounded by the number of days: a customer with
+    a large share of all orders does not put those orders into one task."""
+    o = orders_base(spark, sf_dir)
+    last = F.struct("o_orderkey", "o_orderpriority", "price")
+    days = (o.groupBy("o_custkey", "odate")
+            .agg(F.max_by(last, F.col("o_orderkey")).alias("_last")))
+    w = Window.partitionBy("o_custkey").orderBy("odate")
+    nxt = days.withColumn("next_date", F.lead("odate").over(w))
     keep = ((F.col("next_date").isNull() & (F.datediff(F.lit(REFERENCE_DATE), F.col("odate")) > CHURN_GAP_DAYS))
             | (F.datediff(F.col("next_date"), F.col("odate")) > REACTIVATION_GAP_DAYS))
     return nxt.where(keep).select(
-        F.col("o_orderkey").alias("churn_event_id"),
+        F.col("_last.o_orderkey").alias("churn_event_id"),
         F.col("o_custkey").alias("account_id"),
-        F.col("o_orderpriority").alias("reason_code"),
-        F.col("price").alias("refund_amount_usd"),
+        F.col("_last.o_orderpriority").alias("reason_code"),
+        F.col("_last.price").alias("refund_amount_usd"),
         F.col("next_date").isNotNull().alias("is_reactivation"),
         F.date_add(F.col("odate"), CHURN_GAP_DAYS).alias("churn_date"),
     )
