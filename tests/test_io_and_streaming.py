@@ -71,3 +71,26 @@ def test_model_persistence_and_stream_scoring(spark, tables):
     assert got.count() == 150
     j = got.join(batch, "account_id").where(F.abs(got.churn_probability - batch.churn_probability) > 1e-12)
     assert j.count() == 0
+
+
+def test_churn_analysis_outputs(spark, tables):
+    out = tempfile.mkdtemp(prefix="retentia-churn-")
+    c360 = feat.customer_360(tables)
+    res = analyses.run_churn_models(c360, out, cross_validate=False)
+    comp = res["comparison"].collect()
+    assert len(comp) == 3 and sum(r["is_best"] for r in comp) == 1
+    assert all(0.0 <= r["roc_auc"] <= 1.0 for r in comp)
+    meta = spark.read.json(os.path.join(out, "churn_model_metadata")).first()
+    assert meta["best_model"] in ch.MODEL_NAMES
+    assert len(meta["top_10_features"]) == 10
+    imp = res["feature_importance"].toPandas()
+    assert len(meta["all_feature_names"]) == len(imp) > len(ch.NUMERIC_FEATURES)
+    assert abs(imp["importance"].sum() - 1.0) < 1e-9
+    reloaded = sinks.load_model(os.path.join(out, "churn_model"))
+    assert ch.score(reloaded, c360).count() == 150
+
+
+def test_sizing():
+    from retentia.session import sizing
+    conf = sizing(100 * 1024 ** 4)
+    assert int(conf["spark.sql.shuffle.partitions"]) == 409600
