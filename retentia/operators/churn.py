@@ -108,16 +108,19 @@ class Encoding:
         another frame (the notebook dummy-codes all rows before splitting)."""
         self.numeric, self.categorical = list(numeric), list(categorical)
         self.scale = scale
+        levels = [F.sort_array(F.collect_set(F.col(c).cast("string"))).alias(f"l{i}")
+                  for i, c in enumerate(categorical)]
+        # one pass for the scaling constants and (when they come from the
+        # same frame) the category levels
         st = train.agg(*[F.avg(F.col(c).cast("double")).alias(f"m{i}") for i, c in enumerate(numeric)],
-                       *[F.stddev_pop(F.col(c).cast("double")).alias(f"s{i}") for i, c in enumerate(numeric)]
-                       ).first()
+                       *[F.stddev_pop(F.col(c).cast("double")).alias(f"s{i}") for i, c in enumerate(numeric)],
+                       *(levels if levels_from is None else [])).first()
         self.means = [float(st[f"m{i}"] or 0.0) for i in range(len(numeric))]
         self.stds = [float(st[f"s{i}"] or 0.0) or 1.0 for i in range(len(numeric))]
         if not scale:
             self.means, self.stds = [0.0] * len(numeric), [1.0] * len(numeric)
-        lv = (levels_from if levels_from is not None else train).agg(
-            *[F.sort_array(F.collect_set(F.col(c).cast("string"))).alias(c)
-                         for c in categorical]).first()
+        lv = st if levels_from is None else levels_from.agg(*levels).first()
+        lv = {c: lv[f"l{i}"] for i, c in enumerate(categorical)}
         self.levels = {}
         for c in categorical:
             values = list(lv[c] or [])

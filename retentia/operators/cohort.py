@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.exprs import month_index, month_label, pct_half_up
+from ..session import reliable_checkpoint
 
 
 def _cells(subs: DataFrame, accounts: DataFrame) -> DataFrame:
@@ -35,7 +36,9 @@ def cohort_retention(subs: DataFrame, accounts: DataFrame) -> DataFrame:
     index column of the matrix (the smallest index present in any cohort,
     normally 0); a cohort without that index has no base (NULL percentages).
     retention_pct = 100 * active / base rounded half-up at one decimal."""
-    cells = _cells(subs, accounts)
+    # the cell table (bounded by months x months) is read twice below: it is
+    # materialised once instead of re-running the join and distinct count
+    cells = reliable_checkpoint(_cells(subs, accounts))
     # min over the cell table: a one-row aggregate of a small table
     first_idx = cells.agg(F.min("cohort_index").alias("_first"))
     base = (cells.crossJoin(F.broadcast(first_idx))

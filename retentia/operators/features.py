@@ -17,6 +17,7 @@ import datetime as _dt
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import reliable_checkpoint
 from ..functions.exprs import (as_double, count_true, exact_mean, floor1_ratio, money,
                                safe_div, stable_mean, tenure_months, zero_as_one_ratio)
 
@@ -274,7 +275,10 @@ def customer_360_variant_b(tables, ref_date: _dt.date | None = None,
              "churn_flag": F.col("churn_flag").cast("bigint"),
          }))
     # fill values are statistics over the joined matrix (accounts that have
-    # tickets): one-row aggregates, broadcast to every row.
+    # tickets): one-row aggregates, broadcast to every row. The matrix feeds
+    # five branches (mean, two three-pass medians, the result), so it is
+    # materialised once rather than recomputed from the fact tables.
+    m = reliable_checkpoint(m)
     fills = (m.agg(stable_mean("avg_csat").alias("f_csat"))
              .crossJoin(median(m, "avg_first_response_min").withColumnRenamed("median", "f_resp"))
              .crossJoin(median(m, "avg_resolution_hours").withColumnRenamed("median", "f_resol")))

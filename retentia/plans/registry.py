@@ -13,6 +13,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..operators import features as feat
+from ..session import reliable_checkpoint
 from ..sources import tables as src
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -29,6 +30,14 @@ def c360(spark: SparkSession, sf_dir: str) -> DataFrame:
     return feat.customer_360(src.load_tables(spark, sf_dir))
 
 
+def c360_materialised(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The matrix written once (reliable checkpoint) for queries that read it
+    in several branches -- column pruning makes those branches differ, so
+    Spark could not share their exchanges and would rebuild the matrix from
+    the fact tables for each. The reference likewise persists it once."""
+    return reliable_checkpoint(c360(spark, sf_dir))
+
+
 # ----------------------------------------------------------------- sources
 @query("table_row_counts")
 def table_row_counts(spark, sf_dir):
@@ -156,7 +165,7 @@ def ltv_account(spark, sf_dir):
 
 @query("ltv_by_tier")
 def ltv_by_tier(spark, sf_dir):
-    return rev.ltv_by_tier(_ltv(spark, sf_dir))
+    return rev.ltv_by_tier(rev.ltv_accounts(c360_materialised(spark, sf_dir)))
 
 
 @query("ltv_by_tier_variant_b")
@@ -217,7 +226,7 @@ def survival_naive_by_tier(spark, sf_dir):
 
 @query("survival_headline")
 def survival_headline(spark, sf_dir):
-    return surv.survival_headline(c360(spark, sf_dir))
+    return surv.survival_headline(c360_materialised(spark, sf_dir))
 
 
 @query("cox_risk_sets")
@@ -322,13 +331,13 @@ def churn_class_balance(spark, sf_dir):
 
 @query("stratified_split")
 def stratified_split(spark, sf_dir):
-    return ch.stratified_split(c360(spark, sf_dir)).select("account_id", "churn_flag", "is_test",
+    return ch.stratified_split(c360_materialised(spark, sf_dir)).select("account_id", "churn_flag", "is_test",
                                                            "train_rank")
 
 
 @query("stratified_folds")
 def stratified_folds(spark, sf_dir):
-    return ch.stratified_folds(ch.stratified_split(c360(spark, sf_dir))).select(
+    return ch.stratified_folds(ch.stratified_split(c360_materialised(spark, sf_dir))).select(
         "account_id", "churn_flag", "train_rank", "fold")
 
 
@@ -341,7 +350,7 @@ def _long(df, names_exprs, digits=None):
 
 @query("standardized_features")
 def standardized_features(spark, sf_dir):
-    data = ch.stratified_split(c360(spark, sf_dir))
+    data = reliable_checkpoint(ch.stratified_split(c360(spark, sf_dir)))
     enc = ch.Encoding(data.where(~F.col("is_test")))
     scaled = enc.transformer().transform(data)
     return _long(scaled, [(c, F.col(f"z__{c}")) for c in enc.numeric], digits=6)
@@ -349,7 +358,7 @@ def standardized_features(spark, sf_dir):
 
 @query("onehot_features")
 def onehot_features(spark, sf_dir):
-    data = ch.stratified_split(c360(spark, sf_dir))
+    data = reliable_checkpoint(ch.stratified_split(c360(spark, sf_dir)))
     enc = ch.Encoding(data.where(~F.col("is_test")))
     coded = enc.transformer().transform(data)
     return _long(coded, [(n, F.col(f"d__{n}").cast("int")) for n in enc.dummy_names])
