@@ -29,12 +29,17 @@ def build_session(master: str | None = None, shuffle_partitions: int | None = No
     if master:
         builder = builder.master(master)
     conf = dict(BASE_CONF)
+    # model fitting and cross-validation submit jobs from several threads at
+    # once; FAIR scheduling interleaves them instead of queueing whole jobs
+    conf["spark.scheduler.mode"] = "FAIR"
     if shuffle_partitions:
         conf["spark.sql.shuffle.partitions"] = str(shuffle_partitions)
     if master and master.startswith("local"):
         conf.setdefault("spark.driver.memory", "16g")
         conf.setdefault("spark.ui.enabled", "false")
         conf.setdefault("spark.ui.showConsoleProgress", "false")
+        # one JVM: every block is process-local, waiting for locality buys nothing
+        conf.setdefault("spark.locality.wait", "0s")
     conf.update(extra or {})
     for k, v in conf.items():
         builder = builder.config(k, v)
