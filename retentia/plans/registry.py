@@ -12,7 +12,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from ..operators import churn as ch
+from ..operators import cohort as coh
 from ..operators import features as feat
+from ..operators import metrics as met
+from ..operators import revenue as rev
+from ..operators import stats as st
+from ..operators import survival as surv
 from ..session import reliable_checkpoint
 from ..sources import tables as src
 
@@ -104,7 +110,6 @@ def c360_variant_b(spark, sf_dir):
 
 
 # ----------------------------------------------------------------- cohort
-from ..operators import cohort as coh  # noqa: E402
 
 
 @query("cohort_retention_long")
@@ -127,7 +132,6 @@ def cohort_retention_active(spark, sf_dir):
 
 
 # ----------------------------------------------------------------- revenue
-from ..operators import revenue as rev  # noqa: E402
 
 
 def _ltv(spark, sf_dir):
@@ -193,7 +197,6 @@ def ltv_ridge_drivers(spark, sf_dir):
 
 
 # ----------------------------------------------------------------- survival
-from ..operators import survival as surv  # noqa: E402
 
 
 @query("km_overall")
@@ -240,7 +243,6 @@ def cox_hazard_ratios(spark, sf_dir):
 
 
 # ----------------------------------------------------------------- statistics
-from ..operators import stats as st  # noqa: E402
 
 
 @query("anova_refund_by_reason")
@@ -317,8 +319,6 @@ def ols_account_csat(spark, sf_dir):
 
 
 # ----------------------------------------------------------------- churn
-from ..operators import churn as ch  # noqa: E402
-from ..operators import metrics as met  # noqa: E402
 
 
 @query("churn_class_balance")
