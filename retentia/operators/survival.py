@@ -43,20 +43,22 @@ def kaplan_meier(df: DataFrame, duration: str, event: str, by: list[str] | None
                  digits: int = 6) -> DataFrame:
     """Product-limit estimate S(t) = prod_{s<=t} (1 - d_s / n_s) at every
     distinct time, plus an origin row t = 0, S = 1 when no time is 0.
-    Columns: by..., t, at_risk, events, censored, survival."""
+    Columns: by..., t, at_risk, events, censored, survival. One pass: the
+    origin row is emitted next to each group's first time row (no second
+    branch over the input)."""
     by = list(by or [])
     rs = _risk_sets(_time_table(df, duration, event, by), by)
     w = Window.partitionBy(*by).orderBy("t").rowsBetween(Window.unboundedPreceding, 0)
-    km = rs.withColumn("survival", F.product(1.0 - F.col("events") / F.col("at_risk")).over(w))
-    cur = km.select(*by, "t", "at_risk", "events",
-                    (F.col("removed") - F.col("events")).alias("censored"),
-                    F.round("survival", digits).alias("survival"))
-    origin = (km.groupBy(*by).agg(F.min("t").alias("_tmin"), F.max("at_risk").alias("_n"))
-              .where(F.col("_tmin") > 0)
-              .select(*by, F.lit(0.0).alias("t"), F.col("_n").alias("at_risk"),
-                      F.lit(0).cast("bigint").alias("events"),
-                      F.lit(0).cast("bigint").alias("censored"), F.lit(1.0).alias("survival")))
-    return cur.unionByName(origin)
+    km = (rs.withColumn("survival", F.product(1.0 - F.col("events") / F.col("at_risk")).over(w))
+          .withColumn("_first", F.row_number().over(Window.partitionBy(*by).orderBy("t")) == 1))
+    row = F.struct(F.col("t"), F.col("at_risk"), F.col("events"),
+                   (F.col("removed") - F.col("events")).alias("censored"),
+                   F.round("survival", digits).alias("survival"))
+    origin = F.struct(F.lit(0.0).alias("t"), F.col("at_risk"), F.lit(0).cast("bigint").alias("events"),
+                      F.lit(0).cast("bigint").alias("censored"), F.lit(1.0).alias("survival"))
+    # at the first time of a group at_risk is the group size
+    rows = F.when(F.col("_first") & (F.col("t") > 0), F.array(origin, row)).otherwise(F.array(row))
+    return km.select(*by, F.explode(rows).alias("_r")).select(*by, "_r.*")
 
 
 def kaplan_meier_confidence(df: DataFrame, duration: str, event: str,
