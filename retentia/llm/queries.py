@@ -7,7 +7,18 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from retentia.llm import decontaminate, packing, quality_rules, url_filter
+from retentia.llm import (
+    decontaminate,
+    jaccard_join,
+    line_dedup,
+    lm_score,
+    packing,
+    quality_cnn,
+    quality_rules,
+    substring_dedup,
+    toxicity,
+    url_filter,
+)
 from retentia.llm.common import ship_code, table
 
 
@@ -30,10 +41,36 @@ def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), tokenizer_path(), 2048, 0)
 
 
+def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every line that goes, with the earlier line that it repeats."""
+    return line_dedup.removed_lines(table(spark, sf_dir, "documents")).drop("_key")
+
+
+def op5_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_score.score(table(spark, sf_dir, "documents"))
+
+
 def op6_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge_urls(table(spark, sf_dir, "pages"))
 
 
+def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.remove_repeats(table(spark, sf_dir, "documents")).drop("kept_text")
+
+
+def op8_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Class and number of links of every document."""
+    return jaccard_join.jaccard_join(table(spark, sf_dir, "documents"))
+
+
+def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_cnn.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def _shipped(fn: Callable) -> Callable:
     @functools.wraps(fn)
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -43,7 +80,8 @@ def _shipped(fn: Callable) -> Callable:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {fn.__name__: _shipped(fn) for fn in (
-    op1_benchmark_decontamination, op2_quality_rules, op3_best_fit_packing, op6_url_filters,
+    op1_benchmark_decontamination, op2_quality_rules, op3_best_fit_packing, op4_line_dedup, op5_lm_scoring,
+    op6_url_filters, op7_substring_dedup, op8_ngram_jaccard_join, op9_quality_classifier, op10_toxicity,
 )}
 
 ORACLE: dict[str, str] = {
