@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from retentia.llm import decontaminate, packing, quality_rules
+from retentia.llm import decontaminate, jaccard_join, line_dedup, packing, quality_rules
 from retentia.llm.common import materialise, ship_code, table
 from retentia.llm.queries import tokenizer_path
 
@@ -19,6 +19,17 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     return quality_rules.keep_good(docs, table(spark, sf_dir, "labels"))
 
 
+def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without the lines that an earlier line equals or nearly equals."""
+    return line_dedup.drop_repeated_lines(docs)
+
+
+def keep_one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document, the one with the smallest id, of each group that links of 0.8 or more connect."""
+    ship_code(spark)
+    return jaccard_join.keep_one(docs, 0.8)
+
+
 def drop_benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that cover no test item."""
     ship_code(spark)
@@ -33,6 +44,8 @@ def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 STAGES = [
     ("quality rules", keep_quality),
+    ("line dedup", drop_repeated_lines),
+    ("n-gram Jaccard join", keep_one_of_near_copies),
     ("benchmark decontamination", drop_benchmark_leaks),
     ("best-fit packing", pack_sequences),
 ]
