@@ -37,6 +37,12 @@ def row_key(docs: DataFrame, name: str = "_key") -> DataFrame:
     return docs.withColumn(name, F.xxhash64(F.lit(7), F.col("doc_id"), F.col("text")))
 
 
+def carried(docs: DataFrame) -> DataFrame:
+    """(_row, doc_id, text, _key): whole rows as one column, so that no name of theirs can clash; ``select("_row.*")`` unpacks them."""
+    return row_key(docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"),
+                               F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")))
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh path in the shared folder that ``spark.checkpoint.dir`` names."""
     return f"{ensure_checkpoint_dir(spark).rstrip('/')}/llm-{name}-{uuid.uuid4().hex}"

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from retentia.llm.common import gram_hashes, row_key, split_words, text_slices, texts
+from retentia.llm.common import carried, gram_hashes, row_key, split_words, text_slices, texts
 
 SCHEMA = ("doc_id long, item_id long, n_tiles int, matched_words int, item_words int, coverage double, "
           "tiles array<struct<doc_word:int,item_word:int,n_words:int>>")
@@ -178,6 +178,5 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, min_tile: int = 4, thres
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
     """The documents that cover no test item, with all their columns."""
-    keyed = row_key(docs)
     flagged = contaminated(row_key(texts(docs)), benchmark, id_col="_key", **options)
-    return keyed.join(flagged.select(F.col("doc_id").alias("_key")).distinct(), "_key", "left_anti").drop("_key")
+    return carried(docs).join(flagged.select(F.col("doc_id").alias("_key")).distinct(), "_key", "left_anti").select("_row.*")

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from retentia.llm.common import discard, gram_hashes, materialise, mix64, multipliers, row_key, split_words, text_slices, texts
+from retentia.llm.common import carried, discard, gram_hashes, materialise, mix64, multipliers, row_key, split_words, text_slices, texts
 from retentia.llm.components import components
 
 SHINGLE = 5
@@ -232,5 +232,5 @@ def keep_one(docs: DataFrame, threshold: float = 0.8) -> DataFrame:
     near = materialise(near_classes(docs, threshold), "near")
     first = near.groupBy("near").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "_key")).alias("first"))
     winners = first.select(F.col("first._key").alias("_key")).union(near.filter("n_shingles = 0").select("_key")).distinct()
-    kept = row_key(docs).join(winners, "_key").withColumn("_bare", F.coalesce("text", F.lit("")).rlike("[^ \t-\r]"))
-    return kept.filter("_bare").dropDuplicates(["_key"]).unionByName(kept.filter("not _bare")).drop("_key", "_bare")
+    kept = carried(docs).join(winners, "_key").withColumn("_bare", ~F.coalesce("text", F.lit("")).rlike("[^ \t-\r]"))
+    return kept.filter("not _bare").dropDuplicates(["_key"]).unionByName(kept.filter("_bare")).select("_row.*")

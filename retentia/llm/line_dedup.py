@@ -26,7 +26,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from retentia.llm.common import let, materialise, row_key, texts
+from retentia.llm.common import carried, let, materialise, row_key, texts
 
 EDITS = 2
 MIN_CHARS = 30
@@ -183,11 +183,10 @@ def removed_lines(docs: DataFrame, edits: int = EDITS, min_chars: int = MIN_CHAR
 
 def drop_repeated_lines(docs: DataFrame, edits: int = EDITS, min_chars: int = MIN_CHARS) -> DataFrame:
     """The documents without the lines that go, all columns; documents that lose all they had go too."""
-    names = docs.columns
-    keyed = row_key(docs.withColumn("text", F.col("text").cast("string")))
     gone = removed_lines(docs, edits, min_chars).groupBy("_key").agg(F.collect_set("line_no").alias("_gone"))
-    joined = keyed.join(gone, "_key", "left")
+    joined = carried(docs).join(gone, "_key", "left")
     stay = lambda ls: F.transform(F.array_except(F.sequence(F.lit(0), F.size(ls) - 1), F.col("_gone")), lambda i: F.get(ls, i))
     kept = F.when(F.col("_gone").isNull(), F.col("text")).otherwise(let(F.split("text", "\n"), lambda ls: F.array_join(stay(ls), "\n")))
-    out = joined.withColumn("text", F.explode(F.array(kept)))
-    return out.filter(F.col("_gone").isNull() | F.coalesce(F.col("text"), F.lit("")).rlike("[^ \t-\r]")).select(*names)
+    out = joined.select("_row", "_gone", F.explode(F.array(kept)).alias("kept"))
+    some = out.filter(F.col("_gone").isNull() | F.coalesce(F.col("kept"), F.lit("")).rlike("[^ \t-\r]"))
+    return some.select(*[F.col("kept").alias(c) if c == "text" else F.col("_row").getField(c).alias(c) for c in docs.columns])

@@ -24,7 +24,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from retentia.llm.common import discard, let, materialise, word_array
+from retentia.llm.common import carried, discard, let, materialise, word_array
 
 BINS = 64
 FEATURES = ("n_words", "word_length", "symbol_share", "dup_line_share", "repeat_share", "upper_share",
@@ -213,7 +213,4 @@ def judge(docs: DataFrame, labels: DataFrame, keep: tuple[str, ...] = ("doc_id",
 def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The documents that are kept, with all their columns."""
     rules = decision_list(docs, labels)
-    plain = docs.toDF(*[f"_c{i}" for i in range(len(docs.columns))])  # no column can clash with a statistic
-    own = plain.withColumn("text", F.col(f"_c{docs.columns.index('text')}"))
-    stats = statistics(own, tuple(plain.columns))
-    return stats.filter(~base_failed() & rules.reason().isNull()).select(*[F.col(a).alias(b) for a, b in zip(plain.columns, docs.columns, strict=True)])
+    return statistics(carried(docs), ("_row",)).filter(~base_failed() & rules.reason().isNull()).select("_row.*")
