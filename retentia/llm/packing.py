@@ -16,6 +16,7 @@ rows are packed once each; an empty table gives no rows.
 
 from __future__ import annotations
 
+import re
 import zlib
 
 import numpy as np
@@ -27,9 +28,11 @@ from retentia.llm.common import materialise, texts
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 # Words whose ids a worker remembers; beyond it the cache starts anew (memory only, results do not change).
-CACHE_WORDS = 300_000
+CACHE_WORDS = 800_000
 # Pieces per numbering bucket.
-BUCKET_PIECES = 100_000
+BUCKET_PIECES = 10_000
+# ASCII punctuation that ends a word after an ASCII letter: a token border, whatever the letters are.
+_TAIL = re.compile(rb"(?<=[a-z])[!-/:-@\[-`{-~]+(?=[ \t-\r]|\Z)")
 _STATE: dict = {}
 
 
@@ -47,11 +50,15 @@ def _encoder(path: str):
 def encode(texts_: list[str | None], path: str) -> list[bytes]:
     """Token ids of each text as little-endian unsigned 32-bit numbers.
 
-    The vocabulary drops white space and no token spans it, so a text's ids
-    are those of its blank-separated words, which repeat and are remembered.
+    The vocabulary folds case and drops white space, and no token spans white
+    space or the border of a letter and closing punctuation. So a text's ids
+    are those of its ASCII-lowered words and their closing punctuation, which
+    repeat and are remembered. A text that may hold a special token's name is
+    encoded as it is.
     """
     tokenizer, cache = _encoder(path)
-    split = [t.encode().split() if t else () for t in texts_]
+    whole = {i: tokenizer.encode(t, add_special_tokens=False).ids for i, t in enumerate(texts_) if t and "<|" in t}
+    split = [() if not t or i in whole else _TAIL.sub(rb" \g<0>", t.encode().lower()).split() for i, t in enumerate(texts_)]
     if len(cache) > CACHE_WORDS:
         cache.clear()
     new = list({w for words in split for w in words if w not in cache})
@@ -59,7 +66,7 @@ def encode(texts_: list[str | None], path: str) -> list[bytes]:
         part = new[at: at + 20_000]
         for w, e in zip(part, tokenizer.encode_batch_fast([w.decode() for w in part], add_special_tokens=False), strict=True):
             cache[w] = np.asarray(e.ids, "<u4").tobytes()
-    return [b"".join(map(cache.__getitem__, words)) for words in split]
+    return [np.asarray(whole[i], "<u4").tobytes() if i in whole else b"".join(map(cache.__getitem__, words)) for i, words in enumerate(split)]
 
 
 def _cut(batches, path, capacity, end_id, with_ids):
