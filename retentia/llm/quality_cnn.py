@@ -149,7 +149,8 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> tuple[Net
         return nothing
     share = F.when(F.col("quality") == 1, F.lit(sample / total[1])).otherwise(F.lit(sample / total[0]))
     chosen = marked.filter(F.pmod(F.xxhash64(F.lit(5), "doc_id"), F.lit(1_000_000)) < share * 1_000_000)
-    rows = (texts(docs).join(chosen, "doc_id").select("text", "quality")
+    # chosen has about 2 * sample ids at most
+    rows = (texts(docs).join(F.broadcast(chosen), "doc_id").select("text", "quality")
             .mapInArrow(_train_chunks, "doc long, quality int, chunk binary").collect())
     rows.sort(key=lambda r: (r["doc"], r["chunk"]))
     y = np.array([r["quality"] for r in rows], np.float32)

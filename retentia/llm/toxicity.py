@@ -116,7 +116,8 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> tuple[dic
         return {}, np.zeros(0), np.full(GRADES, 40.0)
     share = F.when(F.col("toxic") == 1, F.lit(sample / total[1])).otherwise(F.lit(sample / total[0]))
     chosen = marked.filter(F.pmod(F.xxhash64(F.lit(3), "doc_id"), F.lit(1_000_000)) < share * 1_000_000)
-    rows = materialise(texts(docs).join(chosen, "doc_id").select("text", "toxic"), "toxic")
+    # chosen has about 2 * sample ids at most
+    rows = materialise(texts(docs).join(F.broadcast(chosen), "doc_id").select("text", "toxic"), "toxic")
     n = {r[0]: r[1] for r in rows.groupBy("toxic").count().collect()}
     if len(n) < 2:
         return {}, np.zeros(0), np.full(GRADES, 40.0)
