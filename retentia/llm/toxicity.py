@@ -6,7 +6,8 @@ labels: 0 for a clean document; a toxic one gets 1, 2 or 3 by how many of its
 words are markers, that is, words or word beginnings that nearly only toxic
 documents have. One weight vector is shared by all thresholds:
 P(grade >= k) = sigmoid(w x - t_k) with t_1 < t_2 < t_3, and the score is the
-expected grade, the sum of these.
+expected grade, the sum of these. A document is called toxic from the score on
+that separates the fitting rows best.
 
 The model is fitted on a bounded sample of labelled rows (``sample`` of each
 label); every document is scored whole.
@@ -108,19 +109,33 @@ def fit(at: np.ndarray, value: np.ndarray, row: np.ndarray, grade: np.ndarray, n
     return theta[:n_features], np.concatenate([theta[n_features:][:1], theta[n_features] + np.cumsum(np.exp(theta[n_features + 1:]))])
 
 
-def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> tuple[dict[str, int], np.ndarray, np.ndarray]:
-    """Feature index, weights and thresholds."""
+def cutoff(eta: np.ndarray, toxic: np.ndarray, weight: np.ndarray) -> float:
+    """The linear score from which on a document counts as toxic: where the weighted F1 of the fitting rows is best.
+
+    It lies in the middle of the gap between the neighbouring scores.
+    """
+    order = np.argsort(-eta, kind="stable")
+    e, w, y = eta[order], weight[order], toxic[order] > 0
+    hit = np.cumsum(w * y)
+    f1 = 2 * hit / (np.cumsum(w) + (w * y).sum())
+    f1[:-1][e[:-1] == e[1:]] = -1  # equal scores are not told apart
+    i = int(np.argmax(f1))
+    return float((e[i] + e[i + 1]) / 2) if i + 1 < len(e) else float(e[i])
+
+
+def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> tuple[dict[str, int], np.ndarray, np.ndarray, float]:
+    """Feature index, weights, thresholds and the cutoff for ``toxic``."""
     marked = labels.filter("doc_id is not null and toxic is not null").select(F.col("doc_id").cast("long").alias("doc_id"), (F.col("toxic") != 0).cast("int").alias("toxic"))
     total = {r[0]: r[1] for r in marked.groupBy("toxic").count().collect()}
     if len(total) < 2:
-        return {}, np.zeros(0), np.full(GRADES, 40.0)
+        return {}, np.zeros(0), np.full(GRADES, 40.0), np.inf
     share = F.when(F.col("toxic") == 1, F.lit(sample / total[1])).otherwise(F.lit(sample / total[0]))
     chosen = marked.filter(F.pmod(F.xxhash64(F.lit(3), "doc_id"), F.lit(1_000_000)) < share * 1_000_000)
     # chosen has about 2 * sample ids at most
     rows = materialise(texts(docs).join(F.broadcast(chosen), "doc_id").select("text", "toxic"), "toxic")
     n = {r[0]: r[1] for r in rows.groupBy("toxic").count().collect()}
     if len(n) < 2:
-        return {}, np.zeros(0), np.full(GRADES, 40.0)
+        return {}, np.zeros(0), np.full(GRADES, 40.0), np.inf
     counted = rows.mapInPandas(_count, "feature string, clean long, toxic long").groupBy("feature").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
     p1, p0 = (F.col("toxic") + 0.01) / n[1], (F.col("clean") + 0.01) / n[0]
     both = (F.col("toxic") + F.col("clean")) / (n[0] + n[1])
@@ -136,17 +151,20 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> tuple[dic
     at = np.array([x for r in design for x in r["at"]], np.int64)
     value = np.array([x for r in design for x in r["value"]])
     weights, cuts = fit(at, value, row, grade, len(index))
+    toxic = np.array([r["toxic"] for r in design])
+    eta = np.bincount(row, value * weights[at], len(design))
+    end = cutoff(eta, toxic, np.where(toxic > 0, total[1] / n[1], total[0] / n[0]))
     # back from the sample's to the corpus's share of toxic documents
-    return index, weights, cuts + np.log(n[1] / n[0] * total[0] / total[1])
+    return index, weights, cuts + np.log(n[1] / n[0] * total[0] / total[1]), end
 
 
 def _score(frames, model):
-    index, weights, cuts = model
+    index, weights, cuts, end = model
     words = _Words(index)
     for f in frames:
         eta = np.array([sum(float(np.log1p(c)) * weights[x] for x, c in sorted(_counts(t, words)[0].items())) for t in f["text"]] or [0.0])[: len(f)]
         above = sigmoid(eta[:, None] - cuts)
-        yield pd.DataFrame({"doc_id": f["doc_id"].astype("Int64"), "severity": above.sum(1), "p_toxic": above[:, 0], "toxic": (above[:, 0] >= 0.5).astype("int32")})
+        yield pd.DataFrame({"doc_id": f["doc_id"].astype("Int64"), "severity": above.sum(1), "p_toxic": above[:, 0], "toxic": (eta >= end).astype("int32")})
 
 
 def score(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:

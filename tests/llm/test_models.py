@@ -142,17 +142,13 @@ def test_ordinal_fit_recovers_order():
 def test_toxicity_on_the_labelled_table(spark):
     docs, labels = spark.read.parquet(f"{DATA}/documents.parquet"), spark.read.parquet(f"{DATA}/labels.parquet")
     fold = F.pmod(F.xxhash64(F.lit(9), "doc_id"), F.lit(4)) == 0
-    got = toxicity.score(docs, labels.filter(~fold)).join(labels.filter(fold), "doc_id").select("severity", toxicity_said(), "p_toxic", labels["toxic"]).collect()
+    got = toxicity.score(docs, labels.filter(~fold)).withColumnRenamed("toxic", "said").join(labels.filter(fold), "doc_id").collect()
     assert auc(np.array([r.severity for r in got]), np.array([r.toxic for r in got])) > 0.85
     clean = [r.said for r in got if not r.toxic]
     assert np.mean(clean) < 0.03
     assert all(0 <= r.severity <= 3 for r in got)
 
 
-def toxicity_said():
-    return (F.col("p_toxic") >= 0.5).cast("int").alias("said")
-
-
 @pytest.mark.parametrize("with_labels", [True, False])
 def test_toxicity_edge_cases(spark, make_docs, with_labels):
     rows = [(i, f"some plain text number {i % 7} here" + (" vile" if i % 4 == 0 else "")) for i in range(200)] + [(900, None), (901, ""), (None, "vile vile vile"), (0, "vile"), (902, "plain " * 50000)]
