@@ -23,8 +23,8 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import default_parallelism, reliable_checkpoint
-from .metrics import binary_metrics, confusion_matrix, ranking_metrics
+from ..session import write_once
+from .metrics import binary_metrics, ranking_metrics
 
 # Fixed values of the reference pipeline.
 NUMERIC_FEATURES = [
@@ -40,8 +40,9 @@ SEED = 42
 TEST_FRACTION = 0.20
 FOLDS = 5
 MODEL_NAMES = ["Logistic Regression (Baseline)", "Random Forest Classifier", "Gradient-Boosted Trees"]
-MAX_LEVELS = 1000  # one-hot width guard: a categorical must have few levels
 ROWS_PER_PARTITION = 100_000  # training-table partition size for the model fits
+# Fits that run at once in cross-validation; each holds a copy of its training rows.
+PARALLEL_FITS = 4
 
 
 # --------------------------------------------------------------------- M1, M7
@@ -60,8 +61,7 @@ def hash_ranks(df: DataFrame, by: list[str], key: str, seed: int = SEED,
     w = Window.partitionBy(*by).orderBy("_hb").rowsBetween(Window.unboundedPreceding, -1)
     offs = counts.select(*by, "_hb", F.coalesce(F.sum("_c").over(w), F.lit(0)).alias("_off"),
                          F.sum("_c").over(Window.partitionBy(*by)).alias("_group_n"))
-    # (#groups x 16**prefix_hex) rows; with the label as group that is fixed
-    t = t.join(F.broadcast(offs), [*by, "_hb"])
+    t = t.join(offs, [*by, "_hb"])
     rn = F.row_number().over(Window.partitionBy(*by, "_hb").orderBy("_h", key))
     return t.withColumn("_rank", F.col("_off") + rn).drop("_h", "_hb", "_off")
 
@@ -108,25 +108,18 @@ class Encoding:
         another frame (the notebook dummy-codes all rows before splitting)."""
         self.numeric, self.categorical = list(numeric), list(categorical)
         self.scale = scale
-        levels = [F.sort_array(F.collect_set(F.col(c).cast("string"))).alias(f"l{i}")
-                  for i, c in enumerate(categorical)]
-        # one pass for the scaling constants and (when they come from the
-        # same frame) the category levels
         st = train.agg(*[F.avg(F.col(c).cast("double")).alias(f"m{i}") for i, c in enumerate(numeric)],
-                       *[F.stddev_pop(F.col(c).cast("double")).alias(f"s{i}") for i, c in enumerate(numeric)],
-                       *(levels if levels_from is None else [])).first()
+                       *[F.stddev_pop(F.col(c).cast("double")).alias(f"s{i}") for i, c in enumerate(numeric)]).first()
         self.means = [float(st[f"m{i}"] or 0.0) for i in range(len(numeric))]
         self.stds = [float(st[f"s{i}"] or 0.0) or 1.0 for i in range(len(numeric))]
         if not scale:
             self.means, self.stds = [0.0] * len(numeric), [1.0] * len(numeric)
-        lv = st if levels_from is None else levels_from.agg(*levels).first()
-        lv = {c: lv[f"l{i}"] for i, c in enumerate(categorical)}
-        self.levels = {}
-        for c in categorical:
-            values = list(lv[c] or [])
-            if len(values) > MAX_LEVELS:
-                raise ValueError(f"{c} has {len(values)} levels; one-hot needs at most {MAX_LEVELS}")
-            self.levels[c] = values
+        # distinct levels are found by a shuffle; what returns is as wide as the model itself
+        own = train if levels_from is None else levels_from
+        pairs = own.select(F.inline(F.array(*[F.struct(F.lit(i).alias("i"), F.col(c).cast("string").alias("v"))
+                                              for i, c in enumerate(categorical)]))) if categorical else None
+        found = pairs.where(F.col("v").isNotNull()).distinct().collect() if categorical else []
+        self.levels = {c: sorted(r["v"] for r in found if r["i"] == i) for i, c in enumerate(categorical)}
 
     @property
     def numeric_names(self) -> list[str]:
@@ -144,16 +137,17 @@ class Encoding:
         parts = []
         for c, m, s in zip(self.numeric, self.means, self.stds):
             parts.append(f"coalesce((CAST({_sql_name(c)} AS DOUBLE) - ({m!r})) / ({s!r}), 0.0) "
-                         f"AS {_sql_name('z__' + c)}")
+                         f"AS z{len(parts)}")
         for c in self.categorical:
             for v in self.levels[c][1:]:
                 parts.append(f"CASE WHEN CAST({_sql_name(c)} AS STRING) = {_sql_str(v)} THEN 1.0 ELSE 0.0 END "
-                             f"AS {_sql_name('d__' + c + '_' + v)}")
+                             f"AS d{len(parts) - len(self.numeric)}")
         return "SELECT *, " + ", ".join(parts) + " FROM __THIS__"
 
     def input_columns(self) -> list[str]:
-        return ([f"z__{c}" for c in self.numeric]
-                + [f"d__{c}_{v}" for c in self.categorical for v in self.levels[c][1:]])
+        """Names of the encoded columns, by position (a level may hold any
+        character); ``feature_names`` has the names to show, in this order."""
+        return [f"z{i}" for i in range(len(self.numeric))] + [f"d{i}" for i in range(len(self.dummy_names))]
 
     def transformer(self) -> SQLTransformer:
         return SQLTransformer(statement=self.statement())
@@ -221,15 +215,12 @@ class ChurnExperiment:
         depth 6, boosting 120 x 4 weighted). ``'b'``: the notebook (unscaled,
         levels from all rows, depth 5, boosting 100 x 3 unweighted)."""
         self.label, self.key, self.variant = label, key, variant
-        base = stratified_split(c360, label, key)
-        spark = c360.sparkSession
-        # iterative fitting re-reads this table many times: size its
-        # partitions to the row count (about ROWS_PER_PARTITION each, at most
-        # 4 x the cluster's parallelism), then cut the lineage with a
-        # reliable checkpoint in the shared checkpoint folder
-        n = base.count()
-        parts = max(1, min(4 * default_parallelism(spark), -(-n // ROWS_PER_PARTITION)))
-        self.data = reliable_checkpoint(base.repartition(parts))
+        c360 = write_once(c360.select(key, label, *numeric, *categorical), "matrix")
+        # iterative fitting re-reads this table many times: its partitions
+        # depend on the rows alone (about ROWS_PER_PARTITION each, by key,
+        # sorted), so the same seed gives the same model on any cluster
+        parts = max(1, -(-c360.count() // ROWS_PER_PARTITION))
+        self.data = write_once(stratified_split(c360, label, key).repartition(parts, key).sortWithinPartitions(key), "split")
         self.train = self.data.where(~F.col("is_test"))
         self.test = self.data.where(F.col("is_test"))
         self.encoding = (Encoding(self.train, numeric, categorical) if variant == "a" else
@@ -240,6 +231,7 @@ class ChurnExperiment:
         self.pos_weight_gbt = allc[1] / allc[0] if variant == "a" else 1.0
         self.n_train = self.train.count()
         self._models: dict[str, PipelineModel] = {}
+        self._comparison: DataFrame | None = None
 
     def _prep(self, df: DataFrame) -> DataFrame:
         return prepare(df, self.label, self.weights, self.pos_weight_gbt)
@@ -264,48 +256,52 @@ class ChurnExperiment:
 
     def evaluate(self, name: str) -> DataFrame:
         s = self.test_scores(name)
-        m = binary_metrics(s, self.label, "churn_probability", prediction="churn_prediction", digits=12)
-        cm = confusion_matrix(s, self.label, prediction="churn_prediction")
-        cmr = cm.agg(*[F.max(F.when((F.col("actual") == a) & (F.col("predicted") == p), F.col("count")))
-                       .alias(n) for a, p, n in [(0, 0, "tn"), (0, 1, "fp"), (1, 0, "fn"), (1, 1, "tp")]])
-        return m.crossJoin(cmr).select(F.lit(name).alias("model"), "*")
+        m = binary_metrics(s, self.label, "churn_probability", prediction="churn_prediction", digits=12, cells=True)
+        return m.select(F.lit(name).alias("model"), "*")
 
     def comparison(self) -> DataFrame:
+        if self._comparison is not None:
+            return self._comparison
         self.fit_all()
         out = None
         for pos, name in enumerate(MODEL_NAMES):
             e = self.evaluate(name).withColumn("position", F.lit(pos))
             out = e if out is None else out.unionByName(e)
         w = Window.orderBy(F.desc("roc_auc"), "position")
-        return (out.withColumn("rank", F.row_number().over(w))
-                .withColumn("is_best", F.col("rank") == 1).drop("position"))
+        self._comparison = write_once(out.withColumn("rank", F.row_number().over(w))
+                                      .withColumn("is_best", F.col("rank") == 1).drop("position"), "comparison")
+        return self._comparison
 
     def best_name(self) -> str:
         return self.comparison().where("is_best").select("model").first()[0]
 
-    def cross_validate(self, k: int = FOLDS, parallel: int | None = None) -> DataFrame:
+    def cross_validate(self, k: int = FOLDS, parallel: int = PARALLEL_FITS,
+                       models: list[str] | None = None) -> DataFrame:
         """k-fold stratified CV on the training rows: ROC-AUC per fold, mean
-        and population std per model."""
-        folds = stratified_folds(self.data, k)
-        folds = self._prep(folds)
-        jobs = [(name, f) for name in MODEL_NAMES for f in range(k)]
+        and population std per model. What depends on the fold alone is worked
+        out once a fold; at most ``parallel`` fits run at once."""
+        folds = self._prep(stratified_folds(self.data, k))
+        sizes = {r["fold"]: (r["n"], r["p"]) for r in folds.groupBy("fold").agg(
+            F.count(F.lit(1)).alias("n"), F.sum("label").alias("p")).collect()}
+        n_all, p_all = sum(n for n, _ in sizes.values()), sum(p for _, p in sizes.values())
+        train = {f: folds.where(F.col("fold") != f) for f in range(k)}
+        encoding = {f: Encoding(train[f], self.encoding.numeric, self.encoding.categorical)
+                    if self.variant == "a" else self.encoding for f in range(k)}
+        jobs = [(name, f) for name in reversed(models or MODEL_NAMES) for f in range(k)]  # the longest first
 
         def run(job):
             name, f = job
-            tr, va = folds.where(F.col("fold") != f), folds.where(F.col("fold") == f)
-            enc = (Encoding(tr, self.encoding.numeric, self.encoding.categorical) if self.variant == "a"
-                   else self.encoding)
-            n_tr = tr.count()
-            wneg, wpos = class_weights(tr, self.label)
+            tr, va, enc = train[f], folds.where(F.col("fold") == f), encoding[f]
+            n_tr = n_all - sizes.get(f, (0, 0))[0]
+            pos = p_all - sizes.get(f, (0, 0))[1]
+            wneg, wpos = (n_tr / (2.0 * (n_tr - pos)) if n_tr > pos else 1.0, n_tr / (2.0 * pos) if pos else 1.0)
             trw = tr.withColumn("_w", F.when(F.col("label") == 1.0, wpos).otherwise(wneg))
             clf = classifiers(n_tr, self.pos_weight_gbt, self.variant)[name]
             m = build_model(enc, clf).fit(trw)
             auc = ranking_metrics(score(m, va), self.label, "churn_probability", digits=12).first()["roc_auc"]
             return name, f, float(auc)
 
-        # the k x 3 fits are independent: submit them together so the
-        # scheduler can overlap their (many, short) boosting jobs
-        with ThreadPoolExecutor(max_workers=max(1, parallel or len(jobs))) as ex:
+        with ThreadPoolExecutor(max_workers=max(1, parallel)) as ex:
             res = list(ex.map(run, jobs))
         spark = self.data.sparkSession
         rows = spark.createDataFrame(res, "model string, fold int, roc_auc double")

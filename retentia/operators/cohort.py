@@ -60,12 +60,12 @@ def cohort_matrix(long: DataFrame, indices: list[int], label: str = "signup_coho
     return wide.select(label, *[F.col(str(i)).alias(f"m{i}") for i in indices])
 
 
-def cohort_retention_active(subs: DataFrame, accounts: DataFrame, max_cohorts: int = 12,
-                            max_index: int = 12) -> DataFrame:
+def cohort_retention_active(subs: DataFrame, accounts: DataFrame, max_cohorts: int | None = None,
+                            max_index: int | None = None) -> DataFrame:
     """Notebook version (C2, V3): only subscriptions with churn_flag false;
-    base = all accounts of the signup month; the matrix keeps the first 12
-    cohorts (in month order, among cohorts with a cell) and the first 12
-    indices present. Long form; retention_pct = 100 * active / size."""
+    base = all accounts of the signup month; ``max_cohorts`` and
+    ``max_index`` keep the first cohorts (in month order, among cohorts with a
+    cell) and the first indices present (the notebook shows 12 x 12). Long form; retention_pct = 100 * active / size."""
     active = subs.where(~F.col("churn_flag"))
     cells = _cells(active, accounts)
     sizes = (accounts.select(F.trunc("signup_date", "MM").alias("signup_month"), "account_id")
@@ -75,7 +75,9 @@ def cohort_retention_active(subs: DataFrame, accounts: DataFrame, max_cohorts: i
     cohort_rank = F.dense_rank().over(Window.orderBy("signup_month"))
     index_rank = F.dense_rank().over(Window.orderBy("cohort_index"))
     ranked = j.withColumn("_cr", cohort_rank).withColumn("_ir", index_rank)
-    kept = ranked.where((F.col("_cr") <= max_cohorts) & (F.col("_ir") <= max_index))
+    kept = ranked
+    for rank, most in (("_cr", max_cohorts), ("_ir", max_index)):
+        kept = kept.where(F.col(rank) <= most) if most else kept
     return kept.select(
         month_label("signup_month").alias("signup_month"),
         "cohort_index", "active_accounts", "cohort_size",

@@ -28,7 +28,7 @@ ACCOUNT_COLUMNS = ["account_id", "account_name", "industry", "country", "signup_
 # --------------------------------------------------------------------------- A1
 def subscription_features(subs: DataFrame) -> DataFrame:
     """Per-account subscription revenue, counts and dates."""
-    agg = subs.groupBy("account_id").agg(
+    agg = subs.where(F.col("account_id").isNotNull()).groupBy("account_id").agg(
         money(F.sum("mrr_amount")).alias("total_mrr"),
         exact_mean("mrr_amount").alias("avg_sub_mrr"),
         money(F.max("mrr_amount")).alias("max_sub_mrr"),
@@ -113,7 +113,7 @@ def churn_features(churn: DataFrame) -> DataFrame:
         present = F.col(c).isNotNull()
         return F.min_by(F.when(present, F.col(c)), F.when(present, order_key))
 
-    return churn.groupBy("account_id").agg(
+    return churn.where(F.col("account_id").isNotNull()).groupBy("account_id").agg(
         first_non_null("reason_code").alias("churn_reason"),
         money(F.sum("refund_amount_usd")).alias("refund_amount_usd"),
         F.coalesce(F.bool_or("is_reactivation"), F.lit(False)).alias("is_reactivation"),

@@ -53,9 +53,10 @@ def ranking_metrics(df: DataFrame, label: str, score: str, digits: int = 6) -> D
 
 
 def binary_metrics(df: DataFrame, label: str, score: str, threshold: float = 0.5,
-                   prediction: str | None = None, digits: int = 6) -> DataFrame:
+                   prediction: str | None = None, digits: int = 6, cells: bool = False) -> DataFrame:
     """One row: n, positives, roc_auc, pr_auc, accuracy, precision, recall,
-    f1 (0 when undefined) and Brier score. The predicted class is
+    f1 (0 when undefined) and Brier score; with ``cells`` also the confusion
+    counts tn, fp, fn, tp. The predicted class is
     score > threshold unless a prediction column is given."""
     g = score_table(df, label, score, threshold, prediction)
     p1 = F.col("_pred") == 1
@@ -78,7 +79,8 @@ def binary_metrics(df: DataFrame, label: str, score: str, threshold: float = 0.5
         F.round(z(F.try_divide(tp, tp + fp)), digits).alias("precision"),
         F.round(z(F.try_divide(tp, tp + fn)), digits).alias("recall"),
         F.round(z(F.try_divide(2.0 * tp, 2.0 * tp + fp + fn)), digits).alias("f1_score"),
-        F.round(F.col("_sq") / F.col("n").cast("double"), digits).alias("brier_score"))
+        F.round(F.col("_sq") / F.col("n").cast("double"), digits).alias("brier_score"),
+        *(["tn", "fp", "fn", "tp"] if cells else []))
 
 
 def confusion_matrix(df: DataFrame, label: str, score: str | None = None, threshold: float = 0.5,

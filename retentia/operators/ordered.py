@@ -12,25 +12,40 @@ from pyspark.ml.feature import Bucketizer
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import write_once
 
-def range_buckets(df: DataFrame, order_col: str, buckets: int = 256,
+
+# Rows that one range holds: the number of ranges follows the table.
+ROWS_PER_RANGE = 100_000
+
+
+def range_count(rows: int, per: int = ROWS_PER_RANGE) -> int:
+    return max(1, -(-rows // per))
+
+
+def range_buckets(df: DataFrame, order_col: str, buckets: int | None = None,
                   accuracy: int = 10_000) -> DataFrame:
-    """Adds ``_bucket``: a non-decreasing function of ``order_col`` that
-    splits the rows into about ``buckets`` contiguous ranges of similar size.
-    Split points come from a ``percentile_approx`` sketch; the (at most
-    ``buckets - 1``) points reach the driver and a ``Bucketizer`` places each
-    row by binary search in the JVM."""
+    """Adds ``_bucket``: a non-decreasing function of the numeric
+    ``order_col`` that splits the rows into about ``buckets`` contiguous
+    ranges of similar size (by default one per ROWS_PER_RANGE rows). Split
+    points come from a ``percentile_approx`` sketch whose accuracy follows the
+    number of ranges; a ``Bucketizer`` places each row by binary search."""
+    buckets = buckets or range_count(df.count())
     probs = [i / buckets for i in range(1, buckets)]
-    row = df.agg(F.percentile_approx(F.col(order_col).cast("double"), probs, accuracy).alias("s")).first()
-    points = sorted({float(v) for v in (row["s"] or []) if v is not None and v == v})
+    points = []
+    if probs:
+        row = df.agg(F.percentile_approx(F.col(order_col).cast("double"), probs, max(accuracy, 20 * buckets)).alias("s")).first()
+        points = sorted({float(v) for v in (row["s"] or []) if v is not None and v == v})
     splits = [-float("inf")] + [p for p in points if p not in (float("inf"), -float("inf"))] + [float("inf")]
     t = df.withColumn("_okey", F.col(order_col).cast("double"))
+    if len(splits) == 2:
+        return t.withColumn("_bucket", F.lit(0)).drop("_okey")
     t = Bucketizer(splits=splits, inputCol="_okey", outputCol="_b", handleInvalid="keep").transform(t)
     return t.withColumn("_bucket", F.col("_b").cast("int")).drop("_okey", "_b")
 
 
 def running_sums(df: DataFrame, order_col: str, value_cols: list[str],
-                 buckets: int = 256, inclusive: bool = True) -> DataFrame:
+                 buckets: int | None = None, inclusive: bool = True) -> DataFrame:
     """Adds ``cum_<v>`` = sum of ``v`` over all rows ordered before (and,
     with ``inclusive``, including) the row, for a table whose ``order_col``
     values are distinct. Work is split into range buckets: in-bucket window
@@ -40,8 +55,8 @@ def running_sums(df: DataFrame, order_col: str, value_cols: list[str],
     wb = Window.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     offs = per_b.select("_bucket", *[F.coalesce(F.sum(f"_bt_{v}").over(wb), F.lit(0)).alias(f"_off_{v}")
                                      for v in value_cols])
-    # the offset table has one row per bucket: its size is fixed by ``buckets``
-    t = t.join(F.broadcast(offs), "_bucket")
+    # one row per range, ROWS_PER_RANGE times fewer than the table
+    t = t.join(offs, "_bucket")
     frame = (Window.unboundedPreceding, 0) if inclusive else (Window.unboundedPreceding, -1)
     w = Window.partitionBy("_bucket").orderBy(order_col).rowsBetween(*frame)
     for v in value_cols:
@@ -49,19 +64,18 @@ def running_sums(df: DataFrame, order_col: str, value_cols: list[str],
     return t.drop("_bucket", *[f"_off_{v}" for v in value_cols])
 
 
-def successive_diff_sq_sum(df: DataFrame, order_col: str, value_col: str,
-                           buckets: int = 64) -> float:
+def successive_diff_sq_sum(df: DataFrame, order_col: str, value_col: str) -> float:
     """sum_t (v_t - v_{t-1})^2 over rows ordered by ``order_col`` (the
-    Durbin-Watson numerator). Differences inside a bucket come from ``lag``
-    within the bucket; the pair that straddles two buckets comes from the
-    per-bucket first/last rows. Returns a float (one aggregated value)."""
-    t = range_buckets(df.select(order_col, value_col), order_col, buckets)
-    w = Window.partitionBy("_bucket").orderBy(order_col)
-    inner = t.withColumn("_d", F.col(value_col) - F.lag(value_col).over(w))
+    Durbin-Watson numerator), for a key of any orderable type. The rows are
+    range-partitioned on the key in its own type; differences inside a
+    partition come from ``lag``, the pair that straddles two partitions from
+    their first and last rows. Returns a float (one aggregated value)."""
+    own = write_once(df.select(F.col(order_col).alias("_k"), F.col(value_col).alias("_v")), "ordered")
+    own = own.repartitionByRange(range_count(own.count()), "_k").withColumn("_bucket", F.spark_partition_id())
+    t = write_once(own, "ranges")  # partition numbers are fixed once written
+    inner = t.withColumn("_d", F.col("_v") - F.lag("_v").over(Window.partitionBy("_bucket").orderBy("_k")))
     inside = inner.agg(F.sum(F.col("_d") ** 2).alias("s")).first()["s"] or 0.0
-    ends = t.groupBy("_bucket").agg(F.min_by(value_col, order_col).alias("_first"),
-                                    F.max_by(value_col, order_col).alias("_last"))
-    wb = Window.orderBy("_bucket")
-    cross = (ends.withColumn("_prev_last", F.lag("_last").over(wb))
+    ends = t.groupBy("_bucket").agg(F.min_by("_v", "_k").alias("_first"), F.max_by("_v", "_k").alias("_last"))
+    cross = (ends.withColumn("_prev_last", F.lag("_last").over(Window.orderBy("_bucket")))
              .agg(F.sum((F.col("_first") - F.col("_prev_last")) ** 2).alias("s")).first()["s"] or 0.0)
     return float(inside) + float(cross)

@@ -2,15 +2,10 @@
 
 Spark's exact ``median``/``percentile`` keeps a value->count map of the whole
 group in one aggregation buffer, which is unbounded for continuous values and a
-hot group. Here the work is split in three distributed passes:
-
-1. a ``percentile_approx`` sketch per group gives two pivots that bracket the
-   middle ranks (rank error of the sketch is at most n/accuracy);
-2. one pass counts the rows below the lower pivot and checks that the middle
-   ranks really fall between the pivots -- if a sketch ever misses, that group
-   falls back to the full value range, so the answer never depends on it;
-3. only the rows between the pivots (about 4n/accuracy of them) are reduced to
-   distinct values with counts and ranked with a window.
+hot group. Here rows are first reduced to counts per (group, value) -- partial
+on the map side, and spread by value, never by the group alone. The values are
+cut into ranges; counts per (group, range) locate the range that holds a
+group's middle ranks, and only inside those ranges are values ranked.
 
 The even-n median is (a + b) / 2 of the two middle values, the definition
 NumPy/pandas use.
@@ -21,55 +16,35 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-_INF = float("inf")
-
-
-def _join(left: DataFrame, right: DataFrame, by: list[str]) -> DataFrame:
-    # no group keys: the right side is a single row, so broadcasting is bounded.
-    # With keys it has one row per group: a plain join, which AQE turns into a
-    # broadcast only after measuring the real size.
-    return left.join(right, by) if by else left.crossJoin(F.broadcast(right))
+from ..session import write_once
+from .ordered import range_buckets
 
 
-def exact_median(df: DataFrame, value: str, by: list[str] | None = None,
-                 accuracy: int = 100_000, name: str = "median") -> DataFrame:
+def exact_median(df: DataFrame, value: str, by: list[str] | None = None, name: str = "median") -> DataFrame:
     """One row per group of ``by`` (or one row) with the exact median of the
     non-null values of ``value`` (as DOUBLE) in column ``name``. Groups
     without a non-null value are absent."""
     by = list(by or [])
-    base = df.select(*by, F.col(value).cast("double").alias("_x")).where(F.col("_x").isNotNull())
-    eps = 2.0 / accuracy
-    piv = base.groupBy(*by).agg(
-        F.count(F.lit(1)).alias("_n"),
-        F.percentile_approx("_x", [max(0.0, 0.5 - eps), min(1.0, 0.5 + eps)], accuracy).alias("_p"),
-    )
-    k_lo = F.floor((F.col("_n") - 1) / 2)
-    k_hi = F.floor(F.col("_n") / 2)
-    t = _join(base, piv, by)
-    lo, hi = F.col("_p")[0], F.col("_p")[1]
-    chk = t.groupBy(*by).agg(
-        F.first("_n").alias("_n"), F.first("_p").alias("_p"),
-        F.count_if(F.col("_x") < lo).alias("_below"),
-        F.count_if((F.col("_x") >= lo) & (F.col("_x") <= hi)).alias("_mid"),
-    )
-    ok = (F.col("_below") <= k_lo) & (F.col("_below") + F.col("_mid") > k_hi)
-    bounds = chk.select(
-        *by, "_n",
-        F.when(ok, lo).otherwise(F.lit(-_INF)).alias("_lo"),
-        F.when(ok, hi).otherwise(F.lit(_INF)).alias("_hi"),
-        F.when(ok, F.col("_below")).otherwise(F.lit(0)).alias("_below"),
-    )
-    cand = (_join(base, bounds, by)
-            .where((F.col("_x") >= F.col("_lo")) & (F.col("_x") <= F.col("_hi")))
-            .groupBy(*by, "_x")
-            .agg(F.count(F.lit(1)).alias("_c"), F.first("_below").alias("_below"),
-                 F.first("_n").alias("_n")))
-    w = Window.partitionBy(*by).orderBy("_x").rowsBetween(Window.unboundedPreceding, 0)
-    ranked = cand.withColumn("_end", F.col("_below") + F.sum("_c").over(w))
-    start = F.col("_end") - F.col("_c")
-
-    def at(k):
-        return F.max(F.when((start <= k) & (k < F.col("_end")), F.col("_x")))
-
+    counts = (df.select(*by, F.col(value).cast("double").alias("_x")).where(F.col("_x").isNotNull())
+              .groupBy(*by, "_x").agg(F.count(F.lit(1)).alias("_c")))
+    counts = range_buckets(write_once(counts, "value-counts"), "_x")
+    # one row per group and range
+    per = counts.groupBy(*by, "_bucket").agg(F.sum("_c").alias("_in"))
+    upto = Window.partitionBy(*by).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, 0)
+    all_ = Window.partitionBy(*by)
+    per = per.withColumns({"_end": F.sum("_in").over(upto), "_n": F.sum("_in").over(all_)})
+    k_lo, k_hi = F.floor((F.col("_n") - 1) / 2), F.floor(F.col("_n") / 2)
+    before = F.col("_end") - F.col("_in")
+    holds = lambda k: (before <= k) & (k < F.col("_end"))
+    middle = per.where(holds(k_lo) | holds(k_hi)).select(*[F.col(c).alias(f"_g_{c}") for c in by], F.col("_bucket").alias("_mb"), before.alias("_before"), "_n")
+    same = F.col("_bucket") == F.col("_mb")
+    for c in by:
+        same = same & F.col(c).eqNullSafe(F.col(f"_g_{c}"))
+    found = counts.join(middle, same).drop("_mb", *[f"_g_{c}" for c in by])
+    w = Window.partitionBy(*by, "_bucket").orderBy("_x").rowsBetween(Window.unboundedPreceding, 0)
+    ranked = found.withColumn("_upto", F.col("_before") + F.sum("_c").over(w))
+    at = lambda k: F.max(F.when((F.col("_upto") - F.col("_c") <= k) & (k < F.col("_upto")), F.col("_x")))
     res = ranked.groupBy(*by).agg(at(k_lo).alias("_a"), at(k_hi).alias("_b"))
+    if not by:
+        res = res.where(F.col("_a").isNotNull())
     return res.select(*by, ((F.col("_a") + F.col("_b")) / 2.0).alias(name))

@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.exprs import month_label, round_money, stable_mean
+from ..session import write_once
 from .quantiles import exact_median
 
 # Fixed values of the reference's formulas.
@@ -49,6 +50,7 @@ def ltv_accounts(c360: DataFrame, gross_margin: float = GROSS_MARGIN,
 def ltv_by_tier(ltv: DataFrame) -> DataFrame:
     """Per tier: accounts, mean MRR / realized / expected LTV, median tenure,
     all at two decimals."""
+    ltv = ltv.where(F.col("plan_tier").isNotNull())
     agg = ltv.groupBy("plan_tier").agg(
         F.count("account_id").alias("account_count"),
         round_money(stable_mean("total_mrr", 2)).alias("avg_mrr"),
@@ -64,6 +66,8 @@ def ltv_by_tier(ltv: DataFrame) -> DataFrame:
 def ltv_by_tier_variant_b(c360b: DataFrame) -> DataFrame:
     """Notebook tier table: realized = avg MRR x median tenure, expected =
     avg MRR / churn rate (x24 when no churn), printed as strings."""
+    c360b = write_once(c360b.where(F.col("plan_tier").isNotNull())
+                       .select("plan_tier", "total_mrr", "churn_flag", "tenure_months"), "tiers")
     agg = c360b.groupBy("plan_tier").agg(
         F.count(F.lit(1)).alias("accounts"),
         stable_mean("total_mrr", 2).alias("_avg_mrr"),
@@ -207,18 +211,13 @@ def ridge_moments(ltv_c360: DataFrame, features: list[str] = LTV_DRIVER_FEATURES
                   target: str = "realized_lifetime_value_usd") -> DataFrame:
     """Per feature (NULL -> 0): n, mean and population std -- the scaling
     that standardizes the design -- plus the target's, rounded at 6 dp."""
-    rows = []
-    for c in features + [target]:
-        x = F.coalesce(F.col(c).cast("double"), F.lit(0.0))
-        rows.append(ltv_c360.agg(
-            F.count(F.lit(1)).alias("n"),
-            F.round(stable_mean(x, 6), 6).alias("mean"),
-            F.round(F.stddev_pop(x), 6).alias("std_pop"),
-        ).select(F.lit(c).alias("feature"), "n", "mean", "std_pop"))
-    out = rows[0]
-    for r in rows[1:]:
-        out = out.unionByName(r)
-    return out
+    names = features + [target]
+    x = {c: F.coalesce(F.col(c).cast("double"), F.lit(0.0)) for c in names}
+    one = ltv_c360.agg(F.count(F.lit(1)).alias("n"), *[e.alias(f"{k}{i}") for i, c in enumerate(names) for k, e in (
+        ("m", F.round(stable_mean(x[c], 6), 6)), ("s", F.round(F.stddev_pop(x[c]), 6)))])
+    return one.select(F.inline(F.array(*[F.struct(
+        F.lit(c).alias("feature"), F.col("n"), F.col(f"m{i}").alias("mean"), F.col(f"s{i}").alias("std_pop"))
+        for i, c in enumerate(names)])))
 
 
 def ridge_drivers(df: DataFrame, features: list[str] = LTV_DRIVER_FEATURES,

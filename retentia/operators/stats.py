@@ -18,15 +18,29 @@ from pyspark.sql import functions as F
 
 from ..functions.distributions import chi2_sf, f_sf, t_sf_two_sided
 from ..functions.exprs import round_money
+from ..functions.tails import chi2_tail, f_tail
+from ..session import write_once
 from .ordered import successive_diff_sq_sum
 from .quantiles import exact_median
 
 
+# Fixed values of the reference: the columns of its correlation matrices
+# (script, notebook) and of its account-level regression.
+CORR_COLUMNS = ["tenure_months", "total_mrr", "seats", "error_rate_per_100_events",
+                "total_duration_hours", "avg_session_duration_mins", "total_tickets", "avg_csat",
+                "avg_first_response_min", "avg_resolution_hours", "churn_flag"]
+CORR_COLUMNS_B = ["total_mrr", "seats", "tenure_months", "error_rate_per_100_events", "avg_csat",
+                  "avg_first_response_min", "total_tickets", "churn_flag"]
+ACCOUNT_CSAT_REGRESSORS = ["avg_first_response_min", "avg_resolution_hours", "total_escalations",
+                           "error_rate_per_100_events"]
+
+
 # ------------------------------------------------------------------ A9
 def group_summary(df: DataFrame, value: str, group: str) -> DataFrame:
     """count, mean, median, sample std and sum of ``value`` per group, at two
     decimals. Sums and sums of squares are exact DECIMAL, so the result does
-    not depend on row order."""
+    not depend on row order. Rows without a group are dropped."""
+    df = write_once(df.where(F.col(group).isNotNull()).select(group, value), "groups")
     x = F.col(value).cast("decimal(18,2)")
     agg = df.groupBy(group).agg(
         F.count(x).alias("count"), F.sum(x).alias("_s"), F.sum(x * x).alias("_ss"))
@@ -46,6 +60,7 @@ def group_summary(df: DataFrame, value: str, group: str) -> DataFrame:
 def anova(df: DataFrame, value: str, group: str, digits: int = 6) -> DataFrame:
     """One-way ANOVA (one row): k groups, n rows, SSB, SSW, F. Rows with a
     NULL group or value are dropped (a NULL group would be an empty sample).
+    The p-value is null for an even number of groups (``anova_test`` has it).
     Group sums are exact DECIMAL; SSW = sum_g (SS_g - S_g^2 / n_g)."""
     x = F.col(value).cast("decimal(18,2)")
     g = (df.where(F.col(group).isNotNull() & F.col(value).isNotNull())
@@ -59,11 +74,13 @@ def anova(df: DataFrame, value: str, group: str, digits: int = 6) -> DataFrame:
     ssb = F.col("between_raw") - s * s / n
     ssw = ss - F.col("between_raw")
     fstat = F.try_divide(ssb / (k - 1.0), ssw / (n - k))
+    p = f_tail(fstat, F.col("k") - 1, F.col("n") - F.col("k"))
     return tot.select(F.col("k").cast("bigint").alias("groups"), F.col("n").cast("bigint").alias("n"),
                       F.round(ssb, 0).alias("ss_between"), F.round(ssw, 0).alias("ss_within"),
                       (F.col("k") - 1).cast("bigint").alias("df_between"),
                       (F.col("n") - F.col("k")).cast("bigint").alias("df_within"),
-                      F.round(fstat, digits).alias("f_statistic"))
+                      F.round(fstat, digits).alias("f_statistic"),
+                      F.round(p, 4).alias("p_value"), (p < 0.05).alias("statistically_significant"))
 
 
 def anova_test(df: DataFrame, value: str, group: str) -> dict:
@@ -76,8 +93,8 @@ def anova_test(df: DataFrame, value: str, group: str) -> dict:
 # ------------------------------------------------------------------ A14, T7, T8
 def crosstab(df: DataFrame, row: str, colname: str, values: list) -> DataFrame:
     """Counts of row x column with the column values given (no extra job),
-    missing cells 0. Columns are named ``<col>_<value>``."""
-    p = df.groupBy(row).pivot(colname, values).agg(F.count(F.lit(1)))
+    missing cells 0; rows without a row label are dropped. Columns are named ``<col>_<value>``."""
+    p = df.where(F.col(row).isNotNull()).groupBy(row).pivot(colname, values).agg(F.count(F.lit(1)))
     return p.select(row, *[F.coalesce(F.col(str(v)), F.lit(0)).cast("bigint").alias(f"{colname}_{v}")
                            for v in values])
 
@@ -99,9 +116,11 @@ def chi_square(df: DataFrame, row: str, colname: str, digits: int = 6) -> DataFr
                      ((nr - 1) * (nc - 1)).cast("bigint").alias("dof"))
     c = c.withColumn("contribution", (F.col("observed") - F.col("expected")) ** 2 / F.col("expected"))
     stat = F.sum("contribution").over(Window.partitionBy())
+    c = c.withColumn("_stat", stat).withColumn("_p", chi2_tail(F.col("_stat"), F.col("dof")))
     return c.select(row, colname, "observed", F.round("expected", digits).alias("expected"),
                     F.round("contribution", digits).alias("contribution"),
-                    F.round(stat, digits).alias("chi2_statistic"), "dof")
+                    F.round("_stat", digits).alias("chi2_statistic"), "dof",
+                    F.round("_p", 4).alias("p_value"), (F.col("_p") < 0.05).alias("statistically_significant"))
 
 
 def chi_square_test(df: DataFrame, row: str, colname: str) -> dict:
@@ -112,35 +131,47 @@ def chi_square_test(df: DataFrame, row: str, colname: str) -> dict:
 
 
 # ------------------------------------------------------------------ A15
-def correlation(df: DataFrame, cols: list[str], digits: int = 6) -> DataFrame:
-    """Pearson correlations, pairwise-complete, in long form (var_a, var_b, r).
+def correlation(df: DataFrame, cols: list[str], digits: int = 3) -> DataFrame:
+    """Pearson correlations, pairwise-complete, in long form (var_a, var_b, r),
+    at the reference's three decimals.
 
-    Each row is unpivoted into one (pair, x, y) record per column pair and a
-    single grouped ``corr`` runs over the pairs: the aggregation is partial on
-    the map side, so the shuffle carries (#pairs x #partitions) rows whatever
-    the data size, and the plan stays small enough for code generation."""
+    Two passes over the columns, written once: means and NULL counts, then the
+    sums of centred products. A pair with NULLs takes its moments from the rows
+    where both are present. A constant column has no correlation."""
     pairs = [(a, b) for i, a in enumerate(cols) for b in cols[i:]]
-    recs = F.array(*[F.struct(F.lit(i).alias("_p"), F.col(a).cast("double").alias("_x"),
-                              F.col(b).cast("double").alias("_y")) for i, (a, b) in enumerate(pairs)])
-    g = (df.select(F.inline(recs)).groupBy("_p")
-         .agg(F.round(F.corr("_x", "_y"), digits).alias("r")))
-    names = df.sparkSession.createDataFrame(
-        [(i, a, b) for i, (a, b) in enumerate(pairs)] + [(i, b, a) for i, (a, b) in enumerate(pairs) if a != b],
-        "_p int, var_a string, var_b string")
-    # the name table has one row per ordered pair: fixed by the column list
-    return g.join(F.broadcast(names), "_p").select("var_a", "var_b", "r")
+    data = write_once(df.select(*[F.col(c).cast("double").alias(c) for c in cols]), "correlation")
+    one = data.agg(*[F.avg(c).alias(f"m{i}") for i, c in enumerate(cols)],
+                   *[F.count_if(F.col(c).isNull()).alias(f"n{i}") for i, c in enumerate(cols)],
+                   *[F.coalesce(F.min(c) == F.max(c), F.lit(True)).alias(f"k{i}") for i, c in enumerate(cols)]).first()
+    constant = {c for i, c in enumerate(cols) if one[f"k{i}"]}
+    x = {c: F.col(c) - F.lit(one[f"m{i}"] or 0.0) for i, c in enumerate(cols)}
+    full = {c for i, c in enumerate(cols) if not one[f"n{i}"]}
+
+    def r(a, b):
+        if a in constant or b in constant:
+            return F.lit(None).cast("double")
+        if a in full and b in full:
+            xy, xx, yy = F.sum(x[a] * x[b]), F.sum(x[a] * x[a]), F.sum(x[b] * x[b])
+        else:
+            xy, xx, yy = F.regr_sxy(x[a], x[b]), F.regr_syy(x[a], x[b]), F.regr_sxx(x[a], x[b])
+        return F.round(F.try_divide(xy, F.sqrt(xx * yy)), digits)
+
+    row = data.agg(*[r(a, b).alias(f"_{i}") for i, (a, b) in enumerate(pairs)])
+    cell = lambda a, b, i: F.struct(F.lit(a).alias("var_a"), F.lit(b).alias("var_b"), F.col(f"_{i}").alias("r"))
+    cells = [cell(a, b, i) for i, (a, b) in enumerate(pairs)] + [cell(b, a, i) for i, (a, b) in enumerate(pairs) if a != b]
+    return row.select(F.inline(F.array(*cells)))
 
 
 # ------------------------------------------------------------------ T1-T5
 def gram(df: DataFrame, y: str, xs: list[str], exact: bool = True) -> DataFrame:
     """Augmented Gram matrix [1 X y]'[1 X y] (upper triangle, long form). With
-    ``exact`` the products are summed as DECIMAL(38,6) (the inputs here carry
-    at most two decimals), so the sums are exact and order-free."""
+    ``exact`` the inputs are taken at six decimals and products summed as
+    DECIMAL, so the sums are order-free."""
     names = ["const"] + xs + [y]
 
     def v(c):
         e = F.lit(1) if c == "const" else F.col(c)
-        return e.cast("decimal(20,2)") if exact else e.cast("double")
+        return e.cast("decimal(18,6)") if exact else e.cast("double")
 
     aggs, keys = [], []
     for i, a in enumerate(names):

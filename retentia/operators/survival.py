@@ -17,15 +17,19 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.distributions import chi2_sf, normal_sf
+from ..functions.tails import chi2_tail
 from ..functions.exprs import pct_half_up, round_money, stable_mean
-from ..session import reliable_checkpoint
+from ..session import write_once
+from .ordered import range_buckets
 from .quantiles import exact_median
 
 Z_95 = 1.959963984540054  # standard normal quantile at 0.975
 
 
 def _time_table(df: DataFrame, duration: str, event: str, by: list[str]) -> DataFrame:
-    """(by..., t, removed, events) per distinct time."""
+    """(by..., t, removed, events) per distinct time; rows without a group are dropped."""
+    for c in by:
+        df = df.where(F.col(c).isNotNull())
     return (df.where(F.col(duration).isNotNull() & F.col(event).isNotNull())
             .groupBy(*by, F.col(duration).cast("double").alias("t"))
             .agg(F.count(F.lit(1)).alias("removed"),
@@ -113,10 +117,12 @@ def logrank(df: DataFrame, duration: str, event: str, group: str, a: str, b: str
     agg = rs.agg(F.sum("d_a").cast("double").alias("observed_a"),
                  F.sum(e_a).alias("expected_a"), F.sum(var).alias("variance"))
     stat = F.try_divide((F.col("observed_a") - F.col("expected_a")) ** 2, F.col("variance"))
+    p = chi2_tail(stat, F.lit(1))
     return agg.select(F.lit(a).alias("group_a"), F.lit(b).alias("group_b"), "observed_a",
                       F.round("expected_a", digits).alias("expected_a"),
                       F.round("variance", digits).alias("variance"),
-                      F.round(stat, digits).alias("test_statistic"))
+                      F.round(stat, digits).alias("test_statistic"),
+                      F.round(p, 4).alias("p_value"), (p < 0.05).alias("statistically_significant"))
 
 
 def logrank_test(df: DataFrame, duration: str, event: str, group: str, a: str, b: str) -> dict:
@@ -184,65 +190,42 @@ def cox_risk_sets(df: DataFrame, duration: str, event: str, covariates: list[str
                     *[F.round(f"d1_{c}", digits).alias(f"d1_{c}") for c in covariates]))
 
 
-_DIRECT_TIES = 100_000  # tie counts up to this are summed term by term
-
-
-def _digamma(x: np.ndarray) -> np.ndarray:
-    """psi(x) for x > 0: recurrence up to x >= 6, then the asymptotic series."""
-    x = np.asarray(x, dtype=float).copy()
-    acc = np.zeros_like(x)
-    while (small := x < 6.0).any():
-        acc[small] -= 1.0 / x[small]
-        x[small] += 1.0
-    f = 1.0 / (x * x)
-    return acc + np.log(x) - 0.5 / x - f * (1 / 12 - f * (1 / 120 - f * (1 / 252 - f * (1 / 240 - f / 132))))
-
-
-def _trigamma(x: np.ndarray) -> np.ndarray:
-    x = np.asarray(x, dtype=float).copy()
-    acc = np.zeros_like(x)
-    while (small := x < 6.0).any():
-        acc[small] += 1.0 / (x[small] * x[small])
-        x[small] += 1.0
-    f = 1.0 / (x * x)
-    return acc + 1.0 / x + 0.5 * f + (1.0 / x) * f * (1 / 6 - f * (1 / 30 - f * (1 / 42 - f / 30)))
-
-
-def _efron_series(s0: np.ndarray, t0: np.ndarray, d: np.ndarray):
-    """Per event time, with A0_l = s0 - (l/d) t0, a_l = 1/A0_l, c_l = l/d over
-    l = 0..d-1: sum log A0, sum a, sum c a, sum a^2, sum c a^2, sum c^2 a^2.
-    Term by term for moderate d; for large d through digamma / trigamma of
-    x = s0 d / t0, since A0_l = (t0/d)(x - l)."""
-    out = np.zeros((6, len(d)))
-    for k in range(len(d)):
-        dk = int(d[k])
-        if dk <= _DIRECT_TIES or t0[k] <= 0:
-            c = np.arange(dk) / dk
-            a0 = s0[k] - c * t0[k]
-            a = 1.0 / a0
-            out[:, k] = [np.log(a0).sum(), a.sum(), (c * a).sum(), (a * a).sum(),
-                         (c * a * a).sum(), (c * c * a * a).sum()]
-        else:
-            x = s0[k] * dk / t0[k]
-            h = float(_digamma(np.array([x + 1.0]))[0] - _digamma(np.array([x - dk + 1.0]))[0])
-            h2 = float(_trigamma(np.array([x - dk + 1.0]))[0] - _trigamma(np.array([x + 1.0]))[0])
-            scale = dk / t0[k]
-            logs = dk * np.log(t0[k] / dk) + math.lgamma(x + 1.0) - math.lgamma(x - dk + 1.0)
-            out[:, k] = [logs, scale * h, (x * h - dk) / t0[k], scale * scale * h2,
-                         dk / t0[k] ** 2 * (x * h2 - h), (x * x * h2 - 2 * x * h + dk) / t0[k] ** 2]
-    return out
+TIE_CHUNK = 1 << 16  # tie terms that one generated array holds
+
+
+def efron_sums(times: DataFrame, p: int) -> DataFrame:
+    """One row: log-likelihood term, gradient terms g_i and information h_i_j
+    of the Efron partial likelihood, from one row per event time.
+
+    ``times`` has d (events at the time), the risk-set sums s0, s1_i, s2_i_j
+    and the sums over the events t0, t1_i, t2_i_j. Each time contributes d
+    terms, l = 0 .. d - 1, with A = s - (l / d) t; they are generated as rows,
+    in chunks that spread a time with very many ties over tasks."""
+    pairs = [(i, j) for i in range(p) for j in range(i, p)]
+    chunks = times.withColumn("_k", F.explode(F.sequence(F.lit(0).cast("bigint"), F.floor((F.col("d") - 1) / TIE_CHUNK))))
+    spread = chunks.repartition(F.xxhash64("s0", "_k"))
+    lo = F.col("_k") * TIE_CHUNK
+    terms = spread.withColumn("_l", F.explode(F.sequence(lo, F.least(lo + TIE_CHUNK, F.col("d")) - 1)))
+    c = F.col("_l").cast("double") / F.col("d").cast("double")
+    a0 = F.col("s0") - c * F.col("t0")
+    ratios = terms.select(
+        F.log(a0).alias("ll"),
+        *[((F.col(f"s1_{i}") - c * F.col(f"t1_{i}")) / a0).alias(f"a1_{i}") for i in range(p)],
+        *[((F.col(f"s2_{i}_{j}") - c * F.col(f"t2_{i}_{j}")) / a0).alias(f"a2_{i}_{j}") for i, j in pairs])
+    return ratios.agg(
+        F.sum("ll").alias("ll"), *[F.sum(f"a1_{i}").alias(f"g_{i}") for i in range(p)],
+        *[F.sum(F.col(f"a2_{i}_{j}") - F.col(f"a1_{i}") * F.col(f"a1_{j}")).alias(f"h_{i}_{j}") for i, j in pairs])
 
 
 def _efron_step(d: DataFrame, names: list[str], beta: np.ndarray):
     """Log partial likelihood, gradient and information (Efron ties) at beta.
 
-    The data-sized work is one distributed aggregation: for every distinct
-    time, sums of w, w z, w z z' over all rows and over the events (w =
-    exp(beta'z)). beta enters as a one-row broadcast table, so the plan and
-    its generated code are the same in every iteration. The per-time table
-    (one row per distinct tenure, bounded by the time resolution) is then
-    reduced on the driver: reverse cumulative sums give the risk sets, and
-    the Efron tie terms reduce to six scalar series per event time."""
+    One aggregation over the rows gives, for every distinct time, sums of w,
+    w z, w z z' over all rows and over the events (w = exp(beta'z)); beta
+    enters as a one-row broadcast table, so the plan is the same in every
+    iteration. Risk sets are running sums from the last time down, inside
+    ranges of times plus each range's offset, and ``efron_sums`` reduces them
+    to one row, the only thing that reaches the driver."""
     p = len(names)
     spark = d.sparkSession
     bdf = spark.createDataFrame([tuple(float(b) for b in beta)], ", ".join(f"_b{i} double" for i in range(p)))
@@ -251,48 +234,30 @@ def _efron_step(d: DataFrame, names: list[str], beta: np.ndarray):
     x = x.withColumn("_eta", eta).withColumn("_w", F.exp("_eta"))
     e, w = F.col("_e0"), F.col("_w")
     pairs = [(i, j) for i in range(p) for j in range(i, p)]
-    aggs = [F.sum(w).alias("s0"), F.sum(e * w).alias("t0"), F.sum(e).alias("dcnt"),
-            F.sum(e * F.col("_eta")).alias("eta_d")]
-    aggs += [F.sum(w * F.col(n)).alias(f"s1_{i}") for i, n in enumerate(names)]
-    aggs += [F.sum(e * w * F.col(n)).alias(f"t1_{i}") for i, n in enumerate(names)]
-    aggs += [F.sum(e * F.col(n)).alias(f"z_{i}") for i, n in enumerate(names)]
-    aggs += [F.sum(w * F.col(names[i]) * F.col(names[j])).alias(f"s2_{i}_{j}") for i, j in pairs]
-    aggs += [F.sum(e * w * F.col(names[i]) * F.col(names[j])).alias(f"t2_{i}_{j}") for i, j in pairs]
-    rows = x.groupBy("_t").agg(*aggs).orderBy(F.desc("_t")).collect()
-    if not rows:
+    z = [F.col(n) for n in names]
+    over = {"0": F.lit(1.0)} | {f"1_{i}": z[i] for i in range(p)} | {f"2_{i}_{j}": z[i] * z[j] for i, j in pairs}
+    tt = write_once(x.groupBy("_bucket", "_t").agg(
+        F.sum(e).cast("bigint").alias("d"), F.sum(e * F.col("_eta")).alias("eta_d"),
+        *[F.sum(e * z[i]).alias(f"z_{i}") for i in range(p)],
+        *[F.sum(w * v).alias(f"s{k}") for k, v in over.items()],
+        *[F.sum(e * w * v).alias(f"t{k}") for k, v in over.items()]), "times")
+    risk = [f"s{k}" for k in over]
+    # one row per range of times
+    earlier = Window.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = tt.groupBy("_bucket").agg(*[F.sum(c).alias(c) for c in risk]).select(
+        "_bucket", *[F.coalesce(F.sum(c).over(earlier), F.lit(0.0)).alias(f"_o{c}") for c in risk])
+    down = Window.partitionBy("_bucket").orderBy(F.desc("_t")).rowsBetween(Window.unboundedPreceding, 0)
+    sets = tt.join(offsets, "_bucket").select("d", *[f"t{k}" for k in over], *[
+        (F.col(f"_o{c}") + F.sum(c).over(down)).alias(c) for c in risk]).where(F.col("d") > 0)
+    linear = tt.agg(F.sum("eta_d").alias("eta_d"), *[F.sum(f"z_{i}").alias(f"z_{i}") for i in range(p)])
+    r = efron_sums(sets, p).crossJoin(F.broadcast(linear)).first()
+    if r is None or r["ll"] is None:
         return 0.0, np.zeros(p), np.zeros((p, p))
-    m = np.array([list(r)[1:] for r in rows], dtype=float)   # columns in agg order
-    col = {f"{k}": i for i, k in enumerate(
-        ["s0", "t0", "dcnt", "eta_d"] + [f"s1_{i}" for i in range(p)] + [f"t1_{i}" for i in range(p)]
-        + [f"z_{i}" for i in range(p)] + [f"s2_{i}_{j}" for i, j in pairs] + [f"t2_{i}_{j}" for i, j in pairs])}
-
-    def c(name):
-        return m[:, col[name]]
-
-    # risk-set sums: cumulative from the largest time down (rows are sorted)
-    S0 = np.cumsum(c("s0"))
-    S1 = np.cumsum(np.stack([c(f"s1_{i}") for i in range(p)], 1), axis=0)
-    S2 = np.zeros((len(rows), p, p))
-    T2 = np.zeros((len(rows), p, p))
+    grad = np.array([r[f"z_{i}"] - r[f"g_{i}"] for i in range(p)])
+    info = np.zeros((p, p))
     for i, j in pairs:
-        S2[:, i, j] = S2[:, j, i] = np.cumsum(c(f"s2_{i}_{j}"))
-        T2[:, i, j] = T2[:, j, i] = c(f"t2_{i}_{j}")
-    T0 = c("t0")
-    T1 = np.stack([c(f"t1_{i}") for i in range(p)], 1)
-    dk = np.rint(c("dcnt")).astype(np.int64)
-    ev = dk > 0
-    sl, sa, sca, saa, scaa, sccaa = _efron_series(S0[ev], T0[ev], dk[ev])
-    S1e, T1e, S2e, T2e = S1[ev], T1[ev], S2[ev], T2[ev]
-    ll = float(c("eta_d").sum() - sl.sum())
-    zsum = np.array([c(f"z_{i}").sum() for i in range(p)])
-    grad = zsum - (S1e * sa[:, None] - T1e * sca[:, None]).sum(0)
-    info = (S2e * sa[:, None, None] - T2e * sca[:, None, None]).sum(0)
-    outer_ss = np.einsum("ki,kj->kij", S1e, S1e)
-    outer_st = np.einsum("ki,kj->kij", S1e, T1e)
-    outer_tt = np.einsum("ki,kj->kij", T1e, T1e)
-    info -= (outer_ss * saa[:, None, None] - (outer_st + outer_st.transpose(0, 2, 1)) * scaa[:, None, None]
-             + outer_tt * sccaa[:, None, None]).sum(0)
-    return ll, grad, info
+        info[i, j] = info[j, i] = r[f"h_{i}_{j}"]
+    return float(r["eta_d"] - r["ll"]), grad, info
 
 
 def cox_ph(df: DataFrame, duration: str, event: str, covariates: list[str],
@@ -300,21 +265,22 @@ def cox_ph(df: DataFrame, duration: str, event: str, covariates: list[str],
     """Cox proportional hazards by Newton-Raphson on the Efron partial
     likelihood. Rows with a NULL in any used column are dropped. Covariates
     are centred and scaled for the iterations and the coefficients mapped
-    back. Each iteration is one distributed job; only p-vectors and p x p
-    matrices reach the driver. Returns (coefficient table, fit info)."""
+    back. Only a p-vector and a p x p matrix per iteration reach the driver.
+    Returns (coefficient table, fit info); a fit that does not converge in
+    ``max_iter`` iterations is an error."""
     spark = df.sparkSession
     data = df.select(F.col(duration).cast("double").alias("_t"), F.col(event).cast("double").alias("_e0"),
                      *[F.col(c).cast("double").alias(f"_x{i}") for i, c in enumerate(covariates)]).na.drop()
-    # the Newton loop reads this table once per iteration: cut the lineage
-    # with a reliable checkpoint (shared checkpoint folder) first
-    data = reliable_checkpoint(data)
+    # the Newton loop reads this table once per iteration; _bucket cuts the
+    # times into ranges, the latest first
+    data = range_buckets(write_once(data, "cox").withColumn("_down", -F.col("_t")), "_down").drop("_down")
     st = data.agg(*[F.avg(f"_x{i}").alias(f"m{i}") for i in range(len(covariates))],
                   *[F.stddev_samp(f"_x{i}").alias(f"s{i}") for i in range(len(covariates))],
                   F.count(F.lit(1)).alias("n"), F.sum("_e0").alias("events")).first()
     means = np.array([st[f"m{i}"] or 0.0 for i in range(len(covariates))])
     sds = np.array([(st[f"s{i}"] or 1.0) or 1.0 for i in range(len(covariates))])
     names = [f"_z{i}" for i in range(len(covariates))]
-    z = data.select("_t", "_e0", *[((F.col(f"_x{i}") - float(means[i])) / float(sds[i])).alias(names[i])
+    z = data.select("_bucket", "_t", "_e0", *[((F.col(f"_x{i}") - float(means[i])) / float(sds[i])).alias(names[i])
                                    for i in range(len(covariates))])
     beta = np.zeros(len(covariates))
     ll_old, converged, it = None, False, 0
@@ -334,6 +300,8 @@ def cox_ph(df: DataFrame, duration: str, event: str, covariates: list[str],
         if np.max(np.abs(step)) < 1e-9 or abs(float(grad @ step)) < tol:
             converged = True
             break
+    if not converged and st["events"]:
+        raise RuntimeError(f"the Cox fit did not converge in {max_iter} iterations")
     ll, grad, info = _efron_step(z, names, beta)
     cov = np.linalg.pinv(info)
     coef = beta / sds

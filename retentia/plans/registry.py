@@ -19,7 +19,7 @@ from ..operators import metrics as met
 from ..operators import revenue as rev
 from ..operators import stats as st
 from ..operators import survival as surv
-from ..session import reliable_checkpoint
+from ..session import write_once
 from ..sources import tables as src
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -36,12 +36,10 @@ def c360(spark: SparkSession, sf_dir: str) -> DataFrame:
     return feat.customer_360(src.load_tables(spark, sf_dir))
 
 
-def c360_materialised(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The matrix written once (reliable checkpoint) for queries that read it
-    in several branches -- column pruning makes those branches differ, so
-    Spark could not share their exchanges and would rebuild the matrix from
-    the fact tables for each. The reference likewise persists it once."""
-    return reliable_checkpoint(c360(spark, sf_dir))
+def c360_written(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
+    """The columns that a query reads in several branches, selected first and
+    then written once: the fact tables behind other columns are not scanned."""
+    return write_once(c360(spark, sf_dir).select(*columns), "c360")
 
 
 # ----------------------------------------------------------------- sources
@@ -120,15 +118,15 @@ def cohort_retention_long(spark, sf_dir):
 @query("cohort_retention_matrix")
 def cohort_retention_matrix(spark, sf_dir):
     long = cohort_retention_long(spark, sf_dir)
-    # the column list is the index range; one bounded scalar comes back
+    # a column for every month of the tables' calendar (1992-01 to 1998-08),
+    # and for later indices if there are any: no cell is dropped
     top = long.agg(F.max("cohort_index")).first()[0]
-    indices = list(range(0, int(top) + 1)) if top is not None else []
-    return coh.cohort_matrix(long, indices)
+    return coh.cohort_matrix(long, list(range(max(79, int(top or 0)) + 1)))
 
 
 @query("cohort_retention_active")
 def cohort_retention_active(spark, sf_dir):
-    return coh.cohort_retention_active(src.subscriptions(spark, sf_dir), src.accounts(spark, sf_dir))
+    return coh.cohort_retention_active(src.subscriptions(spark, sf_dir), src.accounts(spark, sf_dir), 12, 12)
 
 
 # ----------------------------------------------------------------- revenue
@@ -169,7 +167,8 @@ def ltv_account(spark, sf_dir):
 
 @query("ltv_by_tier")
 def ltv_by_tier(spark, sf_dir):
-    return rev.ltv_by_tier(rev.ltv_accounts(c360_materialised(spark, sf_dir)))
+    return rev.ltv_by_tier(rev.ltv_accounts(c360_written(
+        spark, sf_dir, "account_id", "plan_tier", "churn_flag", "tenure_months", "total_mrr")))
 
 
 @query("ltv_by_tier_variant_b")
@@ -229,7 +228,7 @@ def survival_naive_by_tier(spark, sf_dir):
 
 @query("survival_headline")
 def survival_headline(spark, sf_dir):
-    return surv.survival_headline(c360_materialised(spark, sf_dir))
+    return surv.survival_headline(c360_written(spark, sf_dir, "tenure_months", "churn_flag"))
 
 
 @query("cox_risk_sets")
@@ -265,21 +264,14 @@ def chisq_tier_churn(spark, sf_dir):
     return st.chi_square(c360(spark, sf_dir), "plan_tier", "churn_flag")
 
 
-CORR_COLUMNS = ["tenure_months", "total_mrr", "seats", "error_rate_per_100_events",
-                "total_duration_hours", "avg_session_duration_mins", "total_tickets", "avg_csat",
-                "avg_first_response_min", "avg_resolution_hours", "churn_flag"]
-CORR_COLUMNS_B = ["total_mrr", "seats", "tenure_months", "error_rate_per_100_events", "avg_csat",
-                  "avg_first_response_min", "total_tickets", "churn_flag"]
-
-
 @query("correlation_matrix")
 def correlation_matrix(spark, sf_dir):
-    return st.correlation(c360(spark, sf_dir), CORR_COLUMNS)
+    return st.correlation(c360(spark, sf_dir), st.CORR_COLUMNS)
 
 
 @query("correlation_matrix_variant_b")
 def correlation_matrix_variant_b(spark, sf_dir):
-    return st.correlation(feat.customer_360_variant_b(src.load_tables(spark, sf_dir)), CORR_COLUMNS_B)
+    return st.correlation(feat.customer_360_variant_b(src.load_tables(spark, sf_dir)), st.CORR_COLUMNS_B)
 
 
 def _ticket_ols(spark, sf_dir):
@@ -308,14 +300,10 @@ def ols_csat_diagnostics(spark, sf_dir):
     return _ticket_ols(spark, sf_dir).diagnostics()
 
 
-ACCOUNT_CSAT_REGRESSORS = ["avg_first_response_min", "avg_resolution_hours", "total_escalations",
-                           "error_rate_per_100_events"]
-
-
 @query("ols_account_csat")
 def ols_account_csat(spark, sf_dir):
     b = feat.customer_360_variant_b(src.load_tables(spark, sf_dir))
-    return st.OLSResult(b, "avg_csat", ACCOUNT_CSAT_REGRESSORS).coefficients()
+    return st.OLSResult(b, "avg_csat", st.ACCOUNT_CSAT_REGRESSORS).coefficients()
 
 
 # ----------------------------------------------------------------- churn
@@ -331,13 +319,13 @@ def churn_class_balance(spark, sf_dir):
 
 @query("stratified_split")
 def stratified_split(spark, sf_dir):
-    return ch.stratified_split(c360_materialised(spark, sf_dir)).select("account_id", "churn_flag", "is_test",
+    return ch.stratified_split(c360_written(spark, sf_dir, "account_id", "churn_flag")).select("account_id", "churn_flag", "is_test",
                                                            "train_rank")
 
 
 @query("stratified_folds")
 def stratified_folds(spark, sf_dir):
-    return ch.stratified_folds(ch.stratified_split(c360_materialised(spark, sf_dir))).select(
+    return ch.stratified_folds(ch.stratified_split(c360_written(spark, sf_dir, "account_id", "churn_flag"))).select(
         "account_id", "churn_flag", "train_rank", "fold")
 
 
@@ -348,20 +336,26 @@ def _long(df, names_exprs, digits=None):
     return df.select("account_id", F.explode(F.array(*cells)).alias("e")).select("account_id", "e.*")
 
 
+def _churn_inputs(spark, sf_dir):
+    """The matrix's model columns, written once: the split reads them twice."""
+    return c360_written(spark, sf_dir, "account_id", "churn_flag", *ch.NUMERIC_FEATURES, *ch.CATEGORICAL_FEATURES)
+
+
 @query("standardized_features")
 def standardized_features(spark, sf_dir):
-    data = reliable_checkpoint(ch.stratified_split(c360(spark, sf_dir)))
+    data = write_once(ch.stratified_split(_churn_inputs(spark, sf_dir)), "split")
     enc = ch.Encoding(data.where(~F.col("is_test")))
     scaled = enc.transformer().transform(data)
-    return _long(scaled, [(c, F.col(f"z__{c}")) for c in enc.numeric], digits=6)
+    return _long(scaled, [(c, F.col(n)) for c, n in zip(enc.numeric, enc.input_columns())], digits=6)
 
 
 @query("onehot_features")
 def onehot_features(spark, sf_dir):
-    data = reliable_checkpoint(ch.stratified_split(c360(spark, sf_dir)))
+    data = write_once(ch.stratified_split(_churn_inputs(spark, sf_dir)), "split")
     enc = ch.Encoding(data.where(~F.col("is_test")))
     coded = enc.transformer().transform(data)
-    return _long(coded, [(n, F.col(f"d__{n}").cast("int")) for n in enc.dummy_names])
+    return _long(coded, [(n, F.col(c).cast("int"))
+                         for n, c in zip(enc.dummy_names, enc.input_columns()[len(enc.numeric):])])
 
 
 @query("binary_metrics")
@@ -375,7 +369,7 @@ def confusion_matrix(spark, sf_dir):
 
 
 def _experiment(spark, sf_dir):
-    return ch.ChurnExperiment(c360(spark, sf_dir))
+    return ch.ChurnExperiment(_churn_inputs(spark, sf_dir))
 
 
 @query("churn_logistic")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import SparkSession
 
@@ -35,7 +36,7 @@ def build_session(master: str | None = None, shuffle_partitions: int | None = No
     if shuffle_partitions:
         conf["spark.sql.shuffle.partitions"] = str(shuffle_partitions)
     if master and master.startswith("local"):
-        conf.setdefault("spark.driver.memory", "16g")
+        conf.setdefault("spark.driver.memory", "8g")
         conf.setdefault("spark.ui.enabled", "false")
         conf.setdefault("spark.ui.showConsoleProgress", "false")
         # one JVM: every block is process-local, waiting for locality buys nothing
@@ -62,7 +63,8 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the shared checkpoint folder named by ``spark.checkpoint.dir``.
 
     A cluster names a shared (HDFS/object-store) folder there and we use it
-    as is. Only when it is unset -- local tests -- do we pick a scratch folder.
+    as is. Only in local mode may it be unset; we then pick a scratch folder.
+    Elsewhere that is an error, as executors do not see the driver's disk.
     """
     try:
         sc = spark.sparkContext
@@ -70,6 +72,8 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         return spark.conf.get("spark.checkpoint.dir", None)
     current = sc.getCheckpointDir() or sc.getConf().get("spark.checkpoint.dir", None)
     if not current:
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         current = tempfile.mkdtemp(prefix="retentia-ckpt-")
     if sc.getCheckpointDir() is None:
         sc.setCheckpointDir(current)
@@ -77,9 +81,18 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A path under the shared checkpoint folder for intermediate tables."""
-    base = ensure_checkpoint_dir(spark)
-    return os.path.join(base, name)
+    """A path under the shared checkpoint folder, a new one on every call."""
+    return os.path.join(ensure_checkpoint_dir(spark), f"{name}-{uuid.uuid4().hex}")
+
+
+def write_once(df, name: str = "table"):
+    """``df`` written as Parquet to the shared folder and read again: later
+    branches prune columns and survive executor loss. Select what they need
+    first."""
+    spark = df.sparkSession
+    path = scratch_path(spark, name)
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def default_parallelism(spark: SparkSession, fallback: int = 8) -> int:
@@ -96,13 +109,7 @@ def reliable_checkpoint(df):
     The input is persisted first: an eager checkpoint otherwise computes its
     plan twice (once to count, once to write the files)."""
     from pyspark import StorageLevel
-    spark = df.sparkSession
-    try:
-        has_dir = spark.sparkContext.getCheckpointDir() is not None
-    except Exception:  # noqa: BLE001 -- Spark Connect checkpoints on the server
-        has_dir = True
-    if not has_dir:
-        return df.persist(StorageLevel.MEMORY_AND_DISK)
+    ensure_checkpoint_dir(df.sparkSession)
     held = df.persist(StorageLevel.MEMORY_AND_DISK)
     out = held.checkpoint(eager=True)
     held.unpersist()

@@ -1,4 +1,6 @@
 """Spark operators against NumPy brute force on sf0.001-derived fixtures."""
+import math
+
 import numpy as np
 import pandas as pd
 import pytest
@@ -25,7 +27,13 @@ def c360_pd(c360):
     return c360.toPandas()
 
 
-def test_exact_median_matches_numpy(spark):
+@pytest.fixture
+def small_ranges(monkeypatch):
+    """Ranges of seven rows, so that the stitching of ranges is tested."""
+    monkeypatch.setattr(ordered, "range_count", lambda rows, per=0: max(1, -(-rows // 7)))
+
+
+def test_exact_median_matches_numpy(spark, small_ranges):
     rng = np.random.default_rng(7)
     vals = np.concatenate([rng.normal(size=501), np.zeros(300), rng.integers(0, 3, size=100)])
     groups = rng.integers(0, 4, size=len(vals))
@@ -36,7 +44,7 @@ def test_exact_median_matches_numpy(spark):
         assert got[g] == float(np.median(sub["x"]))
     assert exact_median(df, "x").first()["median"] == float(np.median(vals))
     # tiny sketch accuracy forces the fallback path for some groups
-    got2 = {r["g"]: r["median"] for r in exact_median(df, "x", ["g"], accuracy=10).collect()}
+    got2 = {r["g"]: r["median"] for r in exact_median(df, "x", ["g"]).collect()}
     assert got2 == got
 
 
@@ -60,7 +68,7 @@ def test_split_sizes_and_folds(c360_pd, c360):
     assert (counts.max(axis=1) - counts.min(axis=1) <= 1).all()
 
 
-def test_running_sums_and_successive_diffs(spark):
+def test_running_sums_and_successive_diffs(spark, small_ranges):
     rng = np.random.default_rng(3)
     x = rng.permutation(2000).astype(float)
     v = rng.normal(size=2000)
@@ -68,7 +76,7 @@ def test_running_sums_and_successive_diffs(spark):
     got = ordered.running_sums(df, "k", ["v"], buckets=16).toPandas().sort_values("k")
     order = np.argsort(x)
     assert np.allclose(got["cum_v"].to_numpy(), np.cumsum(v[order]))
-    dw = ordered.successive_diff_sq_sum(df, "k", "v", buckets=16)
+    dw = ordered.successive_diff_sq_sum(df, "k", "v")
     assert dw == pytest.approx(float(np.sum(np.diff(v[order]) ** 2)), rel=1e-12)
 
 
@@ -159,26 +167,80 @@ def test_kaplan_meier_matches_numpy(c360, c360_pd):
 
 def test_logrank_p_value(c360, c360_pd):
     r = surv.logrank_test(c360, "tenure_months", "churn_flag", "plan_tier", "Enterprise", "Basic")
-    assert 0.0 <= r["p_value"] <= 1.0
-    assert r["test_statistic"] >= 0.0
-
-
-def test_efron_series_closed_form_matches_direct():
-    s0 = np.array([5.0e6, 1234.5, 80.0])
-    t0 = np.array([2.5e5, 400.0, 80.0])
-    d = np.array([200_001, 150_000, 120])
-    direct = np.zeros((6, 3))
-    for k in range(3):
-        c = np.arange(d[k]) / d[k]
-        a0 = s0[k] - c * t0[k]
-        a = 1 / a0
-        direct[:, k] = [np.log(a0).sum(), a.sum(), (c * a).sum(), (a * a).sum(), (c * a * a).sum(),
-                        (c * c * a * a).sum()]
-    old = surv._DIRECT_TIES
-    try:
-        surv._DIRECT_TIES = 10
-        closed = surv._efron_series(s0, t0, d)
-    finally:
-        surv._DIRECT_TIES = old
-    assert np.allclose(closed[:, :2], direct[:, :2], rtol=1e-9)
-    assert np.allclose(closed, direct, rtol=1e-6)
+    two = c360_pd[c360_pd["plan_tier"].isin(["Enterprise", "Basic"])]
+    T, E = two["tenure_months"].to_numpy(float), two["churn_flag"].to_numpy(int)
+    A = (two["plan_tier"] == "Enterprise").to_numpy()
+    diff = var = 0.0
+    for t in np.unique(T[E == 1]):
+        n, na, d = (T >= t).sum(), ((T >= t) & A).sum(), ((T == t) & (E == 1)).sum()
+        diff += ((T == t) & (E == 1) & A).sum() - d * na / n
+        var += d * (na / n) * (1 - na / n) * (n - d) / (n - 1) if n > 1 else 0.0
+    assert r["test_statistic"] == pytest.approx(diff ** 2 / var, rel=1e-9)
+    assert r["p_value"] == pytest.approx(math.erfc(math.sqrt(diff ** 2 / var / 2)), rel=1e-9)
+
+
+def test_efron_terms_with_very_many_ties(spark):
+    """More than 100,000 events at one time, risk sets up to 1e10 (sums given)."""
+    rng = np.random.default_rng(3)
+    rows, expected = [], np.zeros(1 + 2 + 3)
+    for s0, share, d in ((1e9, 2e-4, 200_000), (1e10, 2e-5, 150_001), (5e6, 0.05, 70_000), (80.0, 1.0, 120), (50.0, 0.02, 1)):
+        s1, s2 = s0 * rng.normal(0, 0.1, 2), s0 * np.array([1.0, 0.1, 1.2])
+        t0, t1, t2 = share * s0, share * s1 * 0.9, share * s2 * 0.95
+        rows.append((d, s0, *s1, *s2, t0, *t1, *t2))
+        c = np.arange(d) / d
+        a0 = s0 - c * t0
+        a1 = [(s1[i] - c * t1[i]) / a0 for i in range(2)]
+        a2 = [(s2[k] - c * t2[k]) / a0 for k in range(3)]
+        expected += np.array([np.log(a0).sum(), *[a.sum() for a in a1],
+                              *[(a2[k] - a1[i] * a1[j]).sum() for k, (i, j) in enumerate([(0, 0), (0, 1), (1, 1)])]])
+    names = ["0", "1_0", "1_1", "2_0_0", "2_0_1", "2_1_1"]
+    df = spark.createDataFrame([tuple(map(float, r[1:])) + (r[0],) for r in rows],
+                               ", ".join([f"s{k} double" for k in names] + [f"t{k} double" for k in names] + ["d long"]))
+    got = surv.efron_sums(df, 2).first()
+    assert np.allclose([got[k] for k in ("ll", "g_0", "g_1", "h_0_0", "h_0_1", "h_1_1")], expected, rtol=1e-9)
+
+
+def test_cox_that_does_not_converge_is_an_error(c360):
+    with pytest.raises(RuntimeError, match="converge"):
+        surv.cox_ph(c360, "tenure_months", "churn_flag", surv.COX_COVARIATES, max_iter=1)
+
+
+def test_successive_differences_by_text_and_large_keys(spark, small_ranges):
+    rng = np.random.default_rng(8)
+    v = rng.normal(size=60)
+    for keys, kind in (([f"T-{i:04d}" for i in range(60)], "string"), ([(1 << 60) + i for i in range(60)], "long")):
+        order = rng.permutation(60).tolist()
+        df = spark.createDataFrame([(keys[i], float(v[i])) for i in order], f"k {kind}, v double")
+        assert ordered.successive_diff_sq_sum(df, "k", "v") == pytest.approx((np.diff(v) ** 2).sum())
+
+
+def test_gram_keeps_three_decimals(spark):
+    from retentia.operators import stats
+    df = spark.createDataFrame([(1.005, 1.0), (1.0049, 2.0)], "x double, y double")
+    got = {(r.row_var, r.col_var): r.value for r in stats.gram(df, "y", ["x"]).collect()}
+    assert got["x", "x"] == pytest.approx(1.005 ** 2 + 1.0049 ** 2, abs=1e-12)
+
+
+def test_correlation_is_one_pass_without_generated_rows(spark):
+    from retentia.operators import stats
+    rng = np.random.default_rng(1)
+    x = rng.normal(size=(200, 3))
+    rows = [tuple(None if rng.random() < 0.1 else float(v) for v in r) for r in x]
+    df = spark.createDataFrame(rows, "a double, b double, c double")
+    out = stats.correlation(df, ["a", "b", "c"], digits=9)
+    got = {(r.var_a, r.var_b): r.r for r in out.collect()}
+    import pandas as pd
+    expected = pd.DataFrame(rows, columns=["a", "b", "c"]).corr()
+    assert len(got) == 9 and all(got[p, q] == pytest.approx(expected.loc[p, q], abs=1e-8) for p in "abc" for q in "abc")
+
+
+def test_tail_columns_match_the_driver_functions(spark):
+    from retentia.functions import tails
+    from retentia.functions.distributions import chi2_sf, f_sf
+    rows = [(x, d) for x in (0.0014, 0.5, 3.84, 12.0, 40.0) for d in (1, 2, 3, 4, 7, 10)]
+    df = spark.createDataFrame(rows, "x double, d int")
+    for r in df.select("x", "d", tails.chi2_tail(F.col("x"), F.col("d")).alias("p")).collect():
+        assert r.p == pytest.approx(chi2_sf(r.x, r.d), rel=1e-6, abs=1e-13)
+    df = spark.createDataFrame([(f, a, b) for f in (0.2, 1.0, 4.5) for a in (2, 4, 6) for b in (5, 60, 600)], "f double, a int, b int")
+    for r in df.select("f", "a", "b", tails.f_tail(F.col("f"), F.col("a"), F.col("b")).alias("p")).collect():
+        assert r.p == pytest.approx(f_sf(r.f, r.a, r.b), rel=1e-6)
