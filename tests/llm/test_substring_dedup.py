@@ -37,13 +37,23 @@ def rows():
     return out
 
 
-@pytest.mark.parametrize("group", [256, 1])
+@pytest.mark.parametrize("group", [20_000, 1])
 def test_against_brute_force(make_docs, monkeypatch, group):
     monkeypatch.setattr(substring_dedup, "GROUP", group)  # 1: every mixed group goes by whole windows
     got = remove_repeats(make_docs(rows())).drop("kept_text").collect()
     assert sorted(map(tuple, got), key=str) == brute(rows())
 
 
+def test_window_ranks_sort_whole_windows():
+    import numpy as np
+    rng = np.random.default_rng(1)
+    words = rng.integers(0, 2, 400)
+    rank = substring_dedup.window_ranks(words)
+    windows = [tuple(words[i: i + 35]) for i in range(len(words) - 34)]
+    order = {w: k for k, w in enumerate(sorted(set(windows)))}
+    assert rank.tolist() == [order[w] for w in windows]
+
+
 def test_small_table(small, small_texts):
     got = remove_repeats(small("documents")).drop("kept_text").collect()
     assert sorted(map(tuple, got), key=str) == brute(small_texts.items())
