@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from retentia.session import ensure_checkpoint_dir
 
 # Unit of text that one vectorised step works on, in bytes: bounds the memory of a Python worker.
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 1 << 19
 # The characters that separate words in the query contracts: [\x20\x09-\x0D].
 WORD_SPACE = " \t\n\x0b\x0c\r"
 

@@ -193,9 +193,10 @@ def near_classes(docs: DataFrame, threshold: float = 0.8) -> DataFrame:
     keyed = row_key(texts(docs))
     signed = materialise(keyed.select("_key", "doc_id", "text").mapInArrow(_sign, "_key long, doc_id long, cls long, n_shingles int, bands array<long>"), "signed")
     some = signed.filter("n_shingles > 0")
-    classes = some.groupBy("cls").agg(F.count("*").alias("weight"), F.min("_key").alias("_key"))
-    rows = some.select("cls", F.explode("bands").alias("band"))
+    classes = materialise(some.groupBy("cls").agg(F.count("*").alias("weight"), F.min("_key").alias("_key"), F.first("bands").alias("bands")), "classes")
+    rows = classes.select("cls", F.explode("bands").alias("band"))
     buckets = rows.groupBy("band").agg(F.min("cls").alias("first"), F.max("cls").alias("last")).filter("first < last").select("band", "first")
+    buckets = materialise(buckets, "buckets")  # so that the join reads plain shuffles and Spark can split a hot bucket
     stars = rows.join(buckets, "band").filter("cls <> first").select(F.col("cls").alias("a"), F.col("first").alias("b")).distinct()
     candidates = components(stars)
     members = materialise(candidates.join(classes, F.col("node") == F.col("cls")).select("cls", "component", "weight", "_key"), "members")
@@ -203,7 +204,8 @@ def near_classes(docs: DataFrame, threshold: float = 0.8) -> DataFrame:
     groups = max(1, members.count() // BLOCK)
     blocked = (members.join(sizes, "component").withColumn("n_blocks", F.ceil(F.col("size") / BLOCK).cast("int"))
                .withColumn("block", F.pmod(F.xxhash64("cls"), F.col("n_blocks")).cast("int")))
-    texts_ = keyed.select("_key", "text").join(blocked, "_key").dropDuplicates(["cls"])
+    # always by shuffle: the members are a share of the corpus, whatever their size here
+    texts_ = keyed.select("_key", "text").join(blocked.hint("merge"), "_key").dropDuplicates(["cls"])
     tasks = texts_.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("n_blocks") - 1))).select(
         "component", "cls", "weight", "text", "block", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"),
         F.when(F.col("n_blocks") == 1, F.pmod(F.xxhash64("component"), F.lit(groups))).otherwise(
