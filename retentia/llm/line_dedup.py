@@ -12,7 +12,7 @@ segments, and a line within the threshold must contain one of them unchanged,
 at a place that its shift bounds. Each line is therefore indexed by (segment
 number, length, segment), and probes, for each shorter or equal length in
 reach, only the substrings that multi-match-aware selection leaves. Candidates
-are verified by the banded bit-parallel edit distance: one 64-bit word holds
+whose letter counts allow it are verified by the banded bit-parallel edit distance: one 64-bit word holds
 the 2 * edits + 1 cells of a column, after the common ends are cut off.
 
 Defined results: null and empty texts have no lines to remove; rows with the
@@ -30,38 +30,42 @@ from retentia.llm.common import carried, let, materialise, row_key, texts
 
 EDITS = 2
 MIN_CHARS = 30
+KEY_CHARS = 32
 
 
-def segment_bounds(length: Column, i: int, edits: int = EDITS) -> tuple[Column, Column]:
-    """(start from 0, length) of segment i of edits + 1; the last ones are longer by one if need be."""
+def _segment_keys(lines: DataFrame, wanted: list[tuple[int, int, int]], edits: int, name: str) -> DataFrame:
+    """(key, name) of every line of (h, line, n), for each wanted (segment, less, shift).
+
+    The key names segment ``i`` of lines ``less`` shorter, read ``shift`` away
+    from its place: lengths are cut into edits + 1 even segments, the last
+    ones longer by one if need be. The first KEY_CHARS of a segment stand for
+    it, which can only add candidates. The cases are rows, so that the
+    generated code stays small.
+    """
     parts = edits + 1
-    short = F.floor(length / parts).cast("int")
-    longer = length - short * parts  # that many segments at the end have one more
-    start = i * short + F.greatest(F.lit(0), i - (parts - longer))
-    return start, short + F.when(F.lit(i) >= parts - longer, 1).otherwise(0)
-
-
-def _index(edits: int) -> Column:
-    """Keys under which a line (columns line, n) is indexed."""
-    keys = []
-    for i in range(edits + 1):
-        start, size = segment_bounds(F.col("n"), i, edits)
-        keys.append(F.xxhash64(F.lit(i), F.col("n"), F.substring("line", start + 1, size)))
-    return F.array(*keys)
-
-
-def _probes(edits: int) -> Column:
-    """Keys that a line looks up: substrings that a line of the same or a smaller length in reach may have as segment i."""
-    keys = []
-    for less in range(edits + 1):
-        other = F.col("n") - less
-        for i in range(edits + 1):
-            start, size = segment_bounds(other, i, edits)
-            # edits before the segment bound the shift from the left, those after it from the right
-            for shift in range(max(-i, less - (edits - i)), min(i, less + (edits - i)) + 1):
-                at = start + shift
-                keys.append(F.when((at >= 0) & (at + size <= F.col("n")), F.xxhash64(F.lit(i), other, F.substring("line", at + 1, size))))
-    return F.array_distinct(F.array_compact(F.array(*keys)))
+    cases = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(less).alias("less"), F.lit(shift).alias("shift")) for i, less, shift in wanted])
+    each = lines.select(F.col("h").alias(name), "line", "n", F.inline(cases)).withColumn("length", F.col("n") - F.col("less"))
+    each = each.withColumn("short", F.expr(f"cast(length div {parts} as int)"))
+    plain = F.lit(parts) - (F.col("length") - F.col("short") * parts)  # segments that are not longer by one
+    each = each.withColumns({"at": F.col("i") * F.col("short") + F.greatest(F.lit(0), F.col("i") - plain) + F.col("shift"),
+                             "size": F.col("short") + F.when(F.col("i") >= plain, 1).otherwise(0)})
+    inside = each.filter((F.col("at") >= 0) & (F.col("at") + F.col("size") <= F.col("n")))
+    return inside.select(F.xxhash64("i", "length", F.substring("line", F.col("at") + 1, F.least(F.col("size"), F.lit(KEY_CHARS)))).alias("key"), name)
+
+
+def _index(lines: DataFrame, edits: int, name: str) -> DataFrame:
+    """Keys under which lines are indexed: their own segments."""
+    return _segment_keys(lines, [(i, 0, 0) for i in range(edits + 1)], edits, name)
+
+
+def _probes(lines: DataFrame, edits: int, name: str) -> DataFrame:
+    """Keys that lines look up: what a line of the same or a smaller length in reach may have as a segment.
+
+    Edits before the segment bound its shift from the left, those after it
+    from the right.
+    """
+    return _segment_keys(lines, [(i, less, shift) for less in range(edits + 1) for i in range(edits + 1)
+                                 for shift in range(max(-i, less - (edits - i)), min(i, less + (edits - i)) + 1)], edits, name)
 
 
 def _common_start(a: Column, b: Column) -> Column:
@@ -109,7 +113,8 @@ def edit_distance(a: Column, b: Column, edits: int = EDITS) -> Column:
                     return F.struct(hn.bitwiseOR(long(mask) - bits(half.bitwiseOR(hp))).alias("vp"), half.bitwiseAND(hp).alias("vn"),
                                     (state["d"] + F.when(i < m - edits, down).otherwise(along)).alias("d"))
                 return let(d0, rest)
-            return let(x, step)
+            # the score falls by one in each of the last 2 * edits columns at most: beyond this it cannot come back
+            return F.when(state["d"] > 3 * edits, state).otherwise(let(x, step))
 
         start = F.struct(long(((1 << (edits + 1)) - 1) << edits).alias("vp"), long(0).alias("vn"), F.lit(edits).alias("d"))
         ran = F.aggregate(F.sequence(F.lit(0), n - 1), start, column, lambda s: s["d"])
@@ -128,6 +133,16 @@ def edit_distance(a: Column, b: Column, edits: int = EDITS) -> Column:
     return let(longer, lambda x: let(shorter, lambda y: cut(x, y)))
 
 
+# Frequent letters; any set gives a right bound.
+LETTERS = "etaoinsrhl"
+
+
+def may_be_near(a: Column, b: Column, edits: int = EDITS) -> Column:
+    """False only for texts further apart than ``edits``: an edit changes at most two letter counts by one."""
+    count = lambda s, c: F.length(s) - F.length(F.replace(s, F.lit(c), F.lit("")))
+    return sum((F.abs(count(a, c) - count(b, c)) for c in LETTERS), F.lit(0)) <= 2 * edits
+
+
 def _lines(keyed: DataFrame, min_chars: int) -> DataFrame:
     return (keyed.select("_key", "doc_id", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
             .filter(F.length("line") >= min_chars))
@@ -152,15 +167,13 @@ def near_lines(docs: DataFrame, edits: int = EDITS, min_chars: int = MIN_CHARS)
         return each
 
     lines = texts_at(firsts.select("at._key", "at.line_no", "h")).withColumn("n", F.length("line"))
-    index = lines.select(F.explode(_index(edits)).alias("key"), F.col("h").alias("a"))
-    probe = lines.select(F.explode(_probes(edits)).alias("key"), F.col("h").alias("b"))
-    pairs = index.join(probe, "key").filter("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    pairs = materialise(pairs, "line-pairs")
+    pairs = _index(lines, edits, "a").join(_probes(lines, edits, "b"), "key").filter("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    # nothing is written here: in one plan both look-ups of texts read the same shuffled documents
     place = firsts.select("h", "h2", "at")
-    needed = pairs.select(F.col("a").alias("h")).union(pairs.select(F.col("b").alias("h"))).distinct()
-    text = materialise(texts_at(firsts.join(needed, "h", "left_semi").select("at._key", "at.line_no", "h")), "line-texts").dropDuplicates(["h"])
+    needed = pairs.select(F.explode(F.array("a", "b")).alias("h")).distinct()
+    text = texts_at(firsts.join(needed, "h", "left_semi").select("at._key", "at.line_no", "h")).dropDuplicates(["h"])
     side = lambda n: place.join(text, "h").select(F.col("h").alias(n), F.col("h2").alias(f"{n}_2"), F.col("at").alias(f"{n}_at"), F.col("line").alias(f"{n}_line"))
-    both = pairs.join(side("a"), "a").join(side("b"), "b")
+    both = pairs.join(side("a"), "a").join(side("b"), "b").filter(may_be_near(F.col("a_line"), F.col("b_line"), edits))
     far = both.withColumn("distance", F.explode(F.array(edit_distance(F.col("a_line"), F.col("b_line"), edits)))).filter(F.col("distance") <= edits)
     later = F.col("a_at") > F.col("b_at")
     gone = (far.select(F.when(later, F.col("a")).otherwise(F.col("b")).alias("h"), F.when(later, F.col("a_2")).otherwise(F.col("b_2")).alias("h2"),
