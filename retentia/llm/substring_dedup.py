@@ -9,8 +9,8 @@ occur once need no further work.
 
 * Groups whose stretches are all equal need no tree: every start repeats.
 * Groups of at most ``GROUP`` different stretches get a suffix tree of their
-  suffixes (sorted word sequences, common-prefix lengths, internal nodes): the
-  leaves below an internal node of depth ``WINDOW`` or more repeat.
+  suffixes (sorted by prefix doubling, internal nodes as runs of a common
+  prefix): the leaves below an internal node of depth ``WINDOW`` repeat.
 * In larger groups the prefix is lengthened to the whole window, one row per
   suffix: a group is then one path, and counting replaces the tree. So no
   group that reaches a task grows with the data.
@@ -33,11 +33,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from retentia.llm.common import gram_hashes, materialise, mix64, multipliers, row_key, split_words, text_slices, texts
+from retentia.llm.common import discard, gram_hashes, materialise, mix64, multipliers, row_key, split_words, text_slices, texts
 
 WINDOW = 35
 ANCHOR = 8
-GROUP = 256  # different stretches in a tree
+# Different stretches in a tree: about 1 kB each while it is built (50 words, as ranks, pairs and sort order).
+GROUP = 20_000
 TREE_BATCH = 2000  # stretches of small groups that share a task's frame
 _ROOT = int(multipliers(600)[599])
 
@@ -115,33 +116,48 @@ def _texts_of(frames):
             yield pd.DataFrame(out, columns=["anchor", "stretch", "more", "words"])
 
 
+def window_ranks(words: np.ndarray) -> np.ndarray:
+    """Rank of the WINDOW words from each place on, in sorted order: suffix sorting by prefix doubling.
+
+    Ranks of runs twice as long come from pairs of ranks; suffixes of equal
+    rank share a path of WINDOW words.
+    """
+    rank, size = np.unique(words, return_inverse=True)[1], 1
+    while size < WINDOW and len(rank):
+        step = min(size, WINDOW - size)
+        rank = np.unique(rank[: len(rank) - step] * (int(rank.max()) + 1) + rank[step:], return_inverse=True)[1]
+        size += step
+    return rank
+
+
 def repeated_suffixes(entries: list[tuple[list[str], int, int]]) -> list[int]:
     """Bit masks of the starts whose window repeats, one mask per entry (words, starts - 1, copies).
 
     The suffix tree of all suffixes that start a window, as far as it matters:
-    sorted suffixes, the common-prefix length of neighbours, and its internal
-    nodes of depth WINDOW or more, whose leaves are runs of neighbours.
+    suffixes in sorted order, whose internal nodes at depth WINDOW are the
+    runs of suffixes with a common prefix that long. The leaves below a node
+    with two leaves or more repeat.
     """
-    leaves = sorted((tuple(words[s: s + WINDOW]), e, s) for e, (words, more, _) in enumerate(entries) for s in range(more + 1))
-    masks, i = [0] * len(entries), 0
-    while i < len(leaves):
-        j = i + 1
-        while j < len(leaves) and leaves[j][0] == leaves[i][0]:  # common prefix reaches the window: same deep node
-            j += 1
-        if j - i > 1 or entries[leaves[i][1]][2] > 1:
-            for _, e, s in leaves[i:j]:
-                masks[e] |= 1 << s
-        i = j
-    return masks
+    name: dict[str, int] = {}
+    words = np.array([name.setdefault(w, len(name)) for e in entries for w in e[0]], np.int64)
+    rank = window_ranks(words)
+    starts = np.array([e[1] + 1 for e in entries])
+    first = np.cumsum([0, *(len(e[0]) for e in entries[:-1])])
+    entry = np.repeat(np.arange(len(entries)), starts)
+    place = np.arange(len(entry)) - np.repeat(np.cumsum(starts) - starts, starts)
+    node = rank[first[entry] + place]
+    leaves = np.bincount(node, np.array([e[2] for e in entries])[entry])
+    deep = leaves[node] > 1
+    masks = np.zeros(len(entries), np.int64)
+    np.bitwise_or.at(masks, entry[deep], np.int64(1) << place[deep])
+    return masks.tolist()
 
 
 def _trees(pdf: pd.DataFrame) -> pd.DataFrame:
-    out = []
-    for anchor, part in pdf.groupby("anchor", sort=False):
-        entries = [(w.split(" "), m, c) for w, m, c in zip(part["words"], part["more"].tolist(), part["copies"].tolist(), strict=True)]
-        masks = repeated_suffixes(entries)
-        out += [(anchor, s, m) for s, m in zip(part["stretch"].tolist(), masks, strict=True) if m]
-    return pd.DataFrame(out, columns=["anchor", "stretch", "mask"])
+    """All groups of a task at once: windows of different groups differ in their anchor, so no path joins them."""
+    entries = [(w.split(" "), m, c) for w, m, c in zip(pdf["words"], pdf["more"].tolist(), pdf["copies"].tolist(), strict=True)]
+    out = pdf[["anchor", "stretch"]].assign(mask=np.array(repeated_suffixes(entries), np.int64))
+    return out[out["mask"] != 0]
 
 
 def _windows(frames):
@@ -184,9 +200,13 @@ def repeated_starts(docs_keyed: DataFrame) -> DataFrame:
     """(_key, at, mask): runs of starts (first << 8 | starts - 1) and which of them repeat, as bits; -1: all."""
     anchors = docs_keyed.select("_key", "text").mapInArrow(_anchors, "_key long, anchor long, stretch long, at long")
     anchors = materialise(anchors, "anchors")
+    # written first, so that the join reads plain shuffles and Spark can split a hot anchor
     often = (anchors.groupBy("anchor").agg(F.count("*").alias("n"), F.min("stretch").alias("least"), F.max("stretch").alias("most"))
              .filter("n > 1").select("anchor", (F.col("least") == F.col("most")).alias("same")))
+    often = materialise(often, "often")
     again = materialise(anchors.join(often, "anchor"), "again")
+    discard(anchors)
+    discard(often)
     plain = again.filter("same").select("_key", "at", F.lit(-1).cast("long").alias("mask"))
     mixed = again.filter("not same").drop("same")
     wanted = mixed.groupBy("_key").agg(F.collect_set("at").alias("wanted"))
