@@ -24,7 +24,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from retentia.llm.common import carried, discard, let, materialise, word_array
+from retentia.llm.common import carried, discard, let, materialise, texts, word_array
 
 BINS = 64
 FEATURES = ("n_words", "word_length", "symbol_share", "dup_line_share", "repeat_share", "upper_share",
@@ -191,26 +191,32 @@ def learn(labelled: DataFrame, features: tuple[str, ...] = FEATURES, min_precisi
     return DecisionList(rules)
 
 
-def decision_list(docs: DataFrame, labels: DataFrame) -> DecisionList:
-    """Rules learned from every labelled document that passes the base rule."""
+def decision_list(stats: DataFrame, labels: DataFrame) -> DecisionList:
+    """Rules learned from the statistics of every labelled document that passes the base rule.
+
+    Only the narrow statistics are joined to the labels; texts are not shuffled.
+    """
     marked = labels.filter("doc_id is not null and quality is not null").select(
         F.col("doc_id").cast("long").alias("doc_id"), (F.col("quality") == 0).alias("reject"))
-    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    seen = materialise(statistics(own.join(marked, "doc_id"), ("doc_id", "reject")), "labelled")
-    rules = learn(seen.filter(~base_failed()))
+    seen = materialise(stats.filter(~base_failed()).join(marked, "doc_id"), "labelled")
+    rules = learn(seen)
     discard(seen)
     return rules
 
 
-def judge(docs: DataFrame, labels: DataFrame, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+def judge(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """Statistics of every document with ``base_failed``, ``kept`` and the ``reason`` of a rejection."""
-    rules = decision_list(docs, labels)
-    return (statistics(docs, keep).withColumn("base_failed", base_failed())
+    stats = materialise(statistics(texts(docs)), "statistics")
+    rules = decision_list(stats, labels)
+    return (stats.withColumn("base_failed", base_failed())
             .withColumn("reason", F.when(F.col("base_failed"), F.lit("base")).otherwise(rules.reason()))
             .withColumn("kept", F.col("reason").isNull()))
 
 
 def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The documents that are kept, with all their columns."""
-    rules = decision_list(docs, labels)
+    stats = materialise(statistics(texts(docs)), "statistics")
+    rules = decision_list(stats, labels)
+    discard(stats)
+    # statistics are worked out again beside the rows: cheaper than shuffling whole texts to join them
     return statistics(carried(docs), ("_row",)).filter(~base_failed() & rules.reason().isNull()).select("_row.*")
