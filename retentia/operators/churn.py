@@ -42,7 +42,7 @@ FOLDS = 5
 MODEL_NAMES = ["Logistic Regression (Baseline)", "Random Forest Classifier", "Gradient-Boosted Trees"]
 ROWS_PER_PARTITION = 100_000  # training-table partition size for the model fits
 # Fits that run at once in cross-validation; each holds a copy of its training rows.
-PARALLEL_FITS = 4
+PARALLEL_FITS = 8
 
 
 # --------------------------------------------------------------------- M1, M7
