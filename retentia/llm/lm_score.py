@@ -1,12 +1,14 @@
 """LM scoring by masked pseudo-likelihood with a bidirectional window network.
 
 Tokens are the ``WORDS`` most frequent words of the whole corpus, the others
-share ``OTHERS`` hashed tokens. A network in numpy predicts every token from
+share ``OTHERS`` hashed tokens; inside its hashed token a word has its share of
+the token's count in the whole corpus, discounted. A network in numpy predicts every token from
 the ``SIDE`` tokens on both sides of it (the token itself is never seen):
 embeddings, a hidden layer, and a two-level softmax over token classes and the
 tokens of a class, so probabilities are normalised over all tokens. A
 document's score is the sum of the conditional log-probabilities of all its
-tokens.
+words: that of the token, plus that of the word given its token. Tasks hold the
+counts of the ``HELD`` most frequent words; those of all others are joined.
 
 Training is distributed: in each round every task starts from the same
 parameters, takes gradient steps on the tokens of its documents whose place
@@ -22,6 +24,8 @@ alike; an empty corpus gives no rows.
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -36,6 +40,8 @@ CLASSES = VOCAB // CLASS
 SIDE, EMBED, HIDDEN = 2, 16, 32
 ROUNDS, STRIDE, BATCH = 3, 12, 2048
 RATE = 0.3
+HELD = 1 << 18  # words whose counts every task holds; the counts of the others are joined
+DISCOUNT = 0.5  # taken off the count of a word outside the vocabulary, left to words that the corpus does not have
 COUNT_BYTES = 32 << 20  # text that a task counts before it emits partial counts
 
 
@@ -55,29 +61,84 @@ def _word_counts(batches):
         yield flush()
 
 
-def vocabulary(docs: DataFrame) -> np.ndarray:
-    """Hashes of the most frequent words of all documents, most frequent first."""
+def word_counts(docs: DataFrame) -> DataFrame:
+    """(word, n): the hash of every word of all documents and how often it occurs."""
     counted = texts(docs).select("text").mapInArrow(_word_counts, "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
-    top = counted.orderBy(F.desc("n"), "word").limit(WORDS).collect()
-    return np.array([r["word"] for r in top], np.int64).view(np.uint64)
+    return materialise(counted, "word-counts")
+
 
+def _columns(rows: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    got = rows.select("word", "n").toArrow()
+    return got.column("word").to_numpy().astype(np.int64).view(np.uint64), got.column("n").to_numpy().astype(np.int64)
 
-def token_ids(h: np.ndarray, words: np.ndarray, order: np.ndarray) -> np.ndarray:
-    """Token of each word hash; ``words`` sorted by ``order``."""
-    out = (WORDS + h % np.uint64(OTHERS)).astype(np.int64)
-    if len(words):
-        at = np.minimum(np.searchsorted(words, h), len(words) - 1)
-        known = words[at] == h
-        out[known] = order[at[known]]
-    return out
 
+def held_words(counts: DataFrame) -> tuple[np.ndarray, np.ndarray, int]:
+    """Hashes and counts of the most frequent words, at most HELD, and the count from which on words are held.
 
-def _encode(batches, words, order):
+    The count is one of a logarithmic scale, so a word that is not held is
+    about a HELD-th of all tokens at most: no join on it is skewed.
+    """
+    steps = (counts.groupBy(F.floor(F.log2("n") * 8).alias("step")).agg(F.count("*").alias("words"), F.min("n").alias("least"))
+             .orderBy(F.desc("step")).collect())
+    least, words = 1 << 62, 0
+    for r in steps:
+        words += r["words"]
+        if words > HELD:
+            break
+        least = r["least"]
+    return *_columns(counts.filter(F.col("n") >= least)), least
+
+
+@dataclass
+class Lexicon:
+    """What tasks know of words: token and log share of its token for each held word, and the log count of each hashed token."""
+
+    words: np.ndarray  # sorted hashes
+    token: np.ndarray
+    share: np.ndarray  # log P(word | token); 0 for words with a token of their own
+    others: np.ndarray
+
+    def look_up(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Token and log share of each word hash, and which words are not held: their share lacks the log of their count."""
+        bucket = (h % np.uint64(OTHERS)).astype(np.int64)
+        token, share, rare = WORDS + bucket, -self.others[bucket], np.ones(len(h), bool)
+        if len(self.words):
+            at = np.minimum(np.searchsorted(self.words, h), len(self.words) - 1)
+            known = self.words[at] == h
+            token[known], share[known], rare[known] = self.token[at[known]], self.share[at[known]], False
+        return token, share, rare
+
+
+def lexicon(counts: DataFrame) -> tuple[Lexicon, int]:
+    """The lexicon, and the count below which words are not held."""
+    top, top_n = _columns(counts.orderBy(F.desc("n"), "word").limit(WORDS))
+    held, held_n, least = held_words(counts)
+    own = np.isin(held, top)
+    held, held_n = held[~own], held_n[~own]
+    total = np.zeros(OTHERS)
+    for bucket, n in counts.groupBy(F.pmod("word", F.lit(OTHERS))).agg(F.sum("n")).collect():  # OTHERS divides 2 ** 64
+        total[bucket] = n
+    np.subtract.at(total, (top % np.uint64(OTHERS)).astype(np.int64), top_n)
+    others = np.log(np.maximum(total, 1))
+    bucket = (held % np.uint64(OTHERS)).astype(np.int64)
+    words = np.concatenate([top, held])
+    order = np.argsort(words)
+    token = np.concatenate([np.arange(len(top)), WORDS + bucket])
+    share = np.concatenate([np.zeros(len(top)), np.log(held_n - DISCOUNT) - others[bucket]])
+    return Lexicon(words[order], token[order], share[order], others), least
+
+
+def _encode(batches, known):
     for rows, data, offsets in text_slices(batches):
         h, _, _, row = split_words(data, offsets)
-        ids = token_ids(h, words, order).astype("<u2").tobytes()
-        ends = 2 * np.searchsorted(row, np.arange(rows.num_rows + 1))
-        yield pa.RecordBatch.from_arrays([rows.column(0), pa.array([ids[a:b] for a, b in zip(ends[:-1], ends[1:], strict=True)], pa.binary())], ["doc_id", "ids"])
+        token, share, rare = known.look_up(h)
+        ids, each = token.astype("<u2").tobytes(), np.arange(rows.num_rows + 1)
+        ends = 2 * np.searchsorted(row, each)
+        yield pa.RecordBatch.from_arrays([
+            rows.column(0), pa.array([ids[a:b] for a, b in zip(ends[:-1], ends[1:], strict=True)], pa.binary()),
+            pa.array(np.bincount(row, share, rows.num_rows).astype(np.float64)),
+            pa.ListArray.from_arrays(pa.array(np.searchsorted(row[rare], each).astype(np.int32)), pa.array(h[rare].view(np.int64)))],
+            ["doc_id", "ids", "share", "rare"])
 
 
 class Network:
@@ -214,20 +275,26 @@ def _score(batches, flat):
     for batch in batches:
         for a in range(0, batch.num_rows, 256):
             part = batch.slice(a, 256)
-            around, token, row, _ = _around(part.column(1).to_pylist())
+            around, token, row, _ = _around(part.column(2).to_pylist())
             logs = np.concatenate([net.log_probs(around[i: i + 8192], token[i: i + 8192]) for i in range(0, len(token), 8192)] or [np.zeros(0)]).astype(np.float64)
             n = np.bincount(row, minlength=part.num_rows)
-            total = np.bincount(row, logs, part.num_rows)
-            mean = pa.array(total / np.maximum(n, 1), mask=n == 0)
-            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(n), pa.array(total), mean], ["doc_id", "n_tokens", "log_prob", "mean_log_prob"])
+            total = np.bincount(row, logs, part.num_rows) + part.column(3).to_numpy()
+            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(n), pa.array(total)], ["row", "doc_id", "n_tokens", "log_prob"])
 
 
 def score(docs: DataFrame) -> DataFrame:
     """doc_id, n_tokens, log_prob (summed) and mean_log_prob of every document."""
     spark = docs.sparkSession
-    found = vocabulary(docs)
-    order = np.argsort(found)
-    known = spark.sparkContext.broadcast((found[order], order))
-    encoded = materialise(texts(docs).mapInArrow(lambda b: _encode(b, *known.value), "doc_id long, ids binary"), "encoded")
+    counts = word_counts(docs)
+    words, least = lexicon(counts)
+    known = spark.sparkContext.broadcast(words)
+    encoded = texts(docs).mapInArrow(lambda b: _encode(b, known.value), "doc_id long, ids binary, share double, rare array<long>")
+    encoded = materialise(encoded.withColumn("row", F.monotonically_increasing_id()), "encoded")
     flat = spark.sparkContext.broadcast(train(spark, encoded))
-    return encoded.mapInArrow(lambda b: _score(b, flat.value), "doc_id long, n_tokens long, log_prob double, mean_log_prob double")
+    scored = encoded.select("row", "doc_id", "ids", "share").mapInArrow(lambda b: _score(b, flat.value), "row long, doc_id long, n_tokens long, log_prob double")
+    # sums of whole numbers, so that they do not depend on the order of rows
+    log_count = F.round(F.log(F.col("n") - F.lit(DISCOUNT)) * 2.0 ** 32).cast("long")
+    rare = (encoded.select("row", F.explode("rare").alias("word")).join(counts.filter(F.col("n") < least), "word")
+            .groupBy("row").agg((F.sum(log_count) / 2.0 ** 32).alias("rare")))
+    whole = scored.join(rare, "row", "left").withColumn("log_prob", F.col("log_prob") + F.coalesce("rare", F.lit(0.0)))
+    return whole.select("doc_id", "n_tokens", "log_prob", F.when(F.col("n_tokens") > 0, F.col("log_prob") / F.col("n_tokens")).alias("mean_log_prob"))

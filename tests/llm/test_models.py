@@ -64,6 +64,30 @@ def test_lm_scores(spark, make_docs):
     assert lm_score.score(make_docs([])).count() == 0
 
 
+def many_words():
+    """Clean texts over 6,000 words, and junk: words that occur once."""
+    rng = np.random.default_rng(3)
+    rows = [(i, " ".join(f"w{k}" for k in np.minimum(rng.zipf(1.3, 120), 6000))) for i in range(300)]
+    rows += [(500 + i, " ".join(f"w{k}" for k in rng.integers(1, 6001, 120))) for i in range(300)]
+    return rows + [(1000 + i, " ".join(f"x{rng.integers(1 << 60)}" for _ in range(120))) for i in range(20)]
+
+
+def test_junk_words_score_below_clean_text(make_docs):
+    got = {r.doc_id: r.mean_log_prob for r in lm_score.score(make_docs(many_words())).collect()}
+    clean, spread, junk = (np.array([got[i] for i in ids]) for ids in (range(300), range(500, 800), range(1000, 1020)))
+    assert clean.min() > junk.max() and spread.mean() > junk.max()
+
+
+def test_joined_counts_score_like_held_ones(make_docs, monkeypatch):
+    docs = make_docs(many_words() + [(2000, None), (1000, many_words()[600][1])])
+    held = sorted(lm_score.score(docs).collect(), key=str)
+    for words in (3000, 0):
+        monkeypatch.setattr(lm_score, "HELD", words)
+        joined = sorted(lm_score.score(docs).collect(), key=str)
+        assert [(r.doc_id, r.n_tokens) for r in joined] == [(r.doc_id, r.n_tokens) for r in held]
+        assert all(abs((a.log_prob or 0) - (b.log_prob or 0)) < 1e-2 for a, b in zip(held, joined, strict=True))
+
+
 # byte-level network
 
 def test_chunks_cover_every_byte():
