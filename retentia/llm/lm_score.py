@@ -12,8 +12,8 @@ counts of the ``HELD`` most frequent words; those of all others are joined.
 
 Training is distributed: in each round every task starts from the same
 parameters, takes gradient steps on the tokens of its documents whose place
-falls to the round (one in ``STRIDE``, so rounds see different tokens of every
-document), and returns the change; changes are averaged in Spark, weighted by
+falls to the round (every ``ROUNDS``-th, so that over the rounds each token of
+every document is a target once), and returns the change; changes are averaged in Spark, weighted by
 tokens, and added. What is counted, shuffled and trained on grows with the
 corpus; the parameters that reach the driver do not.
 
@@ -38,7 +38,7 @@ VOCAB = WORDS + OTHERS
 CLASS = 64  # tokens of a class
 CLASSES = VOCAB // CLASS
 SIDE, EMBED, HIDDEN = 2, 16, 32
-ROUNDS, STRIDE, BATCH = 3, 12, 2048
+ROUNDS, BATCH = 3, 2048
 RATE = 0.3
 HELD = 1 << 18  # words whose counts every task holds; the counts of the others are joined
 DISCOUNT = 0.5  # taken off the count of a word outside the vocabulary, left to words that the corpus does not have
@@ -166,48 +166,63 @@ class Network:
 
     def log_probs(self, around: np.ndarray, token: np.ndarray) -> np.ndarray:
         """log P(token | tokens around it), rows (left ..., right ...)."""
-        _, h = self._top(around)
-        cls, inside = token // CLASS, token % CLASS
-        out = _log_softmax(h @ self.classes + self.class_bias)[np.arange(len(h)), cls]
-        order = np.argsort(cls, kind="stable")
-        for part in np.split(order, np.flatnonzero(np.diff(cls[order])) + 1):
-            if len(part):
-                c = cls[part[0]]
-                out[part] += _log_softmax(h[part] @ self.tokens[c] + self.token_bias[c])[np.arange(len(part)), inside[part]]
+        order, around, cls, inside, ends = _by_class(around, token)
+        h = self._top(around)[1]
+        logs = _log_softmax_at(self.classes.T @ h.T + self.class_bias[:, None], cls)
+        for c, (a, b) in enumerate(zip(ends[:-1], ends[1:], strict=True)):
+            if a < b:
+                logs[a:b] += _log_softmax_at(self.tokens[c].T @ h[a:b].T + self.token_bias[c][:, None], inside[a:b])
+        out = np.empty_like(logs)
+        out[order] = logs
         return out
 
     def step(self, around: np.ndarray, token: np.ndarray, rate: float) -> None:
         """One gradient step on the mean loss of a batch."""
         n = len(token)
+        _, around, cls, inside, ends = _by_class(around, token)
         x, h = self._top(around)
-        cls, inside = token // CLASS, token % CLASS
-        d = np.exp(_log_softmax(h @ self.classes + self.class_bias))
-        d[np.arange(n), cls] -= 1
-        dh = d @ self.classes.T
+        d = _softmax(self.classes.T @ h.T + self.class_bias[:, None])
+        d[cls, np.arange(n)] -= 1
+        dh = d.T @ self.classes.T
         scale = np.float32(rate / n)
-        updates = [(self.classes, h.T @ d), (self.class_bias, d.sum(0))]
-        order = np.argsort(cls, kind="stable")
-        for part in np.split(order, np.flatnonzero(np.diff(cls[order])) + 1):
-            c = cls[part[0]]
-            e = np.exp(_log_softmax(h[part] @ self.tokens[c] + self.token_bias[c]))
-            e[np.arange(len(part)), inside[part]] -= 1
-            dh[part] += e @ self.tokens[c].T
-            self.tokens[c] -= scale * CLASSES ** 0.5 * (h[part].T @ e)
-            self.token_bias[c] -= scale * CLASSES ** 0.5 * e.sum(0)
+        updates = [(self.classes, h.T @ d.T), (self.class_bias, d.sum(1))]
+        for c, (a, b) in enumerate(zip(ends[:-1], ends[1:], strict=True)):
+            if a < b:
+                e = _softmax(self.tokens[c].T @ h[a:b].T + self.token_bias[c][:, None])
+                e[inside[a:b], np.arange(b - a)] -= 1
+                dh[a:b] += e.T @ self.tokens[c].T
+                self.tokens[c] -= scale * CLASSES ** 0.5 * (h[a:b].T @ e.T)
+                self.token_bias[c] -= scale * CLASSES ** 0.5 * e.sum(1)
         dpre = dh * (1 - h * h)
         dx = (dpre @ self.hidden.T).reshape(-1, EMBED)
         updates += [(self.hidden, x.T @ dpre), (self.hidden_bias, dpre.sum(0))]
         for value, grad in updates:
             value -= scale * grad
-        at = around.ravel()
+        at = around.ravel().astype(np.uint16)  # short numbers sort fast
         order = np.argsort(at, kind="stable")
-        first = np.flatnonzero(np.concatenate([[True], np.diff(at[order]) > 0]))
-        self.embed[at[order][first]] -= scale * 8 * np.add.reduceat(dx[order], first)
+        at = at[order]
+        first = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1]]))
+        self.embed[at[first]] -= scale * 8 * np.add.reduceat(dx[order], first)
 
 
-def _log_softmax(z: np.ndarray) -> np.ndarray:
-    z = z - z.max(1, keepdims=True)
-    return z - np.log(np.exp(z).sum(1, keepdims=True))
+def _by_class(around: np.ndarray, token: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Rows put in the order of their token's class: the order, the rows, classes, places inside them, and where each class starts."""
+    order = np.argsort((token // CLASS).astype(np.uint8), kind="stable")
+    cls, inside = np.divmod(token[order], CLASS)
+    return order, around[order], cls, inside, np.searchsorted(cls, np.arange(CLASSES + 1))
+
+
+def _softmax(z: np.ndarray) -> np.ndarray:
+    """Of each column."""
+    e = np.exp(z - z.max(0))
+    e /= e.sum(0)
+    return e
+
+
+def _log_softmax_at(z: np.ndarray, place: np.ndarray) -> np.ndarray:
+    """The log softmax of each column at its place."""
+    top = z.max(0)
+    return z[place, np.arange(len(place))] - top - np.log(np.exp(z - top).sum(0))
 
 
 def _around(ids: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -224,6 +239,11 @@ def _around(ids: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.nd
     return (np.stack([padded[at + s] for s in steps], 1) if len(token) else np.zeros((0, 2 * SIDE), np.int64)), token, row, place
 
 
+def _targets(place: np.ndarray, turn: int) -> np.ndarray:
+    """Which tokens, by their place in the document, the network learns in a round: each token in one of them."""
+    return (place + turn) % ROUNDS == 0
+
+
 def _train(batches, flat, turn):
     net, seen = Network(flat.copy()), 0
     waiting: list[tuple[np.ndarray, np.ndarray]] = []
@@ -238,8 +258,8 @@ def _train(batches, flat, turn):
     size = 0
     for batch in batches:
         for a in range(0, batch.num_rows, 1024):
-            around, token, row, place = _around(batch.column(0).slice(a, 1024).to_pylist())
-            mine = (place + row + turn * (STRIDE // ROUNDS)) % STRIDE == 0
+            around, token, _, place = _around(batch.column(0).slice(a, 1024).to_pylist())
+            mine = _targets(place, turn)
             waiting.append((around[mine], token[mine]))
             size += int(mine.sum())
             if size >= 32 * BATCH:

@@ -3,6 +3,7 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -88,6 +89,17 @@ def test_joined_counts_score_like_held_ones(make_docs, monkeypatch):
         assert all(abs((a.log_prob or 0) - (b.log_prob or 0)) < 1e-2 for a, b in zip(held, joined, strict=True))
 
 
+def test_every_token_is_a_training_target_once():
+    docs = [np.arange(n).astype("<u2").tobytes() for n in (1, 2, 3, 50, 0, 1)]
+    flat, seen = lm_score.Network.start().flat, 0
+    for turn in range(lm_score.ROUNDS):
+        for out in lm_score._train([pa.RecordBatch.from_arrays([pa.array(docs, pa.binary())], ["ids"])], flat, turn):
+            seen += out.column("change")[-1].as_py()  # the last place counts tokens
+    assert seen == 57
+    place = np.arange(100)
+    assert (sum(lm_score._targets(place, turn).astype(int) for turn in range(lm_score.ROUNDS)) == 1).all()
+
+
 # byte-level network
 
 def test_chunks_cover_every_byte():
