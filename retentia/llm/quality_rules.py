@@ -1,13 +1,15 @@
 """Quality rules as a learned decision list (sequential covering).
 
 Every document gets a row of text statistics, all from DataFrame functions.
-On the labelled documents their values are cut into quantile bins and equal
-bin vectors are pre-aggregated into weighted cells. Sequential covering then
-learns rules for the reject class: a rule grows by the threshold condition
-with the best information gain on the growing part of the cells, is pruned to
+Labelled documents with equal values are pre-aggregated into weighted cells,
+and values are cut into bins at the quantiles of the reject class, however
+small it is. Sequential covering then learns rules for the reject class: a rule
+grows by the threshold condition with the best information gain on the growing
+part of the cells, its threshold refined among the rejected values between the
+neighbouring cuts (the whole search in steps of BINS quantiles), is pruned to
 the prefix that does best on the pruning part, and the cells it covers are
 taken out; it stops when a rule is no longer precise. Every search step is one
-aggregation whose result has a row per feature and bin. The list is emitted as
+aggregation whose result has a row per feature and bin, or one of quantiles. The list is emitted as
 one ordered conditional expression, so scoring is a plain projection.
 
 Defined results: null and empty texts have zero statistics (and fail the word
@@ -126,23 +128,58 @@ def learn(labelled: DataFrame, features: tuple[str, ...] = FEATURES, min_precisi
     """
     rows = labelled.select(*[F.col(f).cast("double").alias(f) for f in features], F.col("reject").cast("int").alias("reject"),
                            (F.pmod(F.xxhash64(F.col("doc_id")), F.lit(3)) > 0).alias("grow")).dropna()
-    found = rows.agg(*[F.percentile_approx(f, [(i + 1) / BINS for i in range(BINS)], 10_000).alias(f) for f in features]).first()
-    cuts = {f: sorted(set(found[f] or [])) for f in features}
+    cells = materialise(rows.groupBy("grow", *features).agg(F.sum("reject").alias("p"), F.sum(1 - F.col("reject")).alias("n")), "cells")
+
+    def quantiles(seen, names):
+        """Cuts at the quantiles of the rejected rows: where a value begins and, for conditions from above, where it has ended."""
+        found = seen.filter("p > 0").agg(*[F.percentile_approx(f, [(i + 1) / BINS for i in range(BINS)], 10_000).alias(f) for f in names]).first()
+        return {f: sorted({c for v in found[f] or [] for c in (v, math.nextafter(v, math.inf))}) for f in names}
+
+    # the best cut of a statistic is always beside a rejected value: any other can be moved there and loses only rows that stay
+    cuts = quantiles(cells, features)
+
     # bin b of a value: the number of cuts at or below it, so value >= cuts[b - 1] and value < cuts[b]
-    bin_of = lambda f: F.size(F.filter(F.array(*[F.lit(c) for c in cuts[f]]).cast("array<double>"), lambda c: c <= F.col(f)))
-    binned = rows.select("reject", "grow", *[bin_of(f).alias(f) for f in features])
-    cells = materialise(binned.groupBy("grow", *features).agg(F.sum("reject").alias("p"), F.sum(1 - F.col("reject")).alias("n")), "cells")
+    def bin_of(f, cuts):
+        return F.size(F.filter(F.array(*[F.lit(c) for c in cuts]).cast("array<double>"), lambda c: c <= F.col(f)))
+
+    plain, cells = cells, materialise(cells.select("*", *[bin_of(f, cuts[f]).alias(f"{f}_bin") for f in features]), "binned-cells")
+    discard(plain)
 
     def where(conditions):
         out = F.lit(True)
-        for f, at_least, b in conditions:
-            out = out & (F.col(f) >= b if at_least else F.col(f) < b)
+        for f, at_least, c in conditions:
+            out = out & (F.col(f) >= c if at_least else F.col(f) < c)
         return out
 
+    def best_cut(counts, f, cuts, p0, n0, best):
+        """The better of ``best`` and the cuts of a statistic, by p and n of its bins."""
+        p = n = 0
+        for b in sorted(counts):  # below b, and from b on
+            for at_least, q, m in ((False, p, n), (True, p0 - p, n0 - n)):
+                if b and q + m < p0 + n0 and (g := _gain(q, m, p0, n0)) > best[0]:
+                    best = (g, (f, at_least, cuts[b - 1]))
+            p, n = p + counts[b][0], n + counts[b][1]
+        return best
+
+    def refined(seen, counts, best, p0, n0):
+        """The best cut between the bins beside the one chosen, with ever finer quantiles, until no rejected value lies between."""
+        f, near = best[1][0], cuts[best[1][0]]
+        while True:
+            b = near.index(best[1][2]) + 1
+            last = max(x for x in counts if x < b)  # the bin with rows before the cut
+            low, high = near[last - 1] if last else -math.inf, near[b] if b < len(near) else math.inf
+            inside = seen.filter((F.col(f) >= low) & (F.col(f) < high) & (F.col("p") > 0)).select(f, "p").dropDuplicates([f])
+            more = set(quantiles(inside, [f])[f]) - set(near)
+            if not more:
+                return best
+            near = sorted(more | {c for c in near if low <= c <= high})
+            counts = {b: (p, n) for b, p, n in seen.groupBy(bin_of(f, near).alias("b")).agg(F.sum("p"), F.sum("n")).collect()}
+            best = best_cut(counts, f, near, p0, n0, best)
+
     def candidates(seen):
         """p and n of the growing cells by feature and bin."""
         got: dict = {f: {} for f in features}
-        for f, b, p, n in (seen.select(F.explode(F.array(*[F.struct(F.lit(f).alias("f"), F.col(f).alias("b")) for f in features])).alias("x"), "p", "n")
+        for f, b, p, n in (seen.select(F.explode(F.array(*[F.struct(F.lit(f).alias("f"), F.col(f"{f}_bin").alias("b")) for f in features])).alias("x"), "p", "n")
                            .groupBy("x").agg(F.sum("p"), F.sum("n")).select("x.f", "x.b", "sum(p)", "sum(n)").collect()):
             got[f][b] = (p, n)
         return got
@@ -158,21 +195,18 @@ def learn(labelled: DataFrame, features: tuple[str, ...] = FEATURES, min_precisi
     while len(rules) < max_rules:
         conditions, p0, n0 = [], 0, 0
         while len(conditions) < max_conditions:
-            counts = candidates(left(True).filter(where(conditions)))
+            seen = left(True).filter(where(conditions))
+            counts = candidates(seen)
             one = counts[features[0]].values()
             p0, n0 = sum(x[0] for x in one), sum(x[1] for x in one)
             if not p0 or not n0:
                 break
             best = (1e-9, None)
             for f in features:
-                p = n = 0
-                for b in sorted(counts[f]):  # below b, and from b on
-                    for at_least, q, m in ((False, p, n), (True, p0 - p, n0 - n)):
-                        if b and q + m < p0 + n0 and (g := _gain(q, m, p0, n0)) > best[0]:
-                            best = (g, (f, at_least, b))
-                    p, n = p + counts[f][b][0], n + counts[f][b][1]
+                best = best_cut(counts[f], f, cuts[f], p0, n0, best)
             if not best[1]:
                 break
+            best = refined(seen, counts[best[1][0]], best, p0, n0)
             conditions.append(best[1])
         if not conditions:
             break
@@ -186,7 +220,7 @@ def learn(labelled: DataFrame, features: tuple[str, ...] = FEATURES, min_precisi
         if p < min_rejected or p < min_precision * (p + n):
             break
         taken.append(kept)
-        rules.append(Rule([(f, ge, cuts[f][b - 1]) for f, ge, b in kept], (p, n)))
+        rules.append(Rule(kept, (p, n)))
     discard(cells)
     return DecisionList(rules)
 

@@ -56,6 +56,26 @@ def test_no_rule_without_rejected_labels(spark):
     assert learn(labelled(spark, 1).limit(0), ("a", "b", "c")).rules == []
 
 
+def test_few_rejects_on_a_zero_inflated_statistic(spark):
+    """1 % of the rows are rejects, all beyond an exact cut of a statistic that is mostly 0."""
+    r = random.Random(7)
+    rows = [(i, 0.0 if r.random() < 0.9 else r.uniform(0, 0.09), r.random(), False) for i in range(3200)]
+    rows += [(5000 + i, 0.098 + r.uniform(0, 0.2), r.random(), True) for i in range(32)]
+    rules = learn(spark.createDataFrame(rows, "doc_id long, s double, b double, reject boolean"), ("s", "b"))
+    said = {x.doc_id for x in spark.createDataFrame(rows, "doc_id long, s double, b double, reject boolean").filter(rules.reason().isNotNull()).collect()}
+    kept = said ^ {i for i, *_ in rows if i >= 5000}
+    assert len(kept) <= 1  # the smallest reject may be in the pruning part
+
+
+def test_thresholds_are_refined_between_quantiles(spark):
+    """Rejects have 3,000 values from 0.5 on and 3,000 others end just below: the cut is exact, not a quantile."""
+    rows = [(i, i / 6000, i >= 3000) for i in range(6000)] + [(9000 + i, 2 + i / 6000, False) for i in range(3000)]
+    df = spark.createDataFrame(rows, "doc_id long, a double, reject boolean")
+    rules = learn(df, ("a",))
+    wrong = {x.doc_id for x in df.filter(rules.reason().isNotNull() != F.col("reject")).collect()}
+    assert len(wrong) <= 4  # values beside the cut that are in the pruning part
+
+
 def test_judge_and_filter(spark, make_docs):
     r = random.Random(3)
     word = lambda: "".join(r.choice("abcdefgh") for _ in range(6))
