@@ -1,9 +1,9 @@
 """Line dedup by a segment-partition edit join, in DataFrame functions only.
 
-A line of at least ``MIN_CHARS`` characters goes if an earlier line (by
-document id, then line number) equals it or is within ``edits`` edits of it;
-the first of its kind stays. Shorter lines, too short to tell apart by a few
-edits, always stay.
+A line goes if an earlier line (by document id, then line number) equals it
+or, for lines of at least ``MIN_CHARS`` characters, is within ``edits`` edits of
+it; the first of its kind stays. Shorter lines, too short to tell apart by a few
+edits, go only if an earlier one equals them and they have a word.
 
 Equal lines are found by a 128-bit hash, pre-aggregated before the shuffle, so
 a line that a third of all documents share costs one row a task. The first
@@ -145,19 +145,20 @@ def may_be_near(a: Column, b: Column, edits: int = EDITS) -> Column:
 
 def _lines(keyed: DataFrame, min_chars: int) -> DataFrame:
     return (keyed.select("_key", "doc_id", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
-            .filter(F.length("line") >= min_chars))
+            .withColumn("long", F.length("line") >= min_chars).filter(F.col("long") | F.col("line").rlike("[^ \t-\r]")))
 
 
 def near_lines(docs: DataFrame, edits: int = EDITS, min_chars: int = MIN_CHARS) -> tuple[DataFrame, DataFrame]:
     """(first occurrence of each line, the lines among them that go).
 
-    The first: h, h2 (hash of the line), at (doc_id, _key, line_no). The
-    second: h, h2, source (the earliest place of an earlier line in reach) and
+    The first: h, h2 (hash of the line), at (doc_id, _key, line_no) and long,
+    whether the line takes part in the edit join. The second: h, h2, source (the earliest place of an earlier line in reach) and
     its distance.
     """
     keyed = row_key(texts(docs))
-    occ = _lines(keyed, min_chars).select(F.xxhash64("line").alias("h"), F.xxhash64(F.lit(1), "line").alias("h2"), F.struct("doc_id", "_key", "line_no").alias("at"))
-    firsts = materialise(occ.groupBy("h", "h2").agg(F.min("at").alias("at")), "first-lines")
+    occ = _lines(keyed, min_chars).select(F.xxhash64("line").alias("h"), F.xxhash64(F.lit(1), "line").alias("h2"), F.struct("doc_id", "_key", "line_no").alias("at"), "long")
+    firsts = materialise(occ.groupBy("h", "h2", "long").agg(F.min("at").alias("at")), "first-lines")
+    long = firsts.filter("long")
 
     def texts_at(places: DataFrame) -> DataFrame:
         """Lines of places (_key, line_no, h): h and line. Both uses read the same shuffled documents."""
@@ -166,12 +167,12 @@ def near_lines(docs: DataFrame, edits: int = EDITS, min_chars: int = MIN_CHARS)
         each = own.select(F.inline(let(F.col("lines"), lambda ls: F.transform("places", lambda p: F.struct(p["h"].alias("h"), F.get(ls, p["line_no"]).alias("line"))))))
         return each
 
-    lines = texts_at(firsts.select("at._key", "at.line_no", "h")).withColumn("n", F.length("line"))
+    lines = texts_at(long.select("at._key", "at.line_no", "h")).withColumn("n", F.length("line"))
     pairs = _index(lines, edits, "a").join(_probes(lines, edits, "b"), "key").filter("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     # nothing is written here: in one plan both look-ups of texts read the same shuffled documents
-    place = firsts.select("h", "h2", "at")
+    place = long.select("h", "h2", "at")
     needed = pairs.select(F.explode(F.array("a", "b")).alias("h")).distinct()
-    text = texts_at(firsts.join(needed, "h", "left_semi").select("at._key", "at.line_no", "h")).dropDuplicates(["h"])
+    text = texts_at(long.join(needed, "h", "left_semi").select("at._key", "at.line_no", "h")).dropDuplicates(["h"])
     side = lambda n: place.join(text, "h").select(F.col("h").alias(n), F.col("h2").alias(f"{n}_2"), F.col("at").alias(f"{n}_at"), F.col("line").alias(f"{n}_line"))
     both = pairs.join(side("a"), "a").join(side("b"), "b").filter(may_be_near(F.col("a_line"), F.col("b_line"), edits))
     far = both.withColumn("distance", F.explode(F.array(edit_distance(F.col("a_line"), F.col("b_line"), edits)))).filter(F.col("distance") <= edits)

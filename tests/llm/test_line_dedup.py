@@ -107,3 +107,10 @@ def test_documents_without_the_lines(make_docs):
 def test_plan_has_no_python(make_docs):
     plan = drop_repeated_lines(make_docs(corpus()[:5]))._jdf.queryExecution().toString()
     assert "Python" not in plan and "Arrow" not in plan and "Pandas" not in plan
+
+
+def test_short_lines_go_if_they_are_equal(make_docs):
+    docs = make_docs([(1, "All rights reserved.\n\n  \nsome words"), (2, "All rights reserved.\n\n  \nAll rights reserved!"), (3, "x\nsome words\nx")])
+    got = {tuple(r) for r in removed_lines(docs).drop("_key").collect()}
+    assert got == {(2, 0, 0, 1, 0), (3, 1, 0, 1, 3), (3, 2, 0, 3, 0)}
+    assert {r.doc_id: r.text for r in drop_repeated_lines(docs).collect()}[2] == "\n  \nAll rights reserved!"
