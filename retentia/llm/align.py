@@ -298,6 +298,7 @@ def align(docs: DataFrame, path_a: str, path_b: str) -> DataFrame:
     """Token, group and link numbers of every document, and how common its links are in the corpus."""
     index = materialise(texts(docs).mapInArrow(lambda b: _index(b, path_a, path_b), INDEX), "alignment-index")
     counts = materialise(pair_counts(index), "pair-counts")
-    postings = index.filter(F.col("pair").isNotNull()).select("bucket", "pair", "planes").join(counts, "pair").select(F.col("bucket").alias("of"), "planes", "count", "best")
+    # the pairs grow with the corpus: the same shuffled join at every size
+    postings = index.filter(F.col("pair").isNotNull()).select("bucket", "pair", "planes").join(counts.hint("merge"), "pair").select(F.col("bucket").alias("of"), "planes", "count", "best")
     documents = index.filter(F.col("pos").isNotNull()).select("bucket", "pos", "doc_id", "n_a", "n_b", "n_groups", "n_links", "groups_sha256")
     return documents.groupBy("bucket").cogroup(postings.groupBy("of")).applyInArrow(_scored, RESULT)
