@@ -28,6 +28,8 @@ from retentia.llm.common import materialise, split_words, text_slices
 
 # Bytes of text whose counts are combined before they leave Python.
 COMBINE_BYTES = 2 << 20
+# Rows of a task that are combined before they leave it; more distinct ones leave in parts.
+COMBINE_ROWS = 1_500_000
 # Sources of a block and terms of a bucket: bound the memory of one group.
 SOURCES = 64
 TERMS = 1024
@@ -59,7 +61,28 @@ def _summed(key: np.ndarray, *values: np.ndarray) -> tuple[np.ndarray, ...]:
 
 
 def term_counts(batches):
-    """Arrow batches of collapsed texts -> their terms' counts and document numbers for each source."""
+    """Arrow batches of collapsed texts -> their terms' counts and document numbers for each source, combined over the task."""
+    held, size = [], 0
+
+    def combined() -> pa.Table:
+        table = pa.Table.from_batches(held).group_by(["lang", "source", "term"]).aggregate([("n", "sum"), ("docs", "sum")])
+        return table.select(["lang", "source", "term", "n_sum", "docs_sum"]).rename_columns(["lang", "source", "term", "n", "docs"])
+
+    for part in slice_counts(batches):
+        held.append(part)
+        size += part.num_rows
+        if size > COMBINE_ROWS:
+            table = combined()
+            held, size = table.to_batches(), table.num_rows
+            if size > COMBINE_ROWS // 2:
+                yield from table.to_batches(max_chunksize=50_000)
+                held, size = [], 0
+    if held:
+        yield from combined().to_batches(max_chunksize=50_000)
+
+
+def slice_counts(batches):
+    """The same for slices of a few megabytes, one after the other."""
     for rows, data, offsets in text_slices(batches, COMBINE_BYTES):
         folded = _FOLD[data]
         word, start, end, row = split_words(folded, offsets, ~_LETTER)
@@ -97,7 +120,9 @@ def _share(count: str, total: str) -> F.Column:
 
 def kept_counts(docs: DataFrame, least_docs: int) -> DataFrame:
     """(lang, source, term, n, n_lang, first): counts of the kept terms; ``first`` marks one row of a term."""
-    counts = collapsed(docs).mapInArrow(term_counts, COUNTS).groupBy("lang", "term", "source").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs"))
+    # combined within the tasks and dealt out by term: the sums and the totals over sources need no further shuffle
+    counts = (collapsed(docs).mapInArrow(term_counts, COUNTS).repartition("lang", "term")
+              .groupBy("lang", "term", "source").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs")))
     term = Window.partitionBy("lang", "term")
     return (counts.withColumn("n_lang", F.sum("n").over(term)).withColumn("docs", F.sum("docs").over(term))
             .withColumn("first", (F.row_number().over(term.orderBy("source")) == 1).cast("long"))

@@ -4,6 +4,8 @@ import random
 import re
 from collections import Counter, defaultdict
 
+import pyarrow as pa
+
 from retentia.llm import divergence
 
 TERM = re.compile("[^\x00-\x40\x5B-\x60\x7B-\x7F]+")
@@ -57,5 +59,17 @@ def test_equal_texts_are_one_row(spark):
     assert found == {("en", "same"): [("a", 40), ("b", 2)], ("de", "same"): [("a", 1)], ("en", ""): [("a", 1), ("b", 1)]}
 
 
+def test_task_combines_in_parts(monkeypatch):
+    batch = pa.RecordBatch.from_pylist([{"lang": "en", "text": f"a b w{'xyz'[i % 3]}", "sources": [{"source": s, "copies": 2} for s in "pq"]} for i in range(50)])
+    monkeypatch.setattr(divergence, "COMBINE_BYTES", 20)
+    whole = pa.Table.from_batches(divergence.term_counts(iter([batch, batch]))).to_pylist()
+    assert sorted((r["source"], r["term"], r["n"], r["docs"]) for r in whole)[:3] == [("p", "a", 200, 200), ("p", "b", 200, 200), ("p", "wx", 68, 68)]
+    monkeypatch.setattr(divergence, "COMBINE_ROWS", 12)
+    total = Counter()
+    for r in pa.Table.from_batches(divergence.term_counts(iter([batch, batch]))).to_pylist():
+        total[r["source"], r["term"]] += r["n"]
+    assert total == {(r["source"], r["term"]): r["n"] for r in whole}
+
+
 def test_empty_table(spark):
     assert got(divergence.audit(docs_of(spark, []))) == []
