@@ -1,4 +1,4 @@
-"""Churn modelling (M1-M8, M14-M18) with ``pyspark.ml``.
+"""Churn modelling (M1-M8, M14-M18): pyspark.ml logistic regression and the ensembles of ``trees``.
 
 * split and folds are exact and stratified: a row's rank inside its class is
   its position by md5(key-seed); ranks are computed per hash-prefix bucket
@@ -7,8 +7,9 @@
 * preprocessing is a ``SQLTransformer`` holding the train-set scaling
   constants and one-hot levels, so the fitted ``PipelineModel`` carries it
   and can be saved, reloaded and applied to batch or streaming frames;
-* every fit is a distributed Spark ML job; only model parameters, a few
-  scalars per fold and small tables reach the driver.
+* every fit is a series of distributed passes; only model parameters, tables
+  of bins and a few scalars per fold reach the driver. The folds of a
+  cross-validation share every pass (``cv_logistic``, ``trees``).
 """
 
 from __future__ import annotations
@@ -16,15 +17,19 @@ from __future__ import annotations
 import os
 from concurrent.futures import ThreadPoolExecutor
 
+import numpy as np
+import pyarrow as pa
 from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
+from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import SQLTransformer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import write_once
-from .metrics import binary_metrics, ranking_metrics
+from ..session import ship_code, write_once
+from . import trees as tr
+from .cv_logistic import fit_folds
+from .metrics import binary_metrics, ranking_metrics_by
 
 # Fixed values of the reference pipeline.
 NUMERIC_FEATURES = [
@@ -41,8 +46,7 @@ TEST_FRACTION = 0.20
 FOLDS = 5
 MODEL_NAMES = ["Logistic Regression (Baseline)", "Random Forest Classifier", "Gradient-Boosted Trees"]
 ROWS_PER_PARTITION = 100_000  # training-table partition size for the model fits
-# Fits that run at once in cross-validation; each holds a copy of its training rows.
-PARALLEL_FITS = 8
+ALL_ROWS = -2  # the model that leaves no fold out
 
 
 # --------------------------------------------------------------------- M1, M7
@@ -144,6 +148,12 @@ class Encoding:
                              f"AS d{len(parts) - len(self.numeric)}")
         return "SELECT *, " + ", ".join(parts) + " FROM __THIS__"
 
+    def inputs(self) -> str:
+        """SQL array of the raw numerics (NULL stays missing) and the indicators: the trees' inputs, in the order of ``feature_names``."""
+        parts = [f"CAST({_sql_name(c)} AS DOUBLE)" for c in self.numeric]
+        parts += [f"CASE WHEN CAST({_sql_name(c)} AS STRING) = {_sql_str(v)} THEN 1.0D ELSE 0.0D END" for c in self.categorical for v in self.levels[c][1:]]
+        return f"array({', '.join(parts)})"
+
     def input_columns(self) -> list[str]:
         """Names of the encoded columns, by position (a level may hold any
         character); ``feature_names`` has the names to show, in this order."""
@@ -161,24 +171,21 @@ def class_weights(df: DataFrame, label: str = "churn_flag") -> tuple[float, floa
     return (n / (2.0 * (n - p)) if n > p else 1.0, n / (2.0 * p) if p > 0 else 1.0)
 
 
-def classifiers(n_train: int, pos_weight_gbt: float, variant: str = "a") -> dict:
-    """The three model families. Logistic: L2 with C = 1 on balanced weights
-    (Spark normalises the loss by the weight sum, which is n with balanced
-    weights, so regParam = 1 / n). Forest: 150 trees, depth 6 (5 in the
-    notebook), sqrt features, balanced weights. Boosting: 120 x depth 4 at
-    0.05 (notebook: 100 x depth 3, unweighted), positives weighted neg/pos."""
-    depth_rf = 6 if variant == "a" else 5
-    gbt_iter, gbt_depth = (120, 4) if variant == "a" else (100, 3)
-    return {
-        MODEL_NAMES[0]: LogisticRegression(featuresCol="_features", labelCol="label", weightCol="_w",
-                                           regParam=1.0 / max(n_train, 1), elasticNetParam=0.0,
-                                           standardization=False, maxIter=1000, tol=1e-6),
-        MODEL_NAMES[1]: RandomForestClassifier(featuresCol="_features", labelCol="label", weightCol="_w",
-                                               numTrees=150, maxDepth=depth_rf, minInstancesPerNode=2,
-                                               featureSubsetStrategy="sqrt", seed=SEED),
-        MODEL_NAMES[2]: GBTClassifier(featuresCol="_features", labelCol="label", weightCol="_wg",
-                                      maxIter=gbt_iter, maxDepth=gbt_depth, stepSize=0.05, seed=SEED),
-    }
+def logistic(n_train: int) -> LogisticRegression:
+    """L2 with C = 1 on balanced weights (Spark normalises the loss by the
+    weight sum, which is n with balanced weights, so regParam = 1 / n)."""
+    return LogisticRegression(featuresCol="_features", labelCol="label", weightCol="_w", regParam=1.0 / max(n_train, 1),
+                              elasticNetParam=0.0, standardization=False, maxIter=1000, tol=1e-6)
+
+
+def forest_settings(variant: str) -> tr.Forest:
+    """150 trees; the script's depth is 6 with nodes split from 5 rows on, the notebook's 5 and 2."""
+    return tr.Forest(150, 6, 5, SEED) if variant == "a" else tr.Forest(150, 5, 2, SEED)
+
+
+def boosting_settings(variant: str, positive_weight: float) -> tr.Boosting:
+    """The script: 120 trees of depth 4, positives weighted neg / pos; the notebook: 100 of depth 3, unweighted. Rate 0.05."""
+    return tr.Boosting(120, 4, 0.05, positive_weight=positive_weight) if variant == "a" else tr.Boosting(100, 3, 0.05)
 
 
 def prepare(df: DataFrame, label: str, weights: tuple[float, float], pos_weight_gbt: float) -> DataFrame:
@@ -198,10 +205,26 @@ def build_model(enc: Encoding, clf) -> Pipeline:
 def score(model: PipelineModel, df: DataFrame) -> DataFrame:
     """Adds ``churn_probability`` (P(class 1)) and ``churn_prediction``."""
     out = model.transform(df)
-    return out.withColumns({
-        "churn_probability": vector_to_array("probability")[1],
-        "churn_prediction": (vector_to_array("probability")[1] > 0.5).cast("int"),
-    })
+    p = F.col("probability_1") if "probability_1" in out.columns else vector_to_array("probability")[1]
+    return out.withColumn("churn_probability", p).withColumn("churn_prediction", (F.col("churn_probability") > 0.5).cast("int"))
+
+
+def _fold_scorer(fitted: list, width: int):
+    """Every row scored by each family's model of its own fold, the one that did not see it."""
+    def run(batches):
+        for b in batches:
+            x, fold = tr._values(b.column(2), width), np.asarray(b.column(1))
+            for name, model in fitted:
+                score = np.zeros(len(x))
+                for f in np.unique(fold):
+                    rows = np.flatnonzero(fold == f)
+                    if isinstance(model, tuple):
+                        kind, cuts, found = model
+                        score[rows] = tr.ensemble_probability(kind, found[f], tr.bin_codes(x[rows], cuts))
+                    else:
+                        score[rows] = model[f].probability(x[rows])
+                yield pa.RecordBatch.from_arrays([pa.array([name] * len(x)), b.column(1), b.column(0), pa.array(score)], ["model", "fold", "label", "score"])
+    return run
 
 
 class ChurnExperiment:
@@ -236,10 +259,27 @@ class ChurnExperiment:
     def _prep(self, df: DataFrame) -> DataFrame:
         return prepare(df, self.label, self.weights, self.pos_weight_gbt)
 
+    def _tree_table(self, rows: DataFrame, fold: str | None = None) -> tuple[DataFrame, list[list[float]]]:
+        """The binned training table of the tree ensembles and its cut points."""
+        rows = rows.withColumn("_inputs", F.expr(self.encoding.inputs()))
+        cuts = tr.cut_points(rows, "_inputs", len(self.encoding.feature_names))
+        return tr.binned(rows, self.key, self.label, "_inputs", cuts, fold), cuts
+
     def model(self, name: str) -> PipelineModel:
         if name not in self._models:
-            clf = classifiers(self.n_train, self.pos_weight_gbt, self.variant)[name]
-            self._models[name] = build_model(self.encoding, clf).fit(self._prep(self.train))
+            if name == MODEL_NAMES[0]:
+                self._models[name] = build_model(self.encoding, logistic(self.n_train)).fit(self._prep(self.train))
+            else:
+                table, cuts = self._tree_table(self.train)
+                if name == MODEL_NAMES[1]:
+                    found, importances = tr.forest(table, cuts, [ALL_ROWS], {ALL_ROWS: self.weights}, forest_settings(self.variant))
+                    stage = tr.TreeEnsemble.of("forest", cuts, found[0], importances[0])
+                else:
+                    found = tr.boost(table, cuts, [ALL_ROWS], boosting_settings(self.variant, self.pos_weight_gbt))
+                    stage = tr.TreeEnsemble.of("boosting", cuts, found[0])
+                tr.release(table)
+                inputs = SQLTransformer(statement=f"SELECT *, {self.encoding.inputs()} AS _inputs FROM __THIS__")
+                self._models[name] = PipelineModel([inputs, stage])
         return self._models[name]
 
     def fit_all(self, parallel: bool = True) -> None:
@@ -275,44 +315,52 @@ class ChurnExperiment:
     def best_name(self) -> str:
         return self.comparison().where("is_best").select("model").first()[0]
 
-    def cross_validate(self, k: int = FOLDS, parallel: int = PARALLEL_FITS,
-                       models: list[str] | None = None) -> DataFrame:
+    def cross_validate(self, k: int = FOLDS, models: list[str] | None = None) -> DataFrame:
         """k-fold stratified CV on the training rows: ROC-AUC per fold, mean
-        and population std per model. What depends on the fold alone is worked
-        out once a fold; at most ``parallel`` fits run at once."""
-        folds = self._prep(stratified_folds(self.data, k))
+        and population std per model. The k models of a family are fitted
+        together, in passes that each read the rows once; one pass scores every
+        row with the models of its own fold, and one aggregation ranks them.
+
+        Bins and indicator levels come from all training rows, without labels;
+        scaling and class weights are each fold's own."""
+        names = models or MODEL_NAMES
+        folds = write_once(stratified_folds(self.data, k).withColumn("_inputs", F.expr(self.encoding.inputs())).select(
+            self.key, self.label, "fold", "_inputs"), "folds")
         sizes = {r["fold"]: (r["n"], r["p"]) for r in folds.groupBy("fold").agg(
-            F.count(F.lit(1)).alias("n"), F.sum("label").alias("p")).collect()}
+            F.count(F.lit(1)).alias("n"), F.sum(F.col(self.label).cast("int")).alias("p")).collect()}
         n_all, p_all = sum(n for n, _ in sizes.values()), sum(p for _, p in sizes.values())
-        train = {f: folds.where(F.col("fold") != f) for f in range(k)}
-        encoding = {f: Encoding(train[f], self.encoding.numeric, self.encoding.categorical)
-                    if self.variant == "a" else self.encoding for f in range(k)}
-        jobs = [(name, f) for name in reversed(models or MODEL_NAMES) for f in range(k)]  # the longest first
-
-        def run(job):
-            name, f = job
-            tr, va, enc = train[f], folds.where(F.col("fold") == f), encoding[f]
-            n_tr = n_all - sizes.get(f, (0, 0))[0]
-            pos = p_all - sizes.get(f, (0, 0))[1]
-            wneg, wpos = (n_tr / (2.0 * (n_tr - pos)) if n_tr > pos else 1.0, n_tr / (2.0 * pos) if pos else 1.0)
-            trw = tr.withColumn("_w", F.when(F.col("label") == 1.0, wpos).otherwise(wneg))
-            clf = classifiers(n_tr, self.pos_weight_gbt, self.variant)[name]
-            m = build_model(enc, clf).fit(trw)
-            auc = ranking_metrics(score(m, va), self.label, "churn_probability", digits=12).first()["roc_auc"]
-            return name, f, float(auc)
-
-        with ThreadPoolExecutor(max_workers=max(1, parallel)) as ex:
-            res = list(ex.map(run, jobs))
+        weights = {}
+        for f in range(k):
+            n, p = n_all - sizes.get(f, (0, 0))[0], p_all - sizes.get(f, (0, 0))[1]
+            weights[f] = (n / (2.0 * (n - p)) if n > p else 1.0, n / (2.0 * p) if p else 1.0)
+        numeric, width = len(self.encoding.numeric), len(self.encoding.feature_names)
+
+        def fit(name):
+            if name == MODEL_NAMES[0]:
+                return fit_folds(folds, self.label, "fold", "_inputs", width, numeric, k, weights, scale=self.variant == "a")
+            cuts = tr.cut_points(folds, "_inputs", width)
+            table = tr.binned(folds, self.key, self.label, "_inputs", cuts, "fold")
+            if name == MODEL_NAMES[1]:
+                found, _ = tr.forest(table, cuts, list(range(k)), weights, forest_settings(self.variant))
+            else:
+                found = tr.boost(table, cuts, list(range(k)), boosting_settings(self.variant, self.pos_weight_gbt))
+            tr.release(table)
+            return "forest" if name == MODEL_NAMES[1] else "boosting", cuts, found
+
+        with ThreadPoolExecutor(max_workers=len(names)) as ex:  # passes of one family fill the gaps of another
+            fitted = list(ex.map(fit, names))
         spark = self.data.sparkSession
-        rows = spark.createDataFrame(res, "model string, fold int, roc_auc double")
-        return rows.groupBy("model").agg(
+        ship_code(spark)
+        scores = folds.select(F.col(self.label).cast("int").alias("label"), "fold", "_inputs").mapInArrow(
+            _fold_scorer(list(zip(names, fitted, strict=True)), width), "model string, fold int, label int, score double")
+        auc = ranking_metrics_by(scores, ["model", "fold"], "label", "score", digits=12).select("model", "fold", "roc_auc")
+        return auc.groupBy("model").agg(
             F.avg("roc_auc").alias("mean_roc_auc"), F.stddev_pop("roc_auc").alias("std_roc_auc"),
             F.sort_array(F.collect_list(F.struct("fold", "roc_auc"))).alias("folds"))
 
     def feature_importance(self, name: str = MODEL_NAMES[1]) -> DataFrame:
         """Gini importances of the forest (even when another model wins)."""
-        m = self.model(name).stages[-1]
-        imp = m.featureImportances.toArray()
+        imp = self.model(name).stages[-1].importances
         spark = self.data.sparkSession
         rows = [(f, float(v)) for f, v in zip(self.encoding.feature_names, imp)]
         return spark.createDataFrame(rows, "feature string, importance double").orderBy(

@@ -8,11 +8,11 @@ so no single task sees all scores.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import reliable_checkpoint
-from .ordered import running_sums
+from ..session import reliable_checkpoint, write_once
+from .ordered import range_buckets, running_sums
 
 
 def score_table(df: DataFrame, label: str, score: str, threshold: float = 0.5,
@@ -52,6 +52,29 @@ def ranking_metrics(df: DataFrame, label: str, score: str, digits: int = 6) -> D
     return _ranking(score_table(df, label, score), digits)
 
 
+def ranking_metrics_by(df: DataFrame, by: list[str], label: str, score: str, digits: int = 6) -> DataFrame:
+    """``ranking_metrics`` for every group of ``by`` at once. Rows become one row
+    per (group, score); ranges of scores are common to all groups, so that
+    a group of any size is ranked in many tasks."""
+    y = F.col(label).cast("int")
+    g = (df.where(F.col(label).isNotNull() & F.col(score).isNotNull())
+         .groupBy(*by, (-F.col(score).cast("double")).alias("_key"))
+         .agg(F.sum(y).cast("bigint").alias("_pos"), F.sum(1 - y).cast("bigint").alias("_neg")))
+    t = range_buckets(write_once(g, "scores"), "_key")
+    earlier = Window.partitionBy(*by).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)  # one row a range
+    offs = t.groupBy(*by, "_bucket").agg(F.sum("_pos").alias("_op"), F.sum("_neg").alias("_on")).select(
+        *by, "_bucket", *[F.coalesce(F.sum(c).over(earlier), F.lit(0)).alias(c) for c in ("_op", "_on")])
+    inside = Window.partitionBy(*by, "_bucket").orderBy("_key").rowsBetween(Window.unboundedPreceding, 0)
+    t = t.join(offs, [*by, "_bucket"]).withColumn("_tp", F.col("_op") + F.sum("_pos").over(inside)).withColumn("_fp", F.col("_on") + F.sum("_neg").over(inside))
+    agg = t.groupBy(*by).agg(
+        F.sum(F.col("_neg").cast("double") * ((F.col("_tp") - F.col("_pos")).cast("double") + 0.5 * F.col("_pos"))).alias("_u"),
+        F.sum(F.col("_pos").cast("double") * F.try_divide(F.col("_tp").cast("double"), (F.col("_tp") + F.col("_fp")).cast("double"))).alias("_ap"),
+        F.sum("_pos").alias("_P"), F.sum("_neg").alias("_N"))
+    return agg.select(
+        *by, F.round(F.try_divide(F.col("_u"), (F.col("_P") * F.col("_N")).cast("double")), digits).alias("roc_auc"),
+        F.round(F.try_divide(F.col("_ap"), F.col("_P").cast("double")), digits).alias("pr_auc"))
+
+
 def binary_metrics(df: DataFrame, label: str, score: str, threshold: float = 0.5,
                    prediction: str | None = None, digits: int = 6, cells: bool = False) -> DataFrame:
     """One row: n, positives, roc_auc, pr_auc, accuracy, precision, recall,

@@ -652,6 +652,26 @@ SELECT vals.account_id, keep.cat || '_' || keep.level AS feature,
        CAST(CASE WHEN vals.v = keep.level THEN 1 ELSE 0 END AS INTEGER) AS value
 FROM vals JOIN keep ON vals.cat = keep.cat"""))
 
+_PROBS = "[" + ", ".join(f"{i}/64.0::DOUBLE" for i in range(1, 64)) + "]"
+
+register("boosting_root_histogram", with_c360(", " + SPLIT + """,
+pw AS (SELECT CAST(count_if(churn_flag = 0) AS DOUBLE) / CAST(count_if(churn_flag = 1) AS DOUBLE) AS w FROM split),
+lv AS (""" + "\nUNION ALL\n".join(
+    f"SELECT DISTINCT '{c}' AS cat, CAST({c} AS VARCHAR) AS level FROM split WHERE NOT is_test AND {c} IS NOT NULL" for c in _CAT) + """),
+keep AS (SELECT cat, level FROM (SELECT *, row_number() OVER (PARTITION BY cat ORDER BY level) AS rn FROM lv) WHERE rn > 1),
+raw AS (""" + "\nUNION ALL\n".join(
+    f"SELECT account_id, '{c}' AS cat, CAST({c} AS VARCHAR) AS v FROM split WHERE NOT is_test" for c in _CAT) + """),
+vals AS (""" + "\nUNION ALL\n".join(
+    f"SELECT account_id, '{c}' AS feature, CAST({c} AS DOUBLE) AS v FROM split WHERE NOT is_test" for c in _NUM) + """
+UNION ALL SELECT raw.account_id, keep.cat || '_' || keep.level, CASE WHEN raw.v = keep.level THEN 1.0 ELSE 0.0 END FROM raw JOIN keep ON raw.cat = keep.cat),
+cuts AS (SELECT feature, list_distinct(quantile_disc(v, """ + _PROBS + """)) AS c FROM vals WHERE v IS NOT NULL GROUP BY feature),
+coded AS (SELECT vals.feature, CAST(CASE WHEN v IS NULL THEN 65 ELSE len(list_filter(c, lambda x: x < v)) END AS INTEGER) AS code, account_id
+          FROM vals JOIN cuts ON vals.feature = cuts.feature),
+gh AS (SELECT account_id, CASE WHEN churn_flag = 1 THEN round(w * 16777216.0 * -0.5) ELSE 8388608.0 END AS g,
+              round(CASE WHEN churn_flag = 1 THEN w ELSE 1.0 END * 16777216.0 * 0.25) AS h FROM split, pw WHERE NOT is_test)
+SELECT feature, code, CAST(sum(CAST(g AS BIGINT)) AS BIGINT) AS gradient, CAST(sum(CAST(h AS BIGINT)) AS BIGINT) AS hessian
+FROM coded JOIN gh ON coded.account_id = gh.account_id GROUP BY feature, code"""))
+
 RULE = """sc AS (SELECT account_id, CAST(churn_flag AS INTEGER) AS y,
                     1.0 / (1.0 + CAST(tenure_months AS DOUBLE) / 12.0) AS score FROM c360)"""
 

@@ -402,6 +402,17 @@ def churn_feature_importance(spark, sf_dir):
     return _experiment(spark, sf_dir).feature_importance()
 
 
+@query("boosting_root_histogram")
+def boosting_root_histogram(spark, sf_dir):
+    """Gradient and Hessian sums of every bin before the first boosted tree (fixed-point), of the script's training rows."""
+    exp = _experiment(spark, sf_dir)
+    table, cuts = exp._tree_table(exp.train)
+    names = spark.createDataFrame(list(enumerate(exp.encoding.feature_names)), "input int, feature string")
+    par = ch.boosting_settings("a", exp.pos_weight_gbt)
+    return ch.tr.gradient_histogram(table, cuts, par).join(F.broadcast(names.withColumnRenamed("input", "_i")), F.col("input") == F.col("_i")).select(
+        "feature", "code", "gradient", "hessian")
+
+
 @query("churn_score_accounts")
 def churn_score_accounts(spark, sf_dir):
     exp = _experiment(spark, sf_dir)

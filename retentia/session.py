@@ -92,7 +92,38 @@ def write_once(df, name: str = "table"):
     spark = df.sparkSession
     path = scratch_path(spark, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._scratch = path
+    return out
+
+
+def discard(df) -> None:
+    """Remove a table of ``write_once`` that no later plan reads."""
+    path = getattr(df, "_scratch", None)
+    if path:
+        jvm = df.sparkSession._jvm
+        p = jvm.org.apache.hadoop.fs.Path(path)
+        p.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(p, True)
+
+
+def ship_code(spark: SparkSession) -> None:
+    """Send this package to the executors' Python, once a session: the tree
+    passes run numpy there and a cluster may not have the package installed."""
+    import zipfile
+
+    sc = spark.sparkContext
+    if getattr(sc, "_retentia_code", False):
+        return
+    top = os.path.dirname(os.path.abspath(__file__))
+    at = os.path.join(tempfile.mkdtemp(prefix="retentia-code-"), "retentia_code.zip")
+    with zipfile.ZipFile(at, "w") as z:
+        for folder, _, names in os.walk(top):
+            for n in sorted(names):
+                if n.endswith(".py"):
+                    path = os.path.join(folder, n)
+                    z.write(path, os.path.join("retentia", os.path.relpath(path, top)))
+    sc.addPyFile(at)
+    sc._retentia_code = True
 
 
 def default_parallelism(spark: SparkSession, fallback: int = 8) -> int:
