@@ -13,14 +13,16 @@ from __future__ import annotations
 import math
 
 import numpy as np
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.distributions import chi2_sf, normal_sf
 from ..functions.tails import chi2_tail
 from ..functions.exprs import pct_half_up, round_money, stable_mean
-from ..session import write_once
-from .ordered import range_buckets
+from ..session import discard, ship_code, write_once
+from .ordered import range_count
 from .quantiles import exact_median
 
 Z_95 = 1.959963984540054  # standard normal quantile at 0.975
@@ -217,47 +219,148 @@ def efron_sums(times: DataFrame, p: int) -> DataFrame:
         *[F.sum(F.col(f"a2_{i}_{j}") - F.col(f"a1_{i}") * F.col(f"a1_{j}")).alias(f"h_{i}_{j}") for i, j in pairs])
 
 
-def _efron_step(d: DataFrame, names: list[str], beta: np.ndarray):
+# Rows of a chunk of the table that the Newton passes read: one chunk is one row of it.
+COX_CHUNK = 100_000
+# Tied events at one time that the driver adds up itself, for the few times at the ends of chunks.
+TIES_ON_DRIVER = 1_000_000
+
+
+def _pack_chunks(batches, size: int):
+    """Rows of a range of times, sorted from the latest down -> chunks of them, numbered in that order over all ranges."""
+    number = TaskContext.get().partitionId() << 32
+    held, n = [], 0
+    for b in batches:
+        held.append(np.column_stack([c.to_numpy(zero_copy_only=False).astype(float) for c in b.columns]))
+        n += b.num_rows
+        while n >= size:
+            whole = np.concatenate(held)
+            yield _chunk(number, whole[:size])
+            held, n, number = [whole[size:]], n - size, number + 1
+    if n:
+        yield _chunk(number, np.concatenate(held))
+
+
+def _chunk(number: int, rows: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([number], pa.int64()), pa.array([rows.tobytes()], pa.binary())], ["chunk", "rows"])
+
+
+def _moments(w: np.ndarray, z: np.ndarray, upper) -> np.ndarray:
+    """w, w z and the upper triangle of w z z', a row each."""
+    return np.column_stack([w, w[:, None] * z, (w[:, None] * z)[:, upper[0]] * z[:, upper[1]]])
+
+
+def _rows_of(raw: bytes, p: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    rows = np.frombuffer(raw).reshape(-1, p + 2)
+    return rows[:, 0], rows[:, 1], rows[:, 2:]
+
+
+def _chunk_totals(batches, p: int, beta: np.ndarray):
+    upper = np.triu_indices(p)
+    for b in batches:
+        for number, raw in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+            _, _, z = _rows_of(raw, p)
+            yield pa.RecordBatch.from_arrays([pa.array([number], pa.int64()), pa.array([_moments(np.exp(z @ beta), z, upper).sum(0).tobytes()], pa.binary())], ["chunk", "sums"])
+
+
+def efron_terms(d: np.ndarray, s: np.ndarray, t: np.ndarray, p: int) -> np.ndarray:
+    """Summed log term, gradient and information terms of event times with d events, risk sums s and event sums t (a row each)."""
+    upper = np.triu_indices(p)
+    out = np.zeros(1 + p + len(upper[0]))
+    for at in range(0, len(d), 20_000):
+        many = d[at: at + 20_000].astype(np.int64)
+        for low in range(0, int(many.max(initial=0)), TIE_CHUNK):  # ties in steps of bounded size
+            here = np.clip(many - low, 0, TIE_CHUNK)
+            row = np.repeat(np.arange(len(many)), here)
+            order = np.arange(len(row)) - np.repeat(np.cumsum(here) - here, here) + low
+            a = s[at + row] - (order / many[row])[:, None] * t[at + row]
+            ratio = a[:, 1:] / a[:, :1]
+            first = ratio[:, :p]
+            out[0] += np.log(a[:, 0]).sum()
+            out[1: 1 + p] += first.sum(0)
+            out[1 + p:] += (ratio[:, p:] - first[:, upper[0]] * first[:, upper[1]]).sum(0)
+    return out
+
+
+def _chunk_terms(batches, p: int, beta: np.ndarray, offsets: dict[int, np.ndarray]):
+    """A chunk's part of the likelihood, and its first and last time, which other chunks may share, in raw sums."""
+    upper = np.triu_indices(p)
+    for b in batches:
+        for number, raw in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+            t, e, z = _rows_of(raw, p)
+            eta = z @ beta
+            m = _moments(np.exp(eta), z, upper)
+            risk = offsets[number] + np.cumsum(m, axis=0)
+            first = np.flatnonzero(np.append(True, t[1:] != t[:-1]))
+            last = np.append(first[1:], len(t)) - 1
+            events = np.add.reduceat(e, first)
+            tied = np.add.reduceat(m * e[:, None], first, axis=0)
+            linear = np.add.reduceat(np.column_stack([eta, z]) * e[:, None], first, axis=0)
+            inner = np.flatnonzero(events > 0)
+            inner = inner[(inner > 0) & (inner < len(first) - 1)]
+            sums = np.concatenate([linear[inner].sum(0), efron_terms(events[inner], risk[last[inner]], tied[inner], p)])
+            ends = [np.concatenate([[t[first[i]], number, events[i]], linear[i], risk[last[i]], tied[i]]) for i in sorted({0, len(first) - 1})]
+            yield pa.RecordBatch.from_arrays([pa.array([sums.tobytes()], pa.binary()), pa.array([np.concatenate(ends).tobytes()], pa.binary())], ["sums", "ends"])
+
+
+def _efron_step(chunks: DataFrame, p: int, beta: np.ndarray):
     """Log partial likelihood, gradient and information (Efron ties) at beta.
 
-    One aggregation over the rows gives, for every distinct time, sums of w,
-    w z, w z z' over all rows and over the events (w = exp(beta'z)); beta
-    enters as a one-row broadcast table, so the plan is the same in every
-    iteration. Risk sets are running sums from the last time down, inside
-    ranges of times plus each range's offset, and ``efron_sums`` reduces them
-    to one row, the only thing that reaches the driver."""
-    p = len(names)
-    spark = d.sparkSession
-    bdf = spark.createDataFrame([tuple(float(b) for b in beta)], ", ".join(f"_b{i} double" for i in range(p)))
-    x = d.crossJoin(F.broadcast(bdf))
-    eta = sum((F.col(n) * F.col(f"_b{i}") for i, n in enumerate(names)), F.lit(0.0))
-    x = x.withColumn("_eta", eta).withColumn("_w", F.exp("_eta"))
-    e, w = F.col("_e0"), F.col("_w")
-    pairs = [(i, j) for i in range(p) for j in range(i, p)]
-    z = [F.col(n) for n in names]
-    over = {"0": F.lit(1.0)} | {f"1_{i}": z[i] for i in range(p)} | {f"2_{i}_{j}": z[i] * z[j] for i, j in pairs}
-    tt = write_once(x.groupBy("_bucket", "_t").agg(
-        F.sum(e).cast("bigint").alias("d"), F.sum(e * F.col("_eta")).alias("eta_d"),
-        *[F.sum(e * z[i]).alias(f"z_{i}") for i in range(p)],
-        *[F.sum(w * v).alias(f"s{k}") for k, v in over.items()],
-        *[F.sum(e * w * v).alias(f"t{k}") for k, v in over.items()]), "times")
-    risk = [f"s{k}" for k in over]
-    # one row per range of times
-    earlier = Window.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = tt.groupBy("_bucket").agg(*[F.sum(c).alias(c) for c in risk]).select(
-        "_bucket", *[F.coalesce(F.sum(c).over(earlier), F.lit(0.0)).alias(f"_o{c}") for c in risk])
-    down = Window.partitionBy("_bucket").orderBy(F.desc("_t")).rowsBetween(Window.unboundedPreceding, 0)
-    sets = tt.join(offsets, "_bucket").select("d", *[f"t{k}" for k in over], *[
-        (F.col(f"_o{c}") + F.sum(c).over(down)).alias(c) for c in risk]).where(F.col("d") > 0)
-    linear = tt.agg(F.sum("eta_d").alias("eta_d"), *[F.sum(f"z_{i}").alias(f"z_{i}") for i in range(p)])
-    r = efron_sums(sets, p).crossJoin(F.broadcast(linear)).first()
-    if r is None or r["ll"] is None:
-        return 0.0, np.zeros(p), np.zeros((p, p))
-    grad = np.array([r[f"z_{i}"] - r[f"g_{i}"] for i in range(p)])
+    Two passes over the chunks, nothing written: each chunk's sums of w, w z
+    and w z z' (w = exp(beta'z)), whose running sums are the chunks' offsets, then each chunk's
+    terms from its own running sums. The times at the ends of chunks are put together
+    from their parts; one with very many tied events is summed in Spark (``efron_sums``)."""
+    spark, q = chunks.sparkSession, 1 + p + p * (p + 1) // 2
+    got = chunks.mapInArrow(lambda b: _chunk_totals(b, p, beta), "chunk long, sums binary").toArrow()
+    totals = sorted(zip(got.column("chunk").to_pylist(), (np.frombuffer(x) for x in got.column("sums").to_pylist()), strict=True), key=lambda r: r[0])
+    offsets, running = {}, np.zeros(q)
+    for number, sums in totals:
+        offsets[number] = running
+        running = running + sums
+    got = chunks.mapInArrow(lambda b: _chunk_terms(b, p, beta, offsets), "sums binary, ends binary").toArrow()
+    total = np.zeros(1 + p + q)  # linear terms (eta, z), then the log, gradient and information terms
+    parts: list[np.ndarray] = []
+    order = np.argsort([np.frombuffer(x)[1] for x in got.column("ends").to_pylist()])
+    sums, ends = got.column("sums").to_pylist(), got.column("ends").to_pylist()
+    for i in order:  # chunk by chunk: the same sum each time
+        total += np.frombuffer(sums[i])
+        parts += list(np.frombuffer(ends[i]).reshape(-1, 4 + p + 2 * q))
+    by_time: dict[float, np.ndarray] = {}
+    for r in parts:  # chunks run from the latest time down: the last part of a time has its whole risk set
+        t = float(r[0])
+        if t in by_time:
+            merged = by_time[t] + r
+            merged[4 + p: 4 + p + q] = r[4 + p: 4 + p + q]
+            by_time[t] = merged
+        else:
+            by_time[t] = r.copy()
+    ends_ = [r for r in by_time.values() if r[2] > 0]
+    few, many = [r for r in ends_ if r[2] <= TIES_ON_DRIVER], [r for r in ends_ if r[2] > TIES_ON_DRIVER]
+    for r in ends_:
+        total[: 1 + p] += r[3: 4 + p]
+    if few:
+        few = np.stack(few)
+        total[1 + p:] += efron_terms(few[:, 2], few[:, 4 + p: 4 + p + q], few[:, 4 + p + q:], p)
+    if many:
+        pairs = [(i, j) for i in range(p) for j in range(i, p)]
+        names = ["0"] + [f"1_{i}" for i in range(p)] + [f"2_{i}_{j}" for i, j in pairs]
+        schema = ", ".join(["d bigint"] + [f"{k}{n} double" for k in "st" for n in names])
+        r = efron_sums(spark.createDataFrame([(int(x[2]), *map(float, x[4 + p:])) for x in many], schema), p).first()
+        total[1 + p:] += np.array([r["ll"]] + [r[f"g_{i}"] for i in range(p)] + [r[f"h_{i}_{j}"] for i, j in pairs])
     info = np.zeros((p, p))
-    for i, j in pairs:
-        info[i, j] = info[j, i] = r[f"h_{i}_{j}"]
-    return float(r["eta_d"] - r["ll"]), grad, info
+    info[np.triu_indices(p)] = total[2 + 2 * p:]
+    return float(total[0] - total[1 + p]), total[1: 1 + p] - total[2 + p: 2 + 2 * p], info + np.triu(info, 1).T
+
+
+def cox_chunks(data: DataFrame, p: int, means: np.ndarray, sds: np.ndarray) -> DataFrame:
+    """(chunk, rows): the rows from the latest time down, range-partitioned and sorted once, in numbered chunks.
+
+    A hash breaks the ties of the range key, so that a time that very many rows share spreads over partitions."""
+    ship_code(data.sparkSession)
+    z = [((F.col(f"_x{i}") - float(means[i])) / float(sds[i])).alias(f"_z{i}") for i in range(p)]
+    rows = data.select((-F.col("_t")).alias("_down"), "_e0", *z, F.xxhash64(F.monotonically_increasing_id()).alias("_salt"))
+    size = COX_CHUNK
+    ranged = rows.repartitionByRange(range_count(data.count()), "_down", "_salt").sortWithinPartitions("_down", "_salt").drop("_salt")
+    return write_once(ranged.mapInArrow(lambda b: _pack_chunks(b, size), "chunk long, rows binary"), "cox-chunks")
 
 
 def cox_ph(df: DataFrame, duration: str, event: str, covariates: list[str],
@@ -265,28 +368,23 @@ def cox_ph(df: DataFrame, duration: str, event: str, covariates: list[str],
     """Cox proportional hazards by Newton-Raphson on the Efron partial
     likelihood. Rows with a NULL in any used column are dropped. Covariates
     are centred and scaled for the iterations and the coefficients mapped
-    back. Only a p-vector and a p x p matrix per iteration reach the driver.
+    back. Only a p-vector and a p x p matrix per chunk and iteration reach the driver.
     Returns (coefficient table, fit info); a fit that does not converge in
     ``max_iter`` iterations is an error."""
-    spark = df.sparkSession
-    data = df.select(F.col(duration).cast("double").alias("_t"), F.col(event).cast("double").alias("_e0"),
-                     *[F.col(c).cast("double").alias(f"_x{i}") for i, c in enumerate(covariates)]).na.drop()
-    # the Newton loop reads this table once per iteration; _bucket cuts the
-    # times into ranges, the latest first
-    data = range_buckets(write_once(data, "cox").withColumn("_down", -F.col("_t")), "_down").drop("_down")
-    st = data.agg(*[F.avg(f"_x{i}").alias(f"m{i}") for i in range(len(covariates))],
-                  *[F.stddev_samp(f"_x{i}").alias(f"s{i}") for i in range(len(covariates))],
+    spark, p = df.sparkSession, len(covariates)
+    data = write_once(df.select(F.col(duration).cast("double").alias("_t"), F.col(event).cast("double").alias("_e0"),
+                                *[F.col(c).cast("double").alias(f"_x{i}") for i, c in enumerate(covariates)]).na.drop(), "cox")
+    st = data.agg(*[F.avg(f"_x{i}").alias(f"m{i}") for i in range(p)],
+                  *[F.stddev_samp(f"_x{i}").alias(f"s{i}") for i in range(p)],
                   F.count(F.lit(1)).alias("n"), F.sum("_e0").alias("events")).first()
-    means = np.array([st[f"m{i}"] or 0.0 for i in range(len(covariates))])
-    sds = np.array([(st[f"s{i}"] or 1.0) or 1.0 for i in range(len(covariates))])
-    names = [f"_z{i}" for i in range(len(covariates))]
-    z = data.select("_bucket", "_t", "_e0", *[((F.col(f"_x{i}") - float(means[i])) / float(sds[i])).alias(names[i])
-                                   for i in range(len(covariates))])
-    beta = np.zeros(len(covariates))
+    means = np.array([st[f"m{i}"] or 0.0 for i in range(p)])
+    sds = np.array([(st[f"s{i}"] or 1.0) or 1.0 for i in range(p)])
+    chunks = cox_chunks(data, p, means, sds)
+    beta = np.zeros(p)
     ll_old, converged, it = None, False, 0
     for it in range(1, max_iter + 1):
-        ll, grad, info = _efron_step(z, names, beta)
-        if ll_old is not None and ll < ll_old - 1e-12:
+        ll, grad, info = _efron_step(chunks, p, beta)
+        if ll_old is not None and ll < ll_old - 1e-12 * max(1.0, abs(ll_old)):
             # step-halving when a full step lowers the likelihood
             beta = beta - step / 2.0
             step = step / 2.0
@@ -295,14 +393,17 @@ def cox_ph(df: DataFrame, duration: str, event: str, covariates: list[str],
             step = np.linalg.solve(info, grad)
         except np.linalg.LinAlgError:
             step = np.linalg.lstsq(info, grad, rcond=None)[0]
-        beta = beta + step
         ll_old = ll
-        if np.max(np.abs(step)) < 1e-9 or abs(float(grad @ step)) < tol:
+        if np.max(np.abs(step), initial=0.0) < 1e-9 or abs(float(grad @ step)) < tol:
+            beta = beta + step
             converged = True
             break
+        beta = beta + step
     if not converged and st["events"]:
         raise RuntimeError(f"the Cox fit did not converge in {max_iter} iterations")
-    ll, grad, info = _efron_step(z, names, beta)
+    ll, grad, info = _efron_step(chunks, p, beta)
+    for table in (chunks, data):
+        discard(table)
     cov = np.linalg.pinv(info)
     coef = beta / sds
     se = np.sqrt(np.clip(np.diag(cov), 0, None)) / sds

@@ -200,6 +200,27 @@ def test_efron_terms_with_very_many_ties(spark):
     assert np.allclose([got[k] for k in ("ll", "g_0", "g_1", "h_0_0", "h_0_1", "h_1_1")], expected, rtol=1e-9)
 
 
+def test_cox_in_many_chunks_with_ties_across_them(spark, monkeypatch):
+    rng = np.random.default_rng(8)
+    n = 700
+    x = rng.normal(size=(n, 2))
+    t = np.where(rng.random(n) < 0.4, 6.0, np.ceil(rng.exponential(np.exp(-x @ [0.5, -0.3])) * 12) / 2)  # one time holds 40 %
+    e = (rng.random(n) < 0.7).astype(int)
+    df = spark.createDataFrame([(float(t[i]), int(e[i]), float(x[i, 0]), float(x[i, 1])) for i in range(n)], "t double, e int, a double, b double").repartition(5)
+    whole, info = surv.cox_ph(df, "t", "e", ["a", "b"])
+    expected, se = _efron_numpy(t, e, x)
+    for table, found in [(whole, info)]:
+        assert np.allclose([r.coef for r in table.collect()], expected, atol=1e-7)
+        assert np.allclose([r.se_coef for r in table.collect()], se, atol=1e-7)
+    for size, per, ties in ((37, 10**6, 10**6), (16, 50, 20)):
+        monkeypatch.setattr(surv, "COX_CHUNK", size)
+        monkeypatch.setattr(surv, "TIES_ON_DRIVER", ties)
+        monkeypatch.setattr(surv, "range_count", lambda rows, per=per: max(1, rows // per))
+        table, found = surv.cox_ph(df, "t", "e", ["a", "b"])
+        assert found["log_likelihood"] == pytest.approx(info["log_likelihood"], rel=1e-12)
+        assert np.allclose([r.coef for r in table.collect()], expected, atol=1e-7)
+
+
 def test_cox_that_does_not_converge_is_an_error(c360):
     with pytest.raises(RuntimeError, match="converge"):
         surv.cox_ph(c360, "tenure_months", "churn_flag", surv.COX_COVARIATES, max_iter=1)
