@@ -64,6 +64,34 @@ def running_sums(df: DataFrame, order_col: str, value_cols: list[str],
     return t.drop("_bucket", *[f"_off_{v}" for v in value_cols])
 
 
+def ranged(df: DataFrame, order_col: str, name: str = "ordered") -> DataFrame:
+    """``df`` written once, with ``_bucket``: the table that ``range_scan`` reads in several branches."""
+    return range_buckets(write_once(df, name), order_col)
+
+
+def range_scan(t: DataFrame, by: list[str], order_col: str, specs: list[tuple[str, str, str]], descending: bool = False,
+               inclusive: bool = True) -> DataFrame:
+    """Segmented running sums and products: adds each ``out`` of (out, column,
+    'sum' or 'product'), over the rows of the same ``by`` that come before (and
+    including) the row. A group of any number of rows is cut into the ranges of
+    ``_bucket``: a window inside each (group, range), combined with what the group's
+    earlier ranges come to, from a table of one row per group and range."""
+    neutral = {"sum": F.lit(0), "product": F.lit(1.0)}
+    total = {"sum": F.sum, "product": F.product}
+
+    def combine(kind, a, b):
+        return a + b if kind == "sum" else a * b
+    order = F.desc if descending else F.asc
+    earlier = Window.partitionBy(*by).orderBy(order("_bucket")).rowsBetween(Window.unboundedPreceding, -1)
+    offsets = t.groupBy(*by, "_bucket").agg(*[total[kind](c).alias(f"_t_{out}") for out, c, kind in specs]).select(
+        *by, "_bucket", *[F.coalesce(total[kind](f"_t_{out}").over(earlier), neutral[kind]).alias(f"_o_{out}") for out, _, kind in specs])
+    inside = Window.partitionBy(*by, "_bucket").orderBy(order(order_col)).rowsBetween(Window.unboundedPreceding, 0 if inclusive else -1)
+    joined = t.join(offsets, [*by, "_bucket"])
+    for out, c, kind in specs:
+        joined = joined.withColumn(out, combine(kind, F.col(f"_o_{out}"), F.coalesce(total[kind](c).over(inside), neutral[kind])))
+    return joined.drop(*[f"_o_{out}" for out, _, _ in specs])
+
+
 def successive_diff_sq_sum(df: DataFrame, order_col: str, value_col: str) -> float:
     """sum_t (v_t - v_{t-1})^2 over rows ordered by ``order_col`` (the
     Durbin-Watson numerator), for a key of any orderable type. The rows are

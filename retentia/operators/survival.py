@@ -1,11 +1,10 @@
 """Survival analysis: Kaplan-Meier with confidence band, log-rank, the
 notebook's naive curve, headline figures and Cox proportional hazards.
 
-Data-sized work is one aggregation per call: rows -> (group, time) with event
-and row counts. Everything after that -- reverse running sums for the risk
-sets, the product-limit running product, Greenwood sums -- runs on the
-distinct-time table. Tenure is kept at 0.1-month resolution, so that table
-has at most a few thousand rows per group whatever the number of accounts.
+Rows are first reduced to (group, time) with event and row counts. That table
+may be as long as the input when times are continuous, so reverse running sums
+for the risk sets, the product-limit product and the Greenwood sums run over
+ranges of times (``ordered.range_scan``), never over a whole group in one task.
 """
 
 from __future__ import annotations
@@ -15,14 +14,14 @@ import math
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.distributions import chi2_sf, normal_sf
 from ..functions.tails import chi2_tail
 from ..functions.exprs import pct_half_up, round_money, stable_mean
 from ..session import discard, ship_code, write_once
-from .ordered import range_count
+from .ordered import range_count, range_scan, ranged
 from .quantiles import exact_median
 
 Z_95 = 1.959963984540054  # standard normal quantile at 0.975
@@ -39,31 +38,28 @@ def _time_table(df: DataFrame, duration: str, event: str, by: list[str]) -> Data
 
 
 def _risk_sets(tt: DataFrame, by: list[str]) -> DataFrame:
-    """Adds at_risk = #(T >= t) as a reverse running sum within each group."""
-    w = (Window.partitionBy(*by).orderBy(F.desc("t"))
-         .rowsBetween(Window.unboundedPreceding, 0))
-    return tt.withColumn("at_risk", F.sum("removed").over(w))
+    """Adds at_risk = #(T >= t), a running sum from each group's last time down, over ranges of times."""
+    return range_scan(ranged(tt, "t", "times"), by, "t", [("at_risk", "removed", "sum")], descending=True)
 
 
 def kaplan_meier(df: DataFrame, duration: str, event: str, by: list[str] | None = None,
                  digits: int = 6) -> DataFrame:
     """Product-limit estimate S(t) = prod_{s<=t} (1 - d_s / n_s) at every
     distinct time, plus an origin row t = 0, S = 1 when no time is 0.
-    Columns: by..., t, at_risk, events, censored, survival. One pass: the
-    origin row is emitted next to each group's first time row (no second
-    branch over the input)."""
+    Columns: by..., t, at_risk, events, censored, survival. Risk sets and the
+    product run over ranges of times (``ordered.range_scan``), so distinct times may be as many
+    as rows; the origin row comes from each group's first time row."""
     by = list(by or [])
-    rs = _risk_sets(_time_table(df, duration, event, by), by)
-    w = Window.partitionBy(*by).orderBy("t").rowsBetween(Window.unboundedPreceding, 0)
-    km = (rs.withColumn("survival", F.product(1.0 - F.col("events") / F.col("at_risk")).over(w))
-          .withColumn("_first", F.row_number().over(Window.partitionBy(*by).orderBy("t")) == 1))
+    rs = _risk_sets(_time_table(df, duration, event, by), by).withColumn("_stay", 1.0 - F.col("events") / F.col("at_risk"))
+    km = range_scan(rs, by, "t", [("survival", "_stay", "product"), ("_before", "removed", "sum")])
     row = F.struct(F.col("t"), F.col("at_risk"), F.col("events"),
                    (F.col("removed") - F.col("events")).alias("censored"),
                    F.round("survival", digits).alias("survival"))
     origin = F.struct(F.lit(0.0).alias("t"), F.col("at_risk"), F.lit(0).cast("bigint").alias("events"),
                       F.lit(0).cast("bigint").alias("censored"), F.lit(1.0).alias("survival"))
-    # at the first time of a group at_risk is the group size
-    rows = F.when(F.col("_first") & (F.col("t") > 0), F.array(origin, row)).otherwise(F.array(row))
+    # at the first time of a group, where only its own rows have left, at_risk is the group size
+    first = F.col("_before") == F.col("removed")
+    rows = F.when(first & (F.col("t") > 0), F.array(origin, row)).otherwise(F.array(row))
     return km.select(*by, F.explode(rows).alias("_r")).select(*by, "_r.*")
 
 
@@ -75,12 +71,11 @@ def kaplan_meier_confidence(df: DataFrame, duration: str, event: str,
     limits are 1 where S = 1 (no information yet)."""
     by = list(by or [])
     rs = _risk_sets(_time_table(df, duration, event, by), by)
-    w = Window.partitionBy(*by).orderBy("t").rowsBetween(Window.unboundedPreceding, 0)
     term = F.coalesce(F.try_divide(F.col("events").cast("double"),
                                    (F.col("at_risk") * (F.col("at_risk") - F.col("events"))).cast("double")),
                       F.lit(0.0))
-    km = (rs.withColumn("survival", F.product(1.0 - F.col("events") / F.col("at_risk")).over(w))
-          .withColumn("greenwood", F.sum(term).over(w)))
+    km = range_scan(rs.withColumns({"_stay": 1.0 - F.col("events") / F.col("at_risk"), "_term": term}), by, "t",
+                    [("survival", "_stay", "product"), ("greenwood", "_term", "sum")])
     s, v = F.col("survival"), F.col("greenwood")
     logs = F.log(s)
 
@@ -108,10 +103,7 @@ def logrank(df: DataFrame, duration: str, event: str, group: str, a: str, b: str
                F.sum(F.col(event).cast("bigint")).alias("d"),
                F.count_if(F.col(group) == a).alias("removed_a"),
                F.sum(F.when(F.col(group) == a, F.col(event).cast("bigint")).otherwise(0)).alias("d_a")))
-    w = Window.orderBy(F.desc("t")).rowsBetween(Window.unboundedPreceding, 0)
-    rs = (tt.withColumn("n", F.sum("removed").over(w))
-          .withColumn("n_a", F.sum("removed_a").over(w))
-          .where(F.col("d") > 0))
+    rs = range_scan(ranged(tt, "t", "times"), [], "t", [("n", "removed", "sum"), ("n_a", "removed_a", "sum")], descending=True).where(F.col("d") > 0)
     frac = F.col("n_a") / F.col("n")
     e_a = F.col("d") * frac
     var = F.coalesce(F.try_divide(F.col("d") * frac * (1.0 - frac) * (F.col("n") - F.col("d")),
@@ -139,12 +131,9 @@ def naive_survival(df: DataFrame, duration: str, event: str, by: list[str]) -> D
     """Notebook curve: at each distinct time t of a group, the share of the
     group's accounts with T >= t or no churn = 1 - #(churned, T < t) / N.
     It ignores censoring and is not Kaplan-Meier."""
-    tt = _time_table(df, duration, event, by)
-    w_before = (Window.partitionBy(*by).orderBy("t")
-                .rowsBetween(Window.unboundedPreceding, -1))
-    w_all = Window.partitionBy(*by)
-    out = (tt.withColumn("_k", F.coalesce(F.sum("events").over(w_before), F.lit(0)))
-           .withColumn("_n", F.sum("removed").over(w_all)))
+    tt = ranged(_time_table(df, duration, event, by), "t", "times")
+    sizes = tt.groupBy(*by).agg(F.sum("removed").alias("_n"))
+    out = range_scan(tt, by, "t", [("_k", "events", "sum")], inclusive=False).join(sizes, by)
     return out.select(*by, "t", ((F.col("_n") - F.col("_k")).cast("double")
                                  / F.col("_n").cast("double")).alias("survival"))
 
@@ -182,10 +171,7 @@ def cox_risk_sets(df: DataFrame, duration: str, event: str, covariates: list[str
         *[F.sum(F.col(c).cast("double")).alias(f"_x_{c}") for c in covariates],
         *[F.sum(F.when(F.col(event).cast("bigint") == 1, F.col(c).cast("double")).otherwise(0.0))
           .alias(f"d1_{c}") for c in covariates])
-    w = Window.orderBy(F.desc("t")).rowsBetween(Window.unboundedPreceding, 0)
-    out = tt.withColumn("at_risk", F.sum("removed").over(w))
-    for c in covariates:
-        out = out.withColumn(f"s1_{c}", F.sum(f"_x_{c}").over(w))
+    out = range_scan(ranged(tt, "t", "times"), [], "t", [("at_risk", "removed", "sum")] + [(f"s1_{c}", f"_x_{c}", "sum") for c in covariates], descending=True)
     return (out.where(F.col("events") > 0)
             .select("t", "at_risk", "events",
                     *[F.round(f"s1_{c}", digits).alias(f"s1_{c}") for c in covariates],

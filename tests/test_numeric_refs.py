@@ -265,3 +265,29 @@ def test_tail_columns_match_the_driver_functions(spark):
     df = spark.createDataFrame([(f, a, b) for f in (0.2, 1.0, 4.5) for a in (2, 4, 6) for b in (5, 60, 600)], "f double, a int, b int")
     for r in df.select("f", "a", "b", tails.f_tail(F.col("f"), F.col("a"), F.col("b")).alias("p")).collect():
         assert r.p == pytest.approx(f_sf(r.f, r.a, r.b), rel=1e-6)
+
+
+def test_survival_over_many_ranges_of_continuous_times(spark, monkeypatch):
+    from retentia.operators import ordered
+    rng = np.random.default_rng(5)
+    n = 4000
+    t, e, g = rng.exponential(10, n), (rng.random(n) < 0.6).astype(int), np.where(rng.random(n) < 0.9, "a", "b")
+    df = spark.createDataFrame([(float(t[i]), int(e[i]), str(g[i])) for i in range(n)], "t double, e int, g string")
+    one = {k: f.orderBy("g", "t").collect() if "g" in f.columns else f.collect() for k, f in {
+        "km": surv.kaplan_meier(df, "t", "e", ["g"]), "ci": surv.kaplan_meier_confidence(df, "t", "e", ["g"]),
+        "nb": surv.naive_survival(df, "t", "e", ["g"])}.items()}
+    rank = surv.logrank(df, "t", "e", "g", "a", "b").first()
+    monkeypatch.setattr(ordered, "range_count", lambda rows, per=0: 13)  # thirteen ranges
+    many = {"km": surv.kaplan_meier(df, "t", "e", ["g"]), "ci": surv.kaplan_meier_confidence(df, "t", "e", ["g"]), "nb": surv.naive_survival(df, "t", "e", ["g"])}
+    for k, f in many.items():
+        assert [tuple(r) for r in f.orderBy("g", "t").collect()] == [tuple(r) for r in one[k]]
+        plan = f._jdf.queryExecution().toString()
+        assert "_bucket" in plan
+    assert surv.logrank(df, "t", "e", "g", "a", "b").first() == rank
+    for name in ("a", "b"):  # the plain product over the group's times
+        at = np.sort(t[g == name])
+        s, expected = 1.0, {}
+        for x in at:
+            s *= 1 - e[(g == name) & (t == x)].sum() / (at >= x).sum()
+            expected[x] = round(s, 6)
+        assert {r.t: r.survival for r in one["km"] if r.g == name and r.t > 0} == pytest.approx(expected, abs=1.1e-6)
