@@ -11,15 +11,15 @@ from __future__ import annotations
 import math
 
 import numpy as np
-from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.regression import LinearRegression
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.distributions import chi2_sf, f_sf, t_sf_two_sided
 from ..functions.exprs import round_money
 from ..functions.tails import chi2_tail, f_tail
-from ..session import write_once
+from ..session import ship_code, write_once
 from .ordered import successive_diff_sq_sum
 from .quantiles import exact_median
 
@@ -45,8 +45,10 @@ def group_summary(df: DataFrame, value: str, group: str) -> DataFrame:
     agg = df.groupBy(group).agg(
         F.count(x).alias("count"), F.sum(x).alias("_s"), F.sum(x * x).alias("_ss"))
     n = F.col("count").cast("double")
-    s, ss = F.col("_s").cast("double"), F.col("_ss").cast("double")
-    var = F.when(F.col("count") > 1, (ss - s * s / n) / (n - 1.0))
+    s = F.col("_s").cast("double")
+    # the subtraction that loses digits is done in DECIMAL
+    spread = (F.col("count").cast("decimal(12,0)") * F.col("_ss").cast("decimal(26,4)") - F.col("_s").cast("decimal(19,2)") * F.col("_s").cast("decimal(19,2)")).cast("double")
+    var = F.when(F.col("count") > 1, spread / (n * (n - 1.0)))
     med = exact_median(df, value, [group], name="_med")
     return agg.join(med, group, "left").select(
         group, "count",
@@ -60,27 +62,30 @@ def group_summary(df: DataFrame, value: str, group: str) -> DataFrame:
 def anova(df: DataFrame, value: str, group: str, digits: int = 6) -> DataFrame:
     """One-way ANOVA (one row): k groups, n rows, SSB, SSW, F. Rows with a
     NULL group or value are dropped (a NULL group would be an empty sample).
-    The p-value is null for an even number of groups (``anova_test`` has it).
-    Group sums are exact DECIMAL; SSW = sum_g (SS_g - S_g^2 / n_g)."""
+    Group sums are exact DECIMAL and so are the subtractions:
+    SSW = sum_g (n_g SS_g - S_g^2) / n_g and SSB = sum_g (n S_g - n_g S)^2 / (n_g n^2)."""
     x = F.col(value).cast("decimal(18,2)")
     g = (df.where(F.col(group).isNotNull() & F.col(value).isNotNull())
-         .groupBy(group).agg(F.count(x).alias("n"), F.sum(x).alias("s"), F.sum(x * x).alias("ss")))
-    tot = g.agg(F.count(F.lit(1)).alias("k"), F.sum("n").alias("n"), F.sum("s").alias("s"),
-                F.sum("ss").alias("ss"),
-                F.sum(F.col("s").cast("double") * F.col("s").cast("double") / F.col("n").cast("double"))
-                .alias("between_raw"))
+         .groupBy(group).agg(F.count(x).alias("n_g"), F.sum(x).alias("s_g"), F.sum(x * x).alias("ss_g")))
+    whole = Window.partitionBy(F.lit(0))  # one row a group
+    g = g.withColumn("n", F.sum("n_g").over(whole)).withColumn("s", F.sum("s_g").over(whole))
+
+    def dec(c, digits, scale=0):
+        return F.col(c).cast(f"decimal({digits},{scale})")
+    within = (dec("n_g", 12) * dec("ss_g", 26, 4) - dec("s_g", 19, 2) * dec("s_g", 19, 2)).cast("double") / F.col("n_g").cast("double")
+    off = (dec("n", 12) * dec("s_g", 24, 2) - dec("n_g", 12) * dec("s", 24, 2)).cast("double") / F.col("n").cast("double")
+    tot = g.select("n", F.lit(1).alias("one"), within.alias("w"), (off * off / F.col("n_g").cast("double")).alias("b")).agg(
+        F.sum("one").alias("k"), F.max("n").alias("n"), F.sum("b").alias("ssb"), F.sum("w").alias("ssw"))
     n, k = F.col("n").cast("double"), F.col("k").cast("double")
-    s, ss = F.col("s").cast("double"), F.col("ss").cast("double")
-    ssb = F.col("between_raw") - s * s / n
-    ssw = ss - F.col("between_raw")
+    ssb, ssw = F.col("ssb"), F.col("ssw")
     fstat = F.try_divide(ssb / (k - 1.0), ssw / (n - k))
-    p = f_tail(fstat, F.col("k") - 1, F.col("n") - F.col("k"))
+    tot = tot.withColumn("f", F.when((F.col("k") > 1) & (F.col("n") > F.col("k")), fstat)).withColumn("p", f_tail(F.col("f"), F.col("k") - 1, F.col("n") - F.col("k")))
     return tot.select(F.col("k").cast("bigint").alias("groups"), F.col("n").cast("bigint").alias("n"),
-                      F.round(ssb, 0).alias("ss_between"), F.round(ssw, 0).alias("ss_within"),
+                      F.round(ssb, 2).alias("ss_between"), F.round(ssw, 2).alias("ss_within"),
                       (F.col("k") - 1).cast("bigint").alias("df_between"),
                       (F.col("n") - F.col("k")).cast("bigint").alias("df_within"),
-                      F.round(fstat, digits).alias("f_statistic"),
-                      F.round(p, 4).alias("p_value"), (p < 0.05).alias("statistically_significant"))
+                      F.round("f", digits).alias("f_statistic"),
+                      F.round("p", 4).alias("p_value"), (F.col("p") < 0.05).alias("statistically_significant"))
 
 
 def anova_test(df: DataFrame, value: str, group: str) -> dict:
@@ -199,47 +204,84 @@ TICKET_REGRESSORS = ["first_response_time_minutes", "resolution_time_hours", "is
                      "is_urgent", "is_high"]
 
 
+def _stacked_r(blocks) -> np.ndarray | None:
+    """The R factor of blocks of rows (or of other R factors) on top of each other, with a positive diagonal."""
+    r = None
+    for block in blocks:
+        r = np.linalg.qr(block if r is None else np.vstack([r, block]), mode="r")
+    return None if r is None else r * np.where(np.diag(r) < 0, -1.0, 1.0)[:, None] if r.shape[0] == r.shape[1] else r
+
+
+# R factors of partitions that one merging group takes.
+MERGE_GROUPS = 64
+
+
+def tall_qr(df: DataFrame, columns: list[str]) -> np.ndarray:
+    """R of the QR decomposition of [1, columns], a tall and skinny matrix.
+
+    Each task reduces its rows to one R, batch by batch; groups of these are
+    merged in Spark and the last few on the driver. No cross products are formed, so a
+    design of condition c loses log10(c) digits, not twice as many."""
+    ship_code(df.sparkSession)
+    width = len(columns) + 1
+    rows = df.select(*[F.col(c).cast("double").alias(f"_c{i}") for i, c in enumerate(columns)])
+
+    def reduce(batches):
+        r = _stacked_r(np.column_stack([np.ones(b.num_rows), *[c.to_numpy(zero_copy_only=False) for c in b.columns]]) for b in batches if b.num_rows)
+        if r is not None:
+            yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId() % MERGE_GROUPS], pa.int64()), pa.array([r.astype(float).tobytes()], pa.binary())], ["part", "r"])
+
+    def merge(group: pa.Table) -> pa.Table:
+        ordered = sorted(group.column("r").to_pylist())
+        return pa.table({"r": pa.array([_stacked_r(np.frombuffer(x).reshape(-1, width) for x in ordered).astype(float).tobytes()], pa.binary())})
+
+    found = rows.mapInArrow(reduce, "part long, r binary").groupBy("part").applyInArrow(merge, "r binary").toArrow()
+    parts = sorted(found.column("r").to_pylist())
+    r = _stacked_r([np.frombuffer(x).reshape(-1, width) for x in parts] + [np.zeros((width, width))])
+    return r
+
+
 class OLSResult:
-    """Coefficient and fit tables of an OLS fit with Spark's normal solver."""
+    """Coefficient, fit and diagnostics tables of an OLS fit by tall-skinny QR."""
 
     def __init__(self, df: DataFrame, y: str, xs: list[str], order_by: str | None = None):
-        data = df.select(*([order_by] if order_by else []), y, *xs).na.drop()
-        self.data = VectorAssembler(inputCols=xs, outputCol="_v").transform(data)
-        lr = LinearRegression(featuresCol="_v", labelCol=y, solver="normal", regParam=0.0,
-                              fitIntercept=True, standardization=False)
-        self.model = lr.fit(self.data)
-        self.y, self.xs, self.order_by = y, xs, order_by
-        self.spark = df.sparkSession
+        self.data = write_once(df.select(*([order_by] if order_by else []), y, *xs).na.drop(), "ols")
+        self.y, self.xs, self.order_by, self.spark = y, xs, order_by, df.sparkSession
+        r = tall_qr(self.data, [*xs, y])
+        p = len(xs) + 1
+        self.n, self.r, target = self.data.count(), r[:p, :p], r[:p, p]
+        self.ssr, self.tss = float(r[p, p] ** 2), float((target[1:] ** 2).sum() + r[p, p] ** 2)
+        scale = np.linalg.norm(self.r, axis=0)
+        safe = np.where(scale > 0, scale, 1.0)
+        self.singular = bool(self.n < p or np.linalg.svd(self.r / safe, compute_uv=False).min() < 1e-13 * p)
+        self.coef = np.linalg.lstsq(self.r / safe, target, rcond=None)[0] / safe
+        dof = self.n - p
+        self.std_err = None
+        if not self.singular and dof > 0:
+            self.std_err = np.sqrt(self.ssr / dof) * np.linalg.norm(np.linalg.inv(self.r), axis=1)
 
     def coefficients(self) -> DataFrame:
-        s = self.model.summary
-        names = ["Intercept"] + self.xs
-        coef = [self.model.intercept] + list(self.model.coefficients.toArray())
-        try:
-            se, t, p = s.coefficientStandardErrors, s.tValues, s.pValues
-            # Spark lists the intercept last
-            se, t, p = [se[-1]] + se[:-1], [t[-1]] + t[:-1], [p[-1]] + p[:-1]
-        except Exception:  # noqa: BLE001 (singular design: no standard errors)
-            se = t = p = [None] * len(names)
-        rows = [(n, float(c), _f(e), _f(tt), _f(pp)) for n, c, e, tt, pp in zip(names, coef, se, t, p)]
+        rows, dof = [], self.n - len(self.xs) - 1
+        for i, name in enumerate(["Intercept"] + self.xs):
+            se = None if self.std_err is None else float(self.std_err[i])
+            t = float(self.coef[i]) / se if se else None
+            rows.append((name, float(self.coef[i]), se, t, None if t is None else _f(t_sf_two_sided(t, dof))))
         return self.spark.createDataFrame(
             rows, "term string, coef double, std_err double, t_value double, p_value double")
 
     def fit(self) -> DataFrame:
-        s = self.model.summary
-        n = int(s.numInstances)
-        k = len(self.xs)
-        r2 = float(s.r2)
-        r2adj = 1.0 - (1.0 - r2) * (n - 1) / (n - k - 1) if n - k - 1 > 0 else None
-        fstat = (r2 / k) / ((1.0 - r2) / (n - k - 1)) if n - k - 1 > 0 and r2 < 1 else None
-        ssr = float(s.meanSquaredError) * n
-        ll = -n / 2.0 * (math.log(2 * math.pi) + math.log(ssr / n) + 1.0) if ssr > 0 else None
+        n, k = self.n, len(self.xs)
+        dof = n - k - 1
+        r2 = 1.0 - self.ssr / self.tss if self.tss > 0 else float("nan")
+        r2adj = 1.0 - (1.0 - r2) * (n - 1) / dof if dof > 0 else None
+        fstat = ((self.tss - self.ssr) / k) / (self.ssr / dof) if dof > 0 and self.ssr > 0 else None
+        ll = -n / 2.0 * (math.log(2 * math.pi) + math.log(self.ssr / n) + 1.0) if self.ssr > 0 else None
         aic = -2 * ll + 2 * (k + 1) if ll is not None else None
         bic = -2 * ll + math.log(n) * (k + 1) if ll is not None else None
         coefs = self.coefficients().collect()
         sig = [r["term"] for r in coefs if r["p_value"] is not None and r["p_value"] < 0.05]
-        row = (n, k, n - k - 1, r2, r2adj, fstat,
-               f_sf(fstat, k, n - k - 1) if fstat is not None else None, ll, aic, bic, sig)
+        row = (n, k, dof, _f(r2), _f(r2adj), fstat,
+               f_sf(fstat, k, dof) if fstat is not None else None, ll, aic, bic, sig)
         return self.spark.createDataFrame(
             [row], "n bigint, df_model bigint, df_resid bigint, r_squared double, r_squared_adj double,"
                    " f_statistic double, f_pvalue double, log_likelihood double, aic double,"
@@ -249,8 +291,8 @@ class OLSResult:
         """Residual skew, kurtosis (non-excess), Jarque-Bera, omnibus
         (D'Agostino K^2), Durbin-Watson in ``order_by`` order, condition
         number of the design."""
-        pred = self.model.transform(self.data)
-        res = pred.withColumn("_r", F.col(self.y) - F.col("prediction"))
+        fitted = sum((F.col(x).cast("double") * float(b) for x, b in zip(self.xs, self.coef[1:], strict=True)), F.lit(float(self.coef[0])))
+        res = self.data.withColumn("_r", F.col(self.y) - fitted)
         m = res.agg(F.count(F.lit(1)).alias("n"), F.skewness("_r").alias("skew"),
                     (F.kurtosis("_r") + 3.0).alias("kurt"), F.sum(F.col("_r") ** 2).alias("ss")).first()
         n, skew, kurt = int(m["n"]), float(m["skew"]), float(m["kurt"])
@@ -258,10 +300,8 @@ class OLSResult:
         k2 = _dagostino_k2(n, skew, kurt)
         num = successive_diff_sq_sum(res, self.order_by, "_r") if self.order_by else float("nan")
         dw = num / float(m["ss"]) if m["ss"] else float("nan")
-        g = np.array(gram_matrix(self.data, self.xs))
-        # condition number of the design matrix: sqrt of the eigenvalue ratio
-        ev = np.linalg.eigvalsh(g)
-        cond = math.sqrt(ev.max() / ev.min()) if ev.min() > 0 else float("inf")
+        sv = np.linalg.svd(self.r, compute_uv=False)  # the design's singular values are those of R
+        cond = float(sv.max() / sv.min()) if sv.min() > 0 else float("inf")
         row = (n, skew, kurt, jb, chi2_sf(jb, 2), k2, chi2_sf(k2, 2), dw, cond)
         return self.spark.createDataFrame(
             [row], "n bigint, skew double, kurtosis double, jarque_bera double, jb_pvalue double,"

@@ -519,14 +519,14 @@ FROM rs WHERE events > 0"""))
 # ----------------------------------------------------------------- statistics
 register("anova_refund_by_reason", f"""
 WITH {cte('churn')},
-g AS (SELECT reason_code, count(refund_amount_usd) AS n, sum(refund_amount_usd) AS s,
-             sum(refund_amount_usd * refund_amount_usd) AS ss
+g AS (SELECT reason_code, count(refund_amount_usd) AS n_g, sum(CAST(refund_amount_usd * 100 AS BIGINT))::HUGEINT AS s_g,
+             sum(CAST(refund_amount_usd * 100 AS BIGINT)::HUGEINT * CAST(refund_amount_usd * 100 AS BIGINT))::HUGEINT AS ss_g
       FROM churn_events WHERE reason_code IS NOT NULL AND refund_amount_usd IS NOT NULL GROUP BY 1),
-tot AS (SELECT count(*) AS k, sum(n) AS n, sum(s) AS s, sum(ss) AS ss,
-               sum(CAST(s AS DOUBLE) * CAST(s AS DOUBLE) / CAST(n AS DOUBLE)) AS between_raw FROM g),
-v AS (SELECT k, n, between_raw - CAST(s AS DOUBLE) * CAST(s AS DOUBLE) / CAST(n AS DOUBLE) AS ssb,
-             CAST(ss AS DOUBLE) - between_raw AS ssw FROM tot)
-SELECT CAST(k AS BIGINT) AS groups, CAST(n AS BIGINT) AS n, round(ssb, 0) AS ss_between, round(ssw, 0) AS ss_within,
+t AS (SELECT sum(n_g)::HUGEINT AS n, sum(s_g)::HUGEINT AS s FROM g),
+v AS (SELECT count(*) AS k, max(t.n) AS n,
+             sum(CAST(t.n * s_g - n_g * t.s AS DOUBLE) / CAST(t.n AS DOUBLE) * (CAST(t.n * s_g - n_g * t.s AS DOUBLE) / CAST(t.n AS DOUBLE)) / n_g) / 10000 AS ssb,
+             sum(CAST(n_g * ss_g - s_g * s_g AS DOUBLE) / n_g) / 10000 AS ssw FROM g, t)
+SELECT CAST(k AS BIGINT) AS groups, CAST(n AS BIGINT) AS n, round(ssb, 2) AS ss_between, round(ssw, 2) AS ss_within,
        CAST(k - 1 AS BIGINT) AS df_between, CAST(n - k AS BIGINT) AS df_within,
        round(f, 6) AS f_statistic, round(p, 4) AS p_value, p < 0.05 AS statistically_significant
 FROM (SELECT *, CASE WHEN k = 5 THEN x ** (0.5 * (n - k)) * (1 + 0.5 * (n - k) * (1 - x)) WHEN k = 3 THEN x ** (0.5 * (n - k)) END AS p

@@ -306,6 +306,12 @@ def ols_account_csat(spark, sf_dir):
     return st.OLSResult(b, "avg_csat", st.ACCOUNT_CSAT_REGRESSORS).coefficients()
 
 
+@query("ols_account_csat_fit")
+def ols_account_csat_fit(spark, sf_dir):
+    b = feat.customer_360_variant_b(src.load_tables(spark, sf_dir))
+    return st.OLSResult(b, "avg_csat", st.ACCOUNT_CSAT_REGRESSORS).fit()
+
+
 # ----------------------------------------------------------------- churn
 
 

@@ -4,6 +4,7 @@ import math
 import numpy as np
 import pandas as pd
 import pytest
+from decimal import Decimal
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
@@ -291,3 +292,70 @@ def test_survival_over_many_ranges_of_continuous_times(spark, monkeypatch):
             s *= 1 - e[(g == name) & (t == x)].sum() / (at >= x).sum()
             expected[x] = round(s, 6)
         assert {r.t: r.survival for r in one["km"] if r.g == name and r.t > 0} == pytest.approx(expected, abs=1.1e-6)
+
+
+def test_qr_regression_of_an_ill_conditioned_design(spark):
+    rng = np.random.default_rng(11)
+    n = 3000
+    a = rng.normal(size=n)
+    x = np.column_stack([a, a + 1e-7 * rng.normal(size=n), rng.normal(size=n)])  # condition about 1e7
+    beta = np.array([2.0, -1.0, 0.5])
+    y = 3.0 + x @ beta + 1e-9 * rng.normal(size=n)
+    df = spark.createDataFrame([(i, float(y[i]), *map(float, x[i])) for i in range(n)], "id long, y double, a double, b double, c double").repartition(6)
+    m = st.OLSResult(df, "y", ["a", "b", "c"], "id")
+    assert np.allclose(m.coef, [3.0, *beta], atol=2e-2) and np.allclose(m.coef[[0, 3]], [3.0, 0.5], atol=1e-9)
+    q = np.linalg.lstsq(np.column_stack([np.ones(n), x]), y, rcond=None)[0]
+    assert np.allclose(m.coef, q, rtol=1e-5, atol=1e-9)
+    cond = m.diagnostics().first().cond_no
+    assert cond == pytest.approx(np.linalg.cond(np.column_stack([np.ones(n), x])), rel=1e-6) and cond > 1e7
+    r = m.fit().first()
+    assert r.n == n and r.df_resid == n - 4 and r.r_squared == pytest.approx(1.0) and not m.singular
+
+
+def test_qr_regression_against_lstsq_and_singular_designs(spark):
+    rng = np.random.default_rng(12)
+    n = 500
+    x = rng.normal(size=(n, 2)) * [1.0, 1e4]
+    y = 1.0 + x @ [0.5, -2e-4] + rng.normal(size=n)
+    rows = [(i, float(y[i]), float(x[i, 0]), float(x[i, 1])) for i in range(n)]
+    df = spark.createDataFrame(rows, "id long, y double, a double, b double").repartition(9)
+    m = st.OLSResult(df, "y", ["a", "b"])
+    d = np.column_stack([np.ones(n), x])
+    beta, ssr, *_ = np.linalg.lstsq(d, y, rcond=None)
+    se = np.sqrt(np.diag(np.linalg.inv(d.T @ d)) * ssr[0] / (n - 3))
+    got = m.coefficients().collect()
+    assert np.allclose([r.coef for r in got], beta) and np.allclose([r.std_err for r in got], se)
+    assert m.fit().first().r_squared == pytest.approx(1 - ssr[0] / ((y - y.mean()) ** 2).sum())
+    twice = st.OLSResult(df.withColumn("c", F.col("a") * 2), "y", ["a", "c"])
+    assert twice.singular and all(r.std_err is None for r in twice.coefficients().collect())
+    few = st.OLSResult(df.limit(2), "y", ["a", "b"])
+    assert few.fit().first().f_statistic is None
+
+
+def test_tails_for_any_degrees_of_freedom(spark):
+    from retentia.functions import tails
+    from retentia.functions.distributions import f_sf, t_sf_two_sided
+    cases = [(f, d1, d2) for f in (0.0, 1e-6, 0.3, 1.0, 2.7, 11.0, 400.0) for d1 in range(1, 9) for d2 in (1, 2, 7, 30, 1000, 250000)]
+    df = spark.createDataFrame([(float(f), d1, d2) for f, d1, d2 in cases], "f double, d1 int, d2 int")
+    got = {(r.f, r.d1, r.d2): (r.p, r.t) for r in df.select(
+        "f", "d1", "d2", tails.f_tail(F.col("f"), F.col("d1"), F.col("d2")).alias("p"), tails.t_tail_two_sided(F.col("f"), F.col("d2")).alias("t")).collect()}
+    for f, d1, d2 in cases:
+        assert got[f, d1, d2][0] == pytest.approx(f_sf(f, d1, d2), rel=1e-7, abs=1e-12), (f, d1, d2)
+        assert got[f, d1, d2][1] == pytest.approx(t_sf_two_sided(f, d2), rel=1e-6, abs=1e-6), (f, d2)
+    none = spark.range(1).select(tails.f_tail(F.lit(None).cast("double"), F.lit(3), F.lit(5)), tails.f_tail(F.lit(2.0), F.lit(0), F.lit(5))).first()
+    assert none[0] is None and none[1] is None
+
+
+def test_anova_has_a_p_value_for_any_number_of_groups(spark):
+    from retentia.functions.distributions import f_sf
+    rng = np.random.default_rng(3)
+    for k in range(2, 9):
+        rows = [(f"g{i % k}", Decimal(str(round(float(rng.normal(1e9 + i % k * 0.4, 1)), 2)))) for i in range(40 * k)]
+        r = st.anova(spark.createDataFrame(rows, "g string, v decimal(18,2)"), "v", "g").first()
+        v, g = np.array([float(x - 10**9) for _, x in rows]), np.array([x for x, _ in rows])
+        means = {x: v[g == x].mean() for x in set(g)}
+        ssb = sum((g == x).sum() * (m - v.mean()) ** 2 for x, m in means.items())
+        ssw = sum(((v[g == x] - m) ** 2).sum() for x, m in means.items())
+        f = (ssb / (k - 1)) / (ssw / (len(v) - k))
+        assert r.f_statistic == pytest.approx(f, abs=1e-5) and r.ss_within == pytest.approx(ssw, abs=0.01)  # no digits lost at 1e9
+        assert r.p_value == pytest.approx(f_sf(f, k - 1, len(v) - k), abs=1e-4) and r.p_value is not None
