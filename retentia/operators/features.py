@@ -48,7 +48,9 @@ def subscription_features(subs: DataFrame) -> DataFrame:
 
 # --------------------------------------------------------------------------- J1
 def usage_with_account(usage: DataFrame, subs: DataFrame) -> DataFrame:
-    """Bring account_id onto each usage row (left join, N:1 on subscription)."""
+    """Bring account_id onto each usage row (left join, N:1 on subscription); the co-located usage table has it already."""
+    if "account_id" in usage.columns:
+        return usage
     return usage.join(subs.select("subscription_id", "account_id"), "subscription_id", "left")
 
 
