@@ -47,6 +47,14 @@ def _encoder(path: str):
     return _STATE["tokenizer"], _STATE["cache"]
 
 
+def _words(raw: bytes) -> list[bytes]:
+    """Words and closing punctuation as they are looked up. Marks U+0300 to U+036F, the only ones
+    that compose with ASCII letters, start with the byte CC or CD, which no other place of a character has."""
+    if b"\xcc" not in raw and b"\xcd" not in raw:
+        return _TAIL.sub(rb" \g<0>", raw.lower()).split()
+    return [part for w in raw.split() for part in ([w] if b"\xcc" in w or b"\xcd" in w else _TAIL.sub(rb" \g<0>", w.lower()).split())]
+
+
 def encode(texts_: list[str | None], path: str) -> list[bytes]:
     """Token ids of each text as little-endian unsigned 32-bit numbers.
 
@@ -54,11 +62,12 @@ def encode(texts_: list[str | None], path: str) -> list[bytes]:
     space or the border of a letter and closing punctuation. So a text's ids
     are those of its ASCII-lowered words and their closing punctuation, which
     repeat and are remembered. A text that may hold a special token's name is
-    encoded as it is.
+    encoded as it is, and so is a word with a combining mark: the vocabulary
+    composes letters and marks before it folds case.
     """
     tokenizer, cache = _encoder(path)
     whole = {i: tokenizer.encode(t, add_special_tokens=False).ids for i, t in enumerate(texts_) if t and "<|" in t}
-    split = [() if not t or i in whole else _TAIL.sub(rb" \g<0>", t.encode().lower()).split() for i, t in enumerate(texts_)]
+    split = [() if not t or i in whole else _words(t.encode()) for i, t in enumerate(texts_)]
     if len(cache) > CACHE_WORDS:
         cache.clear()
     new = list({w for words in split for w in words if w not in cache})

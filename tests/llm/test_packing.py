@@ -1,3 +1,4 @@
+import random
 import zlib
 from itertools import combinations
 
@@ -91,3 +92,17 @@ def test_edge_cases(make_docs, monkeypatch):
     twice = pack(make_docs([(1, "a b"), (1, "a b"), (None, "c")]), PATH).collect()
     assert len(twice) == 3 and len({(r.sequence_id, r.offset) for r in twice}) == 3
     assert pack(make_docs([]), PATH).count() == 0
+
+
+def test_ids_equal_direct_encoding_of_any_text():
+    from tokenizers import Tokenizer
+    direct = Tokenizer.from_file(PATH)
+    r = random.Random(9)
+    letters = [*"aAbBjJhHtTwWyYzZ.,!'-1 ", "\t", "\n", "J\u030c", "H\u0331", "T\u0308", "W\u030a", "Y\u030a", "\u0301", "\u0327", "\u0345", "\u036f", "\u0370", "\u20d7",
+               "\u00e9", "\u00c9", "\u01f0", "\u212b", "\u1e9e", "\u0130", "\u00a0", "\u3000", "\u6f22", "\U0001f600", "\u200d", "the", "Word", "<|", "<|endoftext|>"]
+    rows = ["".join(r.choice(letters) for _ in range(r.randint(0, 14))) for _ in range(20_000)]
+    for at in range(0, len(rows), 2000):
+        part = rows[at: at + 2000]
+        expected = [np.asarray(e.ids, "<u4").tobytes() for e in direct.encode_batch(part, add_special_tokens=False)]
+        for text, got, ids in zip(part, packing.encode(part, PATH), expected):
+            assert got == ids, repr(text)
