@@ -65,8 +65,11 @@ def running_sums(df: DataFrame, order_col: str, value_cols: list[str],
 
 
 def ranged(df: DataFrame, order_col: str, name: str = "ordered") -> DataFrame:
-    """``df`` written once, with ``_bucket``: the table that ``range_scan`` reads in several branches."""
-    return range_buckets(write_once(df, name), order_col)
+    """``df`` written once, with ``_bucket``: the table that ``range_scan`` reads in
+    several branches. A table of one range has no ``_bucket``, as there is nothing to stitch."""
+    own = write_once(df, name)
+    ranges = range_count(own.count())
+    return own if ranges == 1 else range_buckets(own, order_col, ranges)
 
 
 def range_scan(t: DataFrame, by: list[str], order_col: str, specs: list[tuple[str, str, str]], descending: bool = False,
@@ -82,6 +85,11 @@ def range_scan(t: DataFrame, by: list[str], order_col: str, specs: list[tuple[st
     def combine(kind, a, b):
         return a + b if kind == "sum" else a * b
     order = F.desc if descending else F.asc
+    if "_bucket" not in t.columns:
+        alone = Window.partitionBy(*by).orderBy(order(order_col)).rowsBetween(Window.unboundedPreceding, 0 if inclusive else -1)
+        for out, c, kind in specs:
+            t = t.withColumn(out, F.coalesce(total[kind](c).over(alone), neutral[kind]))
+        return t
     earlier = Window.partitionBy(*by).orderBy(order("_bucket")).rowsBetween(Window.unboundedPreceding, -1)
     offsets = t.groupBy(*by, "_bucket").agg(*[total[kind](c).alias(f"_t_{out}") for out, c, kind in specs]).select(
         *by, "_bucket", *[F.coalesce(total[kind](f"_t_{out}").over(earlier), neutral[kind]).alias(f"_o_{out}") for out, _, kind in specs])
