@@ -18,8 +18,8 @@ tokens, and added. What is counted, shuffled and trained on grows with the
 corpus; the parameters that reach the driver do not.
 
 Defined results: null, empty and blank texts have no tokens, a sum of 0 and
-no mean; a text of one word is predicted from padding; repeated rows score
-alike; an empty corpus gives no rows.
+no mean; a text of one word is predicted from padding; repeated texts score
+alike, as each text (128 bits of hash) is scored once; an empty corpus gives no rows.
 """
 
 from __future__ import annotations
@@ -135,10 +135,10 @@ def _encode(batches, known):
         ids, each = token.astype("<u2").tobytes(), np.arange(rows.num_rows + 1)
         ends = 2 * np.searchsorted(row, each)
         yield pa.RecordBatch.from_arrays([
-            rows.column(0), pa.array([ids[a:b] for a, b in zip(ends[:-1], ends[1:], strict=True)], pa.binary()),
+            *rows.select(["doc_id", "k", "k2"]).columns, pa.array([ids[a:b] for a, b in zip(ends[:-1], ends[1:], strict=True)], pa.binary()),
             pa.array(np.bincount(row, share, rows.num_rows).astype(np.float64)),
             pa.ListArray.from_arrays(pa.array(np.searchsorted(row[rare], each).astype(np.int32)), pa.array(h[rare].view(np.int64)))],
-            ["doc_id", "ids", "share", "rare"])
+            ["doc_id", "k", "k2", "ids", "share", "rare"])
 
 
 class Network:
@@ -225,8 +225,8 @@ def _log_softmax_at(z: np.ndarray, place: np.ndarray) -> np.ndarray:
     return z[place, np.arange(len(place))] - top - np.log(np.exp(z - top).sum(0))
 
 
-def _around(ids: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(tokens around each token, the token, its row, its place in the row) of encoded documents."""
+def _around(ids: list[bytes], turn: int | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(tokens around each token, the token, its row, its place in the row) of encoded documents; in a round, of its targets only."""
     n = np.array([len(b) // 2 for b in ids])
     row = np.repeat(np.arange(len(ids)), n)
     first = np.concatenate([[0], np.cumsum(n)])
@@ -235,6 +235,9 @@ def _around(ids: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.nd
     padded = np.full(len(token) + 2 * SIDE * len(ids) + 2 * SIDE, VOCAB)
     at = np.arange(len(token)) + SIDE + 2 * SIDE * row  # every row has padding on both sides
     padded[at] = token
+    if turn is not None:
+        mine = _targets(place, turn)
+        at, token, row, place = at[mine], token[mine], row[mine], place[mine]
     steps = [s for s in range(-SIDE, SIDE + 1) if s]
     return (np.stack([padded[at + s] for s in steps], 1) if len(token) else np.zeros((0, 2 * SIDE), np.int64)), token, row, place
 
@@ -258,10 +261,9 @@ def _train(batches, flat, turn):
     size = 0
     for batch in batches:
         for a in range(0, batch.num_rows, 1024):
-            around, token, _, place = _around(batch.column(0).slice(a, 1024).to_pylist())
-            mine = _targets(place, turn)
-            waiting.append((around[mine], token[mine]))
-            size += int(mine.sum())
+            around, token, _, _ = _around(batch.column(0).slice(a, 1024).to_pylist(), turn)
+            waiting.append((around, token))
+            size += len(token)
             if size >= 32 * BATCH:
                 seen += learn(waiting)
                 waiting, size = [], 0
@@ -299,7 +301,7 @@ def _score(batches, flat):
             logs = np.concatenate([net.log_probs(around[i: i + 8192], token[i: i + 8192]) for i in range(0, len(token), 8192)] or [np.zeros(0)]).astype(np.float64)
             n = np.bincount(row, minlength=part.num_rows)
             total = np.bincount(row, logs, part.num_rows) + part.column(3).to_numpy()
-            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(n), pa.array(total)], ["row", "doc_id", "n_tokens", "log_prob"])
+            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(n), pa.array(total)], ["k", "k2", "n_tokens", "log_prob"])
 
 
 def score(docs: DataFrame) -> DataFrame:
@@ -308,10 +310,14 @@ def score(docs: DataFrame) -> DataFrame:
     counts = word_counts(docs)
     words, least = lexicon(counts)
     known = spark.sparkContext.broadcast(words)
-    encoded = texts(docs).mapInArrow(lambda b: _encode(b, known.value), "doc_id long, ids binary, share double, rare array<long>")
+    keyed = texts(docs).withColumns({"k": F.xxhash64("text"), "k2": F.xxhash64(F.lit(1), "text")})
+    encoded = keyed.mapInArrow(lambda b: _encode(b, known.value), "doc_id long, k long, k2 long, ids binary, share double, rare array<long>")
     encoded = materialise(encoded.withColumn("row", F.monotonically_increasing_id()), "encoded")
     flat = spark.sparkContext.broadcast(train(spark, encoded))
-    scored = encoded.select("row", "doc_id", "ids", "share").mapInArrow(lambda b: _score(b, flat.value), "row long, doc_id long, n_tokens long, log_prob double")
+    # equal texts are scored once, as float products depend on the other rows of a batch
+    contents = encoded.groupBy("k", "k2").agg(F.first(F.struct("ids", "share")).alias("one")).select("k", "k2", "one.ids", "one.share")
+    scored = contents.mapInArrow(lambda b: _score(b, flat.value), "k long, k2 long, n_tokens long, log_prob double")
+    scored = encoded.select("row", "doc_id", "k", "k2").join(scored, ["k", "k2"])
     # sums of whole numbers, so that they do not depend on the order of rows
     log_count = F.round(F.log(F.col("n") - F.lit(DISCOUNT)) * 2.0 ** 32).cast("long")
     rare = (encoded.select("row", F.explode("rare").alias("word")).join(counts.filter(F.col("n") < least), "word")
