@@ -67,6 +67,21 @@ def discard(df: DataFrame) -> None:
         p.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(p, True)
 
 
+def bounded_sample(rows: DataFrame, most: int, name: str) -> DataFrame:
+    """The rows of a training sample, written once; of more than ``most``, about ``most`` chosen by a hash of row and place.
+
+    The bound holds however many rows one id has, and is applied before a row reaches the driver.
+    """
+    whole = materialise(rows, name)
+    n = whole.count()
+    if n <= most:
+        return whole
+    key = F.xxhash64(F.monotonically_increasing_id(), *whole.columns)
+    part = materialise(whole.filter(F.pmod(key, F.lit(1 << 40)) < int((1 << 40) * most / n)), name)
+    discard(whole)
+    return part
+
+
 def crc32_mod(col: Column, n: int = 5) -> Column:
     """crc32 of a column as text, modulo n (null: the crc of an empty text)."""
     return F.pmod(F.crc32(F.coalesce(col.cast("string"), F.lit("")).cast("binary")), F.lit(n))

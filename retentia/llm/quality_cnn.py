@@ -7,8 +7,8 @@ pooled vector into the chunk's logit. The mean chunk logit, calibrated on the
 labelled documents, is the document's probability of label 1.
 
 The network is trained on a bounded sample: at most about ``sample`` labelled
-documents of either label (never a held-out one) and ``TRAIN_CHUNKS`` chunks of
-each. Scoring reads every chunk of every document; memory is bounded by the
+documents of either label (never a held-out one), with every chunk of each; the
+chunks of a document share its weight. Repeated labels count once. Scoring reads every chunk of every document; memory is bounded by the
 chunks of one step. Training runs from a fixed seed, so scores repeat.
 
 Defined results: a null or empty text is one chunk of padding and gets a score
@@ -18,19 +18,16 @@ kinds every score is the share of label 1 (0.5 if there is none).
 
 from __future__ import annotations
 
-import zlib
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from retentia.llm.common import crc32_mod, text_slices, texts
+from retentia.llm.common import bounded_sample, crc32_mod, discard, text_slices, texts
 
 CHUNK, OVERLAP, PAD = 512, 64, 256
 EMBED, WIDTH, STRIDE, FILTERS, HIDDEN = 8, 8, 2, 32, 16
 SAMPLE = 1500  # labelled documents of either label that training may use
-TRAIN_CHUNKS = 4
 STEP_CHUNKS = 128
 
 
@@ -99,9 +96,10 @@ class Network:
         return {"embed": dembed, "filters": np.einsum("nf,nfk->kf", draw, seen), "bias": draw.sum(0), "hidden": pooled.T @ dh,
                 "hidden_bias": dh.sum(0), "out": h.T @ d, "out_bias": d.sum(0)}
 
-    def fit(self, x: np.ndarray, y: np.ndarray, epochs: int = 12, batch: int = 64, rate: float = 3e-3, seed: int = 2) -> None:
+    def fit(self, x: np.ndarray, y: np.ndarray, share: np.ndarray, epochs: int = 12, batch: int = 64, rate: float = 3e-3, seed: int = 2) -> None:
         rng = np.random.default_rng(seed)
-        weight = np.where(y > 0, 0.5 / max(y.mean(), 1e-6), 0.5 / max(1 - y.mean(), 1e-6)).astype(np.float32)
+        mean = float((y * share).sum() / share.sum())
+        weight = (share * np.where(y > 0, 0.5 / max(mean, 1e-6), 0.5 / max(1 - mean, 1e-6))).astype(np.float32)
         m = {k: np.zeros_like(getattr(self, k)) for k in self.NAMES}
         v = {k: np.zeros_like(getattr(self, k)) for k in self.NAMES}
         step, steps = 0, epochs * -(-len(x) // batch)
@@ -115,19 +113,6 @@ class Network:
                     setattr(self, k, (getattr(self, k) - lr * (m[k] / (1 - 0.9 ** step)) / (np.sqrt(v[k] / (1 - 0.99 ** step)) + 1e-7)).astype(np.float32))
 
 
-def _train_chunks(batches):
-    for rows, data, offsets in text_slices(batches):
-        quality = rows.column(1).to_pylist()
-        out = []
-        for i, q in enumerate(quality):
-            raw = data[offsets[i]: offsets[i + 1]]
-            starts = chunk_starts(len(raw))
-            rng = np.random.default_rng(zlib.crc32(raw.tobytes()))
-            for a in sorted(rng.choice(starts, min(TRAIN_CHUNKS, len(starts)), replace=False).tolist()):
-                out.append({"doc": zlib.crc32(raw.tobytes()), "quality": q, "chunk": raw[a: a + CHUNK].tobytes()})
-        yield pa.RecordBatch.from_pylist(out, pa.schema([("doc", pa.int64()), ("quality", pa.int32()), ("chunk", pa.binary())]))
-
-
 def _calibrate(z: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[float, float]:
     """Slope and intercept of the weighted logistic regression of y on z, shrunk a little (Newton steps)."""
     x, beta = np.stack([z, np.ones_like(z)], 1), np.array([1.0, 0.0])
@@ -141,7 +126,7 @@ def _calibrate(z: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[float,
 def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> tuple[Network | None, float, float]:
     """Network, slope and intercept of the calibration."""
     marked = (labels.filter("doc_id is not null and quality is not null").filter(crc32_mod(F.col("doc_id")) != 0)
-              .select(F.col("doc_id").cast("long").alias("doc_id"), (F.col("quality") != 0).cast("int").alias("quality")))
+              .select(F.col("doc_id").cast("long").alias("doc_id"), (F.col("quality") != 0).cast("int").alias("quality")).distinct())
     total = {r[0]: r[1] for r in marked.groupBy("quality").count().collect()}
     prior = np.clip(total.get(1, 0) / max(1, sum(total.values())), 0.01, 0.99) if total else 0.5
     nothing = None, 0.0, float(np.log(prior / (1 - prior)))
@@ -149,21 +134,20 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> tuple[Net
         return nothing
     share = F.when(F.col("quality") == 1, F.lit(sample / total[1])).otherwise(F.lit(sample / total[0]))
     chosen = marked.filter(F.pmod(F.xxhash64(F.lit(5), "doc_id"), F.lit(1_000_000)) < share * 1_000_000)
-    # chosen has about 2 * sample ids at most
-    rows = (texts(docs).join(F.broadcast(chosen), "doc_id").select("text", "quality")
-            .mapInArrow(_train_chunks, "doc long, quality int, chunk binary").collect())
-    rows.sort(key=lambda r: (r["doc"], r["chunk"]))
+    # chosen has about 2 * sample rows at most, as labels are distinct
+    sampled = bounded_sample(texts(docs).join(F.broadcast(chosen), "doc_id").select("text", "quality"), 4 * sample, "quality")
+    rows = sampled.orderBy("text", "quality").collect()
+    discard(sampled)
     y = np.array([r["quality"] for r in rows], np.float32)
     if len(set(y.tolist())) < 2:
         return nothing
-    x = np.full((len(rows), CHUNK), PAD, np.int16)
-    for i, r in enumerate(rows):
-        x[i, : len(r["chunk"])] = np.frombuffer(r["chunk"], np.uint8)
+    raw = [(r["text"] or "").encode() for r in rows]
+    x, doc = cut(np.frombuffer(b"".join(raw), np.uint8), np.concatenate([[0], np.cumsum([len(t) for t in raw])]))
+    count = np.bincount(doc)
     net = Network()
-    net.fit(x, y)
-    doc, inverse = np.unique([r["doc"] for r in rows], return_inverse=True)
-    count = np.bincount(inverse)
-    z, yd = np.bincount(inverse, net.logits(x)) / count, np.round(np.bincount(inverse, y) / count)
+    net.fit(x, y[doc], count.mean() / count[doc])
+    z = np.bincount(doc, np.concatenate([net.logits(x[i: i + 4096]) for i in range(0, len(x), 4096)])) / count
+    yd = y
     weight = np.where(yd > 0, prior / max(yd.mean(), 1e-6), (1 - prior) / max(1 - yd.mean(), 1e-6))
     return net, *_calibrate(z, yd, weight)
 
