@@ -26,7 +26,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from retentia.llm.common import discard, materialise, texts
+from retentia.llm.common import bounded_sample, discard, texts
 
 GRADES = 3
 SAMPLE = 6000  # labelled rows of either label that the fit may use
@@ -125,14 +125,14 @@ def cutoff(eta: np.ndarray, toxic: np.ndarray, weight: np.ndarray) -> float:
 
 def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> tuple[dict[str, int], np.ndarray, np.ndarray, float]:
     """Feature index, weights, thresholds and the cutoff for ``toxic``."""
-    marked = labels.filter("doc_id is not null and toxic is not null").select(F.col("doc_id").cast("long").alias("doc_id"), (F.col("toxic") != 0).cast("int").alias("toxic"))
+    marked = labels.filter("doc_id is not null and toxic is not null").select(F.col("doc_id").cast("long").alias("doc_id"), (F.col("toxic") != 0).cast("int").alias("toxic")).distinct()
     total = {r[0]: r[1] for r in marked.groupBy("toxic").count().collect()}
     if len(total) < 2:
         return {}, np.zeros(0), np.full(GRADES, 40.0), np.inf
     share = F.when(F.col("toxic") == 1, F.lit(sample / total[1])).otherwise(F.lit(sample / total[0]))
     chosen = marked.filter(F.pmod(F.xxhash64(F.lit(3), "doc_id"), F.lit(1_000_000)) < share * 1_000_000)
-    # chosen has about 2 * sample ids at most
-    rows = materialise(texts(docs).join(F.broadcast(chosen), "doc_id").select("text", "toxic"), "toxic")
+    # chosen has about 2 * sample rows at most, as labels are distinct
+    rows = bounded_sample(texts(docs).join(F.broadcast(chosen), "doc_id").select("text", "toxic"), 4 * sample, "toxic")
     n = {r[0]: r[1] for r in rows.groupBy("toxic").count().collect()}
     if len(n) < 2:
         return {}, np.zeros(0), np.full(GRADES, 40.0), np.inf
