@@ -12,10 +12,11 @@ returned when tiles cover ``threshold`` of the item's words.
 
 The test items are a query set that is compared in blocks of at most
 ``block_words`` words (that bounds what is broadcast); every block meets every
-document whole, in one scan without a shuffle.
+document whole, in one scan a block without a shuffle. An item of fewer than
+``min_tile`` words is found where all its words occur in a row.
 
-Defined results: null and empty texts, and items of fewer than ``min_tile``
-words, are in no pair; repeated documents or items give repeated pairs; empty
+Defined results: null and empty texts, and items without a word, are in no
+pair; repeated documents or items give repeated pairs; empty
 tables give no rows.
 """
 
@@ -93,13 +94,13 @@ def tile(doc: list[int], item: list[int], doc_free: list[bool], min_tile: int) -
             size = max(min_tile, size // 2)
 
 
-def _blocks(benchmark: DataFrame, block_words: int, min_tile: int) -> Iterator[list[tuple[int, np.ndarray]]]:
+def _blocks(benchmark: DataFrame, block_words: int) -> Iterator[list[tuple[int, np.ndarray]]]:
     """The items' word hashes, in blocks; streams the table, never holds more than a block."""
     block, size = [], 0
     for r in benchmark.select(F.col("item_id").cast("long"), F.col("text").cast("string")).toLocalIterator():
         data = np.frombuffer((r[1] or "").encode(), np.uint8)
         h, _ = word_hashes(data, np.array([0, len(data)]))
-        if len(h) < min_tile:
+        if not len(h):
             continue
         if block and size + len(h) > block_words:
             yield block
@@ -123,44 +124,57 @@ class _Index:
         self.place = np.concatenate([np.arange(len(s)) for s in seeds])[order]
 
 
-def _scan(batches, index: _Index, k: int, threshold: float):
+def _indexes(block, min_tile: int) -> list[tuple[int, _Index]]:
+    """(seed words, index): items of fewer than ``min_tile`` words have an index of their length, so that they match whole."""
+    by_seed = defaultdict(list)
+    for item in block:
+        by_seed[min(min_tile, len(item[1]))].append(item)
+    return [(k, _Index(items, k)) for k, items in sorted(by_seed.items())]
+
+
+def _scan(batches, indexes: list[tuple[int, _Index]], threshold: float):
     for rows, data, offsets in text_slices(batches):
         ids = rows.column(rows.schema.get_field_index("doc_id")).to_pylist()
         h, row = word_hashes(data, offsets)
-        g, whole = gram_hashes(h, row, k)
-        lo = np.searchsorted(index.seed, g)
-        hit = np.flatnonzero(whole & (index.seed[np.minimum(lo, len(index.seed) - 1)] == g))
-        if not len(hit):
-            continue
-        first = np.searchsorted(row, np.arange(len(ids) + 1))
-        out = []
-        for part in np.split(hit, np.flatnonzero(np.diff(row[hit])) + 1):
-            r = int(row[part[0]])
-            base = int(first[r])
-            shared, islands = defaultdict(set), defaultdict(set)
-            for p in part.tolist():
-                a = int(lo[p])
-                while a < len(index.seed) and index.seed[a] == g[p]:
-                    shared[int(index.item[a])].update(range(int(index.place[a]), int(index.place[a]) + k))
-                    islands[int(index.item[a])].update(range(p, p + k))
-                    a += 1
-            words = None
-            for it, covered in shared.items():
-                item = index.items[it]
-                if len(covered) < threshold * len(item):
-                    continue
-                if words is None:
-                    words = h[base: int(first[r + 1])].tolist()
-                free = np.zeros(len(words), bool)
-                free[np.fromiter(islands[it], int) - base] = True
-                tiles = tile(words, item.tolist(), free.tolist(), k)
-                matched = sum(t[2] for t in tiles)
-                if matched >= threshold * len(item):
-                    out.append({"doc_id": ids[r], "item_id": index.ids[it], "n_tiles": len(tiles), "matched_words": matched,
-                                "item_words": len(item), "coverage": matched / len(item),
-                                "tiles": [{"doc_word": j, "item_word": i, "n_words": n} for j, i, n in sorted(tiles)]})
-        if out:
-            yield pa.RecordBatch.from_pylist(out, _ARROW)
+        for k, index in indexes:
+            yield from _matches(ids, h, row, index, k, threshold)
+
+
+def _matches(ids: list, h: np.ndarray, row: np.ndarray, index: _Index, k: int, threshold: float):
+    g, whole = gram_hashes(h, row, k)
+    lo = np.searchsorted(index.seed, g)
+    hit = np.flatnonzero(whole & (index.seed[np.minimum(lo, len(index.seed) - 1)] == g))
+    if not len(hit):
+        return
+    first = np.searchsorted(row, np.arange(len(ids) + 1))
+    out = []
+    for part in np.split(hit, np.flatnonzero(np.diff(row[hit])) + 1):
+        r = int(row[part[0]])
+        base = int(first[r])
+        shared, islands = defaultdict(set), defaultdict(set)
+        for p in part.tolist():
+            a = int(lo[p])
+            while a < len(index.seed) and index.seed[a] == g[p]:
+                shared[int(index.item[a])].update(range(int(index.place[a]), int(index.place[a]) + k))
+                islands[int(index.item[a])].update(range(p, p + k))
+                a += 1
+        words = None
+        for it, covered in shared.items():
+            item = index.items[it]
+            if len(covered) < threshold * len(item):
+                continue
+            if words is None:
+                words = h[base: int(first[r + 1])].tolist()
+            free = np.zeros(len(words), bool)
+            free[np.fromiter(islands[it], int) - base] = True
+            tiles = tile(words, item.tolist(), free.tolist(), k)
+            matched = sum(t[2] for t in tiles)
+            if matched >= threshold * len(item):
+                out.append({"doc_id": ids[r], "item_id": index.ids[it], "n_tiles": len(tiles), "matched_words": matched,
+                            "item_words": len(item), "coverage": matched / len(item),
+                            "tiles": [{"doc_word": j, "item_word": i, "n_words": n} for j, i, n in sorted(tiles)]})
+    if out:
+        yield pa.RecordBatch.from_pylist(out, _ARROW)
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, min_tile: int = 4, threshold: float = 0.5,
@@ -169,9 +183,9 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, min_tile: int = 4, thres
     sc = docs.sparkSession.sparkContext
     source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     out = None
-    for block in _blocks(benchmark, block_words, min_tile):
-        index = sc.broadcast(_Index(block, min_tile))
-        part = source.mapInArrow(lambda b, index=index: _scan(b, index.value, min_tile, threshold), SCHEMA)
+    for block in _blocks(benchmark, block_words):
+        indexes = sc.broadcast(_indexes(block, min_tile))
+        part = source.mapInArrow(lambda b, indexes=indexes: _scan(b, indexes.value, threshold), SCHEMA)
         out = part if out is None else out.unionByName(part)
     return out if out is not None else docs.sparkSession.createDataFrame([], SCHEMA)
 

@@ -98,3 +98,10 @@ def test_small_tables_against_brute_force(small, small_texts):
             if greedy_tiles(part, items[k], 4) >= 0.5 * len(items[k]):
                 expected.add((d, k))
     assert set(got) == expected and expected
+
+
+def test_short_items_match_whole(spark, make_docs):
+    bench = spark.createDataFrame([(1, "Alpha, beta gamma"), (2, "gamma delta"), (3, "zeta"), (4, " .,"), (5, None), (6, "one two three four five six")], "item_id long, text string")
+    docs = make_docs([(1, "x alpha BETA gamma y"), (2, "alpha beta x gamma delta"), (3, "zeta"), (4, "one two three"), (5, ""), (6, None), (7, "zeta one two three four")])
+    got = sorted((r.doc_id, r.item_id, r.matched_words, r.item_words) for r in contaminated(docs, bench).collect())
+    assert got == [(1, 1, 3, 3), (2, 2, 2, 2), (3, 3, 1, 1), (7, 3, 1, 1), (7, 6, 4, 6)]

@@ -197,3 +197,23 @@ def test_toxicity_edge_cases(spark, make_docs, with_labels):
     else:
         assert all(r.severity < 1e-6 and r.toxic == 0 for r in got)
     assert toxicity.score(make_docs([]), labels).count() == 0
+
+
+def test_training_sample_is_bounded_by_rows(spark):
+    """One id with most rows does not pass the bound."""
+    from retentia.llm.common import bounded_sample
+    rows = spark.createDataFrame([(f"text {i % 3000}", i % 2) for i in range(9000)] + [(None, 0)] * 50, "text string, quality int")
+    assert bounded_sample(rows, 10_000, "t").count() == 9050
+    got = bounded_sample(rows, 1000, "t")
+    assert 850 < got.count() < 1150 and {r.quality for r in got.collect()} == {0, 1}
+
+
+@pytest.mark.parametrize("method", [quality_cnn, toxicity])
+def test_repeated_labels_and_rows(spark, make_docs, method):
+    rng = random.Random(4)
+    good, bad = ["the old house by the lake was sold in spring"], ["zxq $$$ buy click zxq now"]
+    rows = [(i, " ".join(rng.choice(good if i % 2 else bad).split()[: 4 + i % 5]) + f" {i}") for i in range(80)] + [(7, "same id " + str(k)) for k in range(60)]
+    marks = [(i, i % 2, 1 - i % 2) for i in range(80)] + [(7, 1, 0)] * 200 + [(7, 0, 1)] * 3
+    labels = spark.createDataFrame(marks, "doc_id long, quality int, toxic int")
+    got = method.score(make_docs(rows), labels).collect()
+    assert len(got) == len(rows)
