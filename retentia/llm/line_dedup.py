@@ -11,18 +11,23 @@ occurrences are joined on segments: each line is cut into ``edits + 1`` even
 segments, and a line within the threshold must contain one of them unchanged,
 at a place that its shift bounds. Each line is therefore indexed by (segment
 number, length, segment), and probes, for each shorter or equal length in
-reach, only the substrings that multi-match-aware selection leaves. Candidates
+reach, only the substrings that multi-match-aware selection leaves. A segment
+that more than ``HOT`` lines share says too little: lines under such a key meet
+on finer keys instead, all of the line but ``edits`` of ``PIECES`` pieces, one
+of which two lines in reach must share as well. Candidates
 whose letter counts allow it are verified by the banded bit-parallel edit distance: one 64-bit word holds
 the 2 * edits + 1 cells of a column, after the common ends are cut off.
 
 Defined results: null and empty texts have no lines to remove; rows with the
 same id and the same text are one document and lose the same lines; null ids
-sort first; documents that lose all their lines leave an empty text; an empty
-table gives no rows.
+sort first; ``drop_repeated_lines`` drops documents that lose all their
+lines; an empty table gives no rows.
 """
 
 from __future__ import annotations
 
+from itertools import combinations, product
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -30,7 +35,8 @@ from retentia.llm.common import carried, let, materialise, row_key, texts
 
 EDITS = 2
 MIN_CHARS = 30
-KEY_CHARS = 32
+HOT = 16  # lines that may share a segment before finer keys take its place
+PIECES = 8
 
 
 def _segment_keys(lines: DataFrame, wanted: list[tuple[int, int, int]], edits: int, name: str) -> DataFrame:
@@ -38,9 +44,8 @@ def _segment_keys(lines: DataFrame, wanted: list[tuple[int, int, int]], edits: i
 
     The key names segment ``i`` of lines ``less`` shorter, read ``shift`` away
     from its place: lengths are cut into edits + 1 even segments, the last
-    ones longer by one if need be. The first KEY_CHARS of a segment stand for
-    it, which can only add candidates. The cases are rows, so that the
-    generated code stays small.
+    ones longer by one if need be. The cases are rows, so that the generated
+    code stays small.
     """
     parts = edits + 1
     cases = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(less).alias("less"), F.lit(shift).alias("shift")) for i, less, shift in wanted])
@@ -50,7 +55,7 @@ def _segment_keys(lines: DataFrame, wanted: list[tuple[int, int, int]], edits: i
     each = each.withColumns({"at": F.col("i") * F.col("short") + F.greatest(F.lit(0), F.col("i") - plain) + F.col("shift"),
                              "size": F.col("short") + F.when(F.col("i") >= plain, 1).otherwise(0)})
     inside = each.filter((F.col("at") >= 0) & (F.col("at") + F.col("size") <= F.col("n")))
-    return inside.select(F.xxhash64("i", "length", F.substring("line", F.col("at") + 1, F.least(F.col("size"), F.lit(KEY_CHARS)))).alias("key"), name)
+    return inside.select(F.xxhash64("i", "length", F.substring("line", F.col("at") + 1, F.col("size"))).alias("key"), name)
 
 
 def _index(lines: DataFrame, edits: int, name: str) -> DataFrame:
@@ -59,13 +64,51 @@ def _index(lines: DataFrame, edits: int, name: str) -> DataFrame:
 
 
 def _probes(lines: DataFrame, edits: int, name: str) -> DataFrame:
-    """Keys that lines look up: what a line of the same or a smaller length in reach may have as a segment.
+    """Keys that lines look up beside their own: what a line of the same or a smaller length in reach may have as a segment.
 
     Edits before the segment bound its shift from the left, those after it
     from the right.
     """
     return _segment_keys(lines, [(i, less, shift) for less in range(edits + 1) for i in range(edits + 1)
-                                 for shift in range(max(-i, less - (edits - i)), min(i, less + (edits - i)) + 1)], edits, name)
+                                 for shift in range(max(-i, less - (edits - i)), min(i, less + (edits - i)) + 1) if less or shift], edits, name)
+
+
+def _left_out(edits: int) -> list[tuple[int, list[tuple[int, int]]]]:
+    """(number, [(first, end) of each run of pieces left out]) for every choice of ``edits`` pieces."""
+    out = []
+    for number, chosen in enumerate(combinations(range(PIECES), edits)):
+        runs: list[tuple[int, int]] = []
+        for p in chosen:
+            if runs and runs[-1][1] == p:
+                runs[-1] = (runs[-1][0], p + 1)
+            else:
+                runs.append((p, p + 1))
+        out.append((number, runs))
+    return out
+
+
+def _fine_keys(lines: DataFrame, edits: int, name: str, own: bool) -> DataFrame:
+    """(key, name): the line but for ``edits`` of its pieces, as indexed (own) or as looked up.
+
+    A piece with k edits is left out together with k - 1 neighbours, so a run
+    of r pieces left out has at most r edits and shifts what follows by r at
+    most; the shifts end at the difference of the lengths.
+    """
+    cases = []
+    for number, runs in _left_out(edits):
+        starts, ends = [0] + [b for _, b in runs], [a for a, _ in runs] + [PIECES]
+        for moves in [(0,) * len(runs)] if own else product(*[range(a - b, b - a + 1) for a, b in runs]):
+            if sum(map(abs, moves)) > edits or sum(moves) < 0:
+                continue
+            shift = [sum(moves[:j]) for j in range(len(runs) + 1)]
+            parts = [F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.lit(k).alias("shift")) for a, b, k in zip(starts, ends, shift, strict=True)]
+            cases.append(F.struct(F.lit(number).alias("number"), F.lit(sum(moves)).alias("less"), F.array(*parts).alias("parts")))
+    each = lines.select(F.col("h").alias(name), "line", "n", F.inline(F.array(*cases))).withColumn("length", F.col("n") - F.col("less"))
+    each = each.withColumn("short", F.expr(f"cast(length div {PIECES} as int)"))
+    plain = F.lit(PIECES) - (F.col("length") - F.col("short") * PIECES)
+    start = lambda i: i * F.col("short") + F.greatest(F.lit(0), i - plain)
+    part = lambda p: F.substring(F.col("line"), F.greatest(F.lit(0), start(p["a"]) + p["shift"]) + 1, start(p["b"]) - start(p["a"]))
+    return each.select(F.xxhash64("number", "length", F.transform("parts", part)).alias("key"), name)
 
 
 def _common_start(a: Column, b: Column) -> Column:
@@ -151,25 +194,33 @@ def _lines(keyed: DataFrame, min_chars: int) -> DataFrame:
 def near_lines(docs: DataFrame, edits: int = EDITS, min_chars: int = MIN_CHARS) -> tuple[DataFrame, DataFrame]:
     """(first occurrence of each line, the lines among them that go).
 
-    The first: h, h2 (hash of the line), at (doc_id, _key, line_no) and long,
-    whether the line takes part in the edit join. The second: h, h2, source (the earliest place of an earlier line in reach) and
+    The first: h, h2 (hash of the line), at (doc_id, _key, line_no), long,
+    whether the line takes part in the edit join, and how often it occurs. The second: h, h2, source (the earliest place of an earlier line in reach) and
     its distance.
     """
     keyed = row_key(texts(docs))
     occ = _lines(keyed, min_chars).select(F.xxhash64("line").alias("h"), F.xxhash64(F.lit(1), "line").alias("h2"), F.struct("doc_id", "_key", "line_no").alias("at"), "long")
-    firsts = materialise(occ.groupBy("h", "h2", "long").agg(F.min("at").alias("at")), "first-lines")
+    firsts = materialise(occ.groupBy("h", "h2", "long").agg(F.min("at").alias("at"), F.count("*").alias("times")), "first-lines")
     long = firsts.filter("long")
 
     def texts_at(places: DataFrame) -> DataFrame:
-        """Lines of places (_key, line_no, h): h and line. Both uses read the same shuffled documents."""
+        """Lines of places (_key, line_no, h): h and line. All uses read the same shuffled documents, one row a content key."""
         lists = places.groupBy("_key").agg(F.collect_set(F.struct("line_no", "h")).alias("places"))
-        own = keyed.select("_key", "text").join(lists, "_key").select(F.split("text", "\n").alias("lines"), "places")
+        own = keyed.groupBy("_key").agg(F.first("text").alias("text")).join(lists, "_key").select(F.split("text", "\n").alias("lines"), "places")
         each = own.select(F.inline(let(F.col("lines"), lambda ls: F.transform("places", lambda p: F.struct(p["h"].alias("h"), F.get(ls, p["line_no"]).alias("line"))))))
-        return each
+        return each.filter("h is not null and line is not null")  # said here, the optimizer need not add it to one use of a shared shuffle
 
     lines = texts_at(long.select("at._key", "at.line_no", "h")).withColumn("n", F.length("line"))
-    pairs = _index(lines, edits, "a").join(_probes(lines, edits, "b"), "key").filter("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    # nothing is written here: in one plan both look-ups of texts read the same shuffled documents
+    own, other = _index(lines, edits, "a").repartition("key"), _probes(lines, edits, "b").repartition("key")
+    hot = own.groupBy("key").agg(F.count("a").alias("many")).filter(F.col("many") > HOT)
+    marked = own.join(hot, "key", "left")
+    cold = marked.filter("many is null").select("key", "a")
+    met = cold.join(cold.select("key", F.col("a").alias("b")), "key").filter("a < b").unionByName(cold.join(other, "key").filter("a <> b")).select("a", "b")
+    crowded = marked.filter("many is not null").select("a").unionByName(other.join(hot, "key").select(F.col("b").alias("a"))).distinct()
+    crowd = texts_at(long.join(crowded, F.col("h") == F.col("a"), "left_semi").select("at._key", "at.line_no", "h")).withColumn("n", F.length("line"))
+    fine = _fine_keys(crowd, edits, "a", True).join(_fine_keys(crowd, edits, "b", False), "key").filter("a <> b").select("a", "b")
+    pairs = met.unionByName(fine).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).filter("a is not null and b is not null").distinct()
+    # nothing is written here: in one plan all look-ups of texts read the same shuffled documents
     place = long.select("h", "h2", "at")
     needed = pairs.select(F.explode(F.array("a", "b")).alias("h")).distinct()
     text = texts_at(long.join(needed, "h", "left_semi").select("at._key", "at.line_no", "h")).dropDuplicates(["h"])
@@ -187,7 +238,7 @@ def removed_lines(docs: DataFrame, edits: int = EDITS, min_chars: int = MIN_CHAR
     """(_key, doc_id, line_no, distance, source_doc_id, source_line_no) of every line that goes; distance 0: an equal line came first."""
     firsts, near = near_lines(docs, edits, min_chars)
     occ = _lines(row_key(texts(docs)), min_chars).select("_key", "doc_id", "line_no", F.xxhash64("line").alias("h"), F.xxhash64(F.lit(1), "line").alias("h2"))
-    first = firsts.join(near, ["h", "h2"], "left")
+    first = firsts.join(near, ["h", "h2"], "left").filter((F.col("times") > 1) | F.col("source").isNotNull())
     own = F.struct("doc_id", "_key", "line_no").eqNullSafe(F.col("at"))
     all_ = occ.join(first, ["h", "h2"]).filter(~own | F.col("source").isNotNull())
     source = F.when(own, F.col("source")).otherwise(F.col("at"))

@@ -2,6 +2,9 @@ import random
 
 from pyspark.sql import functions as F
 
+import pytest
+
+from retentia.llm import line_dedup
 from retentia.llm.line_dedup import drop_repeated_lines, edit_distance, removed_lines
 
 
@@ -78,6 +81,20 @@ def test_removed_lines_against_brute_force(make_docs):
     assert set(map(tuple, got)) == brute(rows)
 
 
+@pytest.mark.parametrize("edits", [1, 2])
+def test_finer_keys_lose_no_pair(make_docs, monkeypatch, edits):
+    monkeypatch.setattr(line_dedup, "HOT", 0)  # every line meets the others on finer keys only
+    rows = corpus()
+    assert set(map(tuple, removed_lines(make_docs(rows), edits).drop("_key").collect())) == brute(rows, edits)
+
+
+def test_repeated_rows_join_once(make_docs):
+    r = random.Random(9)
+    a = "".join(r.choice("abcdefgh") for _ in range(60))
+    docs = make_docs([(1, a)] * 200 + [(2, a + "x")] * 200)
+    assert {tuple(x) for x in removed_lines(docs).drop("_key").collect()} == {(2, 0, 1, 1, 0)}
+
+
 def test_repeated_rows_are_one_document(make_docs):
     rows = corpus()
     got = removed_lines(make_docs(rows + rows[3:9])).drop("_key").distinct().collect()
