@@ -213,16 +213,18 @@ def _by_class(around: np.ndarray, token: np.ndarray) -> tuple[np.ndarray, np.nda
 
 
 def _softmax(z: np.ndarray) -> np.ndarray:
-    """Of each column."""
-    e = np.exp(z - z.max(0))
-    e /= e.sum(0)
-    return e
+    """Of each column, in place."""
+    z -= z.max(0)
+    np.exp(z, out=z)
+    z /= z.sum(0)
+    return z
 
 
 def _log_softmax_at(z: np.ndarray, place: np.ndarray) -> np.ndarray:
-    """The log softmax of each column at its place."""
-    top = z.max(0)
-    return z[place, np.arange(len(place))] - top - np.log(np.exp(z - top).sum(0))
+    """The log softmax of each column at its place; overwrites z."""
+    z -= z.max(0)
+    chosen = z[place, np.arange(len(place))]
+    return chosen - np.log(np.exp(z, out=z).sum(0))
 
 
 def _around(ids: list[bytes], turn: int | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
