@@ -228,6 +228,7 @@ def ridge_drivers(df: DataFrame, features: list[str] = LTV_DRIVER_FEATURES,
     std, so reg = alpha * std_pop(y) / n reproduces |y - Xb|^2 + alpha |b|^2."""
     x = df.select(*[F.coalesce(F.col(c).cast("double"), F.lit(0.0)).alias(c) for c in features],
                   F.col(target).cast("double").alias("_y"))
+    x = write_once(x, "ridge")  # the moments, the fit and its summary each read it
     stats = x.agg(*[F.avg(c).alias(f"m_{c}") for c in features],
                   *[F.stddev_pop(c).alias(f"s_{c}") for c in features],
                   F.count(F.lit(1)).alias("_n"), F.stddev_pop("_y").alias("_sy")).first()

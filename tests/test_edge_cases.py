@@ -128,3 +128,18 @@ def test_single_class_metrics(spark):
     assert r["roc_auc"] is None and r["pr_auc"] is None
     assert r["precision"] == 0.0 and r["recall"] == 0.0 and r["f1_score"] == 0.0
     assert r["accuracy"] == pytest.approx(2 / 3, abs=1e-6)
+
+
+def test_ridge_reads_its_matrix_once(spark):
+    from retentia.operators import revenue as rev
+    seen = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for b in batches:
+            seen.add(b.num_rows)
+            yield b
+    schema = ", ".join(f"{c} double" for c in [*rev.LTV_DRIVER_FEATURES, "y"])
+    rows = [tuple(float((i * (j + 3)) % 11) for j in range(len(rev.LTV_DRIVER_FEATURES) + 1)) for i in range(40)]
+    df = spark.createDataFrame(rows, schema).mapInArrow(count, schema)
+    assert rev.ridge_drivers(df, target="y").count() == len(rev.LTV_DRIVER_FEATURES)
+    assert seen.value == 40
