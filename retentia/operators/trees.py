@@ -43,6 +43,7 @@ ROWS_PER_PARTITION = 100_000
 ROWS_AT_LEAST = 2_000  # a partition of fewer rows costs more than it saves
 TREES_PER_WRITE = 10  # the margins of all rows are written anew after so many trees
 NODES_PER_GROUP = 64  # nodes whose splits one group picks
+PACKED_ROWS, PACKED_BITS = 10_000, 17  # 12 * PACKED_ROWS < 2 ** PACKED_BITS, as a bootstrap weight is 12 at most
 CELLS_PER_PASS = 4_000_000  # histogram cells of one forest pass; more open nodes take more passes
 
 
@@ -69,8 +70,13 @@ def _values(col: pa.Array, width: int) -> np.ndarray:
 
 
 def _matrix(col: pa.Array, width: int) -> np.ndarray:
-    data = np.frombuffer(b"".join(col.to_pylist()), np.uint8)
-    return data.reshape(len(col), width)
+    data = np.frombuffer(col.buffers()[2], np.uint8) if len(col) else np.zeros(0, np.uint8)
+    return data[col.offset * width: (col.offset + len(col)) * width].reshape(len(col), width)  # every row has ``width`` bytes, end to end
+
+
+def _by_column(b: pa.RecordBatch, width: int) -> np.ndarray:
+    """The bin numbers of a batch, each input's in one run of memory."""
+    return np.asfortranarray(_matrix(b.column(b.schema.get_field_index("codes")), width))
 
 
 def binned(df: DataFrame, key: str, label: str, inputs: str, cuts: list[list[float]], fold: str | None = None,
@@ -134,13 +140,21 @@ class Tree:
 
     def nodes(self, codes: np.ndarray) -> np.ndarray:
         """The node each row has come to."""
-        at, rows = np.zeros(len(codes), np.int64), np.arange(len(codes))
-        for _ in range(self.depth):
-            f = self.split[at]
-            code = codes[rows, f]
-            goes_left = np.where(code == MISSING, self.left[at], code <= self.cut[at])
-            at = np.where(f < 0, at, 2 * at + 2 - goes_left)
-        return at
+        kind = np.uint8 if len(self.split) <= 256 else np.int64
+
+        def below(n: int):
+            if self.split[n] < 0:
+                return kind(n)
+            column = codes[:, self.split[n]]
+            goes_left = column <= self.cut[n]  # MISSING is above every cut
+            if self.left[n]:
+                goes_left |= column == MISSING
+            left, right = below(2 * n + 1), below(2 * n + 2)
+            # whole columns and masks: far cheaper than a look-up of each row's own input
+            return right ^ ((left ^ right) & np.negative(goes_left.astype(kind)))
+
+        found = below(0)
+        return found if isinstance(found, np.ndarray) else np.full(len(codes), found, kind)
 
     def record(self) -> list:
         used = np.flatnonzero((self.split >= 0) | (self.value != 0))
@@ -161,12 +175,18 @@ def margins(trees: list[Tree], codes: np.ndarray) -> np.ndarray:
     return total
 
 
-def _summed(parts: DataFrame, n: int) -> np.ndarray:
-    """(cell, v0, v1, ...) partial sums of the tasks -> one array of n rows on the driver, sized by the bins alone."""
-    cols = [c for c in parts.columns if c != "cell"]
-    got = parts.groupBy("cell").agg(*[F.sum(c).alias(c) for c in cols]).toPandas()
-    out = np.zeros((n, len(cols)), np.int64)
-    out[got["cell"].to_numpy(np.int64)] = got[cols].to_numpy(np.int64)
+def _add_up(group: pa.Table) -> pa.Table:
+    """The partial histograms of one node, added up."""
+    total = sum(np.frombuffer(raw, np.int64) for raw in group.column("sums").to_pylist())
+    return pa.table({"slot": group.column("slot")[:1], "sums": pa.array([total.tobytes()], pa.binary())})
+
+
+def _summed(parts: DataFrame, n: int, cells: int) -> np.ndarray:
+    """(slot, sums) partial histograms of the tasks -> (n, 2, cells) on the driver, sized by the bins alone."""
+    got = parts.groupBy("slot").applyInArrow(_add_up, "slot long, sums binary").toArrow()
+    out = np.zeros((n, 2, cells), np.int64)
+    for slot, raw in zip(got.column("slot").to_pylist(), got.column("sums").to_pylist(), strict=True):
+        out[slot] = np.frombuffer(raw, np.int64).reshape(2, cells)
     return out
 
 
@@ -209,33 +229,51 @@ def best_split(hist: np.ndarray, sizes: np.ndarray, par: Boosting) -> tuple[floa
     return float(gain[f, c, side]), int(f), int(c), bool(side)
 
 
-def _gradient_cells(batches, width, models, bins, trees, open_nodes, par, has_margins):
-    """Partial histograms of one pass. ``trees[m]`` are the trees since the margins were written, the open one last."""
+def _gradient_sums(batches, width, models, bins, trees, open_nodes, par, has_margins):
+    """Histograms of one task in one pass, (node, [g, h], input and code), or None. ``trees[m]`` are the trees since the margins were written, the open one last."""
     codes_n = bins + 2
-    per_node = width * codes_n
-    slot = {(m, n): i for i, (m, n) in enumerate(open_nodes)}
-    n_cells, total = len(slot) * per_node, None
+    slots = {m: np.full(2 ** (par.depth + 1), -1, np.int64) for m in models}
+    places: dict = {m: [] for m in models}
+    for i, (m, n) in enumerate(open_nodes):
+        slots[m][n] = len(places[m])
+        places[m].append(i)
+    total = None
     for b in batches:
-        codes = _matrix(b.column(b.schema.get_field_index("codes")), width)
-        folded = np.where(codes == MISSING, bins + 1, codes).astype(np.int64)
+        codes = _by_column(b, width)
+        folded = np.where(codes == MISSING, bins + 1, codes)
         label, fold = (np.asarray(b.column(b.schema.get_field_index(c))) for c in ("label", "fold"))
         held = _values(b.column(b.schema.get_field_index("margins")), len(models)) if has_margins else np.zeros((len(codes), len(models)))
-        cell, g_all, h_all = [], [], []
+        if total is None:
+            total = np.zeros((len(open_nodes), 2, width, codes_n), np.int64)
         for i, m in enumerate(models):
-            rows = np.flatnonzero(fold != m)
-            mine = np.array([slot.get((m, n), -1) for n in range(2 ** (par.depth + 1))], np.int64)
-            at = mine[trees[i][-1].nodes(codes[rows])]
-            rows, at = rows[at >= 0], at[at >= 0]
-            g, h = gradients(held[rows, i] + margins(trees[i][:-1], codes[rows]), label[rows], par.positive_weight)
-            cell.append((at[:, None] * per_node + np.arange(width) * codes_n + folded[rows]).ravel())
-            g_all.append(np.repeat(g, width))
-            h_all.append(np.repeat(h, width))
-        cell = np.concatenate(cell)
-        sums = np.stack([np.bincount(cell, np.concatenate(v), n_cells) for v in (g_all, h_all)])
-        total = sums.astype(np.int64) if total is None else total + sums.astype(np.int64)
+            if not places[m]:
+                continue
+            at = slots[m][trees[i][-1].nodes(codes)]
+            rows = np.flatnonzero((fold != m) & (at >= 0))
+            at = at[rows] * codes_n
+            g, h = gradients((held[:, i] + margins(trees[i][:-1], codes))[rows], label[rows], par.positive_weight)
+            for f in range(width):  # one input's cells stay in the processor's cache
+                cell = at + folded[rows, f]
+                for k, v in enumerate((g, h)):
+                    total[places[m], k, f] += np.bincount(cell, v, len(places[m]) * codes_n).astype(np.int64).reshape(-1, codes_n)
+    return total
+
+
+def _gradient_nodes(batches, *how):
+    """One row a node, its whole partial histogram packed."""
+    total = _gradient_sums(batches, *how)
     if total is not None:
-        on = np.flatnonzero(total.any(0))
-        yield pa.RecordBatch.from_arrays([pa.array(on), pa.array(total[0, on]), pa.array(total[1, on])], ["cell", "v0", "v1"])
+        on = np.flatnonzero(total.any((1, 2, 3)))
+        yield pa.RecordBatch.from_arrays([pa.array(on), pa.array([total[i].tobytes() for i in on], pa.binary())], ["slot", "sums"])
+
+
+def _gradient_cells(batches, *how):
+    """One row a cell of a single node."""
+    total = _gradient_sums(batches, *how)
+    if total is not None:
+        flat = total[0].reshape(2, -1)
+        on = np.flatnonzero(flat.any(0))
+        yield pa.RecordBatch.from_arrays([pa.array(on), pa.array(flat[0, on]), pa.array(flat[1, on])], ["cell", "v0", "v1"])
 
 
 def gradient_histogram(table: DataFrame, cuts: list[list[float]], par: Boosting = Boosting(), bins: int = BINS) -> DataFrame:
@@ -253,16 +291,20 @@ def boost(table: DataFrame, cuts: list[list[float]], models: list[int], par: Boo
     current, written = table, 0
     for t in range(par.trees):
         growing = [Tree(par.depth) for _ in models]
-        open_nodes = [(m, 0) for m in models]
+        open_nodes, above, lighter = [(m, 0) for m in models], {}, set()
         for level in range(par.depth):
             if not open_nodes:
                 break
             recent = [done[i][written:] + [growing[i]] for i in range(len(models))]
+            # of two siblings the lighter is summed; the other is its parent less that, exactly, as the sums are whole numbers
+            asked = [k for k in open_nodes if k in lighter or k[1] == 0]
             parts = current.mapInArrow(
-                lambda b, r=recent, o=open_nodes, w=written: _gradient_cells(b, width, models, bins, r, o, par, w > 0), "cell long, v0 long, v1 long")
-            hist = _summed(parts, len(open_nodes) * width * codes_n).reshape(len(open_nodes), width, codes_n, 2)
-            after = []
-            for (m, n), h in zip(open_nodes, hist, strict=True):
+                lambda b, r=recent, o=asked, w=written: _gradient_nodes(b, width, models, bins, r, o, par, w > 0), "slot long, sums binary")
+            hists = dict(zip(asked, np.moveaxis(_summed(parts, len(asked), width * codes_n).reshape(len(asked), 2, width, codes_n), 1, -1), strict=True))
+            hists |= {(m, n): above[m, (n - 1) // 2] - hists[m, n + 1 if n % 2 else n - 1] for m, n in open_nodes if (m, n) not in hists}
+            above, lighter, after = hists, set(), []
+            for m, n in open_nodes:
+                h = hists[m, n]
                 tree, total = growing[models.index(m)], h[0].sum(0) / FIXED
                 tree.value[n] = -par.eta * total[0] / (total[1] + par.leaf_l2)
                 gain, f, c, side = best_split(h, sizes, par)
@@ -270,6 +312,7 @@ def boost(table: DataFrame, cuts: list[list[float]], models: list[int], par: Boo
                     tree.split[n], tree.cut[n], tree.left[n], tree.value[n] = f, c, side, 0.0
                     m_hist = h[f] / FIXED
                     low = m_hist[: c + 1].sum(0) + (m_hist[-1] if side else 0)
+                    lighter.add((m, 2 * n + 1 if 2 * low[1] <= total[1] else 2 * n + 2))
                     for child, s in ((2 * n + 1, low), (2 * n + 2, total - low)):
                         tree.value[child] = -par.eta * s[0] / (s[1] + par.leaf_l2)
                         if level + 1 < par.depth:
@@ -283,7 +326,7 @@ def boost(table: DataFrame, cuts: list[list[float]], models: list[int], par: Boo
 
             def add(batches, fresh=fresh, had=had):
                 for b in batches:
-                    codes = _matrix(b.column(3), width)
+                    codes = _by_column(b, width)
                     total = np.stack([margins(tr, codes) for tr in fresh], 1) + (_values(b.column(4), len(fresh)) if had else 0.0)
                     yield pa.RecordBatch.from_arrays([*b.columns[:4], pa.ListArray.from_arrays(
                         pa.array(np.arange(0, total.size + 1, len(fresh)), pa.int32()), pa.array(total.ravel()))], ["row_hash", "label", "fold", "codes", "margins"])
@@ -320,7 +363,10 @@ def bootstrap_weights(row_hash: np.ndarray, tree: int, seed: int) -> np.ndarray:
     stream = mixed(np.array([seed * 1_000_003 + tree], np.uint64))
     u = mixed(mixed(row_hash.view(np.uint64)) + stream) / 2.0**64
     steps = np.cumsum([math.exp(-1) / math.factorial(k) for k in range(12)])
-    return np.searchsorted(steps, u, "right")
+    weight = np.zeros(len(u), np.int64)
+    for step in steps:
+        weight += u >= step
+    return weight
 
 
 def drawn_inputs(tree: int, node: int, width: int, seed: int) -> np.ndarray:
@@ -359,31 +405,35 @@ def _forest_cells(batches, width, bins, trees, todo, seed, drawn):
     for i, ((m, t, n), feats) in enumerate(todo):
         by_tree.setdefault((m, t), []).append((n, i, feats))
     total = None
-    for b in batches:
-        codes = _matrix(b.column(b.schema.get_field_index("codes")), width)
-        folded = np.where(codes == MISSING, bins + 1, codes).astype(np.int64)
+    for b in (part.slice(at, PACKED_ROWS) for part in batches for at in range(0, part.num_rows, PACKED_ROWS)):
+        codes = _by_column(b, width)
+        folded = np.where(codes == MISSING, bins + 1, codes).ravel("F")
         row_hash, label, fold = (np.asarray(b.column(b.schema.get_field_index(c))) for c in ("row_hash", "label", "fold"))
         if total is None:
             total = np.zeros((len(todo), 3, per_node), np.int64)
-        weights: dict = {}
-        for (m, t), nodes in by_tree.items():
-            if t not in weights:
-                weights[t] = bootstrap_weights(row_hash, t, seed).astype(np.int64)
-            tree, weight = trees[m, t], weights[t]
+        # class weights and rows of a cell in one number: three fields of PACKED_BITS bits, which PACKED_ROWS rows cannot fill
+        scale = np.where(label == 1, float(1 << PACKED_BITS), 1.0)
+        tree_now, weight = None, None
+        for (m, t), nodes in sorted(by_tree.items(), key=lambda e: e[0][1]):
+            if t != tree_now:
+                tree_now, weight = t, bootstrap_weights(row_hash, t, seed)
+                packed = weight * scale + float(1 << 2 * PACKED_BITS)
+            tree = trees[m, t]
             slot = np.full(2 ** (tree.depth + 1), -1, np.int64)
             slot[[n for n, _, _ in nodes]] = np.arange(len(nodes))
             at = slot[tree.nodes(codes)]
             rows = np.flatnonzero((at >= 0) & (fold != m) & (weight > 0))
             if not len(rows):
                 continue
-            at = at[rows]
-            feats = np.stack([f for _, _, f in nodes])[at]  # -1 beyond the last input: its cells stay empty
-            cell = (at[:, None] * per_node + np.arange(drawn) * codes_n + folded[rows[:, None], feats])[feats >= 0]
-            many = (feats >= 0).sum(1)
-            w, y = np.repeat(weight[rows], many), np.repeat(label[rows], many)
+            at, value = at[rows], packed[rows]
+            feats = np.stack([f for _, _, f in nodes])  # -1 beyond the last input: its cells stay empty
             place = [i for _, i, _ in nodes]
-            for k, v in enumerate((w * (y == 0), w * (y == 1), np.ones(len(w)))):
-                total[place, k] += np.bincount(cell, v, len(nodes) * per_node).astype(np.int64).reshape(len(nodes), per_node)
+            for j in range(drawn):
+                use = feats[at, j]
+                cell = at * codes_n + folded[use * len(codes) + rows]
+                sums = np.bincount(cell, np.where(use >= 0, value, 0.0), len(nodes) * codes_n).astype(np.int64).reshape(len(nodes), codes_n)
+                for k in range(3):
+                    total[place, k, j * codes_n: (j + 1) * codes_n] += sums >> k * PACKED_BITS & (1 << PACKED_BITS) - 1
     if total is not None:
         on = np.flatnonzero(total.any((1, 2)))
         for at in range(0, len(on), 1000):

@@ -172,3 +172,12 @@ def test_ensemble_stage_is_saved_and_loaded(spark, tmp_path):
     PipelineModel([tr.TreeEnsemble.of("boosting", cuts, trees)]).write().overwrite().save(str(tmp_path / "m"))
     scored = PipelineModel.load(str(tmp_path / "m")).transform(df.withColumnRenamed("inputs", "_inputs")).orderBy("account_id").collect()
     assert np.allclose([r.probability_1 for r in scored], tr.ensemble_probability("boosting", trees, tr.bin_codes(x, cuts)))
+
+
+def test_one_of_two_siblings_is_summed(spark, monkeypatch):
+    asked, summed = [], tr._summed
+    monkeypatch.setattr(tr, "_summed", lambda parts, n, *rest: asked.append(n) or summed(parts, n, *rest))
+    df, *_ = frame(spark)
+    cuts = tr.cut_points(df, "inputs", 5, 16)
+    tr.boost(tr.binned(df, "account_id", "y", "inputs", cuts, "fold"), cuts, [-2, 1], tr.Boosting(2, 3, 0.3), 16)
+    assert len(asked) == 6 and all(n <= most for n, most in zip(asked, [2, 2, 4] * 2))
