@@ -32,7 +32,8 @@ CACHE_WORDS = 800_000
 # Pieces per numbering bucket.
 BUCKET_PIECES = 10_000
 # ASCII punctuation that ends a word after an ASCII letter: a token border, whatever the letters are.
-_TAIL = re.compile(rb"(?<=[a-z])[!-/:-@\[-`{-~]+(?=[ \t-\r]|\Z)")
+# It begins with what it finds, so that the search runs from one mark to the next.
+_TAIL = re.compile(rb"[!-/:-@\[-`{-~](?<=[a-z].)[!-/:-@\[-`{-~]*(?=[ \t-\r]|\Z)")
 _STATE: dict = {}
 
 
@@ -70,12 +71,28 @@ def encode(texts_: list[str | None], path: str) -> list[bytes]:
     split = [() if not t or i in whole else _words(t.encode()) for i, t in enumerate(texts_)]
     if len(cache) > CACHE_WORDS:
         cache.clear()
-    new = list({w for words in split for w in words if w not in cache})
+    found = [list(map(cache.get, words)) for words in split]  # one look-up a word
+    gaps = [_gaps(ids) for ids in found]
+    new = list({words[at] for words, places in zip(split, gaps, strict=True) for at in places})
     for at in range(0, len(new), 20_000):
         part = new[at: at + 20_000]
         for w, e in zip(part, tokenizer.encode_batch_fast([w.decode() for w in part], add_special_tokens=False), strict=True):
             cache[w] = np.asarray(e.ids, "<u4").tobytes()
-    return [np.asarray(whole[i], "<u4").tobytes() if i in whole else b"".join(map(cache.__getitem__, words)) for i, words in enumerate(split)]
+    for words, ids, places in zip(split, found, gaps, strict=True):
+        for at in places:
+            ids[at] = cache[words[at]]
+    return [np.asarray(whole[i], "<u4").tobytes() if i in whole else b"".join(ids) for i, ids in enumerate(found)]
+
+
+def _gaps(ids: list[bytes | None]) -> list[int]:
+    """Places of the words that are not remembered."""
+    out, at = [], -1
+    try:
+        while True:
+            at = ids.index(None, at + 1)
+            out.append(at)
+    except ValueError:
+        return out
 
 
 def _cut(batches, path, capacity, end_id, with_ids):

@@ -106,3 +106,23 @@ def test_ids_equal_direct_encoding_of_any_text():
         expected = [np.asarray(e.ids, "<u4").tobytes() for e in direct.encode_batch(part, add_special_tokens=False)]
         for text, got, ids in zip(part, packing.encode(part, PATH), expected):
             assert got == ids, repr(text)
+
+
+def test_each_word_is_looked_up_once():
+    class Counting(dict):
+        looks = 0
+
+        def get(self, *a):
+            Counting.looks += 1
+            return super().get(*a)
+
+    path = PATH
+    tokenizer, _ = packing._encoder(path)
+    texts_ = ["The cat, the cat.. sat!", None, "", "A new (word) re-read; x1! é. 9. end"]
+    packing._STATE["cache"] = Counting()
+    try:
+        got = [np.frombuffer(b, "<u4").tolist() for b in packing.encode(texts_, path)]
+        assert Counting.looks == sum(len(packing._words(t.encode())) for t in texts_ if t)
+    finally:
+        packing._STATE["cache"] = {}
+    assert got == [tokenizer.encode(t or "", add_special_tokens=False).ids for t in texts_]
