@@ -45,7 +45,16 @@ DISCOUNT = 0.5  # taken off the count of a word outside the vocabulary, left to
 COUNT_BYTES = 32 << 20  # text that a task counts before it emits partial counts
 
 
+def _keep_memory() -> None:
+    """Lets the allocator keep freed memory for the next arrays, as glibc does up to the largest mapped block it has seen freed.
+
+    Else the arrays of every step are mapped and given back, whose page faults cost more than its products.
+    """
+    np.empty(31 << 20, np.uint8)
+
+
 def _word_counts(batches):
+    _keep_memory()
     held, size = [], 0
 
     def flush():
@@ -129,6 +138,7 @@ def lexicon(counts: DataFrame) -> tuple[Lexicon, int]:
 
 
 def _encode(batches, known):
+    _keep_memory()
     for rows, data, offsets in text_slices(batches):
         h, _, _, row = split_words(data, offsets)
         token, share, rare = known.look_up(h)
@@ -161,17 +171,25 @@ class Network:
         return net
 
     def _top(self, around: np.ndarray):
-        x = self.embed[around].reshape(len(around), -1)
-        return x, np.tanh(x @ self.hidden + self.hidden_bias)
+        x = np.take(self.embed, around, 0).reshape(len(around), -1)
+        h = x @ self.hidden
+        h += self.hidden_bias
+        return x, np.tanh(h, out=h)
+
+    def _inside(self, h: np.ndarray, spans: list[tuple[int, int, int]], cls: np.ndarray) -> np.ndarray:
+        """Scores of the tokens of each row's class, one column a row: products by class, all else over all rows at once."""
+        z = np.empty((CLASS, len(h)), np.float32)
+        for c, a, b in spans:
+            np.matmul(self.tokens[c].T, h[a:b].T, out=z[:, a:b])
+        z += np.take(self.token_bias.T.copy(), cls, 1)
+        return z
 
     def log_probs(self, around: np.ndarray, token: np.ndarray) -> np.ndarray:
         """log P(token | tokens around it), rows (left ..., right ...)."""
-        order, around, cls, inside, ends = _by_class(around, token)
+        order, around, cls, inside, spans = _by_class(around, token)
         h = self._top(around)[1]
         logs = _log_softmax_at(self.classes.T @ h.T + self.class_bias[:, None], cls)
-        for c, (a, b) in enumerate(zip(ends[:-1], ends[1:], strict=True)):
-            if a < b:
-                logs[a:b] += _log_softmax_at(self.tokens[c].T @ h[a:b].T + self.token_bias[c][:, None], inside[a:b])
+        logs += _log_softmax_at(self._inside(h, spans, cls), inside)
         out = np.empty_like(logs)
         out[order] = logs
         return out
@@ -179,37 +197,40 @@ class Network:
     def step(self, around: np.ndarray, token: np.ndarray, rate: float) -> None:
         """One gradient step on the mean loss of a batch."""
         n = len(token)
-        _, around, cls, inside, ends = _by_class(around, token)
+        _, around, cls, inside, spans = _by_class(around, token)
         x, h = self._top(around)
+        every = np.arange(n)
         d = _softmax(self.classes.T @ h.T + self.class_bias[:, None])
-        d[cls, np.arange(n)] -= 1
-        dh = d.T @ self.classes.T
+        d[cls, every] -= 1
+        e = _softmax(self._inside(h, spans, cls))
+        e[inside, every] -= 1
+        dh, within = d.T @ self.classes.T, np.empty_like(h)
         scale = np.float32(rate / n)
         updates = [(self.classes, h.T @ d.T), (self.class_bias, d.sum(1))]
-        for c, (a, b) in enumerate(zip(ends[:-1], ends[1:], strict=True)):
-            if a < b:
-                e = _softmax(self.tokens[c].T @ h[a:b].T + self.token_bias[c][:, None])
-                e[inside[a:b], np.arange(b - a)] -= 1
-                dh[a:b] += e.T @ self.tokens[c].T
-                self.tokens[c] -= scale * CLASSES ** 0.5 * (h[a:b].T @ e.T)
-                self.token_bias[c] -= scale * CLASSES ** 0.5 * e.sum(1)
-        dpre = dh * (1 - h * h)
-        dx = (dpre @ self.hidden.T).reshape(-1, EMBED)
+        for c, a, b in spans:
+            np.matmul(e[:, a:b].T, self.tokens[c].T, out=within[a:b])
+            grad = h[a:b].T @ e[:, a:b].T
+            grad *= scale * CLASSES ** 0.5
+            self.tokens[c] -= grad
+        on = [c for c, _, _ in spans]
+        self.token_bias[on] -= scale * CLASSES ** 0.5 * np.add.reduceat(e, [a for _, a, _ in spans], 1).T
+        dh += within
+        h *= h
+        dpre = dh * np.subtract(1, h, out=h)
+        dx = (dpre @ self.hidden.T).ravel()
         updates += [(self.hidden, x.T @ dpre), (self.hidden_bias, dpre.sum(0))]
         for value, grad in updates:
             value -= scale * grad
-        at = around.ravel().astype(np.uint16)  # short numbers sort fast
-        order = np.argsort(at, kind="stable")
-        at = at[order]
-        first = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1]]))
-        self.embed[at[first]] -= scale * 8 * np.add.reduceat(dx[order], first)
+        cells = (around.reshape(-1, 1) * EMBED + np.arange(EMBED)).ravel()
+        self.embed -= (scale * 8 * np.bincount(cells, dx, self.embed.size)).reshape(self.embed.shape)
 
 
-def _by_class(around: np.ndarray, token: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Rows put in the order of their token's class: the order, the rows, classes, places inside them, and where each class starts."""
+def _by_class(around: np.ndarray, token: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, list[tuple[int, int, int]]]:
+    """Rows put in the order of their token's class: the order, the rows, classes, places inside them, and (class, first, end) of each that has rows."""
     order = np.argsort((token // CLASS).astype(np.uint8), kind="stable")
     cls, inside = np.divmod(token[order], CLASS)
-    return order, around[order], cls, inside, np.searchsorted(cls, np.arange(CLASSES + 1))
+    ends = np.searchsorted(cls, np.arange(CLASSES + 1)).tolist()
+    return order, np.take(around, order, 0), cls, inside, [(c, a, b) for c, (a, b) in enumerate(zip(ends[:-1], ends[1:], strict=True)) if a < b]
 
 
 def _softmax(z: np.ndarray) -> np.ndarray:
@@ -250,6 +271,7 @@ def _targets(place: np.ndarray, turn: int) -> np.ndarray:
 
 
 def _train(batches, flat, turn):
+    _keep_memory()
     net, seen = Network(flat.copy()), 0
     waiting: list[tuple[np.ndarray, np.ndarray]] = []
 
@@ -295,6 +317,7 @@ def train(spark: SparkSession, encoded: DataFrame) -> np.ndarray:
 
 
 def _score(batches, flat):
+    _keep_memory()
     net = Network(flat)
     for batch in batches:
         for a in range(0, batch.num_rows, 256):

@@ -1,6 +1,9 @@
 """The trained operators: gradients, probabilities, held-out accuracy and defined results."""
 
+import os
 import random
+import subprocess
+import sys
 
 import numpy as np
 import pyarrow as pa
@@ -47,6 +50,55 @@ def test_neighbours_never_hold_the_token_itself():
     assert token.tolist() == [7, 8, 9, 5] and row.tolist() == [0, 0, 0, 2] and place.tolist() == [0, 1, 2, 0]
 
 
+def test_lm_step_against_one_row_at_a_time():
+    r = np.random.default_rng(3)
+    around, token = r.integers(0, lm_score.VOCAB + 1, (300, 4)), np.minimum(r.zipf(1.3, 300) - 1, lm_score.VOCAB - 1)
+    net = lm_score.Network.start()
+    for name in ("classes", "class_bias", "tokens", "token_bias"):
+        getattr(net, name)[:] = r.standard_normal(getattr(net, name).shape) * 0.1
+    old, want = lm_score.Network(net.flat.astype(float)), lm_score.Network(net.flat.astype(float))
+    rate, boost = 0.2 / 300, lm_score.CLASSES ** 0.5
+    for near, t in zip(around, token, strict=True):
+        x = old.embed[near].ravel()
+        h, (c, k) = np.tanh(x @ old.hidden + old.hidden_bias), divmod(t, lm_score.CLASS)
+        d, e = (np.exp(z) / np.exp(z).sum() for z in (h @ old.classes + old.class_bias, h @ old.tokens[c] + old.token_bias[c]))
+        assert abs(np.log(d[c] * e[k]) - net.log_probs(near[None], np.array([t]))[0]) < 1e-4
+        d[c] -= 1
+        e[k] -= 1
+        dpre = (old.classes @ d + old.tokens[c] @ e) * (1 - h * h)
+        want.classes -= rate * np.outer(h, d)
+        want.class_bias -= rate * d
+        want.tokens[c] -= rate * boost * np.outer(h, e)
+        want.token_bias[c] -= rate * boost * e
+        want.hidden -= rate * np.outer(x, dpre)
+        want.hidden_bias -= rate * dpre
+        np.subtract.at(want.embed, near, rate * 8 * (old.hidden @ dpre).reshape(4, -1))
+    net.step(around, token, 0.2)
+    assert np.abs(net.flat - want.flat).max() < 1e-5
+
+
+def test_lm_steps_reuse_their_memory():
+    code = """
+import resource
+import numpy as np
+from retentia.llm import lm_score
+r = np.random.default_rng(0)
+ids = [r.integers(0, lm_score.VOCAB, 300).astype("<u2").tobytes() for _ in range(400)]
+import pyarrow as pa
+list(lm_score._train([pa.RecordBatch.from_arrays([pa.array(ids, pa.binary())], ["ids"])], lm_score.Network.start().flat, 0))
+net = lm_score.Network.start()
+faults = []
+for _ in range(30):
+    at = resource.getrusage(resource.RUSAGE_SELF).ru_minflt
+    net.step(r.integers(0, lm_score.VOCAB, (2048, 4)), r.integers(0, lm_score.VOCAB, 2048), 0.1)
+    faults.append(resource.getrusage(resource.RUSAGE_SELF).ru_minflt - at)
+print(sorted(faults)[15])
+"""
+    env = {**os.environ, "OMP_NUM_THREADS": "1", "PYTHONPATH": os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))}
+    out = subprocess.run([sys.executable, "-c", code], env=env, capture_output=True, text=True, timeout=120, check=True)
+    assert int(out.stdout) < 200
+
+
 def test_lm_scores(spark, make_docs):
     r = random.Random(1)
     sentence = ["the cat sat on the mat and then it ran away from here", "a dog is in the house of my old friend today"]
