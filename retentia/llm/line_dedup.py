@@ -31,12 +31,13 @@ from itertools import combinations, product
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from retentia.llm.common import carried, let, materialise, row_key, texts
+from retentia.llm.common import carried, discard, let, materialise, row_key, texts
 
 EDITS = 2
 MIN_CHARS = 30
 HOT = 16  # lines that may share a segment before finer keys take its place
 PIECES = 8
+SLOTS = 1 << 20  # what document keys are taken modulo, to tell which documents hold wanted lines
 
 
 def _segment_keys(lines: DataFrame, wanted: list[tuple[int, int, int]], edits: int, name: str) -> DataFrame:
@@ -203,27 +204,38 @@ def near_lines(docs: DataFrame, edits: int = EDITS, min_chars: int = MIN_CHARS)
     firsts = materialise(occ.groupBy("h", "h2", "long").agg(F.min("at").alias("at"), F.count("*").alias("times")), "first-lines")
     long = firsts.filter("long")
 
-    def texts_at(places: DataFrame) -> DataFrame:
-        """Lines of places (_key, line_no, h): h and line. All uses read the same shuffled documents, one row a content key."""
+    def texts_at(places: DataFrame, known: DataFrame) -> DataFrame:
+        """Lines of places (_key, line_no, h): h and line, from the documents ``known`` (_key, text); one row a content key."""
         lists = places.groupBy("_key").agg(F.collect_set(F.struct("line_no", "h")).alias("places"))
-        own = keyed.groupBy("_key").agg(F.first("text").alias("text")).join(lists, "_key").select(F.split("text", "\n").alias("lines"), "places")
+        own = known.groupBy("_key").agg(F.first("text").alias("text")).join(lists, "_key").select(F.split("text", "\n").alias("lines"), "places")
         each = own.select(F.inline(let(F.col("lines"), lambda ls: F.transform("places", lambda p: F.struct(p["h"].alias("h"), F.get(ls, p["line_no"]).alias("line"))))))
         return each.filter("h is not null and line is not null")  # said here, the optimizer need not add it to one use of a shared shuffle
 
-    lines = texts_at(long.select("at._key", "at.line_no", "h")).withColumn("n", F.length("line"))
+    def texts_of(wanted: DataFrame) -> DataFrame:
+        """Lines of the hashes ``wanted`` (h). Documents whose key falls in no wanted slot stay out of the shuffle; the slots, at most SLOTS, are broadcast."""
+        places = long.join(wanted, "h", "left_semi").select("at._key", "at.line_no", "h")
+        slot = F.pmod("_key", F.lit(SLOTS))
+        some = keyed.select("_key", "text").withColumn("slot", slot).join(F.broadcast(places.select(slot.alias("slot")).distinct()), "slot", "left_semi")
+        return texts_at(places, some.drop("slot"))
+
+    # three plans of modest size instead of one: each is written, as the driver holds a plan with all that it repeats
+    lines = texts_at(long.select("at._key", "at.line_no", "h"), keyed).withColumn("n", F.length("line"))
     own, other = _index(lines, edits, "a").repartition("key"), _probes(lines, edits, "b").repartition("key")
     hot = own.groupBy("key").agg(F.count("a").alias("many")).filter(F.col("many") > HOT)
     marked = own.join(hot, "key", "left")
     cold = marked.filter("many is null").select("key", "a")
     met = cold.join(cold.select("key", F.col("a").alias("b")), "key").filter("a < b").unionByName(cold.join(other, "key").filter("a <> b")).select("a", "b")
     crowded = marked.filter("many is not null").select("a").unionByName(other.join(hot, "key").select(F.col("b").alias("a"))).distinct()
-    crowd = texts_at(long.join(crowded, F.col("h") == F.col("a"), "left_semi").select("at._key", "at.line_no", "h")).withColumn("n", F.length("line"))
+    found = materialise(met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct().unionByName(
+        crowded.select("a", F.lit(None).cast("long").alias("b"))), "met-lines")  # a crowded line has no b
+    crowd = texts_of(found.filter("b is null").select(F.col("a").alias("h"))).withColumn("n", F.length("line"))
     fine = _fine_keys(crowd, edits, "a", True).join(_fine_keys(crowd, edits, "b", False), "key").filter("a <> b").select("a", "b")
-    pairs = met.unionByName(fine).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).filter("a is not null and b is not null").distinct()
-    # nothing is written here: in one plan all look-ups of texts read the same shuffled documents
+    pairs = materialise(found.filter("b is not null").unionByName(fine.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")))
+                        .filter("a is not null and b is not null").distinct(), "line-pairs")
+    discard(found)
     place = long.select("h", "h2", "at")
     needed = pairs.select(F.explode(F.array("a", "b")).alias("h")).distinct()
-    text = texts_at(long.join(needed, "h", "left_semi").select("at._key", "at.line_no", "h")).dropDuplicates(["h"])
+    text = texts_of(needed).dropDuplicates(["h"])
     side = lambda n: place.join(text, "h").select(F.col("h").alias(n), F.col("h2").alias(f"{n}_2"), F.col("at").alias(f"{n}_at"), F.col("line").alias(f"{n}_line"))
     both = pairs.join(side("a"), "a").join(side("b"), "b").filter(may_be_near(F.col("a_line"), F.col("b_line"), edits))
     far = both.withColumn("distance", F.explode(F.array(edit_distance(F.col("a_line"), F.col("b_line"), edits)))).filter(F.col("distance") <= edits)
@@ -231,7 +243,9 @@ def near_lines(docs: DataFrame, edits: int = EDITS, min_chars: int = MIN_CHARS)
     gone = (far.select(F.when(later, F.col("a")).otherwise(F.col("b")).alias("h"), F.when(later, F.col("a_2")).otherwise(F.col("b_2")).alias("h2"),
                        F.struct(F.when(later, F.col("b_at")).otherwise(F.col("a_at")).alias("source"), "distance").alias("best"))
             .groupBy("h", "h2").agg(F.min("best").alias("best")).select("h", "h2", "best.source", "best.distance"))
-    return firsts, materialise(gone, "near-lines")
+    near = materialise(gone, "near-lines")
+    discard(pairs)
+    return firsts, near
 
 
 def removed_lines(docs: DataFrame, edits: int = EDITS, min_chars: int = MIN_CHARS) -> DataFrame:

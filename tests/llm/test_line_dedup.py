@@ -88,6 +88,27 @@ def test_finer_keys_lose_no_pair(make_docs, monkeypatch, edits):
     assert set(map(tuple, removed_lines(make_docs(rows), edits).drop("_key").collect())) == brute(rows, edits)
 
 
+@pytest.mark.parametrize("slots", [1, 5])
+def test_shared_slots_lose_no_text(make_docs, monkeypatch, slots):
+    monkeypatch.setattr(line_dedup, "SLOTS", slots)
+    rows = corpus()
+    assert set(map(tuple, removed_lines(make_docs(rows)).drop("_key").collect())) == brute(rows)
+
+
+def test_no_plan_repeats_the_documents_often(make_docs, monkeypatch):
+    """The driver holds a plan with all that it repeats: the one plan of before named its tables 200 times and more."""
+    scans, write = [], line_dedup.materialise
+
+    def counted(df, name):
+        plan = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+        scans.append(plan.size())
+        return write(df, name)
+
+    monkeypatch.setattr(line_dedup, "materialise", counted)
+    line_dedup.near_lines(make_docs(corpus()[:20]))
+    assert max(scans) <= 60, scans
+
+
 def test_repeated_rows_join_once(make_docs):
     r = random.Random(9)
     a = "".join(r.choice("abcdefgh") for _ in range(60))
