@@ -96,7 +96,7 @@ def test_shared_slots_lose_no_text(make_docs, monkeypatch, slots):
 
 
 def test_no_plan_repeats_the_documents_often(make_docs, monkeypatch):
-    """The driver holds a plan with all that it repeats: the one plan of before named its tables 200 times and more."""
+    """The driver holds a plan with all that it repeats: the one plan of before named its tables 108 times."""
     scans, write = [], line_dedup.materialise
 
     def counted(df, name):
