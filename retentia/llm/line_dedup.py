@@ -28,7 +28,7 @@ from __future__ import annotations
 
 from itertools import combinations, product
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from retentia.llm.common import carried, discard, let, materialise, row_key, texts
@@ -37,41 +37,48 @@ EDITS = 2
 MIN_CHARS = 30
 HOT = 16  # lines that may share a segment before finer keys take its place
 PIECES = 8
+COMMON = 20_000  # a line with more than one in so many occurrences is keyed once, other repeated lines once an occurrence
 SLOTS = 1 << 20  # what document keys are taken modulo, to tell which documents hold wanted lines
 
 
-def _segment_keys(lines: DataFrame, wanted: list[tuple[int, int, int]], edits: int, name: str) -> DataFrame:
-    """(key, name) of every line of (h, line, n), for each wanted (segment, less, shift).
+def _segment_keys(lines: DataFrame, edits: int) -> DataFrame:
+    """(key, probe, a): the keys under which each line of (h, line, n) is indexed, and those it looks up (probe).
 
-    The key names segment ``i`` of lines ``less`` shorter, read ``shift`` away
-    from its place: lengths are cut into edits + 1 even segments, the last
-    ones longer by one if need be. The cases are rows, so that the generated
-    code stays small.
+    A line is indexed by its own segments and looks up, beside these, what a
+    line of the same or a smaller length in reach may have as a segment: segment
+    ``i`` of lines ``less`` shorter, read ``shift`` away from its place. Edits
+    before the segment bound its shift from the left, those after it from the
+    right. Lengths are cut into edits + 1 even segments, the last ones longer by
+    one if need be. The cases are rows, so that the generated code stays small.
     """
     parts = edits + 1
+    wanted = [(i, less, shift) for less in range(edits + 1) for i in range(edits + 1)
+              for shift in range(max(-i, less - (edits - i)), min(i, less + (edits - i)) + 1)]
     cases = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(less).alias("less"), F.lit(shift).alias("shift")) for i, less, shift in wanted])
-    each = lines.select(F.col("h").alias(name), "line", "n", F.inline(cases)).withColumn("length", F.col("n") - F.col("less"))
+    each = lines.select(F.col("h").alias("a"), "line", "n", F.inline(cases)).withColumn("length", F.col("n") - F.col("less"))
     each = each.withColumn("short", F.expr(f"cast(length div {parts} as int)"))
     plain = F.lit(parts) - (F.col("length") - F.col("short") * parts)  # segments that are not longer by one
     each = each.withColumns({"at": F.col("i") * F.col("short") + F.greatest(F.lit(0), F.col("i") - plain) + F.col("shift"),
                              "size": F.col("short") + F.when(F.col("i") >= plain, 1).otherwise(0)})
     inside = each.filter((F.col("at") >= 0) & (F.col("at") + F.col("size") <= F.col("n")))
-    return inside.select(F.xxhash64("i", "length", F.substring("line", F.col("at") + 1, F.col("size"))).alias("key"), name)
+    return inside.select(F.xxhash64("i", "length", F.substring("line", F.col("at") + 1, F.col("size"))).alias("key"),
+                         ((F.col("less") != 0) | (F.col("shift") != 0)).alias("probe"), "a")
 
 
-def _index(lines: DataFrame, edits: int, name: str) -> DataFrame:
-    """Keys under which lines are indexed: their own segments."""
-    return _segment_keys(lines, [(i, 0, 0) for i in range(edits + 1)], edits, name)
+def _met(keys: DataFrame) -> DataFrame:
+    """Pairs (a, b) of lines that meet under a key that at most ``HOT`` lines own; (a, null) for each line under a more crowded one.
 
-
-def _probes(lines: DataFrame, edits: int, name: str) -> DataFrame:
-    """Keys that lines look up beside their own: what a line of the same or a smaller length in reach may have as a segment.
-
-    Edits before the segment bound its shift from the left, those after it
-    from the right.
+    One sort by key: each row sees the first ``HOT`` + 1 owners of its key, so
+    it meets ``HOT`` lines at most. Repeated rows have one rank, so they count once.
     """
-    return _segment_keys(lines, [(i, less, shift) for less in range(edits + 1) for i in range(edits + 1)
-                                 for shift in range(max(-i, less - (edits - i)), min(i, less + (edits - i)) + 1) if less or shift], edits, name)
+    same = Window.partitionBy("key")
+    ranked = keys.withColumn("rank", F.dense_rank().over(same.orderBy("probe", "a")))
+    owners = F.collect_set(F.when(~F.col("probe") & (F.col("rank") <= HOT + 1), F.col("a"))).over(same)
+    seen = ranked.withColumn("owners", owners).filter(F.size("owners") > 0)
+    others = F.filter("owners", lambda o: (o < F.col("a")) | (F.col("probe") & (o > F.col("a"))))
+    met = seen.select("a", F.explode(F.when(F.size("owners") > HOT, F.array(F.lit(None).cast("long"))).otherwise(others)).alias("b"))
+    return met.select(F.when(F.col("b").isNull(), F.col("a")).otherwise(F.least("a", "b")).alias("a"),
+                      F.when(F.col("b").isNotNull(), F.greatest("a", "b")).alias("b")).distinct()
 
 
 def _left_out(edits: int) -> list[tuple[int, list[tuple[int, int]]]]:
@@ -211,31 +218,32 @@ def near_lines(docs: DataFrame, edits: int = EDITS, min_chars: int = MIN_CHARS)
         each = own.select(F.inline(let(F.col("lines"), lambda ls: F.transform("places", lambda p: F.struct(p["h"].alias("h"), F.get(ls, p["line_no"]).alias("line"))))))
         return each.filter("h is not null and line is not null")  # said here, the optimizer need not add it to one use of a shared shuffle
 
-    def texts_of(wanted: DataFrame) -> DataFrame:
-        """Lines of the hashes ``wanted`` (h). Documents whose key falls in no wanted slot stay out of the shuffle; the slots, at most SLOTS, are broadcast."""
-        places = long.join(wanted, "h", "left_semi").select("at._key", "at.line_no", "h")
+    def texts_of(places: DataFrame) -> DataFrame:
+        """Lines of places (_key, line_no, h). Documents whose key falls in no wanted slot stay out of the shuffle; the slots, at most SLOTS, are broadcast."""
         slot = F.pmod("_key", F.lit(SLOTS))
         some = keyed.select("_key", "text").withColumn("slot", slot).join(F.broadcast(places.select(slot.alias("slot")).distinct()), "slot", "left_semi")
         return texts_at(places, some.drop("slot"))
 
-    # three plans of modest size instead of one: each is written, as the driver holds a plan with all that it repeats
-    lines = texts_at(long.select("at._key", "at.line_no", "h"), keyed).withColumn("n", F.length("line"))
-    own, other = _index(lines, edits, "a").repartition("key"), _probes(lines, edits, "b").repartition("key")
-    hot = own.groupBy("key").agg(F.count("a").alias("many")).filter(F.col("many") > HOT)
-    marked = own.join(hot, "key", "left")
-    cold = marked.filter("many is null").select("key", "a")
-    met = cold.join(cold.select("key", F.col("a").alias("b")), "key").filter("a < b").unionByName(cold.join(other, "key").filter("a <> b")).select("a", "b")
-    crowded = marked.filter("many is not null").select("a").unionByName(other.join(hot, "key").select(F.col("b").alias("a"))).distinct()
-    found = materialise(met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct().unionByName(
-        crowded.select("a", F.lit(None).cast("long").alias("b"))), "met-lines")  # a crowded line has no b
-    crowd = texts_of(found.filter("b is null").select(F.col("a").alias("h"))).withColumn("n", F.length("line"))
+    def places_of(wanted: DataFrame) -> DataFrame:
+        return long.join(wanted, "h", "left_semi").select("at._key", "at.line_no", "h")
+
+    # several plans of modest size instead of one: each is written, as the driver holds a plan with all that it repeats.
+    # Lines are keyed where their documents are read, so that no text is shuffled; the few common ones, fewer than COMMON, once each
+    bar = max(1, (long.agg(F.sum("times")).first()[0] or 0) // COMMON)
+    common = materialise(texts_of(long.filter(F.col("times") > bar).select("at._key", "at.line_no", "h")), "common-lines")
+    rare = (_lines(keyed, min_chars).filter("long").select(F.xxhash64("line").alias("h"), "line")
+            .join(F.broadcast(common.select("h")), "h", "left_anti"))
+    lines = rare.unionByName(common).withColumn("n", F.length("line"))
+    found = materialise(_met(_segment_keys(lines, edits)), "met-lines")  # a crowded line has no b
+    discard(common)
+    crowd = texts_of(places_of(found.filter("b is null").select(F.col("a").alias("h")))).withColumn("n", F.length("line"))
     fine = _fine_keys(crowd, edits, "a", True).join(_fine_keys(crowd, edits, "b", False), "key").filter("a <> b").select("a", "b")
     pairs = materialise(found.filter("b is not null").unionByName(fine.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")))
                         .filter("a is not null and b is not null").distinct(), "line-pairs")
     discard(found)
     place = long.select("h", "h2", "at")
     needed = pairs.select(F.explode(F.array("a", "b")).alias("h")).distinct()
-    text = texts_of(needed).dropDuplicates(["h"])
+    text = texts_of(places_of(needed)).dropDuplicates(["h"])
     side = lambda n: place.join(text, "h").select(F.col("h").alias(n), F.col("h2").alias(f"{n}_2"), F.col("at").alias(f"{n}_at"), F.col("line").alias(f"{n}_line"))
     both = pairs.join(side("a"), "a").join(side("b"), "b").filter(may_be_near(F.col("a_line"), F.col("b_line"), edits))
     far = both.withColumn("distance", F.explode(F.array(edit_distance(F.col("a_line"), F.col("b_line"), edits)))).filter(F.col("distance") <= edits)

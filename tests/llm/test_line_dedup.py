@@ -88,6 +88,26 @@ def test_finer_keys_lose_no_pair(make_docs, monkeypatch, edits):
     assert set(map(tuple, removed_lines(make_docs(rows), edits).drop("_key").collect())) == brute(rows, edits)
 
 
+def test_lines_keyed_at_every_occurrence_count_once(make_docs, monkeypatch):
+    monkeypatch.setattr(line_dedup, "COMMON", 1)  # no line is common: each is keyed wherever it occurs
+    monkeypatch.setattr(line_dedup, "HOT", 2)  # some keys are crowded, some are not
+    rows = corpus()
+    assert set(map(tuple, removed_lines(make_docs(rows)).drop("_key").collect())) == brute(rows)
+
+
+def test_keys_shuffle_no_text(make_docs, monkeypatch):
+    """Lines used to be read from shuffled documents, and their keys joined in several passes."""
+    plans, write = {}, line_dedup.materialise
+
+    def seen(df, name):
+        plans[name] = df._jdf.queryExecution().optimizedPlan().toString()
+        return write(df, name)
+
+    monkeypatch.setattr(line_dedup, "materialise", seen)
+    line_dedup.near_lines(make_docs(corpus()[:20]))
+    assert "Window" in plans["met-lines"] and "Join Inner" not in plans["met-lines"]
+
+
 @pytest.mark.parametrize("slots", [1, 5])
 def test_shared_slots_lose_no_text(make_docs, monkeypatch, slots):
     monkeypatch.setattr(line_dedup, "SLOTS", slots)
