@@ -13,8 +13,12 @@ at a place that its shift bounds. Each line is therefore indexed by (segment
 number, length, segment), and probes, for each shorter or equal length in
 reach, only the substrings that multi-match-aware selection leaves. A segment
 that more than ``HOT`` lines share says too little: lines under such a key meet
-on finer keys instead, all of the line but ``edits`` of ``PIECES`` pieces, one
-of which two lines in reach must share as well. Candidates
+on finer keys instead, all of the line but ``edits`` of twice as many pieces, one
+of which two lines in reach must share as well. Of a finer key that more than
+``CROWD`` lines share the pieces left out are halved again, down to single
+characters; there the keys are the line with ``edits`` marks in the place of a character or
+between two. Lines that share one are in reach, so each meets the
+earliest only: no group of near copies is met pair by pair. Candidates
 whose letter counts allow it are verified by the banded bit-parallel edit distance: one 64-bit word holds
 the 2 * edits + 1 cells of a column, after the common ends are cut off.
 
@@ -26,7 +30,8 @@ lines; an empty table gives no rows.
 
 from __future__ import annotations
 
-from itertools import combinations, product
+from functools import reduce
+from itertools import combinations, groupby, product
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -36,7 +41,7 @@ from retentia.llm.common import carried, discard, let, materialise, row_key, tex
 EDITS = 2
 MIN_CHARS = 30
 HOT = 16  # lines that may share a segment before finer keys take its place
-PIECES = 8
+CROWD = 16  # lines that may share a finer key before its pieces are halved
 COMMON = 20_000  # a line with more than one in so many occurrences is keyed once, other repeated lines once an occurrence
 SLOTS = 1 << 20  # what document keys are taken modulo, to tell which documents hold wanted lines
 
@@ -65,58 +70,90 @@ def _segment_keys(lines: DataFrame, edits: int) -> DataFrame:
                          ((F.col("less") != 0) | (F.col("shift") != 0)).alias("probe"), "a")
 
 
-def _met(keys: DataFrame) -> DataFrame:
-    """Pairs (a, b) of lines that meet under a key that at most ``HOT`` lines own; (a, null) for each line under a more crowded one.
+def _met(keys: DataFrame, most: int, state: tuple[str, ...] = ()) -> DataFrame:
+    """Pairs (a, b) of lines that meet under a key that at most ``most`` lines own; (a, null, state) for each line under a more crowded one.
 
-    One sort by key: each row sees the first ``HOT`` + 1 owners of its key, so
-    it meets ``HOT`` lines at most. Repeated rows have one rank, so they count once.
+    One sort by key: each row sees the first ``most`` + 1 owners of its key, so
+    it meets ``most`` lines at most. Repeated rows have one rank, so they count once.
     """
     same = Window.partitionBy("key")
     ranked = keys.withColumn("rank", F.dense_rank().over(same.orderBy("probe", "a")))
-    owners = F.collect_set(F.when(~F.col("probe") & (F.col("rank") <= HOT + 1), F.col("a"))).over(same)
+    owners = F.collect_set(F.when(~F.col("probe") & (F.col("rank") <= most + 1), F.col("a"))).over(same)
     seen = ranked.withColumn("owners", owners).filter(F.size("owners") > 0)
     others = F.filter("owners", lambda o: (o < F.col("a")) | (F.col("probe") & (o > F.col("a"))))
-    met = seen.select("a", F.explode(F.when(F.size("owners") > HOT, F.array(F.lit(None).cast("long"))).otherwise(others)).alias("b"))
+    met = seen.select("a", *state, F.explode(F.when(F.size("owners") > most, F.array(F.lit(None).cast("long"))).otherwise(others)).alias("b"))
     return met.select(F.when(F.col("b").isNull(), F.col("a")).otherwise(F.least("a", "b")).alias("a"),
-                      F.when(F.col("b").isNotNull(), F.greatest("a", "b")).alias("b")).distinct()
+                      F.when(F.col("b").isNotNull(), F.greatest("a", "b")).alias("b"),
+                      *[F.when(F.col("b").isNull(), F.col(c)).alias(c) for c in state]).distinct()
 
 
-def _left_out(edits: int) -> list[tuple[int, list[tuple[int, int]]]]:
-    """(number, [(first, end) of each run of pieces left out]) for every choice of ``edits`` pieces."""
+def _left_out(edits: int, slots: int) -> list[tuple[tuple[int, ...], list[int]]]:
+    """(slots left out, by how much each shifts what follows) for every choice of ``edits`` of the slots and every way to shift.
+
+    A piece with k edits is left out together with k - 1 neighbours, so a run
+    of r slots left out has at most r edits and shifts what follows by r at
+    most; where in the run does not matter. The shifts end at the difference of the lengths.
+    """
     out = []
-    for number, chosen in enumerate(combinations(range(PIECES), edits)):
-        runs: list[tuple[int, int]] = []
-        for p in chosen:
-            if runs and runs[-1][1] == p:
-                runs[-1] = (runs[-1][0], p + 1)
-            else:
-                runs.append((p, p + 1))
-        out.append((number, runs))
+    for chosen in combinations(range(slots), edits):
+        runs = [len(list(g)) for _, g in groupby(enumerate(chosen), lambda x: x[1] - x[0])]
+        for moves in product(*[range(-r, r + 1) for r in runs]):
+            if sum(moves) >= 0:
+                out.append((chosen, [(m > 0) - (m < 0) if k < abs(m) else 0 for r, m in zip(runs, moves, strict=True) for k in range(r)]))
     return out
 
 
-def _fine_keys(lines: DataFrame, edits: int, name: str, own: bool) -> DataFrame:
-    """(key, name): the line but for ``edits`` of its pieces, as indexed (own) or as looked up.
+def _start(pieces: int, piece: Column) -> Column:
+    """Where a piece of a line of ``length`` starts; pieces of twice the number halve these."""
+    return F.floor(F.col("length").cast("long") * piece / F.lit(pieces)).cast("int")
 
-    A piece with k edits is left out together with k - 1 neighbours, so a run
-    of r pieces left out has at most r edits and shifts what follows by r at
-    most; the shifts end at the difference of the lengths.
+
+def _fine_keys(lines: DataFrame, edits: int, pieces: int, slots: int) -> DataFrame:
+    """(key, probe, a, region, moves, length): lines (a, line, n, region) but for ``edits`` of the ``slots`` halves of the pieces in region.
+
+    ``pieces`` is the number of the halves in a line of ``length``, the one
+    that owns the key; a longer or shifted line looks it up (probe). The new
+    region is what is left out.
+    """
+    cases = [F.struct(F.array(*map(F.lit, chosen)).alias("chosen"), F.array(*map(F.lit, moves)).alias("moves"), F.lit(sum(moves)).alias("less"))
+             for chosen, moves in _left_out(edits, slots)]
+    each = lines.select("a", "line", "n", "region", F.inline(F.array(*cases)))
+    each = each.withColumn("length", F.col("n") - F.col("less")).withColumn(
+        "region", F.transform("chosen", lambda c: F.get("region", F.shiftright(c, 1)) * 2 + c % 2))
+    parts, at, shift = [], F.lit(0), F.lit(0)
+    for j in range(edits + 1):
+        end = _start(pieces, F.get("region", F.lit(j))) if j < edits else F.col("length")
+        parts.append(F.substring("line", F.greatest(F.lit(0), at + shift) + 1, end - at))
+        if j < edits:
+            at, shift = _start(pieces, F.get("region", F.lit(j)) + 1), shift + F.get("moves", F.lit(j))
+    return each.select(F.xxhash64(F.lit(pieces), "length", "region", *parts).alias("key"), F.exists("moves", lambda m: m != 0).alias("probe"),
+                       "a", "region", "moves", "length")
+
+
+def _earliest(lines: DataFrame, edits: int, pieces: int) -> DataFrame:
+    """(a, b): the earliest line b that shares a marked form with a line of (a, at, line, region, moves, length), if it is not a itself.
+
+    A form is the line with ``edits`` marks, each in the place of a character of
+    the region or between two. Lines in reach whose edits lie in the region share one, and lines that share one are in reach.
     """
-    cases = []
-    for number, runs in _left_out(edits):
-        starts, ends = [0] + [b for _, b in runs], [a for a, _ in runs] + [PIECES]
-        for moves in [(0,) * len(runs)] if own else product(*[range(a - b, b - a + 1) for a, b in runs]):
-            if sum(map(abs, moves)) > edits or sum(moves) < 0:
-                continue
-            shift = [sum(moves[:j]) for j in range(len(runs) + 1)]
-            parts = [F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.lit(k).alias("shift")) for a, b, k in zip(starts, ends, shift, strict=True)]
-            cases.append(F.struct(F.lit(number).alias("number"), F.lit(sum(moves)).alias("less"), F.array(*parts).alias("parts")))
-    each = lines.select(F.col("h").alias(name), "line", "n", F.inline(F.array(*cases))).withColumn("length", F.col("n") - F.col("less"))
-    each = each.withColumn("short", F.expr(f"cast(length div {PIECES} as int)"))
-    plain = F.lit(PIECES) - (F.col("length") - F.col("short") * PIECES)
-    start = lambda i: i * F.col("short") + F.greatest(F.lit(0), i - plain)
-    part = lambda p: F.substring(F.col("line"), F.greatest(F.lit(0), start(p["a"]) + p["shift"]) + 1, start(p["b"]) - start(p["a"]))
-    return each.select(F.xxhash64("number", "length", F.transform("parts", part)).alias("key"), name)
+    runs, shift = [], F.lit(0)
+    for j in range(edits):
+        piece, to = F.get("region", F.lit(j)), shift + F.get("moves", F.lit(j))
+        low, high = F.greatest(F.lit(0), _start(pieces, piece) + shift), F.least(F.length("line"), _start(pieces, piece + 1) + to)
+        chars = F.slice(F.sequence(low, F.greatest(low, high)), 1, F.greatest(F.lit(0), high - low))
+        runs.append(F.transform(F.sequence(low, F.greatest(low, high)), lambda g: F.struct(g.alias("place"), F.lit(0).alias("size"))))
+        runs.append(F.transform(chars, lambda g: F.struct(g.alias("place"), F.lit(1).alias("size"))))
+        shift = to
+    marked = lines.withColumn("marks", F.array_distinct(F.concat(*runs)))
+    forms = F.array(F.struct(F.lit("").alias("text"), F.lit(0).alias("at")))
+    for _ in range(edits):
+        forms = F.flatten(F.transform(forms, lambda f: F.transform(F.filter("marks", lambda m: m["place"] >= f["at"]), lambda m: F.struct(
+            F.concat(f["text"], F.substring("line", f["at"] + 1, m["place"] - f["at"]), F.lit("\n")).alias("text"),  # no line holds a line feed
+            (m["place"] + m["size"]).alias("at")))))
+    whole = F.transform(forms, lambda f: F.xxhash64(F.concat(f["text"], F.substring("line", f["at"] + 1, F.length("line")))))
+    keys = marked.select("a", "at", F.explode(F.array_distinct(whole)).alias("key"))
+    best = keys.withColumn("best", F.min(F.struct("at", "a")).over(Window.partitionBy("key")))
+    return best.groupBy("a").agg(F.min("best")["a"].alias("b")).filter("a <> b")
 
 
 def _common_start(a: Column, b: Column) -> Column:
@@ -199,6 +236,24 @@ def _lines(keyed: DataFrame, min_chars: int) -> DataFrame:
             .withColumn("long", F.length("line") >= min_chars).filter(F.col("long") | F.col("line").rlike("[^ \t-\r]")))
 
 
+def _finer(crowd: DataFrame, edits: int) -> list[DataFrame]:
+    """Tables with pairs (a, b) of the crowded lines (a, at, line, n): all that meet under a finer key of few lines, and the earliest one of a crowded place."""
+    out, pieces, state = [], edits + 1, ("region", "moves", "length")
+    todo, slots = crowd.withColumn("region", F.array(*map(F.lit, range(pieces)))), 2 * pieces
+    while True:  # ends when pieces are single characters at the latest
+        pieces *= 2
+        out.append(materialise(_met(_fine_keys(todo, edits, pieces, slots), CROWD, state), "finer-pairs"))
+        crowded = out[-1].filter("b is null")
+        least, most = crowded.agg(F.min("length"), F.max("length")).first()
+        if least is not None and least <= pieces:
+            single = crowd.join(crowded.filter(F.col("length") <= pieces).select("a", *state), "a")
+            out.append(materialise(_earliest(single, edits, pieces), "earliest-pairs"))
+        if most is None or most <= pieces:
+            return out
+        deeper = crowded.filter(F.col("length") > pieces).select("a", "region").distinct()
+        todo, slots = crowd.join(deeper, "a"), 2 * edits
+
+
 def near_lines(docs: DataFrame, edits: int = EDITS, min_chars: int = MIN_CHARS) -> tuple[DataFrame, DataFrame]:
     """(first occurrence of each line, the lines among them that go).
 
@@ -234,13 +289,18 @@ def near_lines(docs: DataFrame, edits: int = EDITS, min_chars: int = MIN_CHARS)
     rare = (_lines(keyed, min_chars).filter("long").select(F.xxhash64("line").alias("h"), "line")
             .join(F.broadcast(common.select("h")), "h", "left_anti"))
     lines = rare.unionByName(common).withColumn("n", F.length("line"))
-    found = materialise(_met(_segment_keys(lines, edits)), "met-lines")  # a crowded line has no b
+    found = materialise(_met(_segment_keys(lines, edits), HOT), "met-lines")  # a crowded line has no b
     discard(common)
-    crowd = texts_of(places_of(found.filter("b is null").select(F.col("a").alias("h")))).withColumn("n", F.length("line"))
-    fine = _fine_keys(crowd, edits, "a", True).join(_fine_keys(crowd, edits, "b", False), "key").filter("a <> b").select("a", "b")
-    pairs = materialise(found.filter("b is not null").unionByName(fine.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")))
-                        .filter("a is not null and b is not null").distinct(), "line-pairs")
-    discard(found)
+    met, crowded = [found], found.filter("b is null").select(F.col("a").alias("h"))
+    crowd = None
+    if not crowded.isEmpty():
+        crowd = materialise(texts_of(places_of(crowded)).join(long.select("h", "at"), "h").groupBy(F.col("h").alias("a"))
+                            .agg(F.min("at").alias("at"), F.first("line").alias("line")).withColumn("n", F.length("line")), "crowded-lines")
+        met += _finer(crowd, edits)
+    either = reduce(DataFrame.unionByName, [m.select("a", "b") for m in met])
+    pairs = materialise(either.filter("a is not null and b is not null").distinct(), "line-pairs")
+    for m in [*met, *([] if crowd is None else [crowd])]:
+        discard(m)
     place = long.select("h", "h2", "at")
     needed = pairs.select(F.explode(F.array("a", "b")).alias("h")).distinct()
     text = texts_of(places_of(needed)).dropDuplicates(["h"])

@@ -95,6 +95,39 @@ def test_lines_keyed_at_every_occurrence_count_once(make_docs, monkeypatch):
     assert set(map(tuple, removed_lines(make_docs(rows)).drop("_key").collect())) == brute(rows)
 
 
+@pytest.mark.parametrize("edits", [1, 2])
+def test_halved_pieces_lose_no_pair(make_docs, monkeypatch, edits):
+    """Crowded finer keys are halved to single characters, where a line meets the earliest one in reach."""
+    monkeypatch.setattr(line_dedup, "CROWD", 1)
+    r = random.Random(edits)
+    base, rows = "".join(r.choice("abcdefgh") for _ in range(36)), []
+    for d in range(90):
+        s, spots = list(base), [0, 4, 5, 35] if d % 2 else range(36)
+        for _ in range(r.choice([0, 1, 2, 3])):
+            at, k = min(r.choice(spots), len(s) - 1), r.randrange(3)
+            s[at: at + (k > 0)] = [] if k == 1 else [r.choice("xy")]
+        rows.append((d * 7 % 90, "".join(s)))
+    assert set(map(tuple, removed_lines(make_docs(rows), edits).drop("_key").collect())) == brute(rows, edits)
+
+
+def test_near_copies_are_not_met_pair_by_pair(make_docs, monkeypatch):
+    """225 lines that differ in the same two characters used to be verified as 25,200 pairs."""
+    met, write = {}, line_dedup.materialise
+
+    def counted(df, name):
+        out = write(df, name)
+        if name == "line-pairs":
+            met[name] = out.count()
+        return out
+
+    monkeypatch.setattr(line_dedup, "materialise", counted)
+    values = "abcdefghijklmno"
+    rows = [(i * 15 + j, f"number {x}{y} of a long list of equal lines") for i, x in enumerate(values) for j, y in enumerate(values)]
+    got = {tuple(x) for x in removed_lines(make_docs(rows)).drop("_key").collect()}
+    assert got == {(d, 0, (d >= 15) + (d % 15 > 0), 0, 0) for d in range(1, 225)}
+    assert met["line-pairs"] <= 2 * line_dedup.HOT * 225
+
+
 def test_keys_shuffle_no_text(make_docs, monkeypatch):
     """Lines used to be read from shuffled documents, and their keys joined in several passes."""
     plans, write = {}, line_dedup.materialise
