@@ -31,7 +31,7 @@ lines; an empty table gives no rows.
 from __future__ import annotations
 
 from functools import reduce
-from itertools import combinations, groupby, product
+from itertools import combinations, product
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -87,16 +87,22 @@ def _met(keys: DataFrame, most: int, state: tuple[str, ...] = ()) -> DataFrame:
                       *[F.when(F.col("b").isNull(), F.col(c)).alias(c) for c in state]).distinct()
 
 
-def _left_out(edits: int, slots: int) -> list[tuple[tuple[int, ...], list[int]]]:
+def _left_out(edits: int, slots: int, apart: bool) -> list[tuple[tuple[int, ...], list[int]]]:
     """(slots left out, by how much each shifts what follows) for every choice of ``edits`` of the slots and every way to shift.
 
     A piece with k edits is left out together with k - 1 neighbours, so a run
     of r slots left out has at most r edits and shifts what follows by r at
     most; where in the run does not matter. The shifts end at the difference of the lengths.
+    With ``apart``, slots are halves of pieces that need not be neighbours.
     """
     out = []
     for chosen in combinations(range(slots), edits):
-        runs = [len(list(g)) for _, g in groupby(enumerate(chosen), lambda x: x[1] - x[0])]
+        runs: list[int] = []
+        for k, c in enumerate(chosen):
+            if k and c == chosen[k - 1] + 1 and (c % 2 or not apart):
+                runs[-1] += 1
+            else:
+                runs.append(1)
         for moves in product(*[range(-r, r + 1) for r in runs]):
             if sum(moves) >= 0:
                 out.append((chosen, [(m > 0) - (m < 0) if k < abs(m) else 0 for r, m in zip(runs, moves, strict=True) for k in range(r)]))
@@ -108,16 +114,32 @@ def _start(pieces: int, piece: Column) -> Column:
     return F.floor(F.col("length").cast("long") * piece / F.lit(pieces)).cast("int")
 
 
-def _fine_keys(lines: DataFrame, edits: int, pieces: int, slots: int) -> DataFrame:
-    """(key, probe, a, region, moves, length): lines (a, line, n, region) but for ``edits`` of the ``slots`` halves of the pieces in region.
+def _fine_keys(lines: DataFrame, edits: int, pieces: int, first: bool) -> DataFrame:
+    """(key, probe, a, region, moves, length): lines (a, line, n, region, before) but for ``edits`` of the halves of the pieces in region.
 
     ``pieces`` is the number of the halves in a line of ``length``, the one
     that owns the key; a longer or shifted line looks it up (probe). The new
-    region is what is left out.
+    region is what is left out. Halves shift the line as their pieces did (before), but for the first keys, where every shift is tried.
     """
-    cases = [F.struct(F.array(*map(F.lit, chosen)).alias("chosen"), F.array(*map(F.lit, moves)).alias("moves"), F.lit(sum(moves)).alias("less"))
-             for chosen, moves in _left_out(edits, slots)]
-    each = lines.select("a", "line", "n", "region", F.inline(F.array(*cases)))
+    cases = []
+    for chosen, moves in _left_out(edits, 2 * edits + 2 if first else 2 * edits, not first):
+        after = [sum(m for c, m in zip(chosen, moves, strict=True) if c // 2 <= j) for j in range(edits)]
+        shift = dict(zip(chosen, moves, strict=True))
+        ends = [(shift.get(2 * j + 1), shift.get(2 * j + 2)) for j in range(edits)]  # halves that meet if the pieces are neighbours
+        again = [None not in e and (e[0] * e[1] < 0 or abs(e[0]) < abs(e[1])) for e in ends]  # as neighbours, one run: another case has its shift
+        cases.append(F.struct(*[F.array(*map(F.lit, v)).alias(k) for k, v in (("chosen", chosen), ("moves", moves), ("after", after), ("again", again))],
+                              F.lit(sum(moves)).alias("less")))
+
+    def fits(c: Column) -> Column:
+        out, shift = F.lit(True), F.lit(0)
+        for j in range(edits):
+            shift = shift + F.get("before", F.lit(j))
+            near = F.get("region", F.lit(j + 1)) == F.get("region", F.lit(j)) + 1 if j < edits - 1 else F.lit(False)
+            out = out & F.when(near, ~F.get(c["again"], F.lit(j))).otherwise(F.get(c["after"], F.lit(j)) == shift)
+        return out
+
+    every = F.array(*cases)
+    each = lines.select("a", "line", "n", "region", F.inline(every if first else F.filter(every, fits)))
     each = each.withColumn("length", F.col("n") - F.col("less")).withColumn(
         "region", F.transform("chosen", lambda c: F.get("region", F.shiftright(c, 1)) * 2 + c % 2))
     parts, at, shift = [], F.lit(0), F.lit(0)
@@ -239,10 +261,10 @@ def _lines(keyed: DataFrame, min_chars: int) -> DataFrame:
 def _finer(crowd: DataFrame, edits: int) -> list[DataFrame]:
     """Tables with pairs (a, b) of the crowded lines (a, at, line, n): all that meet under a finer key of few lines, and the earliest one of a crowded place."""
     out, pieces, state = [], edits + 1, ("region", "moves", "length")
-    todo, slots = crowd.withColumn("region", F.array(*map(F.lit, range(pieces)))), 2 * pieces
+    todo, first = crowd.withColumn("region", F.array(*map(F.lit, range(pieces)))), True
     while True:  # ends when pieces are single characters at the latest
         pieces *= 2
-        out.append(materialise(_met(_fine_keys(todo, edits, pieces, slots), CROWD, state), "finer-pairs"))
+        out.append(materialise(_met(_fine_keys(todo, edits, pieces, first), CROWD, state), "finer-pairs"))
         crowded = out[-1].filter("b is null")
         least, most = crowded.agg(F.min("length"), F.max("length")).first()
         if least is not None and least <= pieces:
@@ -250,8 +272,8 @@ def _finer(crowd: DataFrame, edits: int) -> list[DataFrame]:
             out.append(materialise(_earliest(single, edits, pieces), "earliest-pairs"))
         if most is None or most <= pieces:
             return out
-        deeper = crowded.filter(F.col("length") > pieces).select("a", "region").distinct()
-        todo, slots = crowd.join(deeper, "a"), 2 * edits
+        deeper = crowded.filter(F.col("length") > pieces).select("a", "region", F.col("moves").alias("before"))
+        todo, first = crowd.join(deeper, "a"), False
 
 
 def near_lines(docs: DataFrame, edits: int = EDITS, min_chars: int = MIN_CHARS) -> tuple[DataFrame, DataFrame]:

@@ -99,6 +99,7 @@ def test_lines_keyed_at_every_occurrence_count_once(make_docs, monkeypatch):
 def test_halved_pieces_lose_no_pair(make_docs, monkeypatch, edits):
     """Crowded finer keys are halved to single characters, where a line meets the earliest one in reach."""
     monkeypatch.setattr(line_dedup, "CROWD", 1)
+    monkeypatch.setattr(line_dedup, "HOT", 1)
     r = random.Random(edits)
     base, rows = "".join(r.choice("abcdefgh") for _ in range(36)), []
     for d in range(90):
